@@ -27,13 +27,13 @@ from threadloom.llm._graph import components
 from threadloom.llm._store import written
 from threadloom.llm._words import Words, mix, slices
 
-#: Counters for shingle frequencies: 4 bytes each, broadcast once (8 MB).
-COUNTERS = 1 << 21
+#: Counters for shingle frequencies: 4 bytes each, broadcast once (4 MB).
+COUNTERS = 1 << 20
 _CHUNK = 1 << 14
 #: Bits of the filter of documents to verify: at most 1 MB reaches the driver.
 FILTER_BITS = 1 << 23
 _U = np.uint64
-_SHIFT = _U(64 - 21)
+_SHIFT = _U(64 - 20)
 
 
 def prefix_length(n):
@@ -158,6 +158,13 @@ def _near(na, pa_, nb, pb):
     return (F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)) * 180 >= (a + b) * 80
 
 
+def _enough(c):
+    """Whether sets of na and nb elements whose prefixes share ``c`` can still link: the prefix that ends first holds all that is common up to its end."""
+    na, nb = (F.col(x).cast("long") for x in ("na", "nb"))
+    behind = F.greatest(F.floor((4 * na + 4) / 5) - 1, F.floor((4 * nb + 4) / 5) - 1)
+    return (c + F.least(behind, na, nb)) * 180 >= (na + nb) * 80
+
+
 def _sets(bits):
     def sets(batches):
         wanted = bits.value
@@ -195,8 +202,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for part in ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
         bits[(part.k - 1) * 4096 : part.k * 4096] = np.frombuffer(part.bits, np.uint8)
-    sets = docs.select("doc_id", "text").mapInArrow(_sets(spark.sparkContext.broadcast(bits)), "node long, shingles binary").join(ids, "node", "left_semi")
-    sets = written(sets, "sets").distinct()
+    sets = docs.select("doc_id", "text").mapInArrow(_sets(spark.sparkContext.broadcast(bits)), "node long, shingles binary")
+    sets = written(sets, "sets")
     return (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -223,14 +230,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     members = written(classes.join(groups, ["n", "gk"]).select("n", "cid", "node", "gid"), "classes")
 
     heads = full.select("doc_id", "n", "cid", "prefix").join(members.where("node = gid").select(F.col("node").alias("doc_id"), "n", "cid"), ["doc_id", "n", "cid"], "left_semi")
-    heads = heads.select("doc_id", "n", "prefix").dropDuplicates(["doc_id", "n"])
-    postings = heads.mapInArrow(_postings, "token long, gid long, n int, pos int")
+    postings = heads.select("doc_id", "n", "prefix").mapInArrow(_postings, "token long, gid long, n int, pos int")
     shared = written(postings.repartition("token").sortWithinPartitions("token", "n", "gid").mapInArrow(_runs, _SHARED), "postings")
 
     def pairs(side):
-        return shared.where(F.col(f"{side}_gid").isNotNull() & (F.col(f"{side}_gid") != F.col("gid")) & _near("n", "pos", f"{side}_n", f"{side}_pos")).select(F.least("gid", f"{side}_gid").alias("a"), F.greatest("gid", f"{side}_gid").alias("b"))
+        met = shared.where(F.col(f"{side}_gid").isNotNull() & (F.col(f"{side}_gid") != F.col("gid")) & _near("n", "pos", f"{side}_n", f"{side}_pos"))
+        return met.select(F.least("gid", f"{side}_gid").alias("a"), F.greatest("gid", f"{side}_gid").alias("b"), F.when(F.col("gid") < F.col(f"{side}_gid"), F.col("n")).otherwise(F.col(f"{side}_n")).alias("na"), F.when(F.col("gid") < F.col(f"{side}_gid"), F.col(f"{side}_n")).otherwise(F.col("n")).alias("nb"))
 
-    near = pairs("first").unionByName(pairs("prev")).unionByName(members.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))).distinct()
+    met = pairs("first").unionByName(pairs("prev")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
+    near = met.where(_enough(F.col("c") * 4)).select("a", "b").unionByName(members.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))).distinct()
     links = written(verified(written(near, "near"), docs), "links")
     linked = written(components(links), "linked")
 
@@ -240,7 +248,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     mixed = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     spread = written(spread.join(mixed, "token", "left_semi").select("token", "node", "component", "n", "pos"), "spread")
     x, y = (spread.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "pos"))) for s in "ab")
-    rest = x.join(y, "token").where("component_a <> component_b and node_a < node_b").where(_near("n_a", "pos_a", "n_b", "pos_b")).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    rest = x.join(y, "token").where("component_a <> component_b and node_a < node_b").where(_near("n_a", "pos_a", "n_b", "pos_b"))
+    rest = rest.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("n_a").alias("na"), F.min("n_b").alias("nb")).where(_enough(F.col("c"))).select("a", "b")
     rest = written(rest.join(links, ["a", "b"], "left_anti"), "rest")
     more = verified(rest, docs)
     full_links = more.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))

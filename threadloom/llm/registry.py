@@ -4,19 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from threadloom.llm import mixing
+from threadloom.llm.decontamination import contaminated
 from threadloom.llm.jaccard_join import similar_documents
+from threadloom.llm.language_id import identified
+from threadloom.llm.token_store import stored_digests
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(_table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_digests(_table(spark, sf_dir, "documents"), default_tokenizer())
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op3_language_id": op3_language_id,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_token_store": op6_token_store,
+    "op7_source_mixing": op7_source_mixing,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_source_mixing": mixing.SQL,
+}
