@@ -39,9 +39,25 @@ _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
 _SPACES = re.compile(r"\s\s|^\s|\s$")
 _TAIL = re.compile(r"(?<=\w)[.,!?;:#$%&*]+\Z")
+_LETTERS = re.compile(r" ?[^\W\d_]+\Z")
 _encoders: dict[str, tuple] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The characters for which byte-level vocabularies write each byte: printable Latin-1 as it is, the others from 256 on."""
+    printable = {b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173}
+    others = iter(range(256, 512))
+    return {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
+def _by_model(model, piece: str) -> bytes:
+    """Ids of one run of letters, which a byte-level tokenizer hands to its model as a whole."""
+    return np.array([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))], WIDTH).tobytes()
+
+
 def _encoder(path: str) -> tuple:
     """The tokenizer and its word cache, once per Python worker."""
     if path not in _encoders:
@@ -50,7 +66,10 @@ def _encoder(path: str) -> tuple:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         assert tokenizer.get_vocab_size() <= 1 << 16, "ids are stored in two bytes"
-        _encoders[path] = tokenizer, {}
+        probe = ["the", " Ünicode", " 日本語", " abcdefghij"]
+        model = tokenizer.model
+        direct = all(np.array(e.ids, WIDTH).tobytes() == _by_model(model, p) for p, e in zip(probe, tokenizer.encode_batch(probe, add_special_tokens=False)))
+        _encoders[path] = tokenizer, model if direct else None, {}
     return _encoders[path]
 
 
@@ -64,7 +83,7 @@ def _pieces(text: str) -> list[str]:
 
 def encoded(texts: list[str], path: str) -> list[bytes]:
     """Ids of each text without an end id, as ``WIDTH`` bytes. Each distinct piece goes through the tokenizer once."""
-    tokenizer, cache = _encoder(path)
+    tokenizer, model, cache = _encoder(path)
     parts = [_pieces(t) if t else [] for t in texts]
     missing = set().union(*parts) - cache.keys()
     known, tails = cache, {}
@@ -72,8 +91,10 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
         for piece in missing:
             tails[piece] = len(m[0]) if (m := _TAIL.search(piece)) else 0
         want = {piece[: len(piece) - n] for piece, n in tails.items()} | {piece[len(piece) - n :] for piece, n in tails.items() if n}
-        want = list(want - cache.keys())
-        fresh = {w: np.array(e.ids, WIDTH).tobytes() for w, e in zip(want, tokenizer.encode_batch_fast(want, add_special_tokens=False))}
+        want -= cache.keys()
+        fresh = {w: _by_model(model, w) for w in want if _LETTERS.match(w)} if model else {}
+        want = list(want - fresh.keys())
+        fresh |= {w: np.array(e.ids, WIDTH).tobytes() for w, e in zip(want, tokenizer.encode_batch_fast(want, add_special_tokens=False))}
         get = lambda w: fresh[w] if w in fresh else cache[w]
         for piece, n in tails.items():
             if n:
