@@ -71,11 +71,11 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int
 class Words:
     """Words of some texts: ``hash``, byte ``start`` and ``end``, row ``doc``; ``first`` and ``count`` by row."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, separators: np.ndarray = _WHITE):
         buf, at = raw(texts)
         n = len(buf)
         self.buf, self.at = buf, at
-        white = _WHITE[buf]
+        white = separators[buf]
         edge = np.zeros(n + 1, bool)
         edge[at] = True
         prev = np.ones(n, bool)
@@ -86,12 +86,16 @@ class Words:
         end = np.flatnonzero(~white & (after | edge[1:])) + 1
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_ALPHABET[buf] * _power("up", _BASE, n), out=total[1:])
-        self.start, self.end = start, end
-        self.hash = mix((total[end] - total[start]) * _power("down", _INVERSE, n + 1)[start])
+        self.start, self.end, self.total = start, end, total
+        self.hash = self.between(start, end)
         self.doc = np.searchsorted(at, start, "right") - 1
         self.count = np.bincount(self.doc, minlength=len(at) - 1)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
 
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes between, wherever they stand."""
+        return mix((self.total[end] - self.total[start]) * _power("down", _INVERSE, len(self.total))[start])
+
     def grams(self, n: int) -> np.ndarray:
         """Hash of the ``n`` words from each word on; those that leave the text are to be ignored."""
         size = max(0, len(self.hash) - n + 1)
