@@ -7,9 +7,14 @@ links to, so only those prefixes are shuffled. Documents of equal size and
 prefix form one group; groups, not documents, meet in the postings.
 
 All pairs of a large group of near copies are never made. A first round checks
-each posting's neighbours and its smallest member; what those links connect
-needs no more checks. The second round takes every remaining candidate pair
-between different components, so the result is that of the full join.
+each posting's neighbours and its smallest member, a second one neighbours in
+an arbitrary order that are not connected yet; what those links connect needs
+no more checks. The last round takes every remaining candidate pair between
+different components, so the result is that of the full join.
+
+Before whole sets meet, bitmaps of SIGNATURE bits do: two sets differ in at
+least as many elements as their bitmaps in bits, and linked sets differ in at
+most (n_a + n_b) / 9. That bound loses nothing.
 
 Any fixed order of elements gives the right result. The document counts that
 put common passages last come from one row of counters of a fixed size
@@ -32,6 +37,9 @@ COUNTERS = 1 << 20
 _CHUNK = 1 << 14
 #: Bits of the filter of documents to verify: at most 1 MB reaches the driver.
 FILTER_BITS = 1 << 23
+#: Bits of a set's bitmap, as 64-bit words; neighbours that the second round looks at.
+SIGNATURE, AROUND, PASSED = 512, 16, 2
+_WORDS = [f"s{i}" for i in range(SIGNATURE // 64)]
 _U = np.uint64
 _SHIFT = _U(64 - 20)
 
@@ -86,15 +94,17 @@ def _rows(counts):
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for start, stop in slices(texts):
-                n, cid, gid, prefix = [], [], [], []
+                n, cid, gid, prefix, bitmap = [], [], [], [], np.zeros((stop - start, SIGNATURE), np.uint8)
                 for found in Words(texts.slice(start, stop - start)).shingle_sets():
                     size = len(found)
                     ranked = found[np.lexsort((found, order[(found >> _SHIFT).astype(np.int64)]))][: prefix_length(size) if size else 0]
                     n.append(size)
                     cid.append(mix(found + _U(size)).sum(dtype=np.uint64))
                     gid.append(mix(ranked * _U(2) + _U(1)).sum(dtype=np.uint64))
+                    bitmap[len(prefix), (found & _U(SIGNATURE - 1)).astype(np.int64)] = 1
                     prefix.append(ranked.tobytes())
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array(n, pa.int64()), pa.array(_signed(cid)), pa.array(_signed(gid)), pa.array(prefix, pa.binary())], names=["doc_id", "n", "cid", "gk", "prefix"])
+                words = np.packbits(bitmap, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array(n, pa.int64()), pa.array(_signed(cid)), pa.array(_signed(gid)), pa.array(prefix, pa.binary()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(_WORDS)))], names=["doc_id", "n", "cid", "gk", "prefix", *_WORDS])
 
     return rows
 
@@ -152,17 +162,34 @@ def _runs(batches):
         held = ([c[-1] for c in cols], [c[-1] for c in first], emitted_last)
 
 
-def _near(na, pa_, nb, pb):
-    """Whether sets of these sizes that meet at these prefix positions can still link: a bound on the overlap."""
-    a, b, i, j = (F.col(x).cast("long") for x in (na, nb, pa_, pb))
-    return (F.least(i, j) + 1 + F.least(a - i - 1, b - j - 1)) * 180 >= (a + b) * 80
+def _alike(a: str, b: str):
+    """Whether bitmaps a.s0.. and b.s0.. leave it open that the sets link."""
+    differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _WORDS), F.lit(0))
+    return differ * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
+
+def _can_meet():
+    """Whether these prefix positions of a and b are among those of which two linked sets share one: the first n - overlap + 1 of either."""
+    least = F.ceil((F.col("a.n") + F.col("b.n")).cast("long") * 4 / 9)
+    return (F.col("a.pos") <= F.col("a.n") - least) & (F.col("b.pos") <= F.col("b.n") - least)
 
 
-def _enough(c):
-    """Whether sets of na and nb elements whose prefixes share ``c`` can still link: the prefix that ends first holds all that is common up to its end."""
-    na, nb = (F.col(x).cast("long") for x in ("na", "nb"))
-    behind = F.greatest(F.floor((4 * na + 4) / 5) - 1, F.floor((4 * nb + 4) / 5) - 1)
-    return (c + F.least(behind, na, nb)) * 180 >= (na + nb) * 80
+def _neighbours(batches):
+    """From rows sorted by token: pairs of near rows of one token that are not connected and may link, at most PASSED for each row."""
+    for batch in batches:
+        token, node, component, n = (batch.column(i).to_numpy() for i in range(4))
+        words = [batch.column(4 + i).to_numpy() for i in range(len(_WORDS))]
+        passed = np.zeros(len(token), np.int64)
+        a, b = [], []
+        for k in range(1, min(AROUND, len(token) - 1) + 1):
+            at = np.flatnonzero((token[k:] == token[:-k]) & (component[k:] != component[:-k]) & (passed[k:] < PASSED)) + k
+            differ = sum((np.bitwise_count(w[at] ^ w[at - k]).astype(np.int64) for w in words), np.zeros(len(at), np.int64))
+            at = at[differ * 9 <= n[at] + n[at - k]]
+            passed[at] += 1
+            a.append(np.minimum(node[at], node[at - k]))
+            b.append(np.maximum(node[at], node[at - k]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
 def _sets(bits):
@@ -223,39 +250,43 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(docs))
-    rows = written(docs.mapInArrow(_rows(counts), "doc_id long, n long, cid long, gk long, prefix binary"), "prefixes")
+    rows = written(docs.mapInArrow(_rows(counts), "doc_id long, n long, cid long, gk long, prefix binary, " + ", ".join(f"{w} long" for w in _WORDS)), "prefixes")
     full = rows.where("doc_id is not null and n > 0")
-    classes = full.groupBy("n", "cid").agg(F.min("doc_id").alias("node"), F.min("gk").alias("gk"))
+    classes = full.groupBy("n", "cid").agg(F.min("doc_id").alias("node"), F.min("gk").alias("gk"), *(F.min(w).alias(w) for w in _WORDS))
     groups = classes.groupBy("n", "gk").agg(F.min("node").alias("gid"))
-    members = written(classes.join(groups, ["n", "gk"]).select("n", "cid", "node", "gid"), "classes")
+    members = written(classes.join(groups, ["n", "gk"]).select("n", "cid", "node", "gid", *_WORDS), "classes")
 
     heads = full.select("doc_id", "n", "cid", "prefix").join(members.where("node = gid").select(F.col("node").alias("doc_id"), "n", "cid"), ["doc_id", "n", "cid"], "left_semi")
     postings = heads.select("doc_id", "n", "prefix").mapInArrow(_postings, "token long, gid long, n int, pos int")
     shared = written(postings.repartition("token").sortWithinPartitions("token", "n", "gid").mapInArrow(_runs, _SHARED), "postings")
 
+    bitmaps = members.select("node", "n", *_WORDS)
+
     def pairs(side):
-        met = shared.where(F.col(f"{side}_gid").isNotNull() & (F.col(f"{side}_gid") != F.col("gid")) & _near("n", "pos", f"{side}_n", f"{side}_pos"))
-        return met.select(F.least("gid", f"{side}_gid").alias("a"), F.greatest("gid", f"{side}_gid").alias("b"), F.when(F.col("gid") < F.col(f"{side}_gid"), F.col("n")).otherwise(F.col(f"{side}_n")).alias("na"), F.when(F.col("gid") < F.col(f"{side}_gid"), F.col(f"{side}_n")).otherwise(F.col("n")).alias("nb"))
+        return shared.where(F.col(f"{side}_gid").isNotNull() & (F.col(f"{side}_gid") != F.col("gid"))).select(F.least("gid", f"{side}_gid").alias("a"), F.greatest("gid", f"{side}_gid").alias("b"))
 
-    met = pairs("first").unionByName(pairs("prev")).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min("na").alias("na"), F.min("nb").alias("nb"))
-    near = met.where(_enough(F.col("c") * 4)).select("a", "b").unionByName(members.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))).distinct()
+    near = pairs("first").unionByName(pairs("prev")).unionByName(members.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))).distinct()
+    near = near.join(bitmaps.alias("x"), F.col("a") == F.col("x.node")).join(bitmaps.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y")).select("a", "b")
     links = written(verified(written(near, "near"), docs), "links")
-    linked = written(components(links), "linked")
-
-    # candidates between what is not connected yet
-    known = members.join(linked, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
-    spread = shared.select("token", "gid", "n", "pos").join(known, "gid")
-    mixed = spread.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-    spread = written(spread.join(mixed, "token", "left_semi").select("token", "node", "component", "n", "pos"), "spread")
-    x, y = (spread.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "pos"))) for s in "ab")
-    rest = x.join(y, "token").where("component_a <> component_b and node_a < node_b").where(_near("n_a", "pos_a", "n_b", "pos_b"))
-    rest = rest.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("n_a").alias("na"), F.min("n_b").alias("nb")).where(_enough(F.col("c"))).select("a", "b")
-    rest = written(rest.join(links, ["a", "b"], "left_anti"), "rest")
-    more = verified(rest, docs)
-    full_links = more.unionByName(linked.select(F.col("node").alias("a"), F.col("component").alias("b")))
+
+    def apart(links):
+        """Postings of the tokens that what these links connect does not hold together, a row for each class."""
+        known = members.join(components(links), "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"), *_WORDS)
+        rows = shared.select("token", "gid", "n", "pos").join(known, "gid")
+        mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+        return written(rows.join(mixed, "token", "left_semi").select("token", "node", "component", "n", *_WORDS, "pos"), "apart")
+
+    by_hash = apart(links).repartition("token").withColumn("order", F.xxhash64("node", "token")).sortWithinPartitions("token", "order")
+    near = by_hash.select("token", "node", "component", "n", *_WORDS).mapInArrow(_neighbours, "a long, b long").distinct()
+    links = written(links.unionByName(verified(written(near, "nearer"), docs)).distinct(), "more-links")
+
+    left = apart(links)
+    rest = left.alias("a").join(left.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _can_meet() & _alike("a", "b"))
+    rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
+    full_links = links.unionByName(verified(written(rest, "rest"), docs))
     # rows that repeat a doc_id with another text tie their classes together
     ties = full.join(members, ["n", "cid"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     ties = ties.join(members.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
     final = written(components(full_links.unionByName(ties)), "final")
     by_class = members.join(final, "node", "left").select("n", "cid", F.coalesce("component", "node").alias("component"))
-    return rows.drop("prefix", "gk").join(by_class, ["n", "cid"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    return rows.select("doc_id", "n", "cid").join(by_class, ["n", "cid"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
