@@ -16,6 +16,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/threadloom/{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts small enough for a Python worker beside its executor's heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet and read back: later steps neither
     recompute it nor depend on the executors that made it."""

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm._store import bounded_batches
 from threadloom.llm._words import raw, slices
 
 RATE, SEED = 0.1, 8
@@ -217,6 +218,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     code points of the lower-cased text. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm._graph import components
-from threadloom.llm._store import written
+from threadloom.llm._store import bounded_batches, written
 from threadloom.llm._words import Words, mix, slices
 
 #: Counters for shingle frequencies: 4 bytes each, broadcast once (4 MB).
@@ -248,6 +248,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(docs))
     rows = written(docs.mapInArrow(_rows(counts), "doc_id long, n long, cid long, gk long, prefix binary, " + ", ".join(f"{w} long" for w in _WORDS)), "prefixes")

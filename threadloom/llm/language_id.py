@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.llm._store import bounded_batches
 from threadloom.llm._words import raw, slices
 
 #: Labelled documents fitted per language at most (in expectation), chosen by a hash of their id.
@@ -111,6 +112,7 @@ class Model:
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on ``labelled`` (doc_id, text, lang): at most about ``sample_docs`` rows per language, chosen by a hash of doc_id; at most PROFILE n-grams per language reach the driver."""
+    bounded_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm._graph import components
-from threadloom.llm._store import written
+from threadloom.llm._store import bounded_batches, written
 
 THRESHOLD, MISS, EPSILON, BLOCK = 0.98, 1e-9, 6.0, 256
 _rotations: dict[tuple[int, int], np.ndarray] = {}
@@ -161,6 +161,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     link. Rows that repeat a vec_id count as rows of their own but share the
     id's component. No rows: none. Other columns are ignored.
     """
+    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
     finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     valid = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import shared_path
+from threadloom.llm._store import bounded_batches, shared_path
 from threadloom.llm._words import slices
 
 END_ID = 2
@@ -215,6 +215,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     make an empty store. Other columns, whatever their names, are not stored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.mapInArrow(_chunker(tokenizer, end_id), _STORE)
     rows.repartition("key").mapInArrow(_once, _STORE).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/store")

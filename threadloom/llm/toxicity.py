@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm._store import bounded_batches
 from threadloom.llm._words import Words, mix, slices
 
 #: Labelled documents learned from at most (in expectation), chosen by a hash of their id.
@@ -233,6 +234,7 @@ def _evidence_of(shared):
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on at most about ``sample_docs`` rows of ``labels`` (doc_id, toxic), chosen by a hash of doc_id, and their texts. Documents that begin alike count once, so copies do not make evidence."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     labels = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("labelled"), "toxic")
     share = min(1.0, sample_docs / max(labels.count(), 1))
     drawn = labels.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_003)) / 1_000_003 < share).groupBy("labelled").agg(F.max("toxic").alias("toxic"))
