@@ -1,6 +1,454 @@
-"""Queries of the session engine by inventory key, with equivalent SQL."""
+"""Queries of the session engine by inventory key, with equivalent SQL.
+
+Chat sessions come from ``conversations``, tool sessions from ``events``. The
+tool sessions' window is CONTEXT_WINDOW tokens, so that they fill it to all
+degrees. Ratios are rounded to six digits on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadloom.functions import keys
+from threadloom.functions import text as tx
+from threadloom.functions import tokens as tk
+from threadloom.operators import analysis, checkpoints, items, pins, prune, reports
+from threadloom.plans import config, policy
+from threadloom.sources import traces
+
+CONTEXT_WINDOW, CHAT_WINDOW = 32_768, 16_384
+AT = "2024-01-01T00:00:00.000Z"
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# ---- the same sessions in SQL ----
+CHAT = r"""
+chat AS (
+  SELECT CAST(conv_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS message_index, role, coalesce(text, '') AS text,
+    (3 * (length(coalesce(text, '')) - len(regexp_extract_all(coalesce(text, ''), '[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}\x{3000}-\x{303f}\x{ff00}-\x{ffee}]')))
+      + 8 * (len(regexp_extract_all(coalesce(text, ''), '[\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{3040}-\x{30ff}\x{ac00}-\x{d7af}\x{3000}-\x{303f}\x{ff00}-\x{ffee}\x{10000}-\x{10ffff}]'))) + 11) // 12
+      + CASE role WHEN 'assistant' THEN 24 ELSE 16 END AS tokens
+  FROM conversations
+)"""
+TRACE = r"""
+ev AS (
+  SELECT *, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events
+), calls AS (
+  SELECT CAST(user_id AS VARCHAR) AS session_id, seq, 2 * seq + 2 AS message_index, 'c' || event_id AS tool_call_id, k, event_type,
+    CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'grep' WHEN 'signup' THEN 'edit' ELSE 'bash' END AS name,
+    CASE WHEN event_type IN ('view', 'signup') THEN 'src/f' || (k % 7) || '.py' END AS path,
+    CASE WHEN event_type = 'click' THEN 'p' || (k % 5) END AS pattern,
+    CASE event_type WHEN 'purchase' THEN ['npm install', 'git diff', 'ls -la', 'python main.py', 'git status'][(k % 5 + 1)::INT] WHEN 'error' THEN 'pytest tests/t' || (k % 3) END AS command,
+    CASE WHEN event_type = 'view' AND k % 2 = 1 THEN (k % 5) * 50 END AS off,
+    event_type = 'error' AND k % 2 = 1 AS is_error,
+    CASE WHEN event_type <> 'error' THEN 'ok' WHEN k % 2 = 1 THEN '3 failed, 7 passed' ELSE '10 passed' END || chr(10) || repeat('output line ' || k || chr(10), (floor(value) + 1)::INT) AS text
+  FROM ev
+), keyed AS (
+  SELECT *, (3 * length(text) + 11) // 12 + 16 AS tokens,
+    CASE name WHEN 'read' THEN 'read:' || path WHEN 'grep' THEN 'grep:' || pattern || '@src' WHEN 'bash' THEN CASE event_type WHEN 'error' THEN 'test:pytest:tests/t' || (k % 3) ELSE 'bash:' || command END END AS group_key,
+    off IS NULL AS is_full, coalesce(off, 0) AS lo, coalesce(off + 59, 1000000000) AS hi
+  FROM calls
+)"""
+RULED = TRACE + r""", later AS (
+  SELECT a.session_id, a.message_index, min(b.message_index) AS by_read FROM keyed a JOIN keyed b
+    ON a.session_id = b.session_id AND a.group_key = b.group_key AND a.name = 'read' AND b.name = 'read' AND b.message_index > a.message_index
+    AND (a.is_full OR b.is_full OR (greatest(a.lo, b.lo) <= least(a.hi, b.hi)))
+  GROUP BY ALL
+), placed AS (
+  SELECT keyed.*, row_number() OVER (PARTITION BY session_id ORDER BY message_index DESC) <= 8 AS fresh, tokens >= 1000 AS big,
+    CASE WHEN name = 'read' THEN by_read WHEN group_key IS NOT NULL THEN nullif(max(message_index) OVER (PARTITION BY session_id, group_key), message_index) END AS sup
+  FROM keyed LEFT JOIN later USING (session_id, message_index)
+), ruled AS (
+  SELECT *, CASE
+      WHEN name = 'read' AND sup IS NOT NULL THEN 'R05' WHEN name = 'read' THEN 'R06'
+      WHEN name = 'grep' AND sup IS NOT NULL THEN 'R08' WHEN name = 'grep' THEN 'R09'
+      WHEN name = 'edit' THEN 'R26'
+      WHEN command = 'npm install' THEN 'R10'
+      WHEN event_type = 'error' AND sup IS NOT NULL THEN 'R12' WHEN event_type = 'error' AND is_error THEN 'R13' WHEN event_type = 'error' THEN 'R14'
+      WHEN command = 'git diff' AND sup IS NOT NULL THEN 'R16' WHEN command = 'git diff' THEN 'R17'
+      WHEN command IN ('ls -la', 'git status') THEN 'R18'
+      WHEN sup IS NOT NULL THEN 'R22' WHEN fresh THEN 'R23' WHEN NOT big THEN 'R24' ELSE 'R25' END AS rule
+  FROM placed
+), classed AS (
+  SELECT *,
+    CASE WHEN rule IN ('R05', 'R08', 'R12', 'R16', 'R22', 'R25') THEN 'stale' WHEN rule IN ('R06', 'R13', 'R17', 'R23', 'R24') THEN 'working' WHEN rule IN ('R10', 'R18') THEN 'disposable'
+      WHEN rule IN ('R09', 'R26') THEN CASE WHEN fresh THEN 'working' ELSE 'stale' END WHEN rule = 'R14' THEN CASE WHEN fresh AND NOT big THEN 'working' ELSE 'disposable' END END AS class,
+    CASE rule WHEN 'R05' THEN CASE WHEN big THEN 15 ELSE 25 END WHEN 'R06' THEN CASE WHEN big THEN 60 ELSE 70 END WHEN 'R08' THEN 15 WHEN 'R09' THEN CASE WHEN fresh THEN 40 ELSE 25 END
+      WHEN 'R10' THEN CASE WHEN sup IS NOT NULL THEN 5 ELSE 10 END WHEN 'R12' THEN CASE WHEN is_error THEN 25 ELSE 20 END WHEN 'R13' THEN 90 WHEN 'R14' THEN CASE WHEN fresh AND NOT big THEN 30 ELSE 15 END
+      WHEN 'R16' THEN 20 WHEN 'R17' THEN CASE WHEN big THEN 75 ELSE 85 END WHEN 'R18' THEN 10 WHEN 'R22' THEN 15 WHEN 'R23' THEN CASE WHEN big THEN 55 ELSE 60 END WHEN 'R24' THEN 35 WHEN 'R25' THEN 20
+      WHEN 'R26' THEN CASE WHEN fresh THEN 85 ELSE 35 END END AS importance,
+    CASE rule WHEN 'R05' THEN 'an older read of a file that was read again later' WHEN 'R06' THEN 'file content (latest read of this file)' WHEN 'R08' THEN 'earlier run of the same search (kept: latest only)'
+      WHEN 'R09' THEN CASE WHEN fresh THEN 'recent search result' ELSE 'older search result' END WHEN 'R10' THEN 'install command succeeded; output is noise'
+      WHEN 'R12' THEN CASE WHEN is_error THEN 'older failing test run superseded by a later run of the same suite' ELSE 'earlier passing test run superseded by a later run' END
+      WHEN 'R13' THEN 'active failing test run (latest)' WHEN 'R14' THEN 'passing test run' WHEN 'R16' THEN 'superseded by a later git diff' WHEN 'R17' THEN 'current git diff (working set)'
+      WHEN 'R18' THEN 'trivial command output (ls/pwd/git status/...)' WHEN 'R22' THEN 'earlier identical successful command (kept: latest only)' WHEN 'R23' THEN 'recent successful command output'
+      WHEN 'R24' THEN 'older successful command output (small — kept)' WHEN 'R25' THEN 'older oversized command output'
+      WHEN 'R26' THEN CASE WHEN fresh THEN 'recent file modification' ELSE 'earlier file modification' END END AS reason,
+    big AND (rule IN ('R06', 'R09', 'R13', 'R17', 'R23', 'R25')) AS oversized,
+    CASE WHEN rule IN ('R05', 'R08', 'R12', 'R16', 'R22') THEN sup END AS superseded_by,
+    CASE WHEN name IN ('read', 'edit') THEN path WHEN name = 'grep' THEN 'src' END AS file
+  FROM ruled
+), freed AS (
+  SELECT *, CASE WHEN tokens < 50 THEN 0 WHEN class IN ('stale', 'disposable') THEN greatest(tokens - 80, 0) WHEN class = 'working' AND oversized THEN greatest(tokens - 260, 0) ELSE 0 END AS reclaimable FROM classed
+), callers AS (
+  SELECT session_id, message_index - 1 AS message_index, 24 + (3 * length(name) + 11) // 12 + 6 + (3 * length(
+      CASE WHEN name = 'read' AND off IS NOT NULL THEN '{"path":"' || path || '","offset":' || off || ',"limit":60}' WHEN name IN ('read', 'edit') THEN '{"path":"' || path || '"}'
+        WHEN name = 'grep' THEN '{"pattern":"' || pattern || '","path":"src"}' ELSE '{"command":"' || command || '"}' END) + 11) // 12 AS tokens FROM keyed
+), everything AS (
+  SELECT session_id, message_index, tokens, class, reclaimable FROM freed
+  UNION ALL SELECT session_id, message_index, tokens, 'working', 0 FROM callers
+  UNION ALL SELECT DISTINCT session_id, 0, (3 * 21 + 11) // 12 + 16, 'critical', 0 FROM keyed
+), summed AS (
+  SELECT session_id, sum(tokens)::BIGINT AS raw_tokens, coalesce(sum(tokens) FILTER (class = 'critical'), 0)::BIGINT AS critical_tokens, coalesce(sum(tokens) FILTER (class = 'working'), 0)::BIGINT AS working_tokens,
+    coalesce(sum(tokens) FILTER (class = 'stale'), 0)::BIGINT AS stale_tokens, coalesce(sum(tokens) FILTER (class = 'disposable'), 0)::BIGINT AS disposable_tokens,
+    sum(reclaimable)::BIGINT AS reclaimable_tokens, count(*) AS message_count FROM everything GROUP BY session_id
+), analysed AS (
+  SELECT *, raw_tokens + 4000 AS total_tokens, 20480::BIGINT AS usable_tokens, round(least(2.0, (raw_tokens + 4000) / 20480.0::DOUBLE), 6) AS pressure,
+    round((critical_tokens + working_tokens) / raw_tokens::DOUBLE, 6) AS quality FROM summed
+)"""
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.chat_messages(_read(spark, sf_dir, "conversations"))
+
+
+def _trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return traces.tool_messages(_read(spark, sf_dir, "events"))
+
+
+def _results(df: DataFrame) -> DataFrame:
+    return df.where("role = 'toolResult'")
+
+
+def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.classify(_trace(spark, sf_dir))
+
+
+def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analysis.analyze(_classified(spark, sf_dir), window=CONTEXT_WINDOW)
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in ("pressure", "quality")})
+
+
+def _pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pins for every chat session: a word that many hold, and a file none holds."""
+    ids = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("session_id")).distinct()
+    each = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(t).alias("type"), F.lit(c).alias("content"), F.lit(n).cast("long").alias("created_at")) for i, t, c, n in (("p1", "constraint", " The ", 1), ("p2", "file", "src/none.py", 2), ("p3", "note", "que", 3))))
+    return ids.select("session_id", F.inline(each)).withColumn("active", F.lit(True))
+
+
+def _query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+@_query("prj04_message_tokens", f"WITH {CHAT} SELECT session_id, message_index, role, CAST(tokens AS BIGINT) AS tokens FROM chat")
+def _(spark, sf_dir):
+    return _chat(spark, sf_dir).select("session_id", "message_index", "role", tk.message_tokens().alias("tokens"))
+
+
+@_query("prj06_fingerprints")
+def _(spark, sf_dir):
+    return _chat(spark, sf_dir).select("session_id", "message_index", tk.fingerprint(F.concat(F.col("role"), F.lit(":"), F.col("message_index").cast("string"), F.lit(":"), F.substring(tk.message_text(), 1, 200))).alias("id"))
+
+
+@_query(
+    "agg02_class_tokens",
+    f"""WITH {CHAT}, per AS (
+  SELECT session_id, sum(tokens)::BIGINT AS raw_tokens, coalesce(sum(tokens) FILTER (role = 'user'), 0)::BIGINT AS critical_tokens, coalesce(sum(tokens) FILTER (role <> 'user'), 0)::BIGINT AS working_tokens, count(*) AS message_count
+  FROM chat GROUP BY session_id)
+SELECT session_id, raw_tokens, critical_tokens, working_tokens, raw_tokens + 4000 AS total_tokens, message_count, round(least(2.0, (raw_tokens + 4000) / 4096.0::DOUBLE), 6) AS pressure, 1.0::DOUBLE AS quality FROM per""",
+)
+def _(spark, sf_dir):
+    found = analysis.analyze(items.classify(_chat(spark, sf_dir)), window=CHAT_WINDOW)
+    return _rounded(found).select("session_id", "raw_tokens", "critical_tokens", "working_tokens", "total_tokens", "message_count", "pressure", "quality")
+
+
+@_query("src04_last_user_text", f"WITH {CHAT} SELECT session_id, arg_max(text, message_index) AS text FROM chat WHERE role = 'user' GROUP BY session_id")
+def _(spark, sf_dir):
+    return analysis.last_user_text(_chat(spark, sf_dir))
+
+
+@_query("win06_goals", rf"WITH {CHAT} SELECT session_id, left(arg_min(regexp_replace(text, '^\s+|\s+$', '', 'g'), message_index), 2000) AS goal FROM chat WHERE role = 'user' AND trim(text) <> '' GROUP BY session_id")
+def _(spark, sf_dir):
+    return analysis.goals(_chat(spark, sf_dir))
+
+
+@_query("src02_tool_trace", f"WITH {TRACE} SELECT session_id, message_index::INT AS message_index, tool_call_id, name, is_error, text FROM keyed")
+def _(spark, sf_dir):
+    return _results(_trace(spark, sf_dir)).select("session_id", "message_index", "tool_call_id", F.col("tool_name").alias("name"), "is_error", tk.message_text().alias("text"))
+
+
+@_query("jn01_call_lookup", f"WITH {TRACE} SELECT session_id, tool_call_id, message_index::INT AS message_index, name, path, pattern, command FROM keyed")
+def _(spark, sf_dir):
+    rows = _results(items.with_calls(_trace(spark, sf_dir)))
+    path = F.when(F.col("call_name") != "grep", keys.argument(F.col("call_arguments"), "path"))
+    return rows.select("session_id", "tool_call_id", "message_index", F.col("call_name").alias("name"), path.alias("path"), keys.argument(F.col("call_arguments"), "pattern").alias("pattern"), keys.argument(F.col("call_arguments"), "command").alias("command"))
+
+
+@_query("cat09_group_keys", f"WITH {TRACE} SELECT session_id, message_index::INT AS message_index, group_key FROM keyed")
+def _(spark, sf_dir):
+    return _results(items.superseded(items.with_calls(_trace(spark, sf_dir)))).select("session_id", "message_index", "group_key")
+
+
+@_query("win01_superseded_runs", f"WITH {RULED} SELECT session_id, message_index::INT AS message_index, sup::INT AS superseded_by FROM placed WHERE name <> 'read' AND sup IS NOT NULL")
+def _(spark, sf_dir):
+    rows = _results(items.superseded(items.with_calls(_trace(spark, sf_dir))))
+    return rows.where("call_name <> 'read' and superseded_by is not null").select("session_id", "message_index", "superseded_by")
+
+
+@_query("jn02_superseded_reads", f"WITH {RULED} SELECT session_id, message_index::INT AS message_index, sup::INT AS superseded_by FROM placed WHERE name = 'read' AND sup IS NOT NULL")
+def _(spark, sf_dir):
+    rows = _results(items.superseded(items.with_calls(_trace(spark, sf_dir))))
+    return rows.where("call_name = 'read' and superseded_by is not null").select("session_id", "message_index", "superseded_by")
+
+
+@_query("win02_recent_results", f"WITH {RULED} SELECT session_id, message_index::INT AS message_index FROM placed WHERE fresh")
+def _(spark, sf_dir):
+    return items.recency(_trace(spark, sf_dir)).where("is_recent").select("session_id", "message_index")
+
+
+@_query(
+    "cat01_command_categories",
+    f"""WITH {TRACE} SELECT session_id, message_index::INT AS message_index, command,
+  CASE WHEN command = 'npm install' THEN 'install' WHEN command LIKE 'pytest%' THEN 'test' WHEN command = 'git diff' THEN 'gitdiff' WHEN command IN ('ls -la', 'git status') THEN 'trivial' ELSE 'normal' END AS category,
+  CASE WHEN regexp_matches(text, '(?i)\\d+\\s+failed\\b') THEN 'fail' WHEN regexp_matches(text, '(?i)\\d+\\s+passed\\b') THEN 'pass' ELSE 'unknown' END AS outcome
+FROM keyed WHERE name = 'bash'""",
+)
+def _(spark, sf_dir):
+    rows = _results(items.with_calls(_trace(spark, sf_dir))).where("call_name = 'bash'").withColumn("command", keys.argument(F.col("call_arguments"), "command"))
+    return rows.select("session_id", "message_index", "command", tx.command_category(F.col("command")).alias("category"), tx.test_outcome(tk.message_text()).alias("outcome"))
+
+
+@_query("r00_r29_classified", f"WITH {RULED} SELECT session_id, message_index::INT AS message_index, name AS source, tokens::BIGINT AS estimated_tokens, class, importance, reason, oversized, superseded_by::INT AS superseded_by, file FROM classed")
+def _(spark, sf_dir):
+    return _results(_classified(spark, sf_dir)).select("session_id", "message_index", "source", "estimated_tokens", "class", "importance", "reason", F.array_contains("tags", "oversized").alias("oversized"), "superseded_by", F.try_element_at("related_files", F.lit(1)).alias("file"))
+
+
+@_query("agg03_session_analysis", f"WITH {RULED} SELECT session_id, raw_tokens, critical_tokens, working_tokens, stale_tokens, disposable_tokens, reclaimable_tokens, message_count, total_tokens, usable_tokens, pressure, quality FROM analysed")
+def _(spark, sf_dir):
+    return _rounded(_analysed(spark, sf_dir)).select("session_id", "raw_tokens", "critical_tokens", "working_tokens", "stale_tokens", "disposable_tokens", "reclaimable_tokens", "message_count", "total_tokens", "usable_tokens", "pressure", "quality")
+
+
+@_query(
+    "agg09_largest_consumers",
+    f"""WITH {RULED}, labelled AS (
+  SELECT session_id, name || coalesce(':' || file, '') || CASE WHEN rule IN ('R05', 'R08') THEN ' (old)' ELSE '' END AS label, sum(tokens)::BIGINT AS tokens, min(message_index) AS first FROM classed GROUP BY ALL)
+SELECT session_id, rank::INT AS rank, label, tokens FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY tokens DESC, first) AS rank FROM labelled) WHERE rank <= 5""",
+)
+def _(spark, sf_dir):
+    return analysis.largest_consumers(_classified(spark, sf_dir))
+
+
+def _acted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prune.actions(_classified(spark, sf_dir))
+
+
+STUBBED = RULED + r""", stubs AS (
+  SELECT *, '[threadloom] ' || name || ' result pruned (~' || CASE WHEN tokens >= 1000 THEN printf('%.1f', (tokens + CASE WHEN tokens % 1000 = 250 THEN 1 ELSE 0 END) / 1000.0::DOUBLE) || 'K' ELSE tokens::VARCHAR END || ' tokens) — ' || reason
+    || '. The original output is preserved in session history; re-run the command or re-read the file if you need it again.' AS stub FROM freed WHERE class IN ('stale', 'disposable') AND tokens >= 50
+), acted AS (
+  SELECT session_id, message_index, name AS tool, reason, tokens AS tokens_before, (3 * length(stub) + 11) // 12 + 24 AS tokens_after, stub FROM stubs WHERE (3 * length(stub) + 11) // 12 + 24 < tokens
+)"""
+
+
+@_query("rw02_stubs", f"WITH {STUBBED} SELECT session_id, message_index::INT AS message_index, tool, reason, tokens_before::BIGINT AS tokens_before, tokens_after::BIGINT AS tokens_after, stub FROM acted")
+def _(spark, sf_dir):
+    rows = _acted(spark, sf_dir).where("kind = 'stub'")
+    return rows.select("session_id", "message_index", F.col("source").alias("tool"), "reason", F.col("estimated_tokens").alias("tokens_before"), F.col("new_tokens").alias("tokens_after"), F.col("replacement").alias("stub"))
+
+
+@_query("agg10_stubs_by_reason", f"WITH {STUBBED}, per AS (SELECT session_id, reason, count(*) AS n, min(message_index) AS first FROM acted GROUP BY ALL) SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, first)::INT AS rank, reason, n FROM per")
+def _(spark, sf_dir):
+    return prune.actions_by_reason(_acted(spark, sf_dir).where("kind <> 'fold'"))
+
+
+@_query("rw01_prune_actions")
+def _(spark, sf_dir):
+    return prune.action_rows(_acted(spark, sf_dir))
+
+
+@_query("rw01_pruned_messages")
+def _(spark, sf_dir):
+    rows = prune.rewritten(_acted(spark, sf_dir), AT)
+    return rows.select("session_id", "message_index", "role", "tool_call_id", tk.message_text().alias("text"), tk.message_tokens().alias("tokens"))
+
+
+@_query("agg07_recomputed")
+def _(spark, sf_dir):
+    return _rounded(prune.recomputed(_acted(spark, sf_dir), AT, window=CONTEXT_WINDOW)).select("session_id", "raw_tokens", "total_tokens", "pressure", "quality", "reclaimable_tokens")
+
+
+@_query(
+    "jn04_pinned_messages",
+    f"WITH {CHAT} SELECT session_id, message_index::INT AS message_index, (contains(lower(text), 'the') OR contains(lower(text), 'que')) AS pinned, CASE WHEN contains(lower(text), 'the') OR contains(lower(text), 'que') OR role = 'user' THEN 'critical' ELSE 'working' END AS class FROM chat",
+)
+def _(spark, sf_dir):
+    return items.classify(_chat(spark, sf_dir), _pins(spark, sf_dir)).select("session_id", "message_index", "pinned", "class")
+
+
+@_query(
+    "jn05_missing_pins",
+    f"""WITH {CHAT}, corpus AS (SELECT session_id, lower(coalesce(string_agg(text, chr(10) ORDER BY message_index) FILTER (role IN ('user', 'assistant')), '')) AS c FROM chat GROUP BY session_id),
+p(id, type, needle) AS (VALUES ('p1', 'constraint', 'the'), ('p2', 'file', 'src/none.py'), ('p3', 'note', 'que'))
+SELECT session_id, id, type FROM corpus, p WHERE NOT contains(c, needle)""",
+)
+def _(spark, sf_dir):
+    return pins.missing_pins(_chat(spark, sf_dir), _pins(spark, sf_dir)).select("session_id", "id", "type")
+
+
+@_query("rw06_pins_reinjected")
+def _(spark, sf_dir):
+    return pins.with_pins(_chat(spark, sf_dir), _pins(spark, sf_dir), 0).where("role = 'custom'").select("session_id", "message_index", "content_text")
+
+
+@_query("cat11_pin_types", f"""WITH {CHAT} SELECT session_id, message_index::INT AS message_index, CASE
+  WHEN regexp_matches(lower(text), '\\b(don''?t|do not|never|must not)\\b') THEN 'constraint' WHEN regexp_matches(lower(text), '\\b(should|must|require|requires)\\b') THEN 'requirement'
+  WHEN regexp_matches(lower(text), '\\b(npm|pnpm|yarn|pip|uv|cargo|git|docker|make|pytest|jest)\\b') AND length(text) < 120 THEN 'command' ELSE 'note' END AS type FROM chat""")
+def _(spark, sf_dir):
+    return _chat(spark, sf_dir).select("session_id", "message_index", tx.pin_type(F.col("content_text")).alias("type"))
+
+
+@_query(
+    "str03_decisions",
+    f"""WITH {RULED} SELECT session_id, CASE WHEN pressure < 0.55 AND quality > 0.6 THEN 'none' WHEN pressure >= 0.65 AND reclaimable_tokens >= 5000 THEN 'prune' WHEN pressure >= 0.8 THEN 'checkpoint' WHEN pressure >= 0.88 THEN 'compact' ELSE 'none' END AS action,
+  CASE WHEN pressure < 0.55 THEN 'green' WHEN pressure < 0.7 THEN 'yellow' WHEN pressure < 0.82 THEN 'orange' WHEN pressure < 0.9 THEN 'red' ELSE 'critical' END AS band,
+  (CASE WHEN pressure >= 0.88 THEN 20 WHEN pressure >= 0.8 THEN 30 ELSE 50 END)::INT AS stub_min FROM analysed""",
+)
+def _(spark, sf_dir):
+    rows = config.with_thresholds(_rounded(_analysed(spark, sf_dir)).withColumn("model", F.lit("any/model")), config.DEFAULTS)
+    action, _reason = policy.decided(F.lit(False))
+    return rows.select("session_id", action.alias("action"), tx.band_label(F.col("pressure")).alias("band"), config.prune_band(config.DEFAULTS, F.col("pressure"))[0].alias("stub_min"))
+
+
+@_query(
+    "cat15_model_thresholds",
+    """SELECT CAST(user_id AS VARCHAR) AS session_id, CASE WHEN user_id % 3 = 0 THEN 0.55::DOUBLE ELSE 0.65::DOUBLE END AS prune_enter, CASE WHEN user_id % 3 = 0 THEN 0.45::DOUBLE ELSE 0.55::DOUBLE END AS prune_exit,
+  CASE WHEN user_id % 3 = 0 THEN 0.78::DOUBLE ELSE 0.88::DOUBLE END AS compact_enter, 0.94::DOUBLE AS handoff_enter FROM (SELECT DISTINCT user_id FROM events)""",
+)
+def _(spark, sf_dir):
+    users = _read(spark, sf_dir, "events").select("user_id").distinct()
+    rows = users.select(F.col("user_id").cast("string").alias("session_id"), F.when(F.col("user_id") % 3 == 0, "qwen-cloud/max").otherwise("other/qwen").alias("model"))
+    return config.with_thresholds(rows, config.DEFAULTS).select("session_id", "prune_enter", "prune_exit", "compact_enter", "handoff_enter")
+
+
+TURN_SQL = r"""
+turns AS (
+  SELECT CAST(user_id AS VARCHAR) AS session_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS turn, least(2.0, round(value / 50.0, 4)) AS pressure, event_id FROM events
+)"""
+
+
+def turn_series(events: DataFrame) -> DataFrame:
+    """A series of turns per user: the pressure swings with the events' values."""
+    from pyspark.sql import Window
+
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
+    pressure = F.least(F.lit(1.2), F.lit(0.4) + (k % 60) / 100.0)
+    return events.select(
+        F.col("user_id").cast("string").alias("session_id"), turn.alias("turn"), (turn * 20_000).cast("long").alias("now_ms"), pressure.alias("pressure"), F.lit(0.5).alias("quality"),
+        (pressure * 20_480).cast("long").alias("total_tokens"), F.lit(20_480).cast("long").alias("usable_tokens"), (k * 100).alias("reclaimable_tokens"), (2 * turn).cast("int").alias("message_count"),
+        F.when(k % 2 == 0, pressure - 0.2).alias("pressure_after_prune"), (F.col("event_type") == "signup").alias("compact_event"), (k % 3 != 0).alias("checkpoint_ok"), F.lit(None).cast("string").alias("model"),
+    )
+
+
+@_query("str10_policy_fold")
+def _(spark, sf_dir):
+    return policy.fold_turns(turn_series(_read(spark, sf_dir, "events")))
+
+
+@_query(
+    "win05_recent_actions",
+    """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS session_id, event_type AS action, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS turn FROM events)
+SELECT session_id, action, turn, count(*) OVER (PARTITION BY session_id, action ORDER BY turn RANGE BETWEEN 9 PRECEDING AND 1 PRECEDING) AS n_before FROM t""",
+)
+def _(spark, sf_dir):
+    from pyspark.sql import Window
+
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return policy.recent_actions(_read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("event_type").alias("action"), turn.alias("turn")))
+
+
+@_query(
+    "win04_calibration",
+    """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS session_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id))::INT AS turn, CASE WHEN event_id % 4 <> 0 THEN floor(value * 10) END AS reported FROM events),
+s AS (SELECT *, CASE WHEN reported > 0 THEN reported / 100.0::DOUBLE END AS v, sum(CASE WHEN reported > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY turn) AS n FROM t)
+SELECT session_id, turn, round(coalesce(avg(v) OVER (PARTITION BY session_id ORDER BY n RANGE BETWEEN 19 PRECEDING AND CURRENT ROW), 1.0), 6) AS ratio FROM s""",
+)
+def _(spark, sf_dir):
+    from pyspark.sql import Window
+
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    samples = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), turn.alias("turn"), F.when(F.col("event_id") % 4 != 0, F.floor(F.col("value") * 10)).alias("reported"), F.lit(100).alias("estimated"))
+    return analysis.calibration(samples).select("session_id", "turn", F.round("ratio", 6).alias("ratio"))
+
+
+@_query(
+    "cp01_serialized_chats",
+    rf"""WITH {CHAT} , s AS (SELECT session_id, message_index, CASE role WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'Assistant: ' END || regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM chat WHERE role IN ('user', 'assistant') AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> '')
+SELECT c.session_id, coalesce(string_agg(s, chr(10) || chr(10) ORDER BY s.message_index), '') AS text FROM (SELECT DISTINCT session_id FROM chat) c LEFT JOIN s USING (session_id) GROUP BY c.session_id""",
+)
+def _(spark, sf_dir):
+    return checkpoints.serialized(_chat(spark, sf_dir))
+
+
+@_query("cp01_serialized_tools")
+def _(spark, sf_dir):
+    return checkpoints.serialized(_trace(spark, sf_dir), max_total=4000)
+
+
+def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply per chat session: raw, fenced, wrapped in prose or broken."""
+    lists = '"requirements":[],"constraints":["keep it"],"decisions":[],"files":{"inspected":[],"modified":["a.py"],"created":[],"deleted":[]},"verification":{"passed":[],"failed":[],"pending":[]},"next_actions":["go on"]'
+    ids = _read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    good = F.concat(F.lit('{"version":1,"task":{"goal":"g'), F.col("conv_id").cast("string"), F.lit('"},' + lists + "}"))
+    return ids.select(
+        F.col("conv_id").cast("string").alias("session_id"),
+        F.when(F.col("conv_id") % 4 == 0, good).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("```json\n"), good, F.lit("\n```")))
+        .when(F.col("conv_id") % 4 == 2, F.concat(F.lit("Here it is: "), good, F.lit(" done"))).otherwise('{"version":2,"task":{"goal":" "}}').alias("reply"),
+    )
+
+
+@_query("cp03_validated", "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, conv_id % 4 <> 3 AS ok, (CASE WHEN conv_id % 4 = 3 THEN 13 ELSE 0 END)::INT AS n_errors FROM conversations")
+def _(spark, sf_dir):
+    return checkpoints.validated(_replies(spark, sf_dir)).select("session_id", "ok", F.size("errors").alias("n_errors"))
+
+
+@_query("ho01_handoff_prompts")
+def _(spark, sf_dir):
+    return checkpoints.handoff_prompts(checkpoints.validated(_replies(spark, sf_dir)).where("ok"), _pins(spark, sf_dir))
+
+
+@_query("cp06_compact_instructions")
+def _(spark, sf_dir):
+    return checkpoints.compact_instructions(checkpoints.validated(_replies(spark, sf_dir)).where("ok"), _pins(spark, sf_dir))
+
+
+@_query("rp01_context_reports")
+def _(spark, sf_dir):
+    found = _classified(spark, sf_dir)
+    rows = analysis.analyze(found, window=CONTEXT_WINDOW)
+    action, reason = policy.decided(F.lit(False))
+    state = config.with_thresholds(rows.withColumn("model", F.lit("any/model")), config.DEFAULTS).select("session_id", F.lit(0).alias("pins"), F.lit(0).alias("compactions"), F.lit(False).alias("checkpoint_fresh"), action.alias("action"), reason.alias("reason"))
+    return reports.context_reports(rows, found, state)
+
+
+@_query("rp02_clean_reports")
+def _(spark, sf_dir):
+    acted = _acted(spark, sf_dir)
+    return reports.clean_reports(analysis.analyze(acted, window=CONTEXT_WINDOW), acted)
