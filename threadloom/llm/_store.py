@@ -29,6 +29,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that written tables have made needless: it does so when the driver collects garbage, else after half an hour."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table that ``written`` made once nothing reads it any more."""
     spark = df.sparkSession

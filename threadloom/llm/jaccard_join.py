@@ -6,9 +6,10 @@ hash) shares an element of its first n - ceil(0.8 n) + 1 with every set it
 links to, so only those prefixes are shuffled. Documents of equal size and
 prefix form one group; groups, not documents, meet in the postings.
 
-All pairs of a large group of near copies are never made. A first round checks
-each posting's neighbours and its smallest member, a second one neighbours in
-an arbitrary order that are not connected yet; what those links connect needs
+All pairs of a large group of near copies are never made. A first round takes
+each posting's neighbour and its smallest member, a second one neighbours in
+an arbitrary order that are not connected yet; of those, each set is checked
+against the likeliest FIRST and NEXT ones. What the links found connect needs
 no more checks. The last round takes every remaining candidate pair between
 different components, so the result is that of the full join.
 
@@ -25,11 +26,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm._graph import components
-from threadloom.llm._store import bounded_batches, written
+from threadloom.llm._store import bounded_batches, dropped, released, written
 from threadloom.llm._words import Words, mix, slices
 
 #: Counters for shingle frequencies: 4 bytes each, broadcast once (4 MB).
@@ -39,6 +40,8 @@ _CHUNK = 1 << 14
 FILTER_BITS = 1 << 23
 #: Bits of a set's bitmap, as 64-bit words; neighbours that the second round looks at.
 SIGNATURE, AROUND, PASSED = 512, 16, 2
+#: Pairs that the first and the second round check for each set.
+FIRST, NEXT = 1, 2
 _WORDS = [f"s{i}" for i in range(SIGNATURE // 64)]
 _U = np.uint64
 _SHIFT = _U(64 - 20)
@@ -162,10 +165,21 @@ def _runs(batches):
         held = ([c[-1] for c in cols], [c[-1] for c in first], emitted_last)
 
 
+def _differ(a: str, b: str):
+    """Bits in which bitmaps a.s0.. and b.s0.. differ."""
+    return sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _WORDS), F.lit(0))
+
+
 def _alike(a: str, b: str):
-    """Whether bitmaps a.s0.. and b.s0.. leave it open that the sets link."""
-    differ = sum((F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in _WORDS), F.lit(0))
-    return differ * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n")
+    """Whether the bitmaps leave it open that the sets link."""
+    return _differ(a, b) * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n")
+
+
+def _likeliest(pairs: DataFrame, bitmaps: DataFrame, most: int) -> DataFrame:
+    """Of the pairs (a, b) that may link, those of the fewest different bits for each b."""
+    both = pairs.join(bitmaps.alias("x"), F.col("a") == F.col("x.node")).join(bitmaps.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y"))
+    rank = F.row_number().over(Window.partitionBy("b").orderBy("differ", "a"))
+    return both.select("a", "b", _differ("x", "y").alias("differ")).withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b")
 
 
 def _can_meet():
@@ -221,8 +235,8 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose whole sets link. A fixed-size filter of the ids keeps the scan from shuffling other documents' sets."""
+def checked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose whole sets link, written. A fixed-size filter of the ids keeps the scan from shuffling other documents' sets."""
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     at = F.pmod("node", F.lit(_PRIME)) + 1  # these bitmaps count from one
@@ -231,11 +245,15 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         bits[(part.k - 1) * 4096 : part.k * 4096] = np.frombuffer(part.bits, np.uint8)
     sets = docs.select("doc_id", "text").mapInArrow(_sets(spark.sparkContext.broadcast(bits)), "node long, shingles binary")
     sets = written(sets, "sets")
-    return (
+    found = (
         pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
         .select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long").distinct()
     )
+    found = written(found, name)
+    dropped(sets)
+    released(spark)
+    return found
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
@@ -259,7 +277,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     heads = full.select("doc_id", "n", "cid", "prefix").join(members.where("node = gid").select(F.col("node").alias("doc_id"), "n", "cid"), ["doc_id", "n", "cid"], "left_semi")
     postings = heads.select("doc_id", "n", "prefix").mapInArrow(_postings, "token long, gid long, n int, pos int")
+    released(spark)
     shared = written(postings.repartition("token").sortWithinPartitions("token", "n", "gid").mapInArrow(_runs, _SHARED), "postings")
+    released(spark)
 
     bitmaps = members.select("node", "n", *_WORDS)
 
@@ -267,24 +287,35 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         return shared.where(F.col(f"{side}_gid").isNotNull() & (F.col(f"{side}_gid") != F.col("gid"))).select(F.least("gid", f"{side}_gid").alias("a"), F.greatest("gid", f"{side}_gid").alias("b"))
 
     near = pairs("first").unionByName(pairs("prev")).unionByName(members.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))).distinct()
-    near = near.join(bitmaps.alias("x"), F.col("a") == F.col("x.node")).join(bitmaps.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y")).select("a", "b")
-    links = written(verified(written(near, "near"), docs), "links")
+    near = written(_likeliest(near, bitmaps, FIRST), "near")
+    links = checked(near, docs, "links")
 
     def apart(links):
         """Postings of the tokens that what these links connect does not hold together, a row for each class."""
-        known = members.join(components(links), "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"), *_WORDS)
+        joined = written(components(links), "so-far")
+        known = members.join(joined, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
         rows = shared.select("token", "gid", "n", "pos").join(known, "gid")
         mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
-        return written(rows.join(mixed, "token", "left_semi").select("token", "node", "component", "n", *_WORDS, "pos"), "apart")
+        left = rows.join(mixed, "token", "left_semi").select("token", "node", "component", "n", "pos")
+        out = written(left.join(bitmaps.drop("n"), "node").select("token", "node", "component", "n", *_WORDS, "pos"), "apart")
+        dropped(joined)
+        released(spark)
+        return out
 
-    by_hash = apart(links).repartition("token").withColumn("order", F.xxhash64("node", "token")).sortWithinPartitions("token", "order")
-    near = by_hash.select("token", "node", "component", "n", *_WORDS).mapInArrow(_neighbours, "a long, b long").distinct()
-    links = written(links.unionByName(verified(written(near, "nearer"), docs)).distinct(), "more-links")
+    left = apart(links)
+    by_hash = left.repartition("token").withColumn("order", F.xxhash64("node", "token")).sortWithinPartitions("token", "order")
+    nearer = by_hash.select("token", "node", "component", "n", *_WORDS).mapInArrow(_neighbours, "a long, b long").distinct()
+    nearer = written(_likeliest(nearer, bitmaps, NEXT).join(near, ["a", "b"], "left_anti"), "nearer")
+    dropped(left)
+    links = links.unionByName(checked(nearer, docs, "more-links"))
 
     left = apart(links)
     rest = left.alias("a").join(left.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _can_meet() & _alike("a", "b"))
-    rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(links, ["a", "b"], "left_anti")
-    full_links = links.unionByName(verified(written(rest, "rest"), docs))
+    rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(near.unionByName(nearer), ["a", "b"], "left_anti")
+    rest = written(rest, "rest")
+    for table in (left, shared):
+        dropped(table)
+    full_links = links.unionByName(checked(rest, docs, "last-links"))
     # rows that repeat a doc_id with another text tie their classes together
     ties = full.join(members, ["n", "cid"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     ties = ties.join(members.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
