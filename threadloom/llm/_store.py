@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files that written tables have made needless: it does so when the driver collects garbage, else after half an hour."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -206,52 +206,48 @@ def _neighbours(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
-def _sets(bits):
-    def sets(batches):
-        wanted = bits.value
+def _wanted(bits):
+    def wanted(batches):
         for batch in batches:
             ids = batch.column(0).fill_null(-1).to_numpy()
-            keep = np.flatnonzero(np.unpackbits(wanted, bitorder="little")[ids % _PRIME].astype(bool))
-            if not len(keep):
-                continue
-            some = batch.take(pa.array(keep))
-            for start, stop in slices(some.column(1)):
-                sets = [s.tobytes() for s in Words(some.column(1).slice(start, stop - start)).shingle_sets()]
-                yield pa.RecordBatch.from_arrays([some.column(0).slice(start, stop - start), pa.array(sets, pa.binary())], names=["node", "shingles"])
+            keep = np.flatnonzero(np.unpackbits(bits.value, bitorder="little")[ids % _PRIME].astype(bool))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays(batch.take(pa.array(keep)).columns, names=["node", "text"])
 
-    return sets
+    return wanted
 
 
 _PRIME = 8388593  # the largest below FILTER_BITS
 
 
 def _linked(batches):
+    """From rows (a, b, text of a, text of b): the pairs whose sets link."""
     for batch in batches:
         keep = []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both > 0 and 180 * both >= 80 * (len(x) + len(y)))
+        for start, stop in slices(batch.column(2)):
+            left, right = (Words(batch.column(i).slice(start, stop - start)).shingle_sets() for i in (2, 3))
+            for x, y in zip(left, right):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both > 0 and 180 * both >= 80 * (len(x) + len(y)))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def checked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose whole sets link, written. A fixed-size filter of the ids keeps the scan from shuffling other documents' sets."""
+    """The pairs (a, b) of ``pairs`` whose whole sets link, written. A fixed-size filter of the ids keeps the scan from shuffling other documents' texts; texts are shuffled, as they are smaller than sets."""
     spark = docs.sparkSession
     ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     at = F.pmod("node", F.lit(_PRIME)) + 1  # these bitmaps count from one
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for part in ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
         bits[(part.k - 1) * 4096 : part.k * 4096] = np.frombuffer(part.bits, np.uint8)
-    sets = docs.select("doc_id", "text").mapInArrow(_sets(spark.sparkContext.broadcast(bits)), "node long, shingles binary")
-    sets = written(sets, "sets")
+    texts = written(docs.select("doc_id", "text").mapInArrow(_wanted(spark.sparkContext.broadcast(bits)), "node long, text string"), "texts")
     found = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
-        .select("a", "b", "sa", "sb").mapInArrow(_linked, "a long, b long").distinct()
+        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        .select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long").distinct()
     )
     found = written(found, name)
-    dropped(sets)
+    dropped(texts)
     released(spark)
     return found
 
