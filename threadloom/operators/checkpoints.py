@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.functions import tokens as tk
+from threadloom.functions.rows import once
 from threadloom.operators.analysis import goals
 
 MAX_TOOL, MAX_TOTAL, MAX_SUMMARY, MAX_ARGUMENTS = 400, 120_000, 4000, 200
@@ -123,8 +124,8 @@ def checkpoint_errors(json: Column) -> Column:
 
 def validated(replies: DataFrame, reply: str = "reply") -> DataFrame:
     """``replies`` with json (extracted text), errors and ok; what is not ok goes to quarantine by a filter."""
-    rows = replies.withColumn("json", extracted_json(F.col(reply)))
-    rows = rows.withColumn("errors", checkpoint_errors(F.coalesce("json", F.lit("null"))))
+    rows = once(replies, "json", extracted_json(F.col(reply)))
+    rows = once(rows, "errors", checkpoint_errors(F.coalesce("json", F.lit("null"))))
     return rows.withColumn("ok", F.size("errors") == 0)
 
 
@@ -138,7 +139,7 @@ def constraints(checkpoints: DataFrame, pins: DataFrame) -> DataFrame:
 
 def handoff_prompts(checkpoints: DataFrame, pins: DataFrame) -> DataFrame:
     """(session_id, prompt): a document from which another session can go on."""
-    rows = constraints(checkpoints, pins).join(checkpoints.select("session_id", F.try_parse_json("json").alias("d")), "session_id", "left")
+    rows = once(constraints(checkpoints, pins).join(checkpoints.select("session_id", "json"), "session_id", "left"), "d", F.try_parse_json("json"))
     text = lambda p: F.try_variant_get("d", f"$.{p}", "string")
     many = lambda p, t="array<string>": F.coalesce(F.try_variant_get("d", f"$.{p}", t), F.array().cast(t))
     bullets = lambda items: F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")

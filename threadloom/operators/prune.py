@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.functions import tokens as tk
+from threadloom.functions.rows import once
 from threadloom.schema import BLOCKS, ENGINE_ID
 
 # Lines and characters that a fold keeps.
@@ -63,22 +64,17 @@ def fold_text(text: Column, lines: Column, max_chars: Column) -> Column:
     return F.when(n <= TEXT_HEAD + TEXT_TAIL + 3, text).otherwise(F.substring(folded, F.lit(1), max_chars * 2))
 
 
-def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """``df`` with a column that is computed once a row: the optimizer would copy its expression to every place that reads it."""
-    return df.select("*", F.explode(F.array(value)).alias(name))
-
-
 def actions(items: DataFrame, stub_min: int | Column = 50, max_chars: int | Column = 2200) -> DataFrame:
     """``items`` with kind (keep, stub, fold), replacement and new_tokens; a replacement that would not be smaller is a keep."""
     limit = F.lit(max_chars) if isinstance(max_chars, int) else max_chars
     rows = items.withColumn("kind", plan(stub_min))
-    rows = _once(rows, "lines", F.when(F.col("kind") == "fold", F.split("item_text", "\n")))
+    rows = once(rows, "lines", F.when(F.col("kind") == "fold", F.split("item_text", "\n")))
     run = (F.col("kind") == "fold") & (F.col("source") == "bash")
-    rows = _once(rows, "folded", F.when(run, fold_output(F.col("command_text"), F.col("item_text"), F.col("lines"), limit)))
+    rows = once(rows, "folded", F.when(run, fold_output(F.col("command_text"), F.col("item_text"), F.col("lines"), limit)))
     shorter = F.when(run, F.when(F.size("lines") <= HEAD + TAIL + 4, F.col("folded")).otherwise(_cut(F.col("folded"), limit))).otherwise(fold_text(F.col("item_text"), F.col("lines"), limit))
     stub = stub_text(F.col("source"), F.col("estimated_tokens"), F.col("reason"))
-    rows = _once(rows.drop("replacement"), "replacement", F.when(F.col("kind") == "stub", stub).when(F.col("kind") == "fold", shorter)).drop("lines", "folded")
-    rows = _once(rows, "cost", tk.text_tokens(F.col("replacement")) + REPLACEMENT_COST)
+    rows = once(rows.drop("replacement"), "replacement", F.when(F.col("kind") == "stub", stub).when(F.col("kind") == "fold", shorter)).drop("lines", "folded")
+    rows = once(rows, "cost", tk.text_tokens(F.col("replacement")) + REPLACEMENT_COST)
     worth = F.coalesce((F.col("kind") != "keep") & (F.col("cost") < F.col("estimated_tokens")), F.lit(False))
     new = {"kind": F.when(worth, F.col("kind")).otherwise("keep"), "replacement": F.when(worth, F.col("replacement")), "new_tokens": F.when(worth, F.col("cost")).otherwise(F.col("estimated_tokens"))}
     return rows.withColumns(new).drop("cost")
@@ -95,7 +91,7 @@ def rewritten(acted: DataFrame, at: str) -> DataFrame:
     rows = acted.withColumn("details_json", F.when(done, details).otherwise(F.col("details_json")))
     rows = rows.withColumn("output", F.when(done & run, F.col("replacement")).otherwise(F.col("output")))
     rows = rows.withColumn("content_text", F.when(done & ~run, F.lit(None).cast("string")).otherwise(F.col("content_text")))
-    rows = rows.withColumn("blocks", F.when(done & ~run, block).otherwise(F.col("blocks")))
+    rows = once(rows.withColumnRenamed("blocks", "before"), "blocks", F.when(done & ~run, block).otherwise(F.col("before"))).drop("before")
     return as_messages(rows)
 
 
