@@ -83,3 +83,17 @@ def test_long_text_is_whole():
     text = " ".join(f"t{i}" for i in range(300_000))
     (found,) = Words(pa.array([text])).shingle_sets()
     assert len(found) == 299_996
+
+
+def test_members_of_one_group_link_without_its_head(spark, monkeypatch):
+    """Trios of one size, most with one prefix: the first links with neither other, those link; counters that all collide."""
+    monkeypatch.setattr(jaccard_join, "shingle_counts", lambda docs: np.zeros(jaccard_join.COUNTERS, np.uint32))
+    rows = []
+    for trio in range(30):
+        words = [f"t{trio}w{i}" for i in range(13)]
+        rows += [" ".join(words[:11] + ["p", "q"]), " ".join(words), " ".join(words[:12] + ["r"])]
+    rows = list(enumerate(rows))
+    want = brute(rows)
+    assert [c for _, _, c in want] == [x for t in range(30) for x in (3 * t, 3 * t + 1, 3 * t + 1)]
+    got = sorted(map(tuple, jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == want

@@ -4,7 +4,8 @@ Two documents link when 100 * |A & B| >= 80 * |A | B| for their sets of
 distinct five-word shingles. A set ordered by (approximate document count,
 hash) shares an element of its first n - ceil(0.8 n) + 1 with every set it
 links to, so only those prefixes are shuffled. Documents of equal size and
-prefix form one group; groups, not documents, meet in the postings.
+prefix form one group; groups, not documents, meet in the postings, and the
+members of a group in one posting of its own.
 
 All pairs of a large group of near copies are never made. A first round takes
 each posting's neighbour and its smallest member, a second one neighbours in
@@ -278,6 +279,8 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     released(spark)
 
     bitmaps = members.select("node", "n", *_WORDS)
+    # members of one group share its whole prefix, whether or not another group posts a token of it: they meet under a token of their own
+    within = members.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select(F.xxhash64("gid", "n").alias("token"), "gid", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
 
     def pairs(side):
         return shared.where(F.col(f"{side}_gid").isNotNull() & (F.col(f"{side}_gid") != F.col("gid"))).select(F.least("gid", f"{side}_gid").alias("a"), F.greatest("gid", f"{side}_gid").alias("b"))
@@ -290,7 +293,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         """Postings of the tokens that what these links connect does not hold together, a row for each class."""
         joined = written(components(links), "so-far")
         known = members.join(joined, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
-        rows = shared.select("token", "gid", "n", "pos").join(known, "gid")
+        rows = shared.select("token", "gid", "n", "pos").unionByName(within).join(known, "gid")
         mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         left = rows.join(mixed, "token", "left_semi").select("token", "node", "component", "n", "pos")
         out = written(left.join(bitmaps.drop("n"), "node").select("token", "node", "component", "n", *_WORDS, "pos"), "apart")
