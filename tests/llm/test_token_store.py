@@ -70,3 +70,13 @@ def test_round_trip(spark, tmp_path):
 
 def test_no_documents(spark):
     assert ts.stored_digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_ids_are_those_of_the_plain_library():
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(PATH)
+    found = ["foo_.", "see _this_. and foo_, bar__!! x_ .", "a <|endoftext|> b", "<|endoftext|>", *texts()]
+    got = [np.frombuffer(b, ts.WIDTH).tolist() for b in ts.encoded(found, PATH, added_tokens=True)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in found]
+    assert got[0] == [21943, 44807] and 50256 in got[2] and got[3] == [50256]

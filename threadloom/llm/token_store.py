@@ -38,7 +38,7 @@ CACHED_WORDS = 700_000
 _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 _BREAK = re.compile(r"(?<=\S)(?= \S)")
 _SPACES = re.compile(r"\s\s|^\s|\s$")
-_TAIL = re.compile(r"(?<=\w)[.,!?;:#$%&*]+\Z")
+_TAIL = re.compile(r"(?<=[^\W_])[.,!?;:#$%&*]+\Z")
 _LETTERS = re.compile(r" ?[^\W\d_]+\Z")
 _encoders: dict[str, tuple] = {}
 
@@ -59,7 +59,7 @@ def _by_model(model, piece: str) -> bytes:
 
 
 def _encoder(path: str) -> tuple:
-    """The tokenizer and its word cache, once per Python worker."""
+    """The tokenizer, its model if it may be called directly, its word cache and its added tokens, once per Python worker."""
     if path not in _encoders:
         from tokenizers import Tokenizer
 
@@ -69,7 +69,7 @@ def _encoder(path: str) -> tuple:
         probe = ["the", " Ünicode", " 日本語", " abcdefghij"]
         model = tokenizer.model
         direct = all(np.array(e.ids, WIDTH).tobytes() == _by_model(model, p) for p, e in zip(probe, tokenizer.encode_batch(probe, add_special_tokens=False)))
-        _encoders[path] = tokenizer, model if direct else None, {}
+        _encoders[path] = tokenizer, model if direct else None, {}, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     return _encoders[path]
 
 
@@ -81,10 +81,24 @@ def _pieces(text: str) -> list[str]:
     return [first, *[" " + x for x in rest]]
 
 
-def encoded(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text without an end id, as ``WIDTH`` bytes. Each distinct piece goes through the tokenizer once."""
-    tokenizer, model, cache = _encoder(path)
-    parts = [_pieces(t) if t else [] for t in texts]
+def _with_added(tokenizer, text: str) -> bytes:
+    """Ids of a text as the tokenizer's file has it, added tokens as themselves."""
+    tokenizer.encode_special_tokens = False
+    try:
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, WIDTH).tobytes()
+    finally:
+        tokenizer.encode_special_tokens = True
+
+
+def encoded(texts: list[str], path: str, added_tokens: bool = False) -> list[bytes]:
+    """Ids of each text without an end id, as ``WIDTH`` bytes. Each distinct piece goes through the tokenizer once.
+
+    ``added_tokens``: those of the tokenizer's file that stand in a text are
+    tokens, as the library's plain call has them; otherwise they are text.
+    """
+    tokenizer, model, cache, added = _encoder(path)
+    whole = {i for i, t in enumerate(texts) if t and any(a in t for a in added)} if added_tokens else ()
+    parts = [_pieces(t) if t and i not in whole else [] for i, t in enumerate(texts)]
     missing = set().union(*parts) - cache.keys()
     known, tails = cache, {}
     if missing:
@@ -103,7 +117,7 @@ def encoded(texts: list[str], path: str) -> list[bytes]:
             cache.update(fresh)
         else:
             known = _Both(fresh, cache)
-    return [b"".join(map(known.__getitem__, p)) for p in parts]
+    return [_with_added(tokenizer, texts[i]) if i in whole else b"".join(map(known.__getitem__, p)) for i, p in enumerate(parts)]
 
 
 class _Both(dict):
@@ -154,7 +168,7 @@ _STORE = "kind string, key binary, n int, payload binary, doc_id long, keys arra
 _FIELDS = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("n", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("keys", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32()))])
 
 
-def _chunker(path: str, end_id: int):
+def _chunker(path: str, end_id: int, added_tokens: bool):
     end = np.array([end_id], WIDTH).tobytes()
 
     def chunks(batches):
@@ -164,7 +178,7 @@ def _chunker(path: str, end_id: int):
                 ids = batch.column(0).slice(start, stop - start).to_pylist()
                 texts = batch.column(1).slice(start, stop - start).to_pylist()
                 rows = []
-                for doc_id, data in zip(ids, encoded(texts, path)):
+                for doc_id, data in zip(ids, encoded(texts, path, added_tokens)):
                     data += end
                     last, keys, sizes = 0, [], []
                     for stop_id in cuts(np.frombuffer(data, WIDTH)):
@@ -207,7 +221,7 @@ def _placed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts), pa.array(n), batch.column(3), batch.column(4), batch.column(5)], schema=_RECIPE)
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, added_tokens: bool = False) -> None:
     """Write ``docs`` (doc_id, text, ...) below ``path``.
 
     Null or empty text is the end id alone. Null doc_ids come first, rows that
@@ -217,7 +231,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     spark = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.mapInArrow(_chunker(tokenizer, end_id), _STORE)
+    rows = rows.mapInArrow(_chunker(tokenizer, end_id, added_tokens), _STORE)
     rows.repartition("key").mapInArrow(_once, _STORE).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/store")
     stored = _stored(spark, path).where("kind = 'recipe'").select("doc_id", "n", "keys", "sizes", F.col("key").alias("root"))
     placed = stored.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root").select(F.spark_partition_id().alias("part"), "doc_id", "n", "keys", "sizes", "root")
@@ -320,7 +334,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored_digests(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """``docs`` written to a store in the shared folder, and read back as ``read_digests`` does."""
+    """``docs`` written to a store in the shared folder, ids those of the library's plain call, and read back as ``read_digests`` does."""
     path = shared_path(docs.sparkSession, "tokens")
-    write_store(docs, path, tokenizer, end_id)
+    write_store(docs, path, tokenizer, end_id, added_tokens=True)
     return read_digests(docs.sparkSession, path)
