@@ -64,3 +64,27 @@ def test_documents_are_dropped_whole(spark):
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {d for d, _ in docs} - bad
     none = spark.createDataFrame([], "item_id long, text string")
     assert dc.decontaminated(df, none).count() == len(docs) and dc.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_long_items_near_the_limit_are_found():
+    """Mixed edits up to the limit in items of several lengths: every copy is found."""
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    for n, copies in ((300, 60), (1200, 20), (4000, 5)):
+        item = word(n)
+        items, texts = dc.Items([(1, item)]), []
+        for _ in range(copies):
+            passage = list(item)
+            for at in rng.sample(range(n), dc.edits_allowed(n)):
+                passage[at] = rng.choice(["", "0", passage[at] + "1"])
+            texts.append(word(200) + "".join(passage) + word(200))
+        assert {m[0] for m in items.matches(pa.array(texts))} == set(range(copies))
+
+
+def test_rows_are_dropped_by_their_own_text(spark):
+    item = "a benchmark passage that no clean row holds"
+    docs = spark.createDataFrame([(None, f"see {item} here"), (1, f"{item}."), (1, "clean"), (None, "clean too"), (2, None)], "doc_id long, text string")
+    left = dc.decontaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted(map(tuple, left), key=str) == sorted([(1, "clean"), (None, "clean too"), (2, None)], key=str)

@@ -7,12 +7,8 @@ floor(RATE * bytes) edits of it, both in lower case, counted in UTF-8 bytes.
    passage at most one piece is lost per edit, and the others stand within
    that many places of one diagonal; item-sized windows are opened only where
    so many pieces do. This loses none.
-2. CGK random walks embed windows and items, so that few edits become few
-   mismatches; samples of SAMPLED positions of the embeddings are compared in
-   as many tables as reach the target recall at the mismatch rate that RATE
-   edits give, in WALKS independent walks.
-3. Windows that meet their item in some table are verified by an exact
-   bit-parallel edit distance over the whole window.
+2. Every such window is verified by an exact bit-parallel edit distance over
+   the whole window, so nothing is lost at any item length.
 
 Documents never meet each other, so no key can be hot. Benchmark items are
 broadcast in blocks of at most BLOCK_BYTES of text.
@@ -34,7 +30,6 @@ from threadloom.llm._words import raw, slices
 RATE, SEED = 0.1, 8
 #: Shortest item searched for: any shorter one has no seed of its own.
 MIN_BYTES = SEED
-RECALL, MISMATCH, SAMPLED, WALKS = 0.998, 0.5, 4, 4
 BLOCK_BYTES = 8 << 20
 #: Bytes of text searched at once.
 SLICE = 4 << 20
@@ -49,11 +44,6 @@ def edits_allowed(n: int, rate: float = RATE) -> int:
     return max(0, min(int(rate * n), (n // SEED) * 8 // 9 - 1))
 
 
-def tables_needed() -> int:
-    """Tables in which a window at the mismatch rate meets its item with probability RECALL at least."""
-    return math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - MISMATCH) ** SAMPLED))
-
-
 def _windows(buf: np.ndarray) -> np.ndarray:
     """The SEED bytes from each position on, as one number."""
     w = buf.astype(_U)
@@ -93,7 +83,7 @@ def search(item: bytes, text: bytes, most: int) -> tuple[int, int]:
 
 
 class Items:
-    """Seeds and embeddings of one block of benchmark items."""
+    """Seeds of one block of benchmark items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.texts = [], []
@@ -113,39 +103,7 @@ class Items:
         self.item, self.offset = (np.array([s[k] for s in seeds], np.int64) for k in (1, 2))
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.seed * _FACTOR) >> _U(64 - _BITS)] = True
-        rng = np.random.default_rng(11)
         self.longest = max(map(len, self.texts), default=0)
-        self.walk = rng.integers(0, 2, (WALKS, 3 * self.longest + 1, 256), dtype=np.uint8)
-        per = math.ceil(tables_needed() / WALKS)
-        self.samples = {n: np.random.default_rng(n).integers(0, 2 * n, (WALKS, per, SAMPLED)) for n in {len(t) for t in self.texts}}
-        self.codes = []
-        for t in self.texts:
-            row = np.zeros((1, self.longest), np.uint8)
-            row[0, : len(t)] = np.frombuffer(t, np.uint8)
-            walked = self.embed(row)
-            self.codes.append([walked[w][self.samples[len(t)][w]] for w in range(WALKS)])
-
-    def embed(self, rows: np.ndarray) -> list[np.ndarray]:
-        """CGK walks over ``rows`` (windows, zeros behind them): for each walk [step, row]."""
-        count, width = rows.shape
-        flat = np.concatenate([rows, np.zeros((count, 1), np.uint8)], axis=1).ravel()
-        base, out = np.arange(count) * (width + 1), []
-        for walk in range(WALKS):
-            at = np.zeros(count, np.int64)
-            steps = np.empty((2 * width, count), np.uint8)
-            for j in range(2 * width):
-                steps[j] = c = flat[base + np.minimum(at, width)]
-                at += self.walk[walk, j][c]
-            out.append(steps)
-        return out
-
-    def meets(self, item: int, walked: list[np.ndarray], rows: np.ndarray) -> np.ndarray:
-        """Which of the embedded windows ``rows`` share a table's sample with the item."""
-        found = np.zeros(len(rows), bool)
-        for walk, steps in enumerate(walked):
-            sampled = steps[self.samples[len(self.texts[item])][walk]][:, :, rows]
-            found |= (sampled == self.codes[item][walk]).all(axis=1).any(axis=0)
-        return found
 
     def candidates(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
         """(text, item, window start) where enough pieces of the item stand near one diagonal."""
@@ -177,20 +135,12 @@ class Items:
         out: dict[tuple[int, int], tuple[int, int]] = {}
         if not len(found):
             return []
-        for part in range(0, len(found), 4096):
-            rows = found[part : part + 4096]
-            size = np.array([len(self.texts[i]) for i in rows[:, 1]])
-            where = np.maximum(rows[:, 2], at[rows[:, 0]])[:, None] + np.arange(self.longest)
-            inside = (where < at[rows[:, 0] + 1][:, None]) & (np.arange(self.longest) < size[:, None])
-            walked = self.embed(np.where(inside, buf[np.minimum(where, len(buf) - 1)], 0).astype(np.uint8))
-            for i in np.unique(rows[:, 1]).tolist():
-                mine = np.flatnonzero(rows[:, 1] == i)
-                n, k, item = len(self.texts[i]), self.edits[i], self.texts[i]
-                for doc, _, start in rows[mine[self.meets(i, walked, mine)]].tolist():
-                    lo, hi = max(start - k, int(at[doc])), min(start + n + k, int(at[doc + 1]))
-                    edits, stop = search(item, buf[lo:hi].tobytes(), k)
-                    if edits <= k and edits < out.get((doc, i), (k + 1,))[0]:
-                        out[doc, i] = edits, len(buf[int(at[doc]) : lo + stop].tobytes().decode(errors="ignore"))
+        for doc, i, start in found.tolist():
+            n, k, item = len(self.texts[i]), self.edits[i], self.texts[i]
+            lo, hi = max(start - k, int(at[doc])), min(start + n + k, int(at[doc + 1]))
+            edits, stop = search(item, buf[lo:hi].tobytes(), k)
+            if edits <= k and edits < out.get((doc, i), (k + 1,))[0]:
+                out[doc, i] = edits, len(buf[int(at[doc]) : lo + stop].tobytes().decode(errors="ignore"))
         return [(doc, i, edits, stop) for (doc, i), (edits, stop) in out.items()]
 
 
@@ -219,21 +169,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     out = None
-    for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Items([(r.item_id, r.text) for r in mine]))
+    for shared in _blocks(benchmark):
         found = rows.mapInArrow(_search(shared), "doc_id long, item_id long, edits long, passage_end long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _blocks(benchmark: DataFrame):
+    """The items of ``benchmark``, broadcast in blocks of at most about BLOCK_BYTES of text; one block without any."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / BLOCK_BYTES))
+    for block in range(blocks):
+        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Items([(r.item_id, r.text) for r in mine]))
+
+
+def _clean(shared, column: int):
+    def rows(batches):
+        items: Items = shared.value
+        for batch in batches:
+            texts = pc.fill_null(batch.column(column).cast(pa.string()), "")
+            keep = np.ones(len(texts), bool)
+            for start, stop in slices(texts, SLICE):
+                keep[[start + m[0] for m in items.matches(texts.slice(start, stop - start))]] = False
+            yield batch.filter(pa.array(keep))
+
+    return rows
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text holds a benchmark item; all columns, other rows as they are."""
-    spark = docs.sparkSession
-    bad = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` without the rows whose text holds a benchmark item; all columns, other rows as they are, whatever their ids."""
+    bounded_batches(docs.sparkSession)
+    column = [c.lower() for c in docs.columns].index("text")
+    out = docs
+    for shared in _blocks(benchmark):
+        out = out.mapInArrow(_clean(shared, column), docs.schema)
+    return out
