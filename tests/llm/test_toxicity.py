@@ -73,3 +73,19 @@ def test_without_rows_or_labels(spark):
 def test_slices_do_not_matter():
     lexicon = tx.Lexicon(np.zeros(0, np.uint64), np.zeros(0))
     assert not lexicon.evidence(tx._words(pa.array(["a b", None, ""]))).any()
+
+
+def test_documents_that_share_an_opening_all_count(spark):
+    """One opening for all: toxic and clean documents are told apart; equal texts count once, as toxic if any is."""
+    opening = "this shared line opens each and every document of one hot source: "
+    rows, labels = [], []
+    for i in range(200):
+        toxic = i % 2
+        rows.append((i, opening + f"word{i} " + ("zorg blarf" if toxic else "calm words")))
+        labels.append((i, toxic))
+    rows += [(900 + i, rows[1][1]) for i in range(20)]
+    labels += [(900 + i, 0) for i in range(20)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = tx.train(docs, marks)
+    score, _, _ = model.scores(pa.array(["so zorg blarf it is", "calm words it is", rows[1][1]]))
+    assert score[0] > 0.5 > score[1] and score[2] > 0.5

@@ -232,13 +232,13 @@ def _evidence_of(shared):
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fit on at most about ``sample_docs`` rows of ``labels`` (doc_id, toxic), chosen by a hash of doc_id, and their texts. Documents that begin alike count once, so copies do not make evidence."""
+    """Fit on at most about ``sample_docs`` rows of ``labels`` (doc_id, toxic), chosen by a hash of doc_id, and their texts. Equal texts count once, as toxic if any of their labels is, so copies do not make evidence."""
     spark = docs.sparkSession
     bounded_batches(spark)
     labels = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("labelled"), "toxic")
     share = min(1.0, sample_docs / max(labels.count(), 1))
     drawn = labels.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_003)) / 1_000_003 < share).groupBy("labelled").agg(F.max("toxic").alias("toxic"))
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled")).select("text", "toxic", F.substring("text", 1, 64).alias("begin")).dropDuplicates(["begin"]).select("text", "toxic").cache()
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled")).groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").cache()
     try:
         sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
         n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
