@@ -1,8 +1,11 @@
 import random
+import shutil
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from threadloom.llm import token_store as ts
 
@@ -13,9 +16,7 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 def reference(texts):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
 
 
 def texts():
@@ -27,8 +28,50 @@ def texts():
 
 
 def test_pieces_encode_as_whole_texts():
-    found = texts()
-    assert [np.frombuffer(b, ts.WIDTH).tolist() for b in ts.encoded(found, PATH)] == reference(found)
+    found = ["foo_.", "see _this_. and foo_, bar__!! x_ .", "a <|endoftext|> b", "<|endoftext|>", *texts()]
+    want = reference(found)
+    assert ts.encoded(found, PATH) == want
+    assert want[0] == [21943, 44807] and 50256 in want[2] and want[3] == [50256]
+
+
+def test_every_pair_of_neighbours_encodes_as_in_the_library():
+    """Each character beside each other one, alone, between words and behind a space."""
+    marks = [chr(i) for i in range(128)] + list("\x85\xa0\u1680\u2003\u2028\u202f\u205f\u3000éßΩ日🙂²½٣\u0301ǅ") + ["'s", "'ll", "  ", "\n\n", " \n"]
+    found = [x + y for x in marks for y in marks]
+    found = [f"a{p}b c{p}" for p in found] + [f" {p}1 {p}x" for p in found] + found
+    assert ts.encoded(found, PATH) == reference(found)
+
+
+def test_small_tables_and_long_texts(monkeypatch):
+    """A table that forgets all the time, places that collide and sections of one long text change nothing."""
+    from threadloom.llm import _pieces
+
+    monkeypatch.setattr(_pieces, "PLACES_BITS", 5)
+    monkeypatch.setattr(_pieces, "STORED_IDS", 300)
+    monkeypatch.setattr(_pieces, "SLICE_BYTES", 1000)
+    one = _pieces.Encoder(PATH)
+    found = texts() + ["x" * 5000, " ".join(texts())]
+    for _ in range(2):
+        ids, sizes = one.encode(pa.array(found))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == reference(found)
+
+
+def test_other_tokenizers_get_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    found = ["Hello  world", "", "a <|endoftext|> b's"]
+    assert ts.encoded(found, path) == [e.ids for e in Tokenizer.from_file(path).encode_batch(found, add_special_tokens=False)]
+
+
+def test_tree_in_order():
+    """The tree built leaf by leaf is that built level by level."""
+    for n in range(20):
+        leaves = [bytes([i]) for i in range(n)]
+        level = leaves or [ts._digest(b"")]
+        while len(level) > 1:
+            level = [ts._digest(b"".join(level[i : i + 2])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+        assert ts.merkle(leaves) == level[0]
 
 
 def test_crc_of_parts():
@@ -72,11 +115,23 @@ def test_no_documents(spark):
     assert ts.stored_digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
-def test_ids_are_those_of_the_plain_library():
-    from tokenizers import Tokenizer
-
-    plain = Tokenizer.from_file(PATH)
-    found = ["foo_.", "see _this_. and foo_, bar__!! x_ .", "a <|endoftext|> b", "<|endoftext|>", *texts()]
-    got = [np.frombuffer(b, ts.WIDTH).tolist() for b in ts.encoded(found, PATH, added_tokens=True)]
-    assert got == [plain.encode(t, add_special_tokens=False).ids for t in found]
-    assert got[0] == [21943, 44807] and 50256 in got[2] and got[3] == [50256]
+def test_damage_is_found(spark, tmp_path):
+    """A changed chunk, recipe or manifest, or a lost recipe, fails the read."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j}" for j in range(400))) for i in range(20)], "doc_id long, text string")
+    path = f"file://{tmp_path}/s"
+    ts.write_store(docs, path, PATH)
+    assert ts.read_digests(spark, path).count() == 20
+
+    def damaged(part, change):
+        copy = f"{tmp_path}/{part}-{len(list(tmp_path.iterdir()))}"
+        shutil.copytree(tmp_path / "s", copy)
+        rows = spark.read.parquet(f"{tmp_path}/s/{part}")
+        change(rows).write.mode("overwrite").parquet(f"{copy}/{part}")
+        with pytest.raises(Exception, match="damaged|missing|manifest"):
+            ts.read_digests(spark, f"file://{copy}").collect()
+
+    damaged("recipes", lambda r: r.withColumn("keys", F.reverse("keys")))
+    damaged("recipes", lambda r: r.where("doc_id <> 7"))
+    damaged("manifest", lambda r: r.withColumn("root", F.encode(F.lit("x"), "utf-8")))
+    damaged("store/kind=chunk", lambda r: r.withColumn("payload", F.reverse(F.col("payload").cast("string")).cast("binary")))
+    damaged("store/kind=chunk", lambda r: r.limit(3))

@@ -18,8 +18,8 @@ SLICE_BYTES = 1 << 20
 SHINGLE = 5
 
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BASE = _U(0x9E3779B97F4A7C15)
+INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _ALPHABET = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _ALPHABET[65:91] = _ALPHABET[97:123]
 _WHITE = np.zeros(256, bool)
@@ -35,12 +35,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
+def power(kind: str, base: np.uint64, n: int) -> np.ndarray:
+    """The first ``n`` powers; a worker keeps those that a slice needs, longer texts make their own."""
     have = _powers.get(kind)
     if have is None or len(have) < n:
         full = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
         full[0] = 1
-        have = _powers[kind] = np.multiply.accumulate(full)
+        have = np.multiply.accumulate(full)
+        if n <= SLICE_BYTES + 1:
+            _powers[kind] = have
     return have[:n]
 
 
@@ -85,7 +88,7 @@ class Words:
         after[:-1] = white[1:]
         end = np.flatnonzero(~white & (after | edge[1:])) + 1
         total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_ALPHABET[buf] * _power("up", _BASE, n), out=total[1:])
+        np.cumsum(_ALPHABET[buf] * power("up", BASE, n), out=total[1:])
         self.start, self.end, self.total = start, end, total
         self.hash = self.between(start, end)
         self.doc = np.searchsorted(at, start, "right") - 1
@@ -94,7 +97,7 @@ class Words:
 
     def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hash of the bytes between, wherever they stand."""
-        return mix((self.total[end] - self.total[start]) * _power("down", _INVERSE, len(self.total))[start])
+        return mix((self.total[end] - self.total[start]) * power("down", INVERSE, len(self.total))[start])
 
     def grams(self, n: int) -> np.ndarray:
         """Hash of the ``n`` words from each word on; those that leave the text are to be ignored."""

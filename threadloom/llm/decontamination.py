@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import bounded_batches
+from threadloom.llm._store import lean
 from threadloom.llm._words import raw, slices
 
 RATE, SEED = 0.1, 8
@@ -168,11 +168,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     code points of the lower-cased text. Other columns are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     out = None
     for shared in _blocks(benchmark):
-        found = rows.mapInArrow(_search(shared), "doc_id long, item_id long, edits long, passage_end long")
+        found = rows.mapInArrow(lean(_search(shared)), "doc_id long, item_id long, edits long, passage_end long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -202,9 +201,8 @@ def _clean(shared, column: int):
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; all columns, other rows as they are, whatever their ids."""
-    bounded_batches(docs.sparkSession)
     column = [c.lower() for c in docs.columns].index("text")
     out = docs
     for shared in _blocks(benchmark):
-        out = out.mapInArrow(_clean(shared, column), docs.schema)
+        out = out.mapInArrow(lean(_clean(shared, column)), docs.schema)
     return out

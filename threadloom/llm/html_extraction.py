@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import bounded_batches, written
+from threadloom.llm._store import lean, written
 
 #: Hosts whose wrappers are broadcast at most (a few hundred bytes each); more are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
@@ -335,7 +335,7 @@ def _host(url):
 def wrappers(pages: DataFrame) -> DataFrame:
     """``pages`` (url, html, ...) -> (host, wrapper, element), from all pages of each host."""
     slim = pages.select(_host(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    partial = slim.mapInArrow(_inferred, "host string, wrapper string").distinct()
+    partial = slim.mapInArrow(lean(_inferred), "host string, wrapper string").distinct()
     return partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merged, "host string, wrapper string, element string")
 
 
@@ -354,10 +354,9 @@ def main_texts(pages: DataFrame) -> DataFrame:
     has the host ''. Rows that repeat a page_id stay apart. No rows: none.
     Other columns, whatever their names, are ignored.
     """
-    bounded_batches(pages.sparkSession)
     slim = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host(F.col("url")).alias("page_host"))
     found = written(wrappers(pages), "wrappers").select("host", "element")
     if found.count() <= BROADCAST_HOSTS:
         found = F.broadcast(found)
     joined = slim.join(found, F.col("page_host") == F.col("host"), "left").select("page_id", "url", "html", "element")
-    return joined.mapInArrow(_extracted, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    return joined.mapInArrow(lean(_extracted), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm._graph import components
-from threadloom.llm._store import bounded_batches, dropped, released, written
+from threadloom.llm._store import dropped, lean, written
 from threadloom.llm._words import Words, mix, slices
 
 #: Counters for shingle frequencies: 4 bytes each, broadcast once (4 MB).
@@ -81,7 +81,7 @@ def _summed(chunks):
 
 def shingle_counts(docs: DataFrame) -> np.ndarray:
     """Documents by counter; COUNTERS values whatever the size of ``docs``."""
-    parts = docs.select("text").mapInArrow(_chunks, "chunk int, counts binary").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").collect()
+    parts = docs.select("text").mapInArrow(lean(_chunks), "chunk int, counts binary").repartition("chunk").mapInArrow(_summed, "chunk int, counts binary").collect()
     counts = np.zeros(COUNTERS, np.uint64)
     for part in parts:
         counts[part.chunk * _CHUNK : (part.chunk + 1) * _CHUNK] += np.frombuffer(part.counts, np.uint32)
@@ -241,15 +241,14 @@ def checked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     for part in ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
         bits[(part.k - 1) * 4096 : part.k * 4096] = np.frombuffer(part.bits, np.uint8)
-    texts = written(docs.select("doc_id", "text").mapInArrow(_wanted(spark.sparkContext.broadcast(bits)), "node long, text string"), "texts")
+    texts = written(docs.select("doc_id", "text").mapInArrow(lean(_wanted(spark.sparkContext.broadcast(bits))), "node long, text string"), "texts")
     found = (
         pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        .select("a", "b", "ta", "tb").mapInArrow(_linked, "a long, b long").distinct()
+        .select("a", "b", "ta", "tb").mapInArrow(lean(_linked), "a long, b long").distinct()
     )
     found = written(found, name)
     dropped(texts)
-    released(spark)
     return found
 
 
@@ -263,10 +262,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     Other columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(docs))
-    rows = written(docs.mapInArrow(_rows(counts), "doc_id long, n long, cid long, gk long, prefix binary, " + ", ".join(f"{w} long" for w in _WORDS)), "prefixes")
+    rows = written(docs.mapInArrow(lean(_rows(counts)), "doc_id long, n long, cid long, gk long, prefix binary, " + ", ".join(f"{w} long" for w in _WORDS)), "prefixes")
     full = rows.where("doc_id is not null and n > 0")
     classes = full.groupBy("n", "cid").agg(F.min("doc_id").alias("node"), F.min("gk").alias("gk"), *(F.min(w).alias(w) for w in _WORDS))
     groups = classes.groupBy("n", "gk").agg(F.min("node").alias("gid"))
@@ -274,9 +272,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     heads = full.select("doc_id", "n", "cid", "prefix").join(members.where("node = gid").select(F.col("node").alias("doc_id"), "n", "cid"), ["doc_id", "n", "cid"], "left_semi")
     postings = heads.select("doc_id", "n", "prefix").mapInArrow(_postings, "token long, gid long, n int, pos int")
-    released(spark)
     shared = written(postings.repartition("token").sortWithinPartitions("token", "n", "gid").mapInArrow(_runs, _SHARED), "postings")
-    released(spark)
 
     bitmaps = members.select("node", "n", *_WORDS)
     # members of one group share its whole prefix, whether or not another group posts a token of it: they meet under a token of their own
@@ -298,7 +294,6 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         left = rows.join(mixed, "token", "left_semi").select("token", "node", "component", "n", "pos")
         out = written(left.join(bitmaps.drop("n"), "node").select("token", "node", "component", "n", *_WORDS, "pos"), "apart")
         dropped(joined)
-        released(spark)
         return out
 
     left = apart(links)

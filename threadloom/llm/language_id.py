@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import bounded_batches
+from threadloom.llm._store import lean
 from threadloom.llm._words import raw, slices
 
 #: Labelled documents fitted per language at most (in expectation), chosen by a hash of their id.
@@ -112,14 +112,13 @@ class Model:
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on ``labelled`` (doc_id, text, lang): at most about ``sample_docs`` rows per language, chosen by a hash of doc_id; at most PROFILE n-grams per language reach the driver."""
-    bounded_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return Model([], UNDETERMINED, {})
     share = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_docs / n))))
     drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003 < share[F.col("lang")])
-    counts = drawn.select("lang", "text").mapInArrow(_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = drawn.select("lang", "text").mapInArrow(lean(_counts), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counts.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total"))
     best = rated.withColumn("best", F.max("rate").over(Window.partitionBy("gram"))).where((F.col("n") >= MIN_COUNT) & (F.col("rate") >= RATIO * F.col("best")))
@@ -159,7 +158,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predictions(shared), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, n_grams long")
+    return rows.mapInArrow(lean(_predictions(shared)), f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, n_grams long")
 
 
 def fold(doc_id="doc_id", n: int = 4):
@@ -171,5 +170,5 @@ def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, n_grams) for each row of ``docs`` (doc_id, text, lang, ...), learned from rows whose fold is not 2. A null doc_id is not held out and not learned from."""
     model = train(docs.where(fold() != 2))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_predictions(shared), "row long, lang_pred string, score double, n_grams long")
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lean(_predictions(shared)), "row long, lang_pred string, score double, n_grams long")
     return out.select(F.col("row").alias("doc_id"), "lang_pred", "score", "n_grams").withColumn("held_out", F.coalesce(fold() == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "n_grams")

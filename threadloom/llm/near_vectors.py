@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm._graph import components
-from threadloom.llm._store import bounded_batches, written
+from threadloom.llm._store import lean, written
 
 THRESHOLD, MISS, EPSILON, BLOCK = 0.98, 1e-9, 6.0, 256
 _rotations: dict[tuple[int, int], np.ndarray] = {}
@@ -161,7 +161,6 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     link. Rows that repeat a vec_id count as rows of their own but share the
     id's component. No rows: none. Other columns are ignored.
     """
-    bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
     finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     valid = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
@@ -169,7 +168,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     classes = written(rows.where("valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m")), "classes")
     bits = min(30, max(8, math.ceil(math.log2(max(classes.count(), 2)))))
     tables = tables_needed(bits, threshold)
-    coded = written(classes.select("node", "label", "embedding", "m").mapInArrow(_coder(bits, tables), "node long, label long, dim int, m long, vec binary, code binary, factor double, buckets array<int>"), "codes")
+    coded = written(classes.select("node", "label", "embedding", "m").mapInArrow(lean(_coder(bits, tables)), "node long, label long, dim int, m long, vec binary, code binary, factor double, buckets array<int>"), "codes")
 
     keys = ["label", "dim", "table", "bucket"]
     spots = coded.select("node", "label", "dim", F.posexplode("buckets").alias("table", "bucket"))
@@ -180,7 +179,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spots = spots.select("node", *keys, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), half.alias("half"))
     tiles = spots.join(coded.select("node", "m", "vec", "code", "factor", "buckets"), "node").select(*_COLUMNS)
     order = ["label", "dim", "table", "bucket", "i", "j"]
-    found = written(tiles.repartition(*order).sortWithinPartitions(*order).mapInArrow(_tiles(threshold), "node long, links long, root long"), "links")
+    found = written(tiles.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(_tiles(threshold)), "node long, links long, root long"), "links")
 
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import bounded_batches, written
+from threadloom.llm._store import lean, written
 
 KINDS = ("assign", "access", "hex", "entropy")
 #: A value under more owners than this is an example that was copied.
@@ -78,9 +78,8 @@ def _scan(batches):
 
 def scanned(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
     """(row, doc_id, owner, repository, spans) with all candidates, written once; ``row`` tells rows that repeat an id apart."""
-    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(owner).cast("string").alias("owner"), F.col("text").cast("string").alias("text"), F.col(repository).cast("string").alias("repository"))
-    return written(slim.mapInArrow(_scan, f"doc_id long, owner string, repository string, spans {_SPAN}").withColumn("row", F.monotonically_increasing_id()), "spans")
+    return written(slim.mapInArrow(lean(_scan), f"doc_id long, owner string, repository string, spans {_SPAN}").withColumn("row", F.monotonically_increasing_id()), "spans")
 
 
 def ownership(found: DataFrame) -> DataFrame:

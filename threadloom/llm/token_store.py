@@ -3,7 +3,9 @@
 A rolling hash over the ids of a document cuts them into chunks, so equal
 passages give equal chunks wherever they stand. Each distinct chunk is stored
 once under its BLAKE2 hash; a document is a recipe of chunk hashes with their
-Merkle root, and a manifest holds the root of each part of the recipes.
+Merkle root, and a manifest holds, for each part of the recipes, the Merkle
+root over their roots. Reading verifies all three: chunks against their hashes,
+recipes against their roots, the recipes of a part against the manifest.
 
     store/kind=chunk    key, n, payload (little-endian ids of ``WIDTH`` bytes)
     recipes/            part, doc_id, local_start, n_tokens, keys, sizes, root; in ascending doc_id order
@@ -17,7 +19,6 @@ of all documents hold arrives once per task.
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 
 import numpy as np
@@ -25,119 +26,39 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import bounded_batches, shared_path
+from threadloom.llm._pieces import encoder
+from threadloom.llm._store import lean, saved, shared_path
 from threadloom.llm._words import slices
 
 END_ID = 2
 WIDTH = "<u2"
 #: Chunks hold 16 to 4096 ids, 16 + 2**CUT_BITS on average.
 MIN_IDS, MAX_IDS, CUT_BITS = 16, 4096, 9
-#: Words whose ids a Python worker keeps between batches (about 200 bytes each).
-CACHED_WORDS = 700_000
+#: Bytes of text whose ids one pass holds; longer texts go alone.
+SLICE = 2 << 20
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
-_BREAK = re.compile(r"(?<=\S)(?= \S)")
-_SPACES = re.compile(r"\s\s|^\s|\s$")
-_TAIL = re.compile(r"(?<=[^\W_])[.,!?;:#$%&*]+\Z")
-_LETTERS = re.compile(r" ?[^\W\d_]+\Z")
-_encoders: dict[str, tuple] = {}
 
 
-def _byte_letters() -> dict[int, str]:
-    """The characters for which byte-level vocabularies write each byte: printable Latin-1 as it is, the others from 256 on."""
-    printable = {b for b in range(256) if 33 <= b <= 126 or b >= 161 and b != 173}
-    others = iter(range(256, 512))
-    return {b: chr(b) if b in printable else chr(next(others)) for b in range(256)}
+def encoded(texts: list[str], path: str, added_tokens: bool = True) -> list[list[int]]:
+    """Ids of each text without an end id."""
+    ids, sizes = encoder(path).encode(pa.array(texts, pa.string()), added_tokens)
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] if len(texts) else []
 
 
-_BYTE_LETTERS = _byte_letters()
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Where a chunk may end: after ids whose window of 16 has a rolling hash with CUT_BITS leading zeros."""
+    rolled = _GEAR[ids]
+    for k in (1, 2, 4, 8):  # sums over 2, 4, 8, 16 ids
+        longer = rolled.copy()
+        longer[k:] += rolled[:-k] << np.uint64(k)
+        rolled = longer
+    return np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + 1
 
 
-def _by_model(model, piece: str) -> bytes:
-    """Ids of one run of letters, which a byte-level tokenizer hands to its model as a whole."""
-    return np.array([t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_LETTERS))], WIDTH).tobytes()
-
-
-def _encoder(path: str) -> tuple:
-    """The tokenizer, its model if it may be called directly, its word cache and its added tokens, once per Python worker."""
-    if path not in _encoders:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        assert tokenizer.get_vocab_size() <= 1 << 16, "ids are stored in two bytes"
-        probe = ["the", " Ünicode", " 日本語", " abcdefghij"]
-        model = tokenizer.model
-        direct = all(np.array(e.ids, WIDTH).tobytes() == _by_model(model, p) for p, e in zip(probe, tokenizer.encode_batch(probe, add_special_tokens=False)))
-        _encoders[path] = tokenizer, model if direct else None, {}, [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    return _encoders[path]
-
-
-def _pieces(text: str) -> list[str]:
-    """Parts of ``text``, cut before single spaces between other characters: no token of a byte-level vocabulary crosses those."""
-    if _SPACES.search(text):
-        return _BREAK.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
-
-
-def _with_added(tokenizer, text: str) -> bytes:
-    """Ids of a text as the tokenizer's file has it, added tokens as themselves."""
-    tokenizer.encode_special_tokens = False
-    try:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, WIDTH).tobytes()
-    finally:
-        tokenizer.encode_special_tokens = True
-
-
-def encoded(texts: list[str], path: str, added_tokens: bool = False) -> list[bytes]:
-    """Ids of each text without an end id, as ``WIDTH`` bytes. Each distinct piece goes through the tokenizer once.
-
-    ``added_tokens``: those of the tokenizer's file that stand in a text are
-    tokens, as the library's plain call has them; otherwise they are text.
-    """
-    tokenizer, model, cache, added = _encoder(path)
-    whole = {i for i, t in enumerate(texts) if t and any(a in t for a in added)} if added_tokens else ()
-    parts = [_pieces(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-    missing = set().union(*parts) - cache.keys()
-    known, tails = cache, {}
-    if missing:
-        for piece in missing:
-            tails[piece] = len(m[0]) if (m := _TAIL.search(piece)) else 0
-        want = {piece[: len(piece) - n] for piece, n in tails.items()} | {piece[len(piece) - n :] for piece, n in tails.items() if n}
-        want -= cache.keys()
-        fresh = {w: _by_model(model, w) for w in want if _LETTERS.match(w)} if model else {}
-        want = list(want - fresh.keys())
-        fresh |= {w: np.array(e.ids, WIDTH).tobytes() for w, e in zip(want, tokenizer.encode_batch_fast(want, add_special_tokens=False))}
-        get = lambda w: fresh[w] if w in fresh else cache[w]
-        for piece, n in tails.items():
-            if n:
-                fresh[piece] = get(piece[: len(piece) - n]) + get(piece[len(piece) - n :])
-        if len(cache) + len(fresh) <= CACHED_WORDS:
-            cache.update(fresh)
-        else:
-            known = _Both(fresh, cache)
-    return [_with_added(tokenizer, texts[i]) if i in whole else b"".join(map(known.__getitem__, p)) for i, p in enumerate(parts)]
-
-
-class _Both(dict):
-    def __init__(self, first, second):
-        super().__init__(first)
-        self.second = second
-
-    def __missing__(self, key):
-        return self.second[key]
-
-
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one document, from the ids in a window of 16."""
-    n = len(ids)
-    gear = _GEAR[ids]
-    rolled = np.zeros(n, np.uint64)
-    for k in range(min(16, n)):
-        rolled[k:] += gear[: n - k] << np.uint64(k)
+def _ends(marks: list[int], n: int) -> list[int]:
     ends, last = [], 0
-    for at in (np.flatnonzero(rolled >> np.uint64(64 - CUT_BITS) == 0) + 1).tolist():
+    for at in marks:
         while at - last > MAX_IDS:
             last += MAX_IDS
             ends.append(last)
@@ -152,48 +73,84 @@ def cuts(ids: np.ndarray) -> list[int]:
     return ends
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one document."""
+    return _ends(_marks(ids).tolist(), len(ids))
+
+
 def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+class Tree:
+    """A Merkle tree over leaves that come one by one, in memory of its height: pairs make nodes, an odd node moves up as it is."""
+
+    def __init__(self):
+        self.n, self.peaks = 0, []
+
+    def add(self, leaf: bytes) -> None:
+        self.n += 1
+        left, node = self.n, leaf
+        while left % 2 == 0:
+            node = _digest(self.peaks.pop() + node)
+            left //= 2
+        self.peaks.append(node)
+
+    def root(self) -> bytes:
+        if not self.peaks:
+            return _digest(b"")
+        *rest, node = self.peaks
+        for peak in reversed(rest):
+            node = _digest(peak + node)
+        return node
+
+
 def merkle(leaves: list[bytes]) -> bytes:
-    """Root of a binary tree over ``leaves``; an odd node moves up as it is."""
-    level = leaves or [_digest(b"")]
-    while len(level) > 1:
-        level = [_digest(b"".join(level[i : i + 2])) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+    """Root of the tree over ``leaves``."""
+    tree = Tree()
+    for leaf in leaves:
+        tree.add(leaf)
+    return tree.root()
 
 
-_STORE = "kind string, key binary, n int, payload binary, doc_id long, keys array<binary>, sizes array<int>"
-_FIELDS = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("n", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("keys", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32()))])
+_STORE = "kind string, place binary, key binary, n int, payload binary, doc_id long, keys array<binary>, sizes array<int>"
+_FIELDS = pa.schema([("kind", pa.string()), ("place", pa.binary()), ("key", pa.binary()), ("n", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("keys", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int32()))])
 
 
 def _chunker(path: str, end_id: int, added_tokens: bool):
-    end = np.array([end_id], WIDTH).tobytes()
-
     def chunks(batches):
+        if encoder(path).width != WIDTH:
+            raise ValueError("ids are stored in two bytes, this vocabulary needs more")
         seen: set[bytes] = set()
+        row = 0
         for batch in batches:
-            for start, stop in slices(batch.column(1), 1 << 22):
-                ids = batch.column(0).slice(start, stop - start).to_pylist()
-                texts = batch.column(1).slice(start, stop - start).to_pylist()
-                rows = []
-                for doc_id, data in zip(ids, encoded(texts, path, added_tokens)):
-                    data += end
-                    last, keys, sizes = 0, [], []
-                    for stop_id in cuts(np.frombuffer(data, WIDTH)):
-                        part = data[2 * last : 2 * stop_id]
+            for start, stop in slices(batch.column(1), SLICE):
+                doc_ids = batch.column(0).slice(start, stop - start).to_pylist()
+                ids, sizes = encoder(path).encode(batch.column(1).slice(start, stop - start), added_tokens)
+                ids = np.insert(ids, np.cumsum(sizes), end_id).astype(WIDTH)
+                ends = np.cumsum(sizes + 1)
+                # a window that reaches into the document before ends no chunk: none is shorter than a window
+                marks = _marks(ids)
+                data, bounds = ids.tobytes(), np.searchsorted(marks, ends, "right").tolist()
+                rows, first, lo = [], 0, 0
+                for doc_id, end, hi in zip(doc_ids, ends.tolist(), bounds):
+                    last, keys, lengths = 0, [], []
+                    for at in _ends((marks[lo:hi] - first).tolist(), end - first):
+                        part = data[2 * (first + last) : 2 * (first + at)]
                         key = _digest(part)
                         keys.append(key)
-                        sizes.append(stop_id - last)
-                        last = stop_id
+                        lengths.append(at - last)
+                        last = at
                         if key not in seen:
                             seen.add(key)
-                            rows.append(("chunk", key, sizes[-1], part, None, None, None))
-                    rows.append(("recipe", merkle(keys), last, None, doc_id, keys, sizes))
+                            rows.append(("chunk", key, key, lengths[-1], part, None, None, None))
+                    root = merkle(keys)
+                    # recipes of one root, as of copies, go to places of their own
+                    rows.append(("recipe", _digest(root + row.to_bytes(8, "little")), root, last, None, doc_id, keys, lengths))
+                    row, first, lo = row + 1, end, hi
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _FIELDS)], schema=_FIELDS)
 
-    return chunks
+    return lean(chunks, "tokens")
 
 
 def _once(batches):
@@ -201,7 +158,7 @@ def _once(batches):
     seen: set[bytes] = set()
     for batch in batches:
         keep = []
-        for kind, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        for kind, key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
             keep.append(kind != "chunk" or key not in seen)
             if kind == "chunk":
                 seen.add(key)
@@ -221,33 +178,67 @@ def _placed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts), pa.array(n), batch.column(3), batch.column(4), batch.column(5)], schema=_RECIPE)
 
 
-def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, added_tokens: bool = False) -> None:
+def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, added_tokens: bool = True) -> None:
     """Write ``docs`` (doc_id, text, ...) below ``path``.
 
-    Null or empty text is the end id alone. Null doc_ids come first, rows that
+    ``added_tokens``: added tokens of the tokenizer's file that stand in a text
+    are tokens, as in the library's plain call; otherwise they are text. Null
+    or empty text is the end id alone. Null doc_ids come first, rows that
     repeat a doc_id stand side by side, in order of their content. No rows
     make an empty store. Other columns, whatever their names, are not stored.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.mapInArrow(_chunker(tokenizer, end_id, added_tokens), _STORE)
-    rows.repartition("key").mapInArrow(_once, _STORE).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/store")
+    saved(rows.repartition("place").mapInArrow(_once, _STORE).drop("place"), f"{path}/store", compression="zstd", partitionBy="kind")
     stored = _stored(spark, path).where("kind = 'recipe'").select("doc_id", "n", "keys", "sizes", F.col("key").alias("root"))
-    placed = stored.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "root").select(F.spark_partition_id().alias("part"), "doc_id", "n", "keys", "sizes", "root")
-    placed.mapInArrow(_placed, "part int, doc_id long, local_start long, n_tokens long, keys array<binary>, sizes array<int>, root binary").write.parquet(f"{path}/recipes")
-    recipes = _recipes(spark, path)
-    recipes.select("part", "n_tokens", "root", "local_start").repartition("part").sortWithinPartitions("part", "local_start").groupBy("part").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("local_start", "root"))), lambda x: F.hex(x["root"])), ""), 256).alias("root"),
-    ).write.parquet(f"{path}/manifest")
+    placed = stored.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").select(F.spark_partition_id().alias("part"), "doc_id", "n", "keys", "sizes", "root")
+    saved(placed.mapInArrow(_placed, "part int, doc_id long, local_start long, n_tokens long, keys array<binary>, sizes array<int>, root binary"), f"{path}/recipes")
+    saved(_parts(_recipes(spark, path)), f"{path}/manifest")
+
+
+_PART = "part int, n_docs long, n_tokens long, root binary"
+
+
+def _totals(batches):
+    """A row for each part of rows sorted by part and place: its documents, their ids, the root over their roots."""
+    part, tree, total = None, Tree(), 0
+    done = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([tree.n]), pa.array([total]), pa.array([tree.root()], pa.binary())], names=["part", "n_docs", "n_tokens", "root"])
+    for batch in batches:
+        for p, n, root in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2))):
+            if p != part:
+                if part is not None:
+                    yield done()
+                part, tree, total = p, Tree(), 0
+            tree.add(root)
+            total += n
+    if part is not None:
+        yield done()
+
+
+def _parts(recipes: DataFrame) -> DataFrame:
+    """What the manifest says of these recipes."""
+    return recipes.select("part", "n_tokens", "root", "local_start").repartition("part").sortWithinPartitions("part", "local_start").mapInArrow(_totals, _PART)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("key binary, n int, payload binary, doc_id long, keys array<binary>, sizes array<int>, kind string").parquet(f"{path}/store")
 
 
+_RECIPES = "part int, doc_id long, local_start long, n_tokens long, keys array<binary>, sizes array<int>, root binary"
+
+
 def _recipes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("part int, doc_id long, local_start long, n_tokens long, keys array<binary>, sizes array<int>, root binary").parquet(f"{path}/recipes")
+    return spark.read.schema(_RECIPES).parquet(f"{path}/recipes")
+
+
+def _rooted(batches):
+    """Recipes as read: their chunk hashes must have the root they are stored with."""
+    for batch in batches:
+        for keys, root in zip(batch.column(4).to_pylist(), batch.column(6).to_pylist()):
+            if merkle(keys) != root:
+                raise ValueError(f"recipe {root.hex()} is damaged")
+        yield batch
 
 
 def _checked(batches):
@@ -292,16 +283,19 @@ def _shifted(batches):
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Recipes with ``start``: the ids of all parts before, then of all documents before in the part. The window runs over one row per part."""
-    recipes = _recipes(spark, path)
-    parts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    """Verified recipes with ``start``: the ids of all parts before, then of all documents before in the part. The window runs over one row per part."""
+    recipes = _recipes(spark, path).mapInArrow(_rooted, _RECIPES)
+    said = spark.read.schema(_PART).parquet(f"{path}/manifest").withColumnsRenamed({"n_docs": "docs", "n_tokens": "tokens", "root": "said"})
+    found = _parts(_recipes(spark, path)).join(said, "part", "full")
+    same = F.coalesce((F.col("root") == F.col("said")) & (F.col("n_docs") == F.col("docs")) & (F.col("n_tokens") == F.col("tokens")), F.lit(False))
+    total = F.when(same, F.col("n_tokens")).otherwise(F.raise_error(F.lit("a part of the recipes is not as the manifest has it")).cast("long"))
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select("part", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("offset"))
+    offsets = found.select("part", total.alias("total")).select("part", F.coalesce(F.sum("total").over(order), F.lit(0)).alias("offset"))
     return recipes.join(offsets, "part").withColumn("start", F.col("offset") + F.col("local_start"))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """From the files: (doc_id, start, n_tokens, ids_crc32, root), a row for each document. A chunk missing from the store fails the read.
+    """From the files: (doc_id, start, n_tokens, ids_crc32, root), a row for each document. A missing or damaged chunk, recipe or manifest fails the read.
 
     Chunks are read, checked and summed once; documents combine their chunks'
     sums, so no ids are shuffled.
@@ -334,7 +328,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored_digests(docs: DataFrame, tokenizer: str, end_id: int = END_ID) -> DataFrame:
-    """``docs`` written to a store in the shared folder, ids those of the library's plain call, and read back as ``read_digests`` does."""
+    """``docs`` written to a store in the shared folder, and read back as ``read_digests`` does."""
     path = shared_path(docs.sparkSession, "tokens")
-    write_store(docs, path, tokenizer, end_id, added_tokens=True)
+    write_store(docs, path, tokenizer, end_id)
     return read_digests(docs.sparkSession, path)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import bounded_batches
+from threadloom.llm._store import lean
 from threadloom.llm._words import Words, mix, slices
 
 #: Labelled documents learned from at most (in expectation), chosen by a hash of their id.
@@ -234,7 +234,6 @@ def _evidence_of(shared):
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Fit on at most about ``sample_docs`` rows of ``labels`` (doc_id, toxic), chosen by a hash of doc_id, and their texts. Equal texts count once, as toxic if any of their labels is, so copies do not make evidence."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     labels = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("labelled"), "toxic")
     share = min(1.0, sample_docs / max(labels.count(), 1))
     drawn = labels.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_003)) / 1_000_003 < share).groupBy("labelled").agg(F.max("toxic").alias("toxic"))
@@ -242,11 +241,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     try:
         sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
         n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-        counts = sample.mapInArrow(_counts, "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+        counts = sample.mapInArrow(lean(_counts), "feature long, n1 long, n0 long").groupBy("feature").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
         odds = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
         kept = counts.where(F.col("n1") >= MIN_DOCS).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS).orderBy(F.desc("odds"), "feature").limit(ENTRIES).collect()
         lexicon = Lexicon(np.array([r.feature for r in kept], np.int64).view(_U), np.array([r.odds for r in kept], float))
-        rows = sample.mapInArrow(_evidence_of(spark.sparkContext.broadcast(lexicon)), "toxic int, n long, pos array<long>, evidence array<double>").collect()
+        rows = sample.mapInArrow(lean(_evidence_of(spark.sparkContext.broadcast(lexicon))), "toxic int, n long, pos array<long>, evidence array<double>").collect()
     finally:
         sample.unpersist()
     size = np.array([len(r.pos) for r in rows])
@@ -291,7 +290,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     none. Other columns are ignored.
     """
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, score double, predicted int, spans string")
+    return slim.mapInArrow(lean(_predict(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, score double, predicted int, spans string")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
