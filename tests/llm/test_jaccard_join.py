@@ -65,18 +65,29 @@ def test_empty_null_and_repeated_ids(spark):
 
 
 def test_runs_do_not_depend_on_batches():
+    """Rows of shared tokens with first and previous row, the task's first and last token in any case, whatever the batches."""
     rng = np.random.default_rng(0)
-    token = np.sort(rng.integers(0, 30, 300))
-    cols = [token, np.arange(300), np.full(300, 7, np.int32), np.zeros(300, np.int32)]
-
-    def run(size):
-        batches = (pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], names=list("abcd")) for i in range(0, 300, size))
-        return sorted((r["gid"], r["first_gid"], r["prev_gid"]) for b in jaccard_join._runs(batches) for r in b.to_pylist() if r["first_gid"] is not None), sorted(r["gid"] for b in jaccard_join._runs(iter([pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], names=list("abcd")) for i in range(0, 300, size)])) for r in b.to_pylist())
-
-    whole = run(300)
-    assert all(run(n) == whole for n in (1, 2, 3, 7, 50))
-    counts = np.bincount(token)
-    assert len(whole[1]) == counts[counts > 1].sum()
+    for width in (1, 5, 30, 400):
+        token = np.sort(rng.integers(0, width, 300))
+        cols = [token, np.arange(300), np.full(300, 7, np.int32), np.zeros(300, np.int32)]
+        counts, first = np.bincount(token), np.searchsorted(token, token)
+        want = [(i, None if first[i] == i else int(first[i]), None if first[i] == i else i - 1) for i in range(300) if counts[token[i]] > 1 or token[i] in (token[0], token[-1])]
+        for size in (300, 1, 2, 3, 7, 50):
+            batches = (pa.RecordBatch.from_arrays([pa.array(c[i : i + size]) for c in cols], names=list("abcd")) for i in range(0, 300, size))
+            assert [(r["gid"], r["first_gid"], r["prev_gid"]) for b in jaccard_join._runs(batches) for r in b.to_pylist()] == want
+
+
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(3)
+    for n in (3, 500, 520, 1100, 5000):
+        for share in (0.0, 0.05, 0.2, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.concatenate([a[: int(len(a) * (1 - share))], rng.integers(0, 1 << 63, int(n * share * rng.random()) + 1, dtype=np.uint64)])
+            different = len(np.setxor1d(a, b))
+            sketches = [jaccard_join._parity(x, jaccard_join.sketch_bits(len(x))).tobytes() for x in (a, b)]
+            rows = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([1 << 40]), pa.array([0]), *(pa.array([x], pa.binary()) for x in sketches)], names=["a", "b", "n", "differ", "l", "r"])
+            (found,) = (r["differ"] for x in jaccard_join._sketched([rows]) for r in x.to_pylist())
+            assert found <= different and (share < 1 or found > 0.2 * min(len(a), len(b)))
 
 
 def test_long_text_is_whole():
@@ -97,3 +108,11 @@ def test_members_of_one_group_link_without_its_head(spark, monkeypatch):
     assert [c for _, _, c in want] == [x for t in range(30) for x in (3 * t, 3 * t + 1, 3 * t + 1)]
     got = sorted(map(tuple, jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == want
+
+
+def test_filters_and_joins_of_ids_agree(spark, monkeypatch):
+    """More documents to verify than the filter takes are joined instead, with the same result."""
+    rows = corpus(2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard_join, "FILTER_IDS", 0)
+    assert sorted(map(tuple, jaccard_join.similar_documents(docs).collect())) == brute(rows)

@@ -19,7 +19,7 @@ def _round(edges: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``links`` (a, b: long) -> (node, component): the least node reachable.
+    """``links`` (a, b: long) -> (node, component), written: the least node reachable.
 
     Only nodes with a link to another node come out. Each round is written to
     the shared folder, so neither plans nor recovery grow with the rounds; the
@@ -31,7 +31,9 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            found = written(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+            dropped(edges)
+            return found
         seen, last = now, edges
         edges = written(_round(last), "edges")
         dropped(last)

@@ -14,9 +14,12 @@ against the likeliest FIRST and NEXT ones. What the links found connect needs
 no more checks. The last round takes every remaining candidate pair between
 different components, so the result is that of the full join.
 
-Before whole sets meet, bitmaps of SIGNATURE bits do: two sets differ in at
-least as many elements as their bitmaps in bits, and linked sets differ in at
-most (n_a + n_b) / 9. That bound loses nothing.
+Before whole texts meet, parity bitmaps do: bit i says whether an odd number
+of a set's elements hash to i. Each element in which two sets differ changes
+one bit, so two sets differ in at least as many elements as their bitmaps in
+bits, and linked sets differ in at most (n_a + n_b) / 9. A bitmap of SIGNATURE
+bits goes with the postings, one of at least as many bits as the set has
+elements (``sketch``) checks what passes it. The bounds lose nothing.
 
 Any fixed order of elements gives the right result. The document counts that
 put common passages last come from one row of counters of a fixed size
@@ -37,9 +40,9 @@ from threadloom.llm._words import Words, mix, slices
 #: Counters for shingle frequencies: 4 bytes each, broadcast once (4 MB).
 COUNTERS = 1 << 20
 _CHUNK = 1 << 14
-#: Bits of the filter of documents to verify: at most 1 MB reaches the driver.
-FILTER_BITS = 1 << 23
-#: Bits of a set's bitmap, as 64-bit words; neighbours that the second round looks at.
+#: Bits of the filter of documents to verify (8 MB reach the driver); more documents than FILTER_IDS are joined instead.
+FILTER_BITS, FILTER_IDS = 1 << 26, 1 << 23
+#: Bits of a set's first bitmap, as 64-bit words; neighbours that the second round looks at.
 SIGNATURE, AROUND, PASSED = 512, 16, 2
 #: Pairs that the first and the second round check for each set.
 FIRST, NEXT = 1, 2
@@ -92,23 +95,34 @@ def _signed(x):
     return np.asarray(x, np.uint64).view(np.int64)
 
 
+def _parity(found: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes of the bitmap of ``bits`` (a power of two), folded from its double and so on."""
+    return np.packbits((np.bincount((found & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def sketch_bits(n: int) -> int:
+    """The power of two that is at least ``n``, and at least SIGNATURE."""
+    return max(SIGNATURE, 1 << (int(n) - 1).bit_length())
+
+
 def _rows(counts):
     def rows(batches):
         order = counts.value
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for start, stop in slices(texts):
-                n, cid, gid, prefix, bitmap = [], [], [], [], np.zeros((stop - start, SIGNATURE), np.uint8)
+                n, cid, gid, prefix, words, sketch = [], [], [], [], [], []
                 for found in Words(texts.slice(start, stop - start)).shingle_sets():
                     size = len(found)
                     ranked = found[np.lexsort((found, order[(found >> _SHIFT).astype(np.int64)]))][: prefix_length(size) if size else 0]
                     n.append(size)
                     cid.append(mix(found + _U(size)).sum(dtype=np.uint64))
                     gid.append(mix(ranked * _U(2) + _U(1)).sum(dtype=np.uint64))
-                    bitmap[len(prefix), (found & _U(SIGNATURE - 1)).astype(np.int64)] = 1
+                    words.append(_parity(found, SIGNATURE).view(np.int64))
+                    sketch.append(_parity(found, sketch_bits(size)).tobytes() if size > SIGNATURE else None)
                     prefix.append(ranked.tobytes())
-                words = np.packbits(bitmap, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array(n, pa.int64()), pa.array(_signed(cid)), pa.array(_signed(gid)), pa.array(prefix, pa.binary()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(_WORDS)))], names=["doc_id", "n", "cid", "gk", "prefix", *_WORDS])
+                words = np.array(words).reshape(len(n), -1)
+                yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array(n, pa.int64()), pa.array(_signed(cid)), pa.array(_signed(gid)), pa.array(prefix, pa.binary()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(_WORDS))), pa.array(sketch, pa.binary())], names=["doc_id", "n", "cid", "gk", "prefix", *_WORDS, "sketch"])
 
     return rows
 
@@ -126,44 +140,44 @@ def _postings(batches):
 _SHARED = "token long, gid long, n int, pos int, first_gid long, first_n int, first_pos int, prev_gid long, prev_n int, prev_pos int"
 
 
+def _shared_rows(cols, firsts, prevs, head, out):
+    arrays = [pa.array(c[out], kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
+    for group in (firsts, prevs):
+        arrays += [pa.array(c[out], kind, mask=head[out]) for c, kind in zip(group, (pa.int64(), pa.int32(), pa.int32()))]
+    return pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _SHARED.split(", ")])
+
+
 def _runs(batches):
-    """From rows sorted by token, those of a token with more rows, each with the token's first row and the one before it."""
-    held = None  # the last row so far: its four values, its run's first row, whether its run goes back further
+    """From rows sorted by token: those of a token with more rows, each with the token's first row and the one before it.
+
+    A token of many rows may reach into other tasks, so a task's first and last
+    token come out even if they have one row here.
+    """
+    held = begin = None  # the last row, still to come out; its token's first row and the row before it, if any
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [batch.column(i).to_numpy() for i in range(4)]
-        first_in, older = None, False
-        if held is not None:
-            cols = [np.concatenate([[h], c]) for h, c in zip(held[0], cols)]
-            first_in, older = held[1], held[2]
-        token = cols[0]
-        size = len(token)
-        new = np.ones(size, bool)
-        new[1:] = token[1:] != token[:-1]
-        run = np.maximum.accumulate(np.where(new, np.arange(size), 0))
-        same_next = np.zeros(size, bool)
-        same_next[:-1] = ~new[1:]
-        first = [c[run] for c in cols[1:]]
-        if first_in is not None:
-            for c, value in zip(first, first_in):
-                c[run == 0] = value
-        prev = [np.concatenate([c[:1], c[:-1]]) for c in cols[1:]]
-        keep = same_next | ~new
-        keep[0] = same_next[0] if held is None or not older else False
-        keep[-1] = keep[-1] and size > 1 and not new[-1]
-        emitted_last = bool(keep[-1])
-        if held is not None and older:
-            keep[0] = False  # it came out with the batch before
-        out = np.flatnonzero(keep)
-        if len(out):
-            head = new[out] & ~((out == 0) & (held is not None and older))
-            arrays = [pa.array(cols[0][out]), pa.array(cols[1][out]), pa.array(cols[2][out].astype(np.int32)), pa.array(cols[3][out].astype(np.int32))]
-            for group in (first, prev):
-                for kind, c in zip((pa.int64(), pa.int32(), pa.int32()), group):
-                    arrays.append(pa.array(c[out], kind, mask=head))
-            yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _SHARED.split(", ")])
-        held = ([c[-1] for c in cols], [c[-1] for c in first], emitted_last)
+        if held is None:
+            begin = cols[0][0]
+        else:
+            cols = [np.concatenate([h, c]) for h, c in zip(held[0], cols)]
+        token, size = cols[0], len(cols[0])
+        head, again = np.ones(size, bool), token[1:] == token[:-1]
+        head[1:] = ~again
+        run = np.maximum.accumulate(np.where(head, np.arange(size), 0))
+        firsts, prevs = [c[run] for c in cols[1:]], [np.concatenate([c[:1], c[:-1]]) for c in cols[1:]]
+        if held is not None and held[2] is not None:
+            head[0] = False
+            for first, prev, f, p in zip(firsts, prevs, *held[1:]):
+                first[run == 0] = f
+                prev[0] = p
+        keep = ~head | (token == begin)
+        keep[:-1] |= again
+        yield _shared_rows(cols, firsts, prevs, head, np.flatnonzero(keep[:-1]))
+        held = [c[-1:] for c in cols], [f[-1] for f in firsts], None if head[-1] else [p[-1] for p in prevs]
+    if held is not None:
+        yield _shared_rows(held[0], *([np.array([x]) for x in (values or held[1])] for values in held[1:]), np.array([held[2] is None]), np.array([0]))
 
 
 def _differ(a: str, b: str):
@@ -176,17 +190,39 @@ def _alike(a: str, b: str):
     return _differ(a, b) * 9 <= F.col(f"{a}.n") + F.col(f"{b}.n")
 
 
+def _sketched(batches):
+    """From rows (a, b, n, differ, sketches of a and b): the pairs that also larger bitmaps leave open, with the bits in which those differ."""
+    for batch in batches:
+        n, differ = batch.column(2).to_numpy(), batch.column(3).to_numpy().copy()
+        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+            if x.is_valid and y.is_valid:
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                while len(x) != len(y):  # the longer one, folded, is that of half its bits
+                    longer = x if len(x) > len(y) else y
+                    folded = longer[: len(longer) // 2] ^ longer[len(longer) // 2 :]
+                    x, y = (folded, y) if longer is x else (x, folded)
+                differ[i] = np.bitwise_count(x ^ y).sum()
+        keep = pa.array(differ * 9 <= n)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ)], names=["a", "b", "differ"]).filter(keep)
+
+
+def _open(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """(a, b, differ) of the pairs (a, b) that their bitmaps leave open."""
+    both = pairs.join(bitmaps.alias("x"), F.col("a") == F.col("x.node")).join(bitmaps.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y"))
+    rows = both.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"), _differ("x", "y").cast("long").alias("differ"), F.col("x.sketch").alias("left"), F.col("y.sketch").alias("right"))
+    return rows.mapInArrow(lean(_sketched), "a long, b long, differ long")
+
+
 def _likeliest(pairs: DataFrame, bitmaps: DataFrame, most: int) -> DataFrame:
     """Of the pairs (a, b) that may link, those of the fewest different bits for each b."""
-    both = pairs.join(bitmaps.alias("x"), F.col("a") == F.col("x.node")).join(bitmaps.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y"))
     rank = F.row_number().over(Window.partitionBy("b").orderBy("differ", "a"))
-    return both.select("a", "b", _differ("x", "y").alias("differ")).withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b")
+    return _open(pairs, bitmaps).withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b")
 
 
-def _can_meet():
-    """Whether these prefix positions of a and b are among those of which two linked sets share one: the first n - overlap + 1 of either."""
-    least = F.ceil((F.col("a.n") + F.col("b.n")).cast("long") * 4 / 9)
-    return (F.col("a.pos") <= F.col("a.n") - least) & (F.col("b.pos") <= F.col("b.n") - least)
+def _can_meet(n, pos, other_n, other_pos):
+    """Whether these prefix positions are among those of which two linked sets share one: the first n - overlap + 1 of either."""
+    least = F.ceil((F.col(n) + F.col(other_n)).cast("long") * 4 / 9)
+    return (F.col(pos) <= F.col(n) - least) & (F.col(other_pos) <= F.col(other_n) - least)
 
 
 def _neighbours(batches):
@@ -218,7 +254,7 @@ def _wanted(bits):
     return wanted
 
 
-_PRIME = 8388593  # the largest below FILTER_BITS
+_PRIME = 67108859  # the largest below FILTER_BITS
 
 
 def _linked(batches):
@@ -233,22 +269,33 @@ def _linked(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def checked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose whole sets link, written. A fixed-size filter of the ids keeps the scan from shuffling other documents' texts; texts are shuffled, as they are smaller than sets."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _id_bits(ids: DataFrame) -> np.ndarray:
+    """A bit for each id; FILTER_BITS of them whatever their number."""
     at = F.pmod("node", F.lit(_PRIME)) + 1  # these bitmaps count from one
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for part in ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
+    for part in ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator():
         bits[(part.k - 1) * 4096 : part.k * 4096] = np.frombuffer(part.bits, np.uint8)
-    texts = written(docs.select("doc_id", "text").mapInArrow(lean(_wanted(spark.sparkContext.broadcast(bits))), "node long, text string"), "texts")
+    return bits
+
+
+def checked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose whole sets link, written. Only texts that some pair needs are shuffled, once for both sides; texts are smaller than sets."""
+    spark = docs.sparkSession
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+    slim = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
+    if ids.count() <= FILTER_IDS:
+        wanted = slim.mapInArrow(lean(_wanted(spark.sparkContext.broadcast(_id_bits(ids)))), "node long, text string")
+    else:
+        wanted = slim.join(ids, "node", "left_semi")
+    texts = written(wanted, "texts")
+    placed = texts.repartition("node")
     found = (
-        pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        pairs.join(placed.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+        .join(placed.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         .select("a", "b", "ta", "tb").mapInArrow(lean(_linked), "a long, b long").distinct()
     )
     found = written(found, name)
-    dropped(texts)
+    dropped(texts, ids)
     return found
 
 
@@ -264,22 +311,26 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = spark.sparkContext.broadcast(shingle_counts(docs))
-    rows = written(docs.mapInArrow(lean(_rows(counts)), "doc_id long, n long, cid long, gk long, prefix binary, " + ", ".join(f"{w} long" for w in _WORDS)), "prefixes")
-    full = rows.where("doc_id is not null and n > 0")
-    classes = full.groupBy("n", "cid").agg(F.min("doc_id").alias("node"), F.min("gk").alias("gk"), *(F.min(w).alias(w) for w in _WORDS))
+    prefixes = written(docs.mapInArrow(lean(_rows(counts)), "doc_id long, n long, cid long, gk long, prefix binary, " + ", ".join(f"{w} long" for w in _WORDS) + ", sketch binary"), "prefixes")
+    rows = written(prefixes.select("doc_id", "n", "cid"), "rows")
+    full = prefixes.where("doc_id is not null and n > 0")
+    classes = full.groupBy("n", "cid").agg(F.min("doc_id").alias("node"), *(F.min(w).alias(w) for w in ("gk", *_WORDS, "sketch")))
     groups = classes.groupBy("n", "gk").agg(F.min("node").alias("gid"))
-    members = written(classes.join(groups, ["n", "gk"]).select("n", "cid", "node", "gid", *_WORDS), "classes")
+    members = written(classes.join(groups, ["n", "gk"]).select("n", "cid", "node", "gid", *_WORDS, "sketch"), "classes")
 
     heads = full.select("doc_id", "n", "cid", "prefix").join(members.where("node = gid").select(F.col("node").alias("doc_id"), "n", "cid"), ["doc_id", "n", "cid"], "left_semi")
     postings = heads.select("doc_id", "n", "prefix").mapInArrow(_postings, "token long, gid long, n int, pos int")
-    shared = written(postings.repartition("token").sortWithinPartitions("token", "n", "gid").mapInArrow(_runs, _SHARED), "postings")
+    # ranges of (token, gid), so that a token that many sets hold fills as many tasks as it needs
+    shared = written(postings.repartitionByRange("token", "gid").sortWithinPartitions("token", "gid").mapInArrow(_runs, _SHARED), "postings")
+    dropped(prefixes)
 
-    bitmaps = members.select("node", "n", *_WORDS)
+    bitmaps = members.select("node", "n", *_WORDS, "sketch")
     # members of one group share its whole prefix, whether or not another group posts a token of it: they meet under a token of their own
     within = members.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select(F.xxhash64("gid", "n").alias("token"), "gid", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
 
     def pairs(side):
-        return shared.where(F.col(f"{side}_gid").isNotNull() & (F.col(f"{side}_gid") != F.col("gid"))).select(F.least("gid", f"{side}_gid").alias("a"), F.greatest("gid", f"{side}_gid").alias("b"))
+        some = shared.where(F.col(f"{side}_gid").isNotNull() & (F.col(f"{side}_gid") != F.col("gid")) & _can_meet("n", "pos", f"{side}_n", f"{side}_pos"))
+        return some.select(F.least("gid", f"{side}_gid").alias("a"), F.greatest("gid", f"{side}_gid").alias("b"))
 
     near = pairs("first").unionByName(pairs("prev")).unionByName(members.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))).distinct()
     near = written(_likeliest(near, bitmaps, FIRST), "near")
@@ -287,32 +338,34 @@ def similar_documents(docs: DataFrame) -> DataFrame:
 
     def apart(links):
         """Postings of the tokens that what these links connect does not hold together, a row for each class."""
-        joined = written(components(links), "so-far")
+        joined = components(links)
         known = members.join(joined, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
         rows = shared.select("token", "gid", "n", "pos").unionByName(within).join(known, "gid")
         mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         left = rows.join(mixed, "token", "left_semi").select("token", "node", "component", "n", "pos")
-        out = written(left.join(bitmaps.drop("n"), "node").select("token", "node", "component", "n", *_WORDS, "pos"), "apart")
+        out = written(left.join(bitmaps.drop("n", "sketch"), "node").select("token", "node", "component", "n", *_WORDS, "pos"), "apart")
         dropped(joined)
         return out
 
     left = apart(links)
-    by_hash = left.repartition("token").withColumn("order", F.xxhash64("node", "token")).sortWithinPartitions("token", "order")
+    by_hash = left.withColumn("order", F.xxhash64("node", "token")).repartitionByRange("token", "order").sortWithinPartitions("token", "order")
     nearer = by_hash.select("token", "node", "component", "n", *_WORDS).mapInArrow(_neighbours, "a long, b long").distinct()
     nearer = written(_likeliest(nearer, bitmaps, NEXT).join(near, ["a", "b"], "left_anti"), "nearer")
     dropped(left)
-    links = links.unionByName(checked(nearer, docs, "more-links"))
-
-    left = apart(links)
-    rest = left.alias("a").join(left.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _can_meet() & _alike("a", "b"))
-    rest = rest.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct().join(near.unionByName(nearer), ["a", "b"], "left_anti")
-    rest = written(rest, "rest")
-    for table in (left, shared):
-        dropped(table)
-    full_links = links.unionByName(checked(rest, docs, "last-links"))
+    more = checked(nearer, docs, "more-links")
+
+    left = apart(links.unionByName(more))
+    meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _can_meet("a.n", "a.pos", "b.n", "b.pos") & _alike("a", "b")
+    rest = left.alias("a").join(left.alias("b"), meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    rest = written(_open(rest.join(near.unionByName(nearer), ["a", "b"], "left_anti"), bitmaps).select("a", "b"), "rest")
+    dropped(left, shared)
+    last = checked(rest, docs, "last-links")
     # rows that repeat a doc_id with another text tie their classes together
-    ties = full.join(members, ["n", "cid"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
+    ties = rows.where("doc_id is not null and n > 0").join(members, ["n", "cid"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     ties = ties.join(members.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
-    final = written(components(full_links.unionByName(ties)), "final")
+    final = components(links.unionByName(more).unionByName(last).unionByName(ties))
     by_class = members.join(final, "node", "left").select("n", "cid", F.coalesce("component", "node").alias("component"))
-    return rows.select("doc_id", "n", "cid").join(by_class, ["n", "cid"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = rows.join(by_class, ["n", "cid"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    out = written(out, "documents")
+    dropped(rows, members, near, nearer, rest, links, more, last, final)
+    return out
