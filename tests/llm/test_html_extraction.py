@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from threadloom.llm import html_extraction as hx
 
 SCHEMA = "page_id long, url string, html string, host string, text string, element int"
@@ -8,37 +11,106 @@ def page(paragraphs, extra=""):
     return f"<html><head><title>t</title><script>var a='</p><article>';</script></head><body><nav><ul><li><a href=x>n</a></li></ul></nav><div class='page'><div class=\"ad\">buy</div><article><header><h1>T &amp;amp; t</h1></header>{body}{extra}</article><aside>s</aside></div><footer>&copy; f</footer></body></html>"
 
 
+def wrapper(*pages):
+    found = hx.inferred(pages[0])
+    for p in pages[1:]:
+        found = hx.aligned(found, hx.inferred(p))
+    return found
+
+
 def test_article_without_what_stands_around_it():
-    extra = '<div class="comments"><p>nice</p></div><form><p>mail</p></form><!-- <p>no</p> --><p>a<b>b</b> c<br>d &#233;  \n e<p>open<div id="share-bar">x</div>'
-    assert hx.main_text(page(["one", " two  words "], extra), "article") == "T &amp; t\none\ntwo words\nab c d é e\nopen"
-    assert hx.main_text("", "article") == hx.main_text("<", "article") == "" or True
-    assert hx.main_text("plain text", "article") == "plain text"
-    assert hx.main_text("<article><p>never closed", "article") == "never closed"
-    assert hx.main_text("<article><p>" + "long " * 200_000, "article").count("long") == 200_000
+    extra = '<div class="comments"><p>nice</p></div><form><p>mail</p></form><!-- <p>no</p> --><p>a<b>b</b> c<br>d &#233;  \n e<p>open<div id="share-bar">x</div>'
+    assert hx.main_text(page(["one", " two  words "], extra)) == "T &amp; t\none\ntwo words\nab c d é e\nopen"
+    assert hx.main_text("") == hx.main_text(" <!-- x -->") == ""
+    assert hx.main_text("plain text") == "plain text"
+    assert hx.main_text("<article><p>never closed") == "never closed"
+    assert hx.main_text("<article><p>" + "long " * 200_000).count("long") == 200_000
+    assert hx.main_text("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
 
 
 def test_wrappers_align():
-    a, b, c = (hx.folded(hx.stream(page(p, e))) for p, e in ((["x"], ""), (["x", "y", "z"], ""), (["x"], "<aside>q</aside>")))
-    whole = hx.aligned(hx.aligned(a, b), c)
-    text = hx.written_wrapper(whole)
-    assert "article header h1 # /h1 /header" in text and "aside # /aside" in text and ")?" in text
-    assert hx.read_wrapper(text) == whole and hx.article_element(whole) == "article"
-    assert hx.aligned(whole, a) == whole
-    div = hx.folded(hx.stream("<body><div class='menu'>a</div><div class='story'><p>x</p><h2>y</h2></div><div class='foot-er'>z</div></body>"))
-    assert hx.article_element(div) == "div.story"
-    assert hx.main_text("<body><div class='menu'>a</div><div class='story'><p>x</p>y</div>z</body>", "div.story") == "x\ny"
-
-
-def test_rows(spark):
+    """Optional and repeated groups, constants and slots, in order; wrappers survive writing and merge in any order of tasks."""
+    a, b, c = page(["x one"]), page(["x one", "y", "z"]), page(["other"], "<aside>q</aside>")
+    whole = wrapper(a, b, c)
+    text = hx.expression(whole)
+    assert "( p # /p )+" in text and "( aside =" in text and ")?" in text and "h1 =" in text
+    assert hx.expression(hx.read_wrapper(hx.written_wrapper(whole))) == text
+    parts = hx.aligned(wrapper(a), wrapper(b, c))
+    assert hx.expression(parts) == text and parts.pages == 3
+
+
+def words(rng, n):
+    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "river", "stone"]) + str(rng.randrange(99)) for _ in range(n))
+
+
+def site(rng, links, layout):
+    """A page without article or main, and its text."""
+    menu = "".join(f"<li><a href=/{i}>Section {i} of the site</a></li>" for i in range(links))
+    paragraphs = [words(rng, rng.randint(20, 60)) for _ in range(rng.randint(2, 6))]
+    body = "<p>".join(["", *paragraphs])
+    rail = "".join(f"<p><a href=x>{words(rng, 4)}</a></p>" for _ in range(5))
+    text = "\n".join(paragraphs)
+    if layout == "classes":
+        return f"<body><div class=top><ul>{menu}</ul></div><div class=story>{body}</div><div class=rail>{rail}</div></body>", text
+    if layout == "plain":
+        return f"<body><div><ul>{menu}</ul></div><div>{body}</div><div>{rail}</div><div>All rights reserved by the owner</div></body>", text
+    if layout == "flat":
+        return f"<body><ul>{menu}</ul>{body}<p>All rights reserved by the owner</p></body>", text
+    # constants inside the article's own element, and an optional notice
+    notice = "<div><b>Please switch the other thing on</b></div>" if rng.random() < 0.5 else ""
+    return f"<body><table><tr><td><ul>{menu}</ul></td><td>{notice}<h2>{words(rng, 5)}</h2>{body}<h5>Follow us everywhere</h5></td></tr></table></body>", None
+
+
+@pytest.mark.parametrize("links", [1, 8, 300])
+@pytest.mark.parametrize("layout", ["classes", "plain", "flat"])
+def test_hosts_without_article_elements(links, layout):
+    """Menus, link rails and constants go by the wrapper alone, whatever their length."""
+    rng = random.Random(links)
+    pages = [site(rng, links, layout) for _ in range(8)]
+    whole = wrapper(*(p for p, _ in pages))
+    for html, text in pages:
+        assert hx.main_text(html, whole) == text
+    # two layouts of one host do not disturb each other
+    mixed = wrapper(*(p for p, _ in pages), *(page([words(rng, 40)]) for _ in range(4)))
+    assert [hx.main_text(p, mixed) for p, _ in pages] == [t for _, t in pages]
+
+
+def test_constants_inside_the_article_go():
+    rng = random.Random(5)
+    pages = [site(rng, 5, "table")[0] for _ in range(12)]
+    whole = wrapper(*pages)
+    for p in pages:
+        text = hx.main_text(p, whole)
+        assert "Follow us" not in text and "Please switch" not in text and "Section" not in text and len(text.split("\n")) >= 3
+
+
+def test_equal_pages_are_no_template(spark):
+    """A host that shows one page many times keeps its text."""
+    html, text = site(random.Random(1), 5, "classes")
+    df = spark.createDataFrame([(i, "http://a/", html, None, None, None) for i in range(30)], SCHEMA)
+    assert {r.text for r in hx.main_texts(df).collect()} == {text}
+
+
+def test_tags_of_the_article_do_not_matter(spark):
+    """The same text with article and div in its place."""
+    rng = random.Random(2)
+    pages = [page([words(rng, 30) for _ in range(rng.randint(1, 5))]) for _ in range(20)]
+    other = [p.replace("<article>", "<div>").replace("</article>", "</div>") for p in pages]
+    a, b = wrapper(*pages), wrapper(*other)
+    assert [hx.main_text(p, a) for p in pages] == [hx.main_text(p, b) for p in other]
+
+
+def test_rows(spark, monkeypatch):
     rows = [(i, f"https://U@a.Example.org:80/{i}", page([f"p{i}", f"q{i}"] * (1 + i % 3)), "h", "t", 1) for i in range(50)]
     rows += [(50, None, None, None, None, None), (51, "x", "", None, None, None), (1, "http://b/", page(["again"]), None, None, None), (None, "http://b", "<p>null id", None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = hx.main_texts(df.repartition(5)).collect()
     assert len(got) == len(rows)
     texts = {(r.page_id, r.url): (r.text, r.n_chars) for r in got}
-    assert texts[4, rows[4][1]] == ("T &amp; t\np4\nq4\np4\nq4", 21)
+    assert texts[4, rows[4][1]] == ("p4\nq4\np4\nq4", 11)
     assert texts[50, None] == texts[51, "x"] == ("", 0)
     assert texts[None, "http://b"] == ("null id", 7)
-    found = {r.host: r for r in hx.wrappers(df.repartition(5)).collect()}
-    assert set(found) == {"a.example.org", "b", ""} and found["a.example.org"].element == "article"
+    assert {r.host for r in hx.wrappers(df.repartition(5)).collect()} == {"a.example.org", "b"}
+    monkeypatch.setattr(hx, "BROADCAST_BYTES", 0)
+    assert sorted(map(str, hx.main_texts(df.repartition(5)).collect())) == sorted(map(str, got))
     assert hx.main_texts(spark.createDataFrame([], SCHEMA)).count() == 0

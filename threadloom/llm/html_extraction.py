@@ -1,22 +1,32 @@
 """HTML extraction by union-free regular expressions inferred per host.
 
-A page becomes a stream of tags with `#` for text. Streams of one host are
-aligned one after the other with the host's wrapper so far: what both have
-stays, text that differs is a slot, a stretch that only one side has becomes
-optional, neighbouring equal stretches become a repeated group. The wrapper is
-a regular expression without alternatives:
-
-    html body nav ul ( li a # /a /li )+ /ul /nav article h1 # /h1 ( p # /p )+ ( aside # /aside )? /article
-
-Wrappers of tasks merge as those of pages do, so a host that holds a third of
-all pages meets as one wrapper per task. From a host's wrapper follows the
-element that holds its article: the one whose slots carry the most text outside
-navigation, notices, forms and comments. Pages are then read against it.
+A page is a stream of tags and texts. Streams of one host are aligned one after
+the other with the host's wrapper so far, element by element: what both have
+stays; an element that only one side has becomes optional; alike neighbours
+become a repeated group; texts that are equal on all pages stay constants of
+the template, texts that differ become slots. The wrapper is a regular
+expression without alternatives:
+
+    html body nav ( ul ( li # /li )+ /ul )? /nav div.story h1 # /h1 ( p # /p )+ ( div.rail =1f0c /div.rail )? /div.story
+
+Each of its elements carries sums over all pages: on how many it stands, how
+many letters of prose and of link text it holds. Wrappers of tasks merge as
+those of pages do, so a host that holds a third of all pages meets as one
+wrapper per task.
+
+The wrapper decides what a page's article is. From the root on, the element
+goes on to the one child, not repeated, whose slots hold most of the prose
+that the children on this page hold on a page of the host; where no child
+does, the article is found. In it, constants of the template and groups of
+links are left out, and what HTML itself or, where structure cannot tell, a
+class name says is no article (forms, adverts, comments).
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
+import json
 import re
 from functools import lru_cache
 
@@ -24,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import lean, written
+from threadloom.llm._store import dropped, lean, written
 
-#: Hosts whose wrappers are broadcast at most (a few hundred bytes each); more are joined by a shuffle.
-BROADCAST_HOSTS = 20_000
-#: Items of a wrapper: a host whose pages have nothing in common keeps the first so many of it.
-LONGEST, PERIOD = 400, 24
+#: Bytes of wrappers that are broadcast at most; more are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+#: Share of its parent's prose that an element needs to be gone into, and the likeness by which elements of one name are the same.
+DOMINANT, ALIKE = 0.7, 0.3
+#: A text that so many unlike pages of a host hold at the same place is a constant of the template; a group with so large a share of link text is a menu.
+TEMPLATE_PAGES, LINKED = 5, 0.8
+#: Elements deeper than this are read as parts of the one above.
+DEEPEST = 100
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _RAW = {t: re.compile(rf"</{t}\s*>|\Z", re.I) for t in ("script", "style", "textarea", "noscript", "template", "title", "svg", "iframe")}
@@ -38,19 +52,135 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _OUTSIDE = frozenset("head nav header footer aside form button select dialog menu label input object".split()) | set(_RAW)
 _OUTSIDE_WORDS = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|notice|newsletter|subscribe|popup|modal|share|sharing|social|related|recommend\w*|comments?|replies|reply|disqus|widget|login|search)(?:$|[^a-z])")
-_KEEPS = frozenset(("article", "main", "body", "html"))
 
 
-def _outside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is none of the article by its tag, class, id or role. The article's own header holds its title."""
-    if tag == "header" and in_article:
-        return False
-    if tag in _OUTSIDE:
-        return True
-    if not attributes or tag in _KEEPS:
-        return False
-    words = " ".join((m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes))
-    return bool(words and _OUTSIDE_WORDS.search(words.replace("_", "-")))
+#: Elements that hold others; prose itself stands in the other blocks.
+_HOLDERS = frozenset("html body div section article main center td table tbody tr ul ol dl fieldset".split())
+EMPTY: frozenset = frozenset()
+_FLOW = frozenset(("p", "li", "td", "th", "tr", "dd", "dt"))
+
+
+def _label(tag: str, attributes: str) -> str:
+    """Tag and class, id or role, numbers left out."""
+    m = _ATTRIBUTE.search(attributes) if attributes else None
+    name = re.sub(r"[\s()?+#=]+|\d+", "-", (m[2] or m[3] or m[4] or "").strip().lower()) if m else ""
+    return f"{tag}.{name}" if name else tag
+
+
+@lru_cache(maxsize=65536)
+def _named_outside(label: str) -> bool:
+    """Whether a class, id or role names what is no article."""
+    tag, _, name = label.partition(".")
+    return bool(name) and tag not in ("html", "body", "article", "main") and bool(_OUTSIDE_WORDS.search(name.replace("_", "-")))
+
+
+class Node:
+    """An element of a page or of a wrapper. ``common``: hashes of own texts that all its pages have; ``slot``: whether some have others."""
+
+    __slots__ = ("label", "pages", "repeated", "prose", "links", "slot", "common", "kids")
+
+    def __init__(self, label, pages=1, repeated=False, prose=0, links=0, slot=False, common=(), kids=None):
+        self.label, self.pages, self.repeated, self.prose, self.links, self.slot, self.common = label, pages, repeated, prose, links, slot, frozenset(common)
+        self.kids: list[Node] = [] if kids is None else kids
+
+    @property
+    def tag(self) -> str:
+        return self.label.partition(".")[0]
+
+    def total(self) -> tuple[int, int]:
+        """Letters of prose and of link text in it and below."""
+        prose, links = self.prose, self.links
+        for kid in self.kids:
+            p, n = kid.total()
+            prose, links = prose + p, links + n
+        return prose, links
+
+    def inside(self) -> frozenset:
+        """Labels of what it holds, two levels deep."""
+        return frozenset(x.label for kid in self.kids for x in (kid, *kid.kids))
+
+
+def _alike(a: Node, b: Node) -> float:
+    """Likeness of two elements of one label: 1 for blocks of prose, else the share of common content; menus are never like prose."""
+    if a.tag not in _HOLDERS or a.tag in ("html", "body"):
+        return 1.0
+    (p, n), (q, m) = a.total(), b.total()
+    if min(p + n, q + m) >= 20 and (n > p) != (m > q):
+        return 0.0
+    x, y = a.inside(), b.inside()
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _find(kids: list[Node], kid: Node, taken: set[int]) -> int:
+    """Place of the element among ``kids`` that this one aligns with, or -1: the most alike of its label that is not taken."""
+    best, at = ALIKE, -1
+    for i, other in enumerate(kids):
+        if other.label == kid.label and i not in taken and (like := _alike(other, kid)) > (best if at >= 0 else ALIKE - 1e-9):
+            best, at = like, i
+    return at
+
+
+def folded(node: Node) -> Node:
+    """A page's element with alike children as one repeated group each."""
+    kids: list[Node] = []
+    for kid in map(folded, node.kids):
+        at = _find(kids, kid, set())
+        if at < 0:
+            kids.append(kid)
+        else:
+            _joined(kids[at], kid)
+            kids[at].repeated = True
+    node.kids = kids
+    return node
+
+
+def _joined(a: Node, b: Node) -> None:
+    """Take ``b``, which follows on the same page, into ``a``."""
+    a.prose, a.links, a.common, a.repeated = a.prose + b.prose, a.links + b.links, a.common | b.common, a.repeated or b.repeated
+    for kid in b.kids:
+        at = _find(a.kids, kid, set())
+        if at < 0:
+            a.kids.append(kid)
+        else:
+            _joined(a.kids[at], kid)
+
+
+def aligned(a: Node, b: Node) -> Node:
+    """The wrapper ``a`` with that of another page, or of other pages, of the host: one that matches both."""
+    a.pages, a.prose, a.links, a.repeated = a.pages + b.pages, a.prose + b.prose, a.links + b.links, a.repeated or b.repeated
+    a.slot, a.common = a.slot or b.slot or a.common != b.common, a.common & b.common
+    taken: set[int] = set()
+    last = -1
+    for kid in b.kids:
+        at = _find(a.kids, kid, taken)
+        if at < 0:
+            at = last + 1
+            a.kids.insert(at, kid)
+            taken = {i + (i >= at) for i in taken}
+        else:
+            aligned(a.kids[at], kid)
+        taken.add(at)
+        last = at
+    return a
+
+
+def expression(node: Node, pages: int | None = None) -> str:
+    """The wrapper as a regular expression over tags: # is a slot, = a constant with its hash."""
+    inner = [x for x in (*(f"={x[:4]}" for x in sorted(node.common)), "#" * node.slot, *(expression(kid, node.pages) for kid in node.kids)) if x]
+    out = " ".join([node.label, *inner, f"/{node.label}"])
+    optional = pages is not None and node.pages < pages
+    return f"( {out} ){'*' if optional and node.repeated else '?' if optional else '+'}" if optional or node.repeated else out
+
+
+def written_wrapper(node: Node) -> str:
+    pack = lambda x: [x.label, x.pages, int(x.repeated), x.prose, x.links, int(x.slot), sorted(x.common), [pack(kid) for kid in x.kids]]
+    return json.dumps(pack(node), separators=(",", ":"))
+
+
+def read_wrapper(text: str) -> Node:
+    """The wrapper that ``written_wrapper`` wrote."""
+    unpack = lambda x: Node(x[0], x[1], bool(x[2]), x[3], x[4], bool(x[5]), x[6], [unpack(kid) for kid in x[7]])
+    return unpack(json.loads(text))
 
 
 def tokens(page: str):
@@ -76,170 +206,152 @@ def tokens(page: str):
             return
 
 
-def stream(page: str) -> tuple[str, ...]:
-    """Tags of the page in order (a class in an open tag), with # where there is text; inline marks are text."""
-    out: list[str] = []
-    open_p = False
-    for kind, tag, rest in tokens(page):
-        if tag in _BLOCK and open_p and not (kind == "close" and tag == "p"):
-            out.append("/p")  # a paragraph ends where a block begins or ends
-            open_p = False
-        if tag == "p":
-            if kind == "close" and not open_p:
-                continue
-            open_p = kind == "open"
-        if kind == "text":
-            if (not out or out[-1] != "#") and not rest.isspace():
-                out.append("#")
-        elif tag in _BLOCK or tag in _OUTSIDE:
-            name = tag if kind == "open" else f"/{tag}"
-            if kind == "open" and (m := _ATTRIBUTE.search(rest)):
-                name += "." + re.sub(r"\s+|[()?+#]|\d+", "-", (m[2] or m[3] or m[4] or "").strip().lower())
-            out.append(name)
-    return tuple(out)
-
-
-def _flat(items) -> tuple[str, ...]:
-    return tuple(x for x in items if x not in ("(", ")+", ")?"))
-
-
-@lru_cache(maxsize=4096)
-def folded(items: tuple[str, ...]) -> tuple:
-    """Items as a wrapper: neighbouring equal stretches as one repeated group ("+", stretch), the shortest first."""
-    out = list(items)
-    for period in range(1, PERIOD + 1):
-        at = 0
-        while at + 2 * period <= len(out):
-            part, stop = out[at : at + period], at + period
-            while out[stop : stop + period] == part:
-                stop += period
-            if stop > at + period:
-                group = part[0] if period == 1 and isinstance(part[0], tuple) and part[0][0] == "+" else ("+", tuple(part))
-                out[at:stop] = [group]
-            at += 1
-    # a group beside a copy of its own stretch takes it in
-    at = 0
-    while at < len(out):
-        if isinstance(out[at], tuple) and out[at][0] == "+":
-            part = list(out[at][1])
-            while at >= len(part) and out[at - len(part) : at] == part:
-                del out[at - len(part) : at]
-                at -= len(part)
-            while out[at + 1 : at + 1 + len(part)] == part:
-                del out[at + 1 : at + 1 + len(part)]
-        at += 1
-    return tuple(out)
-
-
-def _unrolled(items, optional=False):
-    for item in items:
-        if isinstance(item, tuple) and item[0] == "?":
-            yield from _unrolled(item[1], True)
-        else:
-            yield item, optional
-
-
-def _regrouped(pairs) -> tuple:
-    """(item, whether optional) as a wrapper: neighbouring optional items are one group."""
-    out: list = []
-    for item, optional in pairs:
-        if optional and out and out[-1][0]:
-            out[-1][1].append(item)
-        else:
-            out.append((optional, [item]))
-    return folded(tuple(x for optional, part in out for x in ([("?", folded(tuple(part)))] if optional else part)))
-
-
-def _repeated_as_in(x: list, y: list) -> list:
-    """``x`` with each stretch that ``y`` has as a repeated group as that group."""
-    groups = {k for k, _ in y if isinstance(k, tuple)}
-    for group in sorted(groups, key=lambda g: -len(g[1])):
-        part, at, out = list(group[1]), 0, []
-        while at < len(x):
-            if [k for k, _ in x[at : at + len(part)]] == part:
-                out.append((group, all(o for _, o in x[at : at + len(part)])))
-                at += len(part)
-            else:
-                out.append(x[at])
-                at += 1
-        x = out
-    return x
-
-
-@lru_cache(maxsize=4096)
-def aligned(a: tuple, b: tuple) -> tuple:
-    """One wrapper for what two wrappers match: common items in order (a longest common subsequence), the rest optional."""
-    if a == b:
-        return a
-    x, y = list(_unrolled(a)), list(_unrolled(b))
-    x, y = _repeated_as_in(x, y), _repeated_as_in(y, x)
-    n, m = len(x), len(y)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n and j < m:
-        if x[i][0] == y[j][0]:
-            out.append((x[i][0], x[i][1] or y[j][1]))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
-            out.append((x[i][0], True))
-            i += 1
-        else:
-            out.append((y[j][0], True))
-            j += 1
-    return _regrouped(out + [(k, True) for k, _ in x[i:]] + [(k, True) for k, _ in y[j:]])[:LONGEST]
-
-
-def written_wrapper(items: tuple) -> str:
-    """The wrapper as a regular expression over tags."""
-    return " ".join(x if isinstance(x, str) else f"( {written_wrapper(x[1])} ){x[0]}" for x in items)
-
+class Page:
+    """A page's elements, and its stream: ("open" | "close", element, whether it is a block) and ("text", element, words)."""
+
+    def __init__(self, page: str):
+        self.root = Node("html")
+        self.stream: list[tuple] = []
+        self.texts: dict[int, frozenset] = {}
+        own: dict[int, list[str]] = {}
+        stack: list[tuple[str, Node | None]] = [("html", self.root)]
+        path = [self.root]
+        linked = 0
+
+        def close():
+            nonlocal linked
+            tag, node = stack.pop()
+            linked -= tag == "a"
+            if node is not None:
+                path.pop()
+                self.stream.append(("close", node, tag in _BLOCK))
+
+        def end(tag):
+            """Close the innermost block if it is a ``tag``, with the inline marks left open in it."""
+            k = len(stack) - 1
+            while k and stack[k][1] is None and stack[k][0] not in _BLOCK:
+                k -= 1
+            if k and stack[k][0] == tag:
+                while len(stack) > k:
+                    close()
 
-def read_wrapper(text: str) -> tuple:
-    """The items that ``written_wrapper`` wrote."""
-    stack: list[list] = [[]]
-    for x in text.split():
-        if x == "(":
-            stack.append([])
-        elif x in (")+", ")?"):
-            part = tuple(stack.pop())
-            stack[-1].append((x[1], part))
-        else:
-            stack[-1].append(x)
-    return tuple(stack[0])
-
-
-def article_element(items: tuple) -> str:
-    """The element of a wrapper that holds the article: ``article`` or ``main`` if there is one, else the one with the most text slots directly in its blocks, outside what is no article."""
-    flat = _flat(written_wrapper(items).split())
-    opened = {x.split(".")[0] for x in flat}
-    for tag in ("article", "main"):
-        if tag in opened:
-            return tag
-    slots: dict[str, int] = {}
-    stack: list[tuple[str, bool]] = []
-    for x in flat:
-        if x == "#":
-            if stack and not any(out for _, out in stack):
-                holders = [name for name, _ in stack if name.split(".")[0] in ("div", "section", "td", "body")]
-                if holders:
-                    slots[holders[-1]] = slots.get(holders[-1], 0) + 1
-        elif x.startswith("/"):
-            while stack and any(name.split(".")[0] == x[1:] for name, _ in stack):
-                if stack.pop()[0].split(".")[0] == x[1:]:
-                    break
-        else:
-            tag, _, cls = x.partition(".")
-            if tag not in _VOID:
-                stack.append((x, _outside(tag, f'class="{cls}"' if cls else "", False)))
-    return max(slots, key=lambda k: (slots[k], k)) if slots else "body"
+        for kind, tag, rest in tokens(page):
+            if kind == "text":
+                self.stream.append(("text", path[-1], rest))
+                if n := sum(map(len, rest.split())):
+                    node = path[-1]
+                    own.setdefault(id(node), []).extend(html.unescape(rest).split())
+                    if linked:
+                        node.links += n
+                    else:
+                        node.prose += n
+                continue
+            if tag == "br":
+                self.stream.append(("text", path[-1], " "))
+            if tag in _BLOCK and not (kind == "close" and tag == "p"):
+                end("p")  # a paragraph ends where a block begins or ends
+            if kind == "open":
+                if tag == "html" or tag in _VOID or rest.endswith("/") and tag not in _BLOCK:
+                    continue
+                if tag in _FLOW:
+                    end(tag)
+                node = None
+                if (tag in _BLOCK or tag in _OUTSIDE) and len(path) < DEEPEST:
+                    node = Node(_label(tag, rest))
+                    path[-1].kids.append(node)
+                    path.append(node)
+                    self.stream.append(("open", node, tag in _BLOCK))
+                elif tag in _BLOCK:
+                    self.stream.append(("open", None, True))
+                linked += tag == "a"
+                stack.append((tag, node))
+            elif any(s[0] == tag for s in stack[1:]):
+                while stack[-1][0] != tag:
+                    close()
+                close()
+        while len(stack) > 1:
+            close()
+        for node in [self.root, *(x[1] for x in self.stream if x[0] == "open" and x[1])]:
+            if id(node) in own:
+                node.common = frozenset([hashlib.blake2b(" ".join(own[id(node)]).encode(errors="replace"), digest_size=8).hexdigest()])
+                self.texts[id(node)] = node.common
+
+
+def inferred(page: str) -> Node:
+    """The wrapper of one page."""
+    return folded(Page(page).root)
+
+
+def _slots(node: Node, varies: bool) -> int:
+    """Letters of prose in slots of the element and below; constants count where the host's pages have nothing else (``varies`` is false)."""
+    if node.tag in _OUTSIDE:
+        return 0
+    own = 0 if varies and not node.slot else node.prose
+    return own + sum(_slots(kid, varies) for kid in node.kids)
+
+
+def _varies(node: Node) -> bool:
+    return node.tag not in _OUTSIDE and (node.slot and node.prose > 0 or any(map(_varies, node.kids)))
+
+
+def _paired(page: Node, wrapper: Node, out: dict[int, Node]) -> None:
+    """Which element of the wrapper each element of the page is; alike children of a page are one of the wrapper's."""
+    out[id(page)] = wrapper
+    for kid in page.kids:
+        at = _find(wrapper.kids, kid, set())
+        if at >= 0:
+            _paired(kid, wrapper.kids[at], out)
+
+
+def _article(page: Node, of: dict[int, Node], varies: bool) -> Node:
+    """The page's element that holds its article, by the wrapper."""
+    while True:
+        wrapper = of[id(page)]
+        weights: dict[int, float] = {}
+        for kid in page.kids:
+            w = of.get(id(kid))
+            if w is not None:
+                weights[id(w)] = _slots(w, varies) / w.pages
+        own = 0 if varies and not wrapper.slot else wrapper.prose / wrapper.pages
+        whole = own + sum(weights.values())
+        best = max((kid for kid in page.kids if id(kid) in of and of[id(kid)].tag in _HOLDERS and not of[id(kid)].repeated), key=lambda kid: weights[id(of[id(kid)])], default=None)
+        if best is None or not whole or weights[id(of[id(best)])] < DOMINANT * whole:
+            return page
+        page = best
+
+
+def _left_out(wrapper: Node | None, label: str, whole: bool) -> bool:
+    """Whether an element in the article is none of it: by HTML (the article's own header holds its title), as a group of links, or by its class."""
+    tag = label.partition(".")[0]
+    if tag in _OUTSIDE and (tag != "header" or whole):
+        return True
+    if _named_outside(label) and tag != "header":
+        return True
+    if wrapper is not None and tag in _HOLDERS and tag not in ("html", "body") and wrapper.kids:
+        prose, links = wrapper.total()
+        return links >= LINKED * (prose + links) and links > 0
+    return False
+
+
+def main_text(page: str, wrapper: Node | None = None) -> str:
+    """Blocks of the page's article, one per line, by its host's wrapper (the page's own without one)."""
+    if not page:
+        return ""
+    read = Page(page)
+    wrapper = wrapper or inferred(page)
+    of: dict[int, Node] = {}
+    _paired(read.root, wrapper, of)
+    varies = wrapper.pages > 1 and _varies(wrapper)
+    chosen = _article(read.root, of, varies)
+    constants = varies and wrapper.pages >= TEMPLATE_PAGES and _varies(of[id(chosen)])
+    for article in (chosen, read.root):
+        text = _read(read, article, of, constants)
+        if text:
+            return text
+    return ""
 
 
-def main_text(page: str, element: str) -> str:
-    """Blocks of the page's article, one per line. ``element`` names it as in the wrapper; a page without it is read whole. Elements left open end with the block around them; unclosed paragraphs end at the next."""
-    tag_wanted, _, class_wanted = element.partition(".")
+def _read(read: Page, article: Node, of: dict[int, Node], constants: bool) -> str:
     blocks, now = [], []
 
     def flush():
@@ -248,56 +360,43 @@ def main_text(page: str, element: str) -> str:
         if text:
             blocks.append(text)
 
-    for whole in (False, True):
-        depth_in, skip = (1 if whole else 0), 0
-        stack: list[tuple[str, bool, bool]] = []  # tag, opens the article, is outside of it
-        for kind, tag, rest in tokens(page):
-            if kind == "text":
-                if depth_in and not skip:
+    whole, texts = article.tag in ("html", "body"), read.texts
+    out: list[bool] = []  # of the open elements inside the article
+    within = article is read.root
+    for kind, node, rest in read.stream:
+        if kind == "text":
+            if within and not (out and out[-1]):
+                w = of.get(id(node))
+                if not (constants and w is not None and w.pages >= TEMPLATE_PAGES and texts.get(id(node), EMPTY) & w.common):
                     now.append(rest)
-                continue
-            if tag in _BLOCK or tag == "title":
-                if depth_in and not skip:
-                    flush()
-            elif tag == "br":
-                now.append(" ")
+            continue
+        if within and rest and not (out and out[-1]):
+            flush()
+        if node is article:
+            within = kind == "open"
+        elif within and node is not None:
             if kind == "open":
-                if tag in _VOID or rest.endswith("/") and tag not in _BLOCK:
-                    continue
-                if tag == "p" or tag == "li":
-                    if stack and stack[-1][0] == tag:
-                        depth_in, skip = depth_in - stack[-1][1], skip - stack[-1][2]
-                        stack.pop()
-                starts = tag == tag_wanted and (not class_wanted or stream(f"<{tag}{rest}>") == (element,))
-                out = bool(depth_in) and _outside(tag, rest, depth_in > 0) or (whole and _outside(tag, rest, False)) or tag in _RAW
-                stack.append((tag, starts, out))
-                depth_in, skip = depth_in + starts, skip + out
-            elif any(s[0] == tag for s in reversed(stack)):
-                while stack:
-                    top = stack.pop()
-                    depth_in, skip = depth_in - top[1], skip - top[2]
-                    if top[0] == tag:
-                        break
-        flush()
-        if blocks:
-            break
+                out.append(bool(out and out[-1]) or _left_out(of.get(id(node)), node.label, whole))
+            elif out:
+                out.pop()
+    flush()
     return "\n".join(blocks)
 
 
 def _inferred(batches):
-    """A task's wrapper of each host. A host's wrappers are few: a stream that one already matches changes nothing."""
-    wrappers: dict[str, tuple] = {}
-    known: dict[str, set] = {}
+    """A task's wrapper of each host; pages that are equal as a whole count once."""
+    wrappers: dict[str, Node] = {}
+    seen: set[bytes] = set()
     for batch in batches:
         for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            items = folded(stream(page or ""))[:LONGEST]
-            seen = known.setdefault(host, set())
-            if hash(items) not in seen:
-                seen.add(hash(items))
-                wrappers[host] = aligned(wrappers[host], items) if host in wrappers else items
+            key = hashlib.blake2b(f"{host}\n{page}".encode(errors="replace"), digest_size=12).digest()
+            if key not in seen:
+                seen.add(key)
+                found = inferred(page)
+                wrappers[host] = aligned(wrappers[host], found) if host in wrappers else found
         if len(wrappers) > 20_000:
             yield _batch(wrappers)
-            wrappers, known = {}, {}
+            wrappers, seen = {}, set()
     yield _batch(wrappers)
 
 
@@ -307,24 +406,20 @@ def _batch(wrappers):
 
 def _merged(batches):
     """The wrappers of tasks, sorted by host, as one each."""
-    host, items = None, ()
+    host = whole = None
     for batch in batches:
         done = {}
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if name != host:
-                if host is not None:
-                    done[host] = items
-                host, items = name, read_wrapper(text)
-            else:
-                items = aligned(items, read_wrapper(text))
+            if name == host:
+                whole = aligned(whole, read_wrapper(text))
+                continue
+            if host is not None:
+                done[host] = whole
+            host, whole = name, read_wrapper(text)
         if done:
-            yield _labelled(done)
+            yield _batch(done)
     if host is not None:
-        yield _labelled({host: items})
-
-
-def _labelled(wrappers):
-    return pa.RecordBatch.from_arrays([*_batch(wrappers).columns, pa.array([article_element(w) for w in wrappers.values()])], names=["host", "wrapper", "element"])
+        yield _batch({host: whole})
 
 
 def _host(url):
@@ -333,16 +428,22 @@ def _host(url):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """``pages`` (url, html, ...) -> (host, wrapper, element), from all pages of each host."""
-    slim = pages.select(_host(F.col("url")).alias("host"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    partial = slim.mapInArrow(lean(_inferred), "host string, wrapper string").distinct()
-    return partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merged, "host string, wrapper string, element string")
+    """``pages`` (url, html, ...) -> (host, wrapper), from all pages of each host; ``read_wrapper`` and ``expression`` show a wrapper."""
+    slim = pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("html <> ''")
+    partial = slim.mapInArrow(lean(_inferred), "host string, wrapper string")
+    return partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_merged, "host string, wrapper string")
 
 
-def _extracted(batches):
-    for batch in batches:
-        texts = [main_text(page, element or "article") if page else "" for page, element in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+def _extracted(shared):
+    """From rows (page_id, url, html, host or wrapper): their texts. ``shared``: wrappers by host, if they were broadcast."""
+
+    def rows(batches):
+        known = lru_cache(maxsize=256)(lambda text: read_wrapper(text) if text else None)
+        for batch in batches:
+            texts = [main_text(page, known(shared.value.get(x) if shared else x)) if page else "" for page, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    return rows
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -354,9 +455,15 @@ def main_texts(pages: DataFrame) -> DataFrame:
     has the host ''. Rows that repeat a page_id stay apart. No rows: none.
     Other columns, whatever their names, are ignored.
     """
+    spark = pages.sparkSession
     slim = pages.select("page_id", "url", F.col("html").cast("string").alias("html"), _host(F.col("url")).alias("page_host"))
-    found = written(wrappers(pages), "wrappers").select("host", "element")
-    if found.count() <= BROADCAST_HOSTS:
-        found = F.broadcast(found)
-    joined = slim.join(found, F.col("page_host") == F.col("host"), "left").select("page_id", "url", "html", "element")
-    return joined.mapInArrow(lean(_extracted), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    found = written(wrappers(pages), "wrappers")
+    size = found.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
+    shared = None
+    if size <= BROADCAST_BYTES:
+        shared = spark.sparkContext.broadcast({r.host: r.wrapper for r in found.toLocalIterator()})
+        dropped(found)
+        rows = slim
+    else:
+        rows = slim.join(found, F.col("page_host") == F.col("host"), "left").select("page_id", "url", "html", "wrapper")
+    return rows.mapInArrow(lean(_extracted(shared)), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
