@@ -39,15 +39,23 @@ def test_matches_brute_force(spark):
 def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(0)
     dim, n = 64, 400
-    v = rng.standard_normal((n, dim)) + 0.6
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    turned = v @ nv.rotation(dim, dim, 1).T
-    signs, factor = np.sign(turned), np.abs(turned).sum(axis=1) / 8
-    estimate = signs @ turned.T / (8 * factor[:, None])
+    v = nv._unit(rng.standard_normal((n, dim)) + 0.6)
+    code, factor, small, step = nv.encoded(v)
+    above = nv.upper_bounds(code, factor, small, step, dim)
     off = ~np.eye(n, dtype=bool)
-    assert abs((estimate - v @ v.T)[off].mean()) < 0.01
-    spread = np.sqrt(1 - factor**2) / factor * nv.EPSILON / np.sqrt(dim - 1)
-    assert (np.abs(estimate - v @ v.T) <= spread[:, None])[off].all()
+    assert (above >= v @ v.T)[off].all()
+    slack = (np.sqrt(1 - factor**2) * nv.EPSILON / np.sqrt(dim - 1) + 0 * step)[:, None] / factor[:, None] + np.sqrt(dim) * step[None, :] / 2 / factor[:, None]
+    assert abs((above - slack - v @ v.T)[off].mean()) < 0.01
+
+
+def test_ids_that_repeat(spark):
+    """Vectors of one id count their own links and share its component."""
+    x, y, far = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    near = [1.0, 0.05, 0.0]
+    rows = [(5, x, 1), (5, y, 1), (6, x, 1), (7, near, 1), (8, [0.05, 1.0, 0.0], 1), (9, far, 1), (3, far, 2), (5, far, 1)]
+    df = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in nv.near_vectors(df).collect())
+    assert got == sorted([(5, 2, 5), (5, 1, 5), (6, 2, 5), (7, 2, 5), (8, 1, 5), (9, 1, 5), (3, 0, 3), (5, 1, 5)])
 
 
 def test_no_rows(spark):

@@ -4,14 +4,18 @@ A random rotation turns a unit vector into its signs (a point of the cube
 close to it) and the correction factor <signs / sqrt(D), vector>. For another
 vector, <signs / sqrt(D), rotated> / factor estimates the inner product without
 bias, and its error is at most EPSILON standard errors but for a chance of
-about 1e-9. Only pairs whose upper confidence bound reaches the threshold are
-computed again, in double precision, and only that decides.
+about 1e-9. The rotated vector takes a byte a component, rounded with a fixed
+dither; what that can change is added to the bound. Only pairs whose upper
+confidence bound reaches the threshold are computed again, in double
+precision from the whole vectors, and only that decides.
 
 Pairs to estimate come from tables over other rotations' signs: ``bits`` signs
 are a bucket, and there are as many tables as bring a pair at the threshold
 together but for a chance of MISS. Equal vectors are one class. Buckets are cut
 into tiles of BLOCK x BLOCK vectors, so a bucket that holds a third of all rows
-becomes many tasks; a tile gives counts and its local components, not pairs.
+becomes many tasks. Codes alone go to the tiles; the vectors follow only to
+tiles where pairs stay open. A tile gives counts and its local components, not
+pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm._graph import components
-from threadloom.llm._store import lean, written
+from threadloom.llm._store import dropped, lean, written
 
 THRESHOLD, MISS, EPSILON, BLOCK = 0.98, 1e-9, 6.0, 256
 _rotations: dict[tuple[int, int], np.ndarray] = {}
@@ -44,64 +48,100 @@ def tables_needed(bits: int, threshold: float = THRESHOLD, miss: float = MISS) -
     return math.ceil(math.log(miss) / math.log1p(-meet))
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one, in double precision and without overflow on the way."""
+    v = vectors.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _dither(dim: int) -> np.ndarray:
+    return np.random.default_rng([3, dim]).random(dim)
+
+
+def encoded(unit: np.ndarray):
+    """Of unit vectors: signs (packed), correction factor, bytes of the rotated vector and what one of them stands for."""
+    dim = unit.shape[1]
+    turned = unit @ rotation(dim, dim, 1).T
+    step = np.abs(turned).max(axis=1) / 126
+    small = np.floor(turned / step[:, None] + _dither(dim)).astype(np.int8)
+    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(dim), small, step
+
+
+def upper_bounds(code, factor, small, step, dim: int) -> np.ndarray:
+    """[i, j]: what the inner product of vectors i and j is at most, from the code of i and the bytes of j."""
+    signs = np.unpackbits(code, axis=1, count=dim) * 2.0 - 1.0
+    turned = (small + 0.5 - _dither(dim)) * step[:, None]
+    estimate = (signs @ turned.T) / (math.sqrt(dim) * factor[:, None])
+    spread = np.sqrt(np.maximum(1 - factor**2, 0)) * EPSILON / math.sqrt(max(dim - 1, 1))
+    rounding = math.sqrt(dim) * step / 2
+    return estimate + (spread[:, None] + rounding[None, :]) / factor[:, None] + 1e-12
+
+
 def _coder(bits: int, tables: int):
     def codes(batches):
         for batch in batches:
             vectors = [np.array(v, np.float32) for v in batch.column(2).to_pylist()]
             n = len(vectors)
-            code, factor, buckets = [b""] * n, [0.0] * n, [None] * n
-            sizes = np.array([len(v) for v in vectors])
+            code, factor, small, step, buckets = [b""] * n, [0.0] * n, [b""] * n, [0.0] * n, [None] * n
+            sizes = np.array([len(v) for v in vectors], np.int32)
             for dim in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dim)
-                v = np.stack([vectors[i] for i in rows]).astype(np.float64)
-                v /= np.linalg.norm(v / np.abs(v).max(axis=1, keepdims=True), axis=1, keepdims=True) * np.abs(v).max(axis=1, keepdims=True)
-                turned = v @ rotation(dim, dim, 1).T
-                fit = np.abs(turned).sum(axis=1) / math.sqrt(dim)
-                packed = np.packbits(turned > 0, axis=1)
-                signs = (v @ rotation(dim, bits * tables, 2).T > 0).reshape(len(rows), tables, bits)
+                unit = _unit(np.stack([vectors[i] for i in rows]))
+                parts = encoded(unit)
+                signs = (unit @ rotation(dim, bits * tables, 2).T > 0).reshape(len(rows), tables, bits)
                 ids = (signs << np.arange(bits)).sum(axis=2).astype(np.int32)
                 for k, i in enumerate(rows):
-                    code[i], factor[i], buckets[i] = packed[k].tobytes(), float(fit[k]), ids[k]
+                    code[i], factor[i], small[i], step[i], buckets[i] = parts[0][k].tobytes(), float(parts[1][k]), parts[2][k].tobytes(), float(parts[3][k]), ids[k]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes.astype(np.int32)), batch.column(3), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(code, pa.binary()), pa.array(factor, pa.float64()), pa.array(buckets, pa.list_(pa.int32()))],
-                names=["node", "label", "dim", "m", "vec", "code", "factor", "buckets"],
+                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(code, pa.binary()), pa.array(factor, pa.float64()), pa.array(small, pa.binary()), pa.array(step, pa.float64()), pa.array(buckets, pa.list_(pa.int32()))],
+                names=["class", "label", "dim", "code", "factor", "small", "step", "buckets"],
             )
 
     return codes
 
 
-def _estimated_pairs(turned, signs, factor, left, right, dim, threshold):
-    """Pairs (of positions in left and right) whose upper confidence bound reaches the threshold."""
-    estimate = (signs[left] @ turned[right].T) / (math.sqrt(dim) * factor[left][:, None])
-    spread = np.sqrt(np.maximum(1 - factor[left] ** 2, 0)) / factor[left] * EPSILON / math.sqrt(max(dim - 1, 1))
-    return np.nonzero(estimate + spread[:, None] >= threshold)
+_TILE = ("label", "dim", "table", "bucket", "i", "j")
 
 
-def _tile(rows, threshold):
-    """(node, links, root) of one tile's vectors that link in it; a pair counts in the first table that brings it together."""
-    node, half, m, dim = rows["node"], rows["half"], rows["m"], int(rows["dim"][0])
-    raw = np.stack([np.frombuffer(v, np.float32) for v in rows["vec"]]).astype(np.float64)
-    unit = raw / np.abs(raw).max(axis=1, keepdims=True)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    signs = np.stack([np.unpackbits(np.frombuffer(c, np.uint8), count=dim) for c in rows["code"]]) * 2.0 - 1.0
-    turned = unit @ rotation(dim, dim, 1).T
-    left, right = (np.arange(len(node)),) * 2 if (half == 2).all() else (np.flatnonzero(half == 0), np.flatnonzero(half == 1))
+def _sides(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in a tile whose pairs it holds; a tile of one block with itself has half 2."""
+    if len(half) and half[0] == 2:
+        return np.arange(len(half)), np.arange(len(half))
+    return np.flatnonzero(half == 0), np.flatnonzero(half == 1)
+
+
+def _open(rows: dict, threshold: float):
+    """The rows of a tile that have a pair whose upper bound reaches the threshold."""
+    dim, half = int(rows["dim"][0]), np.array(rows["half"])
+    left, right = _sides(half)
     if not len(left) or not len(right):
         return None
-    i, j = _estimated_pairs(turned, signs, rows["factor"], left, right, dim, threshold)
+    code, small = (np.stack([np.frombuffer(x, kind) for x in rows[k]]) for k, kind in (("code", np.uint8), ("small", np.int8)))
+    factor, step = np.array(rows["factor"]), np.array(rows["step"])
+    near = upper_bounds(code[left], factor[left], small[right], step[right], dim) >= threshold
+    if half[0] == 2:
+        near = np.triu(near, 1)
+    i, j = np.nonzero(near)
+    some = np.unique(np.concatenate([left[i], right[j]]))
+    return [[rows[k][x] for x in some] for k in (*_TILE, "half", "class")] if len(some) else None
+
+
+def _linked(rows: dict, threshold: float):
+    """(class, links, root) of a tile's vectors that link in it, exactly; a pair counts in the first table that brings it together."""
+    half, m, node = (np.array(rows[k], np.int64) for k in ("half", "m", "node"))
+    left, right = _sides(half)
+    if not len(left) or not len(right):
+        return None
+    unit = _unit(np.array(rows["embedding"], np.float32))
+    near = unit[left] @ unit[right].T
+    i, j = np.nonzero(np.triu(near >= threshold - 1e-9, 1) if half[0] == 2 else near >= threshold - 1e-9)
     i, j = left[i], right[j]
-    if left is right or (half == 2).all():
-        i, j = i[i < j], j[i < j]
-    links_i, links_j = [], []
-    table, buckets = int(rows["table"][0]), np.stack(rows["buckets"])
-    for k in range(0, len(i), 1 << 16):
-        a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-        near = np.einsum("ij,ij->i", unit[a], unit[b]) >= threshold
-        a, b = a[near], b[near]
-        first = ~(buckets[a, :table] == buckets[b, :table]).any(axis=1)
-        links_i.append(a[first])
-        links_j.append(b[first])
-    i, j = np.concatenate(links_i or [[]]).astype(int), np.concatenate(links_j or [[]]).astype(int)
+    exact = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
+    i, j = i[exact], j[exact]
+    table, buckets = int(rows["table"][0]), np.array(rows["buckets"], np.int32)
+    first = ~(buckets[i, :table] == buckets[j, :table]).any(axis=1)
+    i, j = i[first], j[first]
     if not len(i):
         return None
     links = np.bincount(i, m[j], len(node)) + np.bincount(j, m[i], len(node))
@@ -113,40 +153,35 @@ def _tile(rows, threshold):
         if (root == before).all():
             break
     some = np.flatnonzero(links)
-    return node[some], links[some].astype(np.int64), root[some]
-
+    return [[rows["class"][x] for x in some], node[some].tolist(), links[some].astype(np.int64).tolist(), root[some].tolist()]
 
-_COLUMNS = ("label", "dim", "table", "bucket", "i", "j", "half", "node", "m", "vec", "code", "factor", "buckets")
 
+def _tiles(columns, names, types, work, threshold):
+    """``work`` on each tile of rows sorted by tile."""
 
-def _tiles(threshold):
     def tiles(batches):
-        held: dict[str, list] | None = None
-        last = None
+        held, last = None, None
 
-        def done(rows):
-            return _tile({k: (np.array(v) if k in ("node", "half", "m", "dim", "table", "factor") else v) for k, v in rows.items()}, threshold)
+        def done():
+            found = work(held, threshold)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types)], names=names) if found else None
 
         for batch in batches:
-            cols = {k: batch.column(n).to_pylist() for n, k in enumerate(_COLUMNS)}
-            cols["buckets"] = [np.array(x, np.int32) for x in cols["buckets"]]
-            keys = list(zip(*(cols[k] for k in ("label", "dim", "table", "bucket", "i", "j"))))
-            out = []
+            cols = [batch.column(n).to_pylist() for n in range(len(columns))]
+            keys = list(zip(*cols[: len(_TILE)]))
             start = 0
             for at in range(1, len(keys) + 1):
                 if at == len(keys) or keys[at] != keys[start]:
-                    part = {k: v[start:at] for k, v in cols.items()}
-                    if held is not None and last == keys[start]:
-                        held = {k: held[k] + v for k, v in part.items()}
+                    if last == keys[start]:
+                        for k, c in zip(columns, cols):
+                            held[k] += c[start:at]
                     else:
-                        if held is not None and (found := done(held)):
-                            out.append(found)
-                        held = part
-                    last, start = keys[start], at
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["node", "links", "root"])
-        if held is not None and (found := done(held)):
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["node", "links", "root"])
+                        if held is not None and (out := done()) is not None:
+                            yield out
+                        held, last = {k: c[start:at] for k, c in zip(columns, cols)}, keys[start]
+                    start = at
+        if held is not None and (out := done()) is not None:
+            yield out
 
     return tiles
 
@@ -158,32 +193,52 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     is at least ``threshold``. Null, empty or zero vectors, those with null or
     non-finite components, and rows without label or vec_id link with nothing:
     0 links, their own component, kept. Vectors of different length never
-    link. Rows that repeat a vec_id count as rows of their own but share the
-    id's component. No rows: none. Other columns are ignored.
+    link. Rows that repeat a vec_id are vectors of their own, each with its own
+    links, but one node: they share the component. No rows: none. Other columns
+    are ignored.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
     finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))
     valid = F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False)) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()
     rows = rows.withColumn("valid", valid)
-    classes = written(rows.where("valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m")), "classes")
+    grouped = rows.where("valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m"))
+    classes = written(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")
+    keyed = written(rows.where("valid").join(classes, ["label", "embedding"]).select("vec_id", "class", "node"), "keyed")
     bits = min(30, max(8, math.ceil(math.log2(max(classes.count(), 2)))))
     tables = tables_needed(bits, threshold)
-    coded = written(classes.select("node", "label", "embedding", "m").mapInArrow(lean(_coder(bits, tables)), "node long, label long, dim int, m long, vec binary, code binary, factor double, buckets array<int>"), "codes")
+    codes = "class long, label long, dim int, code binary, factor double, small binary, step double, buckets array<int>"
+    coded = written(classes.select("class", "label", "embedding").mapInArrow(lean(_coder(bits, tables)), codes), "codes")
 
     keys = ["label", "dim", "table", "bucket"]
-    spots = coded.select("node", "label", "dim", F.posexplode("buckets").alias("table", "bucket"))
+    spots = coded.select("class", "label", "dim", F.posexplode("buckets").alias("table", "bucket"))
     shared = spots.groupBy(*keys).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     spots = spots.join(shared, keys).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    spots = spots.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spots = spots.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     half = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
-    spots = spots.select("node", *keys, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), half.alias("half"))
-    tiles = spots.join(coded.select("node", "m", "vec", "code", "factor", "buckets"), "node").select(*_COLUMNS)
-    order = ["label", "dim", "table", "bucket", "i", "j"]
-    found = written(tiles.repartition(*order).sortWithinPartitions(*order).mapInArrow(lean(_tiles(threshold)), "node long, links long, root long"), "links")
-
-    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    by_class = classes.join(links, "node", "left").join(joined, "node", "left").select("label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    good = rows.where("valid").join(by_class, ["label", "embedding"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
+    spots = spots.select("class", *keys, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), half.alias("half"))
+
+    def worked(tiles, columns, work, names, types, schema, name):
+        placed = tiles.select(*columns).repartition(*_TILE).sortWithinPartitions(*_TILE)
+        return written(placed.mapInArrow(lean(_tiles(columns, names, types, work, threshold)), schema), name)
+
+    int_, long_ = pa.int32(), pa.int64()
+    open_ = worked(
+        spots.join(coded.select("class", "code", "factor", "small", "step"), "class"), (*_TILE, "half", "class", "code", "factor", "small", "step"), _open,
+        [*_TILE, "half", "class"], [long_, int_, int_, int_, int_, int_, int_, long_], "label long, dim int, table int, bucket int, i int, j int, half int, class long", "open",
+    )
+    whole = open_.join(classes.select("class", "node", "m", "embedding"), "class").join(coded.select("class", "buckets"), "class")
+    found = worked(
+        whole, (*_TILE, "half", "class", "node", "m", "embedding", "buckets"), _linked,
+        ["class", "node", "links", "root"], [long_] * 4, "class long, node long, links long, root long", "links",
+    )
+    # a vec_id of several classes ties them together
+    ties = keyed.groupBy("vec_id").agg(F.min("node").alias("a"), F.max("node").alias("other")).where("a <> other").select("vec_id", "a")
+    ties = keyed.join(ties, "vec_id").select("a", F.col("node").alias("b")).distinct()
+    joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(ties))
+    links = found.groupBy("class").agg(F.sum("links").alias("links"))
+    by_class = classes.join(links, "class", "left").join(joined, "node", "left").select("class", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    good = keyed.join(by_class, "class").select("vec_id", "n_links", "component_id")
     bad = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    out = written(good.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "vectors")
+    dropped(classes, keyed, coded, open_, found, joined)
+    return out
