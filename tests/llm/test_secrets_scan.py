@@ -44,3 +44,12 @@ def test_ownership_decides_what_is_added(spark):
 
 def test_no_rows(spark):
     assert secret_digests(spark.createDataFrame([], "doc_id long, text string, source string")).agg(F.count("*")).first()[0] == 0
+
+
+def test_copies_under_one_owner_are_copies(spark):
+    """A value in many documents of one hot source is an example; one in few of them, and live, is not."""
+    mine, example = "Zm9vYmFyQmF6UXV4MTIzNDU2Nzg5", "aGVsbG9Xb3JsZEhlbGxvV29ybGQx"
+    rows = [(i, f"see {example} token={'x' * 12}", "hot") for i in range(60)] + [(100, f"use {mine} token=abcdefgh1234", "hot")]
+    found = {r.doc_id: r for r in ss.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all([s.kind for s in found[i].spans] == [0] and (found[i].n_owner_specific, found[i].n_copied) == (0, 1) for i in range(60))
+    assert [s.kind for s in found[100].spans] == [3, 0] and found[100].n_owner_specific == 2

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import written
+from threadloom.llm._hot import salted_join
+from threadloom.llm._store import dropped, written
 
 #: A line under at least so many sites is boilerplate.
 MIN_SITES = 5
@@ -27,23 +28,26 @@ def _trimmed(line: Column) -> Column:
 
 
 def _each_line(rows: DataFrame) -> DataFrame:
-    """(row, site, pos, line): the lines of each row that are not blank. Two hashes stand for a line."""
-    lines = rows.select("row", "site", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
-    return lines.select("row", "site", "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
+    """(row, row2, site, pos, h, g): the lines of each row that are not blank. Two hashes stand for a line."""
+    lines = rows.select("row", "row2", "site", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).withColumn("line", _trimmed(F.col("line"))).where("line <> ''")
+    return lines.select("row", "row2", F.coalesce("site", F.lit("\0")).alias("site"), "pos", F.xxhash64("line").alias("h"), F.hash("line").alias("g"))
 
 
 def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = MARGIN) -> DataFrame:
-    """(site, h, g) -> (h, g, n_sites) of the lines under at least ``min_sites`` distinct sites.
+    """(site, h, g) -> (h, g, n_sites, n) of the lines under at least ``min_sites`` distinct sites, ``n`` of them in all.
 
-    A null site is a site. Sites are made distinct per task before anything is
-    shuffled; a line of fewer rows than ``min_sites`` needs no sketch.
+    Each task sketches the sites of its lines; what is shuffled are sketches,
+    one for each line and task, and they merge. Only lines whose estimate is
+    near the threshold are read again and have their sites counted exactly.
     """
-    seen = lines.groupBy("h", "g", F.coalesce("site", F.lit("\0")).alias("site")).agg(F.count(F.lit(1)).alias("n"))
-    sketched = seen.groupBy("h", "g").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LOG_K))).cast("double").alias("about"))
-    sure = sketched.where(F.col("about") > min_sites * (1 + margin)).select("h", "g", F.round("about").cast("long").alias("n_sites"))
-    near = sketched.where(F.col("about").between(min_sites * (1 - margin), min_sites * (1 + margin))).select("h", "g")
-    exact = seen.join(near, ["h", "g"], "left_semi").groupBy("h", "g").agg(F.count_distinct("site").alias("n_sites")).where(F.col("n_sites") >= min_sites)
-    return sure.unionByName(exact)
+    sketched = written(lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sites"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h", "g", F.hll_sketch_estimate("sites").cast("double").alias("about"), "n"), "sketched")
+    sure = sketched.where(F.col("about") > min_sites * (1 + margin)).select("h", "g", F.round("about").cast("long").alias("n_sites"), "n")
+    near = written(sketched.where(F.col("about").between(min_sites * (1 - margin), min_sites * (1 + margin))).select("h", "g", "n"), "near")
+    pairs = salted_join(lines.select("h", "g", "site"), near, ["h", "g"], "n", ["site"]).groupBy("h", "g", "n", "site").agg(F.count(F.lit(1)).alias("rows"))
+    exact = pairs.groupBy("h", "g", "n").agg(F.count(F.lit(1)).alias("n_sites")).where(F.col("n_sites") >= min_sites)
+    out = written(sure.unionByName(exact), "spread")
+    dropped(sketched, near)
+    return out
 
 
 def without_spread_lines(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -51,15 +55,16 @@ def without_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
 
     Lines end at \\n and are compared without white space around them; blank
     lines are never removed, and other lines keep theirs. Null text stays null,
-    with no line. Rows that repeat a doc_id stay apart. No rows: none. Other
-    columns, whatever their names, are ignored.
+    with no line; a null site is a site. Rows that repeat a doc_id stay apart.
+    No rows: none. Other columns, whatever their names, are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(site).cast("string").alias("site"))
-    keyed = rows.withColumn("row", F.xxhash64("doc_id", "site", "text"))
+    # two hashes stand for a row: rows that are equal in all three columns lose the same lines
+    keyed = rows.withColumn("row", F.xxhash64("doc_id", "site", "text")).withColumn("row2", F.hash("text", "doc_id", "site"))
     lines = _each_line(keyed)
-    spread = written(spread_lines(lines, min_sites), "spread")
-    hits = lines.join(spread.select("h", "g"), ["h", "g"]).groupBy("row").agg(F.collect_set("pos").alias("drop"))
-    hit = keyed.join(hits, "row", "left")
+    spread = spread_lines(lines, min_sites)
+    hits = salted_join(lines.drop("site"), spread.select("h", "g", "n"), ["h", "g"], "n", ["row"]).groupBy("row", "row2").agg(F.collect_set("pos").alias("drop"))
+    hit = keyed.join(hits, ["row", "row2"], "left")
     every = _lines(F.col("text"))
     kept = F.filter(every, lambda line, i: ~F.coalesce(F.array_contains("drop", i), F.lit(False)))
     blank_free = F.size(F.filter(every, lambda line: _trimmed(line) != ""))

@@ -3,9 +3,10 @@
 Each text is scanned once: the base patterns give the contract's spans, and
 high-entropy tokens elsewhere are further candidates. Candidate values are
 hashed and counted by distinct repositories and owners over the whole corpus.
-A value under many owners is a widely copied example; one that few owners hold
-and that looks live is owner-specific. Further candidates become spans only if
-they are owner-specific, so the corpus decides what is added.
+A value under many owners, or in many repositories of one, is a widely copied
+example; one that few hold and that looks live is owner-specific. Further
+candidates become spans only if they are owner-specific, so the corpus decides
+what is added.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import lean, written
+from threadloom.llm._hot import salted_join
+from threadloom.llm._store import dropped, lean, written
 
 KINDS = ("assign", "access", "hex", "entropy")
-#: A value under more owners than this is an example that was copied.
-MAX_OWNERS = 2
-MIN_ENTROPY, MIN_TOKEN = 3.5, 20
+#: A value under more owners or in more repositories than this is an example that was copied.
+MAX_OWNERS, MAX_REPOSITORIES = 2, 10
+#: Bits a character of a further candidate, and of any value that looks live.
+MIN_ENTROPY, LIVE_ENTROPY, MIN_TOKEN = 3.5, 2.5, 20
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -59,8 +62,8 @@ def further_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tup
     return found
 
 
-_SPAN = "array<struct<start:int,kind:int,end:int,hash:string>>"
-_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.string())]))
+_SPAN = "array<struct<start:int,kind:int,end:int,hash:string,live:boolean>>"
+_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.string()), ("live", pa.bool_())]))
 
 
 def _scan(batches):
@@ -72,7 +75,7 @@ def _scan(batches):
             text = texts[i].as_py()
             base = base_spans(text)
             for start, kind, end, value in base + further_spans(text, base):
-                spans[i].append({"start": start, "kind": kind, "end": end, "hash": hashlib.sha256(value.encode(errors="surrogatepass")).hexdigest()})
+                spans[i].append({"start": start, "kind": kind, "end": end, "hash": hashlib.sha256(value.encode(errors="surrogatepass")).hexdigest(), "live": _entropy(value) >= LIVE_ENTROPY})
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(spans, _TYPE)], names=["doc_id", "owner", "repository", "spans"])
 
 
@@ -90,24 +93,30 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_found"), F.count(F.lit(1)).alias("n_owners"), F.sum("r").alias("n_repositories"))
 
 
-def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS) -> DataFrame:
+def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base, spans, n_owner_specific, n_copied), a row for each row of ``docs`` (doc_id, text, owner, repository, ...).
 
-    ``base`` and ``spans`` are arrays of (start, kind, end, hash), by start,
-    then kind; offsets count code points, the end is exclusive. Null or empty
+    ``base`` and ``spans`` are arrays of (start, kind, end, hash, live), by
+    start, then kind; offsets count code points, the end is exclusive. Null or empty
     text has none. Rows that repeat a doc_id stay apart. ``spans`` are the base
-    spans and the owner-specific high-entropy tokens; n_owner_specific and
-    n_copied say how many of them are under at most and over ``max_owners``
-    owners. No rows: none. Other columns are ignored.
+    spans and the owner-specific high-entropy tokens. A value is copied if it
+    is under more than ``max_owners`` owners or in more than
+    ``max_repositories`` repositories; n_copied counts such spans,
+    n_owner_specific the others that look live. No rows: none. Other columns
+    are ignored.
     """
     found = scanned(docs, owner, repository)
     each = found.where("size(spans) > 0").select("row", F.explode("spans").alias("s"))
-    judged = each.join(ownership(found).select("hash", (F.col("n_owners") <= max_owners).alias("specific")), F.col("s.hash") == F.col("hash"))
-    judged = judged.where("s.kind < 3 or specific").groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("all"), F.count_if("specific").alias("n_owner_specific"), F.count_if(~F.col("specific")).alias("n_copied"))
+    owned = written(ownership(found).select(F.col("hash").alias("value"), "n_found", ((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).alias("specific")), "owned")
+    judged = salted_join(each.withColumn("value", F.col("s.hash")), owned, ["value"], "n_found", ["row"])
+    judged = judged.where("s.kind < 3 or specific").groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("all"), F.count_if(F.expr("specific and s.live")).alias("n_owner_specific"), F.count_if(~F.col("specific")).alias("n_copied"))
     spans = F.coalesce("all", F.array().cast(_SPAN))
     base = F.filter(spans, lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long")
-    return found.drop("spans").join(judged, "row", "left").select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), base.alias("base"), spans.alias("spans"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_owner_specific", "n_copied")))
+    out = found.drop("spans").join(judged, "row", "left").select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), base.alias("base"), spans.alias("spans"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_owner_specific", "n_copied")))
+    out = written(out, "secrets")
+    dropped(found, owned)
+    return out
 
 
 def written_out(spans):

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import lean
+from threadloom.llm._store import dropped, lean, written
 from threadloom.llm._words import Words, mix, slices
 
 #: Labelled documents learned from at most (in expectation), chosen by a hash of their id.
@@ -237,7 +237,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     labels = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").alias("labelled"), "toxic")
     share = min(1.0, sample_docs / max(labels.count(), 1))
     drawn = labels.where(F.pmod(F.xxhash64("labelled"), F.lit(1_000_003)) / 1_000_003 < share).groupBy("labelled").agg(F.max("toxic").alias("toxic"))
-    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled")).groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").cache()
+    sample = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), F.col("doc_id") == F.col("labelled")).groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic")
+    sample = written(sample, "sample")
     try:
         sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
         n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
@@ -247,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
         lexicon = Lexicon(np.array([r.feature for r in kept], np.int64).view(_U), np.array([r.odds for r in kept], float))
         rows = sample.mapInArrow(lean(_evidence_of(spark.sparkContext.broadcast(lexicon))), "toxic int, n long, pos array<long>, evidence array<double>").collect()
     finally:
-        sample.unpersist()
+        dropped(sample)
     size = np.array([len(r.pos) for r in rows])
     if not size.sum():
         rate = (n1 + 0.5) / (n1 + n0 + 1)
@@ -285,7 +286,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (doc_id, text, ...) -> (doc_id, score, predicted, spans), a row for each input row.
 
     ``spans`` lists the words of a toxic marginal of 0.5 or more as start:end
-    in code points of the lower-cased text. Null or empty texts get the score
+    in code points of the text (lower-casing here keeps their number). Null or empty texts get the score
     of a text without evidence. Rows that repeat a doc_id stay apart. No rows:
     none. Other columns are ignored.
     """
