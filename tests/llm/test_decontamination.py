@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from threadloom.llm import decontamination as dc
 
 
@@ -49,9 +50,9 @@ def test_recall_against_brute_force(spark):
             if distance(a, b) <= dc.edits_allowed(len(a)):
                 want.add((d, i))
     rows = [(d, t, "x", 0) for d, t in docs] + [(900, None, "", 0), (901, "", "", 0), (None, items[0][1], "", 0), (902, "long " * 100_000 + items[1][1], "", 0), (3, docs[3][1], "", 0)]
-    found = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string, item_id string, edits int"), spark.createDataFrame([(i, t, 1) for i, t in items] + [(50, None, 1), (51, "", 1), (52, "tiny", 1)], "item_id long, text string, doc_id int"))
+    found = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string, item_id string, edits int"), spark.createDataFrame([(i, t, 1) for i, t in items] + [(50, None, 1), (51, "", 1), (52, "tinyzz", 1)], "item_id long, text string, doc_id int"))
     pairs = {(r.doc_id, r.item_id) for r in found.collect()}
-    assert pairs - {(None, 0), (902, 1)} <= want and len(pairs & want) >= 0.95 * len(want) > 30
+    assert pairs - {(None, 0), (902, 1)} <= want and len(pairs & want) >= 0.99 * len(want) > 30
     assert {(None, 0), (902, 1)} <= pairs
 
 
@@ -77,7 +78,7 @@ def test_long_items_near_the_limit_are_found():
         items, texts = dc.Items([(1, item)]), []
         for _ in range(copies):
             passage = list(item)
-            for at in rng.sample(range(n), dc.edits_allowed(n)):
+            for at in rng.sample(range(n), dc.edits_allowed(n)):  # each a deletion, insertion or substitution
                 passage[at] = rng.choice(["", "0", passage[at] + "1"])
             texts.append(word(200) + "".join(passage) + word(200))
         assert {m[0] for m in items.matches(pa.array(texts))} == set(range(copies))
@@ -88,3 +89,36 @@ def test_rows_are_dropped_by_their_own_text(spark):
     docs = spark.createDataFrame([(None, f"see {item} here"), (1, f"{item}."), (1, "clean"), (None, "clean too"), (2, None)], "doc_id long, text string")
     left = dc.decontaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
     assert sorted(map(tuple, left), key=str) == sorted([(1, "clean"), (None, "clean too"), (2, None)], key=str)
+
+
+def test_recall_of_the_tables_at_the_limit():
+    """Copies with all edits allowed, over lengths that have tables: at least 0.99 are found, as brute force has them."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    chars = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz    ", np.uint8)
+    found = wanted = with_tables = 0
+    for n in (12, 21, 31, 45, 81, 120, 200, 394):
+        items = [bytes(rng.choice(chars, n)) for _ in range(5)]
+        block = dc.Items([(k, t.decode()) for k, t in enumerate(items)])
+        with_tables += sum(x is not None for x in block.tables)
+        texts = []
+        for k in range(100):
+            row = np.frombuffer(items[k % 5], np.uint8)
+            passage = dc._edited(row, rng).tobytes().rstrip(b"\0")
+            texts.append((bytes(rng.choice(chars, 60)) + passage + bytes(rng.choice(chars, 60))).decode())
+        pairs = {(d, i) for d, i, _, _ in block.matches(pa.array(texts))}
+        want = {(d, d % 5) for d, t in enumerate(texts) if dc.search(items[d % 5], t.encode(), dc.edits_allowed(n))[0] <= dc.edits_allowed(n)}
+        assert all(dc.search(items[i], texts[d].encode(), n)[0] <= dc.edits_allowed(n) for d, i in pairs)
+        found, wanted = found + len(pairs & want), wanted + len(want)
+    assert with_tables >= 20 and wanted > 500 and found >= 0.99 * wanted
+
+
+def test_short_items():
+    """Items of any length have more pieces than edits; those under ten bytes are found as they are."""
+    import pyarrow as pa
+
+    assert all(n // dc.seed_bytes(n) > dc.edits_allowed(n) for n in range(1, 3000))
+    items = dc.Items([(1, "q"), (2, "ab cd"), (3, "twelve bytes"), (4, "İx stands here")])
+    got = {m[:3] for m in items.matches(pa.array(["abQ", "xab cdx", "twelve bites", "nothing", "so İX stands her", None]))}
+    assert got == {(0, 0, 0), (1, 1, 0), (2, 2, 1), (4, 3, 1)}

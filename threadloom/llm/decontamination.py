@@ -3,12 +3,18 @@
 An item is in a document if some passage of the document is within
 floor(RATE * bytes) edits of it, both in lower case, counted in UTF-8 bytes.
 
-1. An item of N bytes is cut into N // SEED pieces of SEED bytes. In such a
-   passage at most one piece is lost per edit, and the others stand within
-   that many places of one diagonal; item-sized windows are opened only where
-   so many pieces do. This loses none.
-2. Every such window is verified by an exact bit-parallel edit distance over
-   the whole window, so nothing is lost at any item length.
+1. An item is cut into pieces, more of them than edits. In such a passage at
+   most one piece is lost per edit, and the others stand within that many
+   places of one diagonal; item-sized windows are opened only where so many
+   pieces do. This loses none.
+2. CGK random walks embed windows and items, so that few edits become few
+   mismatches. Samples of positions of the embeddings are compared in as many
+   tables as reach RECALL for copies with all edits allowed; the mismatch rates
+   of such copies are measured for each length when the items are read. Where
+   MOST_TABLES do not reach it, or an item is longer than LONGEST_WALK, its
+   windows skip this step.
+3. What is left is verified by an exact bit-parallel edit distance over the
+   whole windows, neighbouring ones as one.
 
 Documents never meet each other, so no key can be hot. Benchmark items are
 broadcast in blocks of at most BLOCK_BYTES of text.
@@ -17,6 +23,7 @@ broadcast in blocks of at most BLOCK_BYTES of text.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +34,15 @@ from pyspark.sql import functions as F
 from threadloom.llm._store import lean
 from threadloom.llm._words import raw, slices
 
-RATE, SEED = 0.1, 8
-#: Shortest item searched for: any shorter one has no seed of its own.
-MIN_BYTES = SEED
+#: Edits for each byte of an item, and bytes of a piece; short items that this gives too few pieces have pieces of SHORT_SEED bytes.
+RATE, SEED, SHORT_SEED = 0.1, 8, 5
+#: Share of the copies at the limit that meet their item in some table; walks, sizes of a table's sample to choose from, tables at most, copies measured.
+RECALL, WALKS, SAMPLED, MOST_TABLES, COPIES = 0.999, 4, (6, 4, 3, 2), 64, 48
+#: Longest item that is embedded: walks take 3 KB for each byte of it.
+LONGEST_WALK = 4096
 BLOCK_BYTES = 8 << 20
-#: Bytes of text searched at once.
-SLICE = 4 << 20
+#: Bytes of text searched at once, and windows embedded at once.
+SLICE, WINDOWS = 4 << 20, 512
 
 _U = np.uint64
 _BITS = 20
@@ -40,16 +50,14 @@ _FACTOR = _U(0x9E3779B97F4A7C15)
 
 
 def edits_allowed(n: int, rate: float = RATE) -> int:
-    """Fewer than there are pieces, by one in nine at least."""
-    return max(0, min(int(rate * n), (n // SEED) * 8 // 9 - 1))
+    return int(rate * n)
 
 
-def _windows(buf: np.ndarray) -> np.ndarray:
-    """The SEED bytes from each position on, as one number."""
-    w = buf.astype(_U)
-    for step in (1, 2, 4):
-        w = (w[:-step] << _U(8 * step)) | w[step:]
-    return w
+def seed_bytes(n: int) -> int:
+    """Bytes of the pieces of an item of ``n`` bytes: of those there are more than edits."""
+    if n < SEED:
+        return max(n, 1)
+    return SEED if n // SEED > edits_allowed(n) else SHORT_SEED
 
 
 def search(item: bytes, text: bytes, most: int) -> tuple[int, int]:
@@ -82,66 +90,176 @@ def search(item: bytes, text: bytes, most: int) -> tuple[int, int]:
     return best, at
 
 
-class Items:
-    """Seeds of one block of benchmark items."""
+def _lower(texts: pa.Array) -> pa.Array:
+    return pc.utf8_lower(texts)
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.texts = [], []
-        for item_id, text in items:
-            data = text.lower().encode()
-            if len(data) >= MIN_BYTES:
-                self.ids.append(item_id)
-                self.texts.append(data)
-        self.edits = [edits_allowed(len(t)) for t in self.texts]
-        seeds = []
-        for i, t in enumerate(self.texts):
-            seeds += [(int.from_bytes(t[at : at + SEED], "big"), i, at) for at in range(0, len(t) - SEED + 1, SEED)]
-        seeds.sort()
-        self.needed = np.array([len(t) // SEED - k for t, k in zip(self.texts, self.edits)], np.int64)
-        self.band = np.array(self.edits, np.int64)
-        self.seed = np.array([s[0] for s in seeds], _U)
-        self.item, self.offset = (np.array([s[k] for s in seeds], np.int64) for k in (1, 2))
+
+@lru_cache(maxsize=1)
+def _steps() -> np.ndarray:
+    """[walk, step, byte]: whether a walk goes on after this byte at this step."""
+    return np.random.default_rng(20240310).integers(0, 2, (WALKS, 3 * LONGEST_WALK, 256), dtype=np.uint8)
+
+
+def embedded(rows: np.ndarray) -> np.ndarray:
+    """[walk, step, row]: CGK embeddings of rows of bytes, zeros behind their ends; three steps a byte."""
+    count, n = rows.shape
+    flat = np.concatenate([rows, np.zeros((count, 3 * n + 1 - n), np.uint8)], axis=1).reshape(-1)
+    base = np.arange(count) * (3 * n + 1)
+    out = np.zeros((WALKS, 3 * n, count), np.uint8)
+    for walk in range(WALKS):
+        go, at = _steps()[walk], base.copy()
+        for j in range(3 * n):
+            c = flat[at]
+            out[walk, j] = c
+            at += go[j][c]
+    return out
+
+
+def _edited(item: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A copy with all edits allowed, as substitutions, insertions and deletions at random places, cut or filled to the item's length."""
+    out = item.tolist()
+    for _ in range(edits_allowed(len(item))):
+        at, kind = int(rng.integers(len(out))), int(rng.integers(3))
+        if kind == 0:
+            out[at] = int(rng.integers(97, 123))
+        elif kind == 1:
+            out.insert(at, int(rng.integers(97, 123)))
+        elif len(out) > 1:
+            del out[at]
+    out = (out + [0] * len(item))[: len(item)]
+    return np.array(out, np.uint8)
+
+
+def tables_for(item: bytes) -> tuple[int, int]:
+    """(bytes of a sample, tables in each walk) that bring copies of this item at the limit together with probability RECALL; (0, 0) if none of those allowed do."""
+    rng = np.random.default_rng(len(item))
+    row = np.frombuffer(item, np.uint8)
+    walked = embedded(np.stack([row, *(_edited(row, rng) for _ in range(COPIES))]))
+    same = (walked[:, :, 1:] == walked[:, :, :1]).mean(axis=1)  # [walk, copy]
+    for sampled in SAMPLED:
+        miss = 1 - same**sampled
+        for each in range(1, MOST_TABLES // WALKS + 1):
+            if 1 - (miss**each).prod(axis=0).mean() >= RECALL:
+                return sampled, each
+    return 0, 0
+
+
+class Seeds:
+    """Pieces of one size of some items, and where enough of an item's stand together."""
+
+    def __init__(self, size: int, items: list[tuple[int, bytes]]):
+        self.size = size
+        found = sorted((int.from_bytes(t[at : at + size], "big"), i, at) for i, t in items for at in range(0, len(t) - size + 1, size))
+        self.seed = np.array([x[0] for x in found], _U)
+        self.item, self.offset = (np.array([x[k] for x in found], np.int64) for k in (1, 2))
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.seed * _FACTOR) >> _U(64 - _BITS)] = True
-        self.longest = max(map(len, self.texts), default=0)
 
-    def candidates(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """(text, item, window start) where enough pieces of the item stand near one diagonal."""
-        if len(buf) < SEED or not len(self.seed):
-            return []
-        w = _windows(buf)
+    def near(self, buf: np.ndarray, at: np.ndarray, edits: np.ndarray, needed: np.ndarray, longest: int) -> np.ndarray:
+        """(text, item, window start), sorted, where enough pieces of the item stand near one diagonal."""
+        none = np.zeros((0, 3), np.int64)
+        if len(buf) < self.size:
+            return none
+        w = np.zeros(len(buf) - self.size + 1, _U)
+        for k in range(self.size):
+            w = (w << _U(8)) | buf[k : k + len(w)]
         hit = np.flatnonzero(self.bits[(w * _FACTOR) >> _U(64 - _BITS)])
         lo, hi = np.searchsorted(self.seed, w[hit], "left"), np.searchsorted(self.seed, w[hit], "right")
         n = hi - lo
         hit, which = np.repeat(hit, n), np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         doc = np.searchsorted(at, hit, "right") - 1
-        inside = hit + SEED <= at[doc + 1]
+        inside = hit + self.size <= at[doc + 1]
         hit, which, doc = hit[inside], which[inside], doc[inside]
         item, diagonal = self.item[which], hit - self.offset[which]
-        width = len(buf) + 2 * self.longest + 1
-        group = doc * len(self.ids) + item
-        order = np.argsort(group * width + diagonal + self.longest, kind="stable")
+        group = doc * len(edits) + item
+        order = np.lexsort((diagonal, group))
         group, item, doc, diagonal = group[order], item[order], doc[order], diagonal[order]
-        other = np.arange(len(order)) + self.needed[item] - 1
+        other = np.arange(len(order)) + needed[item] - 1
         inside = other < len(order)
         other = np.minimum(other, len(order) - 1)
-        near = np.flatnonzero(inside & (group[other] == group) & (diagonal[other] - diagonal <= self.band[item]))
-        return np.unique(np.stack([doc[near], item[near], diagonal[near]], axis=1), axis=0) if len(near) else []
+        near = np.flatnonzero(inside & (group[other] == group) & (diagonal[other] - diagonal <= edits[item])) if len(order) else none[:, 0]
+        return np.unique(np.stack([doc[near], item[near], diagonal[near]], axis=1), axis=0) if len(near) else none
+
+
+class Items:
+    """Seeds and embeddings of one block of benchmark items."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        lowered = _lower(pa.array([t for _, t in items], pa.string())).to_pylist()
+        both = [(i, t.encode()) for (i, _), t in zip(items, lowered) if t]
+        self.ids, self.texts = [i for i, _ in both], [t for _, t in both]
+        self.edits = np.array([edits_allowed(len(t)) for t in self.texts], np.int64)
+        sizes = [seed_bytes(len(t)) for t in self.texts]
+        self.needed = np.array([len(t) // s for t, s in zip(self.texts, sizes)], np.int64) - self.edits
+        self.seeds = [Seeds(s, [(i, t) for i, t in enumerate(self.texts) if sizes[i] == s]) for s in sorted(set(sizes))]
+        self.longest = max(map(len, self.texts), default=0)
+        #: By item: positions [walk, table, sample] of its tables and its own bytes there, or None.
+        self.tables: list[tuple | None] = []
+        measured: dict[int, tuple[int, int]] = {}
+        for t in self.texts:
+            n = len(t)
+            if not SEED < n <= LONGEST_WALK or not edits_allowed(n):
+                self.tables.append(None)
+                continue
+            if n not in measured:
+                measured[n] = tables_for(t)
+            sampled, each = measured[n]
+            if not sampled:
+                self.tables.append(None)
+                continue
+            at = np.random.default_rng([7, n]).integers(0, 3 * n, (WALKS, each, sampled))
+            walked = embedded(np.frombuffer(t, np.uint8)[None])[:, :, 0]
+            self.tables.append((at, np.take_along_axis(walked, at.reshape(WALKS, -1), 1).reshape(at.shape)))
+
+    def meet(self, item: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Which windows (bytes, zeros behind the item's size) meet their item in some table."""
+        walked = embedded(rows)
+        met = np.zeros(len(rows), bool)
+        for i in np.unique(item).tolist():
+            at, own = self.tables[i]
+            mine = np.flatnonzero(item == i)
+            for walk in range(WALKS):
+                met[mine] |= (walked[walk][at[walk]][:, :, mine] == own[walk][:, :, None]).all(axis=1).any(axis=0)
+        return met
+
+    def candidates(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """(text, item, window start), sorted, of the windows to verify."""
+        found = [s.near(buf, at, self.edits, self.needed, self.longest) for s in self.seeds]
+        found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        keep = np.ones(len(found), bool)
+        size = np.array([len(t) for t in self.texts], np.int64)[found[:, 1]]
+        gated = np.flatnonzero(np.array([x is not None for x in self.tables], bool)[found[:, 1]])
+        gated = gated[np.lexsort((found[gated, 1], size[gated]))]
+        for k in range(0, len(gated), WINDOWS):
+            some = gated[k : k + WINDOWS]
+            n = np.arange(size[some].max())
+            where = found[some, 2][:, None] + n
+            inside = (n < size[some][:, None]) & (where >= at[found[some, 0]][:, None]) & (where < at[found[some, 0] + 1][:, None])
+            keep[some] = self.meet(found[some, 1], np.where(inside, buf[np.clip(where, 0, len(buf) - 1)], 0).astype(np.uint8))
+        found = found[keep]
+        return found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
         """(text, item, edits, code point at which the best passage ends), one for each pair found."""
-        buf, at = raw(pc.utf8_lower(texts))
+        buf, at = raw(_lower(texts))
         found = self.candidates(buf, at)
-        out: dict[tuple[int, int], tuple[int, int]] = {}
         if not len(found):
             return []
-        for doc, i, start in found.tolist():
-            n, k, item = len(self.texts[i]), self.edits[i], self.texts[i]
-            lo, hi = max(start - k, int(at[doc])), min(start + n + k, int(at[doc + 1]))
-            edits, stop = search(item, buf[lo:hi].tobytes(), k)
-            if edits <= k and edits < out.get((doc, i), (k + 1,))[0]:
-                out[doc, i] = edits, len(buf[int(at[doc]) : lo + stop].tobytes().decode(errors="ignore"))
-        return [(doc, i, edits, stop) for (doc, i), (edits, stop) in out.items()]
+        doc, item, start = found.T
+        # windows of one text and item that overlap are read as one
+        size = np.array([len(t) for t in self.texts])[item]
+        new = np.ones(len(found), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size[1:])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(found)) - 1
+        out: dict[tuple[int, int], tuple[int, int]] = {}
+        for d, i, begin, end in zip(doc[first].tolist(), item[first].tolist(), start[first].tolist(), start[last].tolist()):
+            text, k = self.texts[i], int(self.edits[i])
+            lo, hi = max(begin - k, int(at[d])), min(end + len(text) + k, int(at[d + 1]))
+            edits, stop = search(text, buf[lo:hi].tobytes(), k)
+            if edits <= k and edits < out.get((d, i), (k + 1,))[0]:
+                out[d, i] = edits, len(buf[int(at[d]) : lo + stop].tobytes().decode(errors="ignore"))
+        return [(d, i, edits, stop) for (d, i), (edits, stop) in out.items()]
 
 
 def _search(shared):
@@ -162,10 +280,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, edits, passage_end): every benchmark item found in a document, once with its best passage.
 
     ``docs`` (doc_id, text, ...), ``benchmark`` (item_id, text, ...). Null or
-    empty texts hold and are nothing; items of under MIN_BYTES bytes are not
-    searched for; the shortest items must occur unedited. Equal
-    items, and rows that repeat a doc_id, are reported each. passage_end counts
-    code points of the lower-cased text. Other columns are ignored.
+    empty texts hold and are nothing; items of under ten bytes must occur
+    unedited. Equal items, and rows that repeat a doc_id, are reported each.
+    passage_end counts code points of the text (lower-casing here keeps their
+    number). Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
