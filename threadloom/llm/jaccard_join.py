@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.llm._graph import components
+from threadloom.llm._hot import salted_join
 from threadloom.llm._store import dropped, lean, written
 from threadloom.llm._words import Words, mix, slices
 
@@ -279,7 +280,7 @@ def _id_bits(ids: DataFrame) -> np.ndarray:
 
 
 def checked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose whole sets link, written. Only texts that some pair needs are shuffled, once for both sides; texts are smaller than sets."""
+    """The pairs (a, b) of ``pairs`` whose whole sets link, written. Only texts that some pair needs are shuffled, a group's head as often as its pairs fill tasks; texts are smaller than sets."""
     spark = docs.sparkSession
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
     slim = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
@@ -288,14 +289,13 @@ def checked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     else:
         wanted = slim.join(ids, "node", "left_semi")
     texts = written(wanted, "texts")
-    placed = texts.repartition("node")
-    found = (
-        pairs.join(placed.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        .join(placed.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        .select("a", "b", "ta", "tb").mapInArrow(lean(_linked), "a long, b long").distinct()
-    )
+    # each b has few pairs, an a may have those of a large group
+    counts = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")), "counts")
+    right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    both = salted_join(right, texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).join(counts.select("a"), "a", "left_semi"), ["a"], counts, "pairs", ["b"])
+    found = both.select("a", "b", "ta", "tb").mapInArrow(lean(_linked), "a long, b long").distinct()
     found = written(found, name)
-    dropped(texts, ids)
+    dropped(texts, ids, counts)
     return found
 
 

@@ -43,7 +43,7 @@ def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES, margin: float = M
     sketched = written(lines.groupBy("h", "g").agg(F.hll_sketch_agg("site", F.lit(LOG_K)).alias("sites"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites).select("h", "g", F.hll_sketch_estimate("sites").cast("double").alias("about"), "n"), "sketched")
     sure = sketched.where(F.col("about") > min_sites * (1 + margin)).select("h", "g", F.round("about").cast("long").alias("n_sites"), "n")
     near = written(sketched.where(F.col("about").between(min_sites * (1 - margin), min_sites * (1 + margin))).select("h", "g", "n"), "near")
-    pairs = salted_join(lines.select("h", "g", "site"), near, ["h", "g"], "n", ["site"]).groupBy("h", "g", "n", "site").agg(F.count(F.lit(1)).alias("rows"))
+    pairs = salted_join(lines.select("h", "g", "site"), near, ["h", "g"], near, "n", ["site"]).groupBy("h", "g", "n", "site").agg(F.count(F.lit(1)).alias("rows"))
     exact = pairs.groupBy("h", "g", "n").agg(F.count(F.lit(1)).alias("n_sites")).where(F.col("n_sites") >= min_sites)
     out = written(sure.unionByName(exact), "spread")
     dropped(sketched, near)
@@ -63,7 +63,7 @@ def without_spread_lines(docs: DataFrame, site: str = "source", min_sites: int =
     keyed = rows.withColumn("row", F.xxhash64("doc_id", "site", "text")).withColumn("row2", F.hash("text", "doc_id", "site"))
     lines = _each_line(keyed)
     spread = spread_lines(lines, min_sites)
-    hits = salted_join(lines.drop("site"), spread.select("h", "g", "n"), ["h", "g"], "n", ["row"]).groupBy("row", "row2").agg(F.collect_set("pos").alias("drop"))
+    hits = salted_join(lines.drop("site"), spread.select("h", "g"), ["h", "g"], spread, "n", ["row"]).groupBy("row", "row2").agg(F.collect_set("pos").alias("drop"))
     hit = keyed.join(hits, ["row", "row2"], "left")
     every = _lines(F.col("text"))
     kept = F.filter(every, lambda line, i: ~F.coalesce(F.array_contains("drop", i), F.lit(False)))

@@ -108,7 +108,7 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
     found = scanned(docs, owner, repository)
     each = found.where("size(spans) > 0").select("row", F.explode("spans").alias("s"))
     owned = written(ownership(found).select(F.col("hash").alias("value"), "n_found", ((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)).alias("specific")), "owned")
-    judged = salted_join(each.withColumn("value", F.col("s.hash")), owned, ["value"], "n_found", ["row"])
+    judged = salted_join(each.withColumn("value", F.col("s.hash")), owned, ["value"], owned, "n_found", ["row"])
     judged = judged.where("s.kind < 3 or specific").groupBy("row").agg(F.array_sort(F.collect_list("s")).alias("all"), F.count_if(F.expr("specific and s.live")).alias("n_owner_specific"), F.count_if(~F.col("specific")).alias("n_copied"))
     spans = F.coalesce("all", F.array().cast(_SPAN))
     base = F.filter(spans, lambda s: s["kind"] < 3)
