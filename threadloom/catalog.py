@@ -441,14 +441,12 @@ def _(spark, sf_dir):
 
 @_query("rp01_context_reports")
 def _(spark, sf_dir):
-    found = _classified(spark, sf_dir)
-    rows = analysis.analyze(found, window=CONTEXT_WINDOW)
+    rows = analysis.analyze_with_consumers(_classified(spark, sf_dir), window=CONTEXT_WINDOW)
     action, reason = policy.decided(F.lit(False))
-    state = config.with_thresholds(rows.withColumn("model", F.lit("any/model")), config.DEFAULTS).select("session_id", F.lit(0).alias("pins"), F.lit(0).alias("compactions"), F.lit(False).alias("checkpoint_fresh"), action.alias("action"), reason.alias("reason"))
-    return reports.context_reports(rows, found, state)
+    rows = config.with_thresholds(rows.withColumn("model", F.lit("any/model")), config.DEFAULTS)
+    return reports.context_reports(rows.withColumns({"action": action, "reason": reason}))
 
 
 @_query("rp02_clean_reports")
 def _(spark, sf_dir):
-    acted = _acted(spark, sf_dir)
-    return reports.clean_reports(analysis.analyze(acted, window=CONTEXT_WINDOW), acted)
+    return reports.clean_reports(_acted(spark, sf_dir), window=CONTEXT_WINDOW)

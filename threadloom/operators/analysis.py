@@ -15,14 +15,17 @@ def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
 
 
-def analyze(items: DataFrame, usage: DataFrame | None = None, window: int = 200_000, stub_min: int = 50) -> DataFrame:
-    """(session_id, raw_tokens, tokens by class, total_tokens, usable_tokens, pressure, quality, reclaimable_tokens, message_count).
-
-    ``usage`` (session_id, tokens, context_window, max_tokens, ratio) may give a
-    session's reported tokens, its model's window and its calibration.
-    """
+def class_sums(stub_min: int = 50) -> list[Column]:
+    """Sums over classified items that ``measured`` needs, by name."""
     sums = [F.sum(F.when(F.col("class") == c, F.col("estimated_tokens")).otherwise(0)).alias(f"{c}_tokens") for c in CLASSES]
-    per = items.groupBy("session_id").agg(F.sum("estimated_tokens").alias("raw_tokens"), *sums, F.sum(tk.reclaimable(stub_min)).alias("reclaimable_tokens"), F.count(F.lit(1)).alias("message_count"))
+    return [F.sum("estimated_tokens").alias("raw_tokens"), *sums, F.sum(tk.reclaimable(stub_min)).alias("reclaimable_tokens"), F.count(F.lit(1)).alias("message_count")]
+
+
+SUMS = ("raw_tokens", *(f"{c}_tokens" for c in CLASSES), "reclaimable_tokens", "message_count")
+
+
+def measured(per: DataFrame, usage: DataFrame | None = None, window: int = 200_000) -> DataFrame:
+    """Sums per session with total_tokens, usable_tokens, pressure and quality."""
     if usage is not None:
         per = per.join(usage.select("session_id", "tokens", "context_window", "max_tokens", "ratio"), "session_id", "left")
     else:
@@ -35,6 +38,15 @@ def analyze(items: DataFrame, usage: DataFrame | None = None, window: int = 200_
     return per.withColumn("pressure", clamp(F.col("total_tokens") / F.col("usable_tokens"), 0.0, 2.0)).withColumn("quality", clamp(quality, 0.0, 1.0)).drop("tokens", "context_window", "max_tokens", "ratio")
 
 
+def analyze(items: DataFrame, usage: DataFrame | None = None, window: int = 200_000, stub_min: int = 50) -> DataFrame:
+    """(session_id, raw_tokens, tokens by class, total_tokens, usable_tokens, pressure, quality, reclaimable_tokens, message_count).
+
+    ``usage`` (session_id, tokens, context_window, max_tokens, ratio) may give a
+    session's reported tokens, its model's window and its calibration.
+    """
+    return measured(items.groupBy("session_id").agg(*class_sums(stub_min)), usage, window)
+
+
 def calibration(samples: DataFrame, window: int = 20) -> DataFrame:
     """(session_id, turn, reported, estimated) with ratio: the mean of reported / estimated over the last ``window`` turns that have both, 1 before any."""
     good = (F.col("reported") > 0) & (F.col("estimated") > 0)
@@ -45,19 +57,32 @@ def calibration(samples: DataFrame, window: int = 20) -> DataFrame:
     return rows.withColumn("ratio", F.coalesce(F.avg(value).over(seen), F.lit(1.0))).drop("n")
 
 
-def largest_consumers(items: DataFrame, n: int = 5) -> DataFrame:
-    """(session_id, rank, label, tokens): results by tool and file, most tokens first; ties by first seen."""
-    rows = items.where(F.col("type").isin("tool-result", "bash"))
+def consumer_label() -> Column:
+    """What a result counts as: its tool and file; null for other items."""
     label = F.concat(
         F.coalesce("source", F.lit("tool")),
         F.coalesce(F.concat(F.lit(":"), F.try_element_at("related_files", F.lit(1))), F.lit("")),
         F.when(F.arrays_overlap("tags", F.array(F.lit("superseded-read"), F.lit("duplicate-search"))), " (old)").otherwise(""),
     )
-    sums = rows.groupBy("session_id", label.alias("label")).agg(F.sum("estimated_tokens").alias("tokens"), F.min("message_index").alias("first"))
+    return F.when(F.col("type").isin("tool-result", "bash"), label)
+
+
+def largest_consumers(items: DataFrame, n: int = 5) -> DataFrame:
+    """(session_id, rank, label, tokens): results by tool and file, most tokens first; ties by first seen."""
+    sums = items.withColumn("label", consumer_label()).where("label is not null").groupBy("session_id", "label").agg(F.sum("estimated_tokens").alias("tokens"), F.min("message_index").alias("first"))
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("tokens"), "first"))
     return sums.withColumn("rank", rank).where(F.col("rank") <= n).select("session_id", "rank", "label", "tokens")
 
 
+def analyze_with_consumers(items: DataFrame, window: int = 200_000, stub_min: int = 50, n: int = 5) -> DataFrame:
+    """``analyze`` with top (array of rank, label, tokens): the largest consumers, from one pass over the items."""
+    by = items.withColumn("label", consumer_label()).groupBy("session_id", "label").agg(*class_sums(stub_min), F.sum("estimated_tokens").alias("tokens"), F.min("message_index").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.col("label").isNull(), F.desc("tokens"), "first"))
+    top = F.when(F.col("label").isNotNull() & (F.col("rank") <= n), F.struct("rank", "label", "tokens"))
+    per = by.withColumn("rank", rank).groupBy("session_id").agg(*(F.sum(c).alias(c) for c in SUMS), F.array_sort(F.collect_list(top)).alias("top"))
+    return measured(per, None, window)
+
+
 def last_user_text(messages: DataFrame) -> DataFrame:
     """(session_id, text) of the last user message."""
     users = messages.where(F.col("role") == "user").withColumn("text", tk.message_text())

@@ -8,36 +8,47 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as tx
 from threadloom.functions import tokens as tk
 from threadloom.functions.rows import once
-from threadloom.operators.analysis import goals
 
-MAX_TOOL, MAX_TOTAL, MAX_SUMMARY, MAX_ARGUMENTS = 400, 120_000, 4000, 200
+MAX_TOOL, MAX_TOTAL, MAX_SUMMARY, MAX_ARGUMENTS, MAX_GOAL = 400, 120_000, 4000, 200, 2000
+
+
+def _beginning(text: Column, most: int, mark: str) -> Column:
+    """``text``, trimmed, or as much of it as ``most`` characters hold and a mark; what lies beyond is only looked at for anything but white space."""
+    text = F.regexp_replace(text, rf"^{tx.SPACE}+", "")
+    more = F.coalesce(F.substring(text, F.lit(most + 1), F.length(text)).rlike(f"[^{tx.SPACE[1:-1]}]"), F.lit(False))
+    begin = F.substring(text, 1, most)
+    return F.when(more, F.concat(begin, F.lit(mark))).otherwise(tx.trim(begin))
 
 
 def _section(max_tool: int) -> Column:
-    role, said = F.col("role"), tx.trim(tk.message_text())
-    cut = lambda t, mark: F.when(F.length(t) > max_tool, F.concat(F.substring(t, 1, max_tool), F.lit(mark))).otherwise(t)
+    """What a row with its text as ``said`` gives."""
+    role, said, shown = F.col("role"), tx.trim(F.col("said")), _beginning(F.col("said"), max_tool, " …[truncated]")
     line = lambda t: F.replace(t, F.lit("\n"), F.lit(" "))
     calls = F.transform(F.filter("blocks", lambda b: b["type"] == "toolCall"), lambda b: F.concat(F.lit("Tool "), F.coalesce(b["name"], F.lit("?")), F.lit(" "), F.substring(F.coalesce(b["arguments_json"], F.lit("{}")), 1, MAX_ARGUMENTS)))
     spoken = F.concat(F.when(said != "", F.array(F.concat(F.lit("Assistant: "), said))).otherwise(F.array().cast("array<string>")), F.coalesce(calls, F.array().cast("array<string>")))
-    out, summary = tx.trim(F.coalesce("output", F.lit(""))), tx.trim(F.coalesce("summary", F.lit("")))
+    out, summary = _beginning(F.coalesce("output", F.lit("")), max_tool, " …"), tx.trim(F.coalesce("summary", F.lit("")))
     failed = F.when(F.coalesce("exit_code", F.lit(0)) != 0, F.concat(F.lit(" [exit "), F.col("exit_code").cast("string"), F.lit("]"))).otherwise("")
     return (
         F.when(role == "user", F.when(said != "", F.concat(F.lit("User: "), said)))
         .when(role == "assistant", F.when(F.size(spoken) > 0, F.array_join(spoken, "\n")))
-        .when(role == "toolResult", F.when(said != "", F.concat(F.lit("Result("), F.coalesce("tool_name", F.lit("tool")), F.when(F.coalesce("is_error", F.lit(False)), " [ERROR]").otherwise(""), F.lit("): "), line(cut(said, " …[truncated]")))))
-        .when(role == "bashExecution", F.concat(F.lit("Bash("), F.coalesce("command", F.lit("")), F.lit("): "), line(cut(out, " …")), failed))
+        .when(role == "toolResult", F.when(shown != "", F.concat(F.lit("Result("), F.coalesce("tool_name", F.lit("tool")), F.when(F.coalesce("is_error", F.lit(False)), " [ERROR]").otherwise(""), F.lit("): "), line(shown))))
+        .when(role == "bashExecution", F.concat(F.lit("Bash("), F.coalesce("command", F.lit("")), F.lit("): "), line(out), failed))
         .when(role == "compactionSummary", F.when(summary != "", F.concat(F.lit("[Earlier compaction summary]: "), F.substring(summary, 1, MAX_SUMMARY))))
     )
 
 
 def serialized(messages: DataFrame, pins: DataFrame | None = None, max_tool: int = MAX_TOOL, max_total: int = MAX_TOTAL) -> DataFrame:
-    """(session_id, text): the session by section; beyond ``max_total`` characters its goal, its active pins and as much of its end as fits."""
-    parts = messages.select("session_id", "message_index", _section(max_tool).alias("s")).where("s is not null")
-    body = parts.groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "s"))), lambda x: x["s"]), "\n\n").alias("body"))
-    rows = messages.select("session_id").distinct().join(body, "session_id", "left").join(goals(messages), "session_id", "left").withColumn("body", F.coalesce("body", F.lit("")))
+    """(session_id, text): the session by section; beyond ``max_total`` characters its goal, its active pins and as much of its end as fits. One pass over the messages."""
+    parts = once(once(messages, "said", tk.message_text()), "s", _section(max_tool))
+    asked = F.when(F.col("role") == "user", F.nullif(tx.trim(F.col("said")), F.lit("")))
+    parts = parts.select("session_id", "message_index", "s", asked.alias("asked"))
+    rows = parts.groupBy("session_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("message_index", "s")))), lambda x: x["s"]), "\n\n").alias("body"),
+        F.substring(F.min_by("asked", F.when(F.col("asked").isNotNull(), F.col("message_index"))), 1, MAX_GOAL).alias("goal"),
+    )
     goal = F.when(F.col("goal").isNotNull(), F.concat(F.lit("User (Initial Goal): "), F.col("goal")))
     if pins is None:
-        rows, head = rows, F.coalesce(goal, F.lit(""))
+        head = F.coalesce(goal, F.lit(""))
     else:
         listed = pins.where("active").groupBy("session_id").agg(F.concat(F.lit("Active Pins:\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "type", "content"))), lambda p: F.concat(F.lit("- ["), p["type"], F.lit("] "), p["content"])), "\n")).alias("pins"))
         rows = rows.join(listed, "session_id", "left")

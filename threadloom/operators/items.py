@@ -1,7 +1,7 @@
 """From messages to classified items: call lookup, supersession, recency, the rules, pins.
 
-Everything within a session runs on one shuffle by ``session_id``: windows
-whose partitions add a key to it reuse that partitioning.
+Everything within a session runs on one shuffle by ``session_id``, which the
+lookup of calls makes: windows whose partitions add a key to it reuse it.
 """
 
 from __future__ import annotations
@@ -15,37 +15,45 @@ from threadloom.functions import tokens as tk
 from threadloom.schema import ENGINE_ID
 
 
-def tool_calls(messages: DataFrame) -> DataFrame:
-    """(session_id, tool_call_id, name, arguments_json) of all calls; of those that share an id, the last."""
-    blocks = messages.where((F.col("role") == "assistant") & F.col("blocks").isNotNull()).select("session_id", "message_index", F.posexplode("blocks").alias("pos", "b"))
-    calls = blocks.where((F.col("b.type") == "toolCall") & (F.coalesce("b.id", F.lit("")) != ""))
-    last = F.max_by(F.struct(F.coalesce("b.name", F.lit("")).alias("name"), F.coalesce("b.arguments_json", F.lit("{}")).alias("arguments_json")), F.struct("message_index", "pos")).alias("call")
-    return calls.groupBy("session_id", F.col("b.id").alias("tool_call_id")).agg(last).select("session_id", "tool_call_id", "call.*")
-
-
 def with_calls(messages: DataFrame) -> DataFrame:
-    """``messages`` with call_name and call_arguments of the call each result answers."""
-    calls = tool_calls(messages).select("session_id", F.col("tool_call_id").alias("call_id"), F.col("name").alias("call_name"), F.col("arguments_json").alias("call_arguments"))
-    rows = messages.withColumn("call_id", F.when((F.col("role") == "toolResult") & (F.coalesce("tool_call_id", F.lit("")) != ""), F.col("tool_call_id")))
-    return rows.join(calls, ["session_id", "call_id"], "left").drop("call_id")
+    """``messages`` with call_name and call_arguments of the call each result answers; of calls that share an id, the last.
+
+    A message stands beside a small row for each call it makes; calls and
+    answers of one id meet in a window, on the one shuffle by session.
+    """
+    own = F.when((F.col("role") == "toolResult") & (F.coalesce("tool_call_id", F.lit("")) != ""), F.col("tool_call_id"))
+    made = F.filter(F.when(F.col("role") == "assistant", F.col("blocks")), lambda b: (b["type"] == "toolCall") & (F.coalesce(b["id"], F.lit("")) != ""))
+    call = lambda b, i: F.struct(b["id"].alias("id"), F.coalesce(b["name"], F.lit("")).alias("name"), F.coalesce(b["arguments_json"], F.lit("{}")).alias("arguments"), i.alias("pos"))
+    none = F.struct(own.alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("arguments"), F.lit(None).cast("int").alias("pos"))
+    rows = messages.withColumn("c", F.explode(F.concat(F.array(none), F.coalesce(F.transform(made, call), F.array().cast("array<struct<id:string,name:string,arguments:string,pos:int>>")))))
+    is_call = F.col("c.pos").isNotNull()
+    rows = rows.withColumns({c: F.when(~is_call, F.col(c)) for c in messages.columns if c not in ("session_id", "message_index")})
+    last = F.max_by(F.when(is_call, F.struct("c.name", "c.arguments")), F.when(is_call, F.struct("message_index", "c.pos"))).over(Window.partitionBy("session_id", "c.id"))
+    rows = rows.repartition("session_id").withColumn("call", F.when(F.col("c.id").isNotNull(), last)).where(~is_call)
+    return rows.select(*messages.columns, F.col("call.name").alias("call_name"), F.col("call.arguments").alias("call_arguments"))
 
 
 def superseded(rows: DataFrame) -> DataFrame:
-    """Adds group_key and superseded_by: for reads the first later read of the path whose lines overlap, for others the last member of the group."""
+    """Adds group_key and superseded_by: for reads the first later read of the path whose lines overlap, for others the last member of the group.
+
+    A read of a whole file overlaps every other, so a part's overlap is looked
+    for up to the next of those only; that stretch is gathered once, not once a row.
+    """
     key = F.when((F.col("role") == "toolResult") & F.col("call_name").isNotNull(), keys.group_key(F.col("call_name")))
     rows = keys.with_arguments(rows).withColumn("group_key", key)
-    group = Window.partitionBy("session_id", "group_key")
-    last = F.max("message_index").over(group)
-    later = Window.partitionBy("session_id", "group_key").orderBy("message_index").rowsBetween(1, Window.unboundedFollowing)
-    is_read = F.col("call_name") == "read"
-    rows = rows.withColumn("range", F.when(F.col("group_key").isNotNull() & is_read, keys.read_range()))
-    # a read's later reads of the same path, in order; the first that overlaps decides
-    following = F.collect_list(F.struct(F.col("message_index").alias("i"), F.col("range").alias("r"))).over(later)
-    mine = F.col("range")
-    hits = F.filter("following", lambda b: b["r"]["full"] | mine["full"] | (F.greatest(b["r"]["first"], mine["first"]) <= F.least(b["r"]["last"], mine["last"])))
-    reads = rows.where(F.col("range").isNotNull()).withColumn("following", following).withColumn("superseded_by", F.try_element_at(hits, F.lit(1))["i"]).drop("following")
-    others = rows.where(F.col("range").isNull()).withColumn("superseded_by", F.when(F.col("group_key").isNotNull() & (F.col("message_index") < last), last))
-    return reads.unionByName(others).drop("range")
+    is_read = F.col("group_key").isNotNull() & (F.col("call_name") == "read")
+    rows = rows.withColumn("range", F.when(is_read, keys.read_range()))
+    back = Window.partitionBy("session_id", "group_key").orderBy(F.desc("message_index"))
+    rows = rows.withColumns({
+        "last": F.first("message_index").over(back),
+        "next": F.lag("message_index").over(back),
+        "stretch": F.sum(F.when(F.col("range.full"), 1).otherwise(0)).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    })
+    seen = F.collect_list(F.when(is_read, F.struct(F.col("message_index").alias("i"), F.col("range").alias("r")))).over(Window.partitionBy("session_id", "group_key", "stretch"))
+    mine, at = F.col("range"), F.col("message_index")
+    hits = F.filter("seen", lambda b: (b["i"] > at) & (b["r"]["full"] | (F.greatest(b["r"]["first"], mine["first"]) <= F.least(b["r"]["last"], mine["last"]))))
+    by = F.when(is_read & F.col("range.full"), F.col("next")).when(is_read, F.array_min(F.transform(hits, lambda b: b["i"]))).when(F.col("group_key").isNotNull() & (at < F.col("last")), F.col("last"))
+    return rows.withColumn("seen", seen).withColumn("superseded_by", by).drop("range", "last", "next", "stretch", "seen")
 
 
 def recency(rows: DataFrame, recent: int = tk.RECENT) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as tx
 from threadloom.functions import tokens as tk
 from threadloom.functions.rows import once
-from threadloom.schema import BLOCKS, ENGINE_ID
+from threadloom.operators.analysis import analyze
+from threadloom.schema import BLOCKS, ENGINE_ID, as_messages
 
 # Lines and characters that a fold keeps.
 HEAD, TAIL, NOTABLE, AROUND, NOTABLE_CHARS, COMMAND_CHARS = 8, 6, 15, 2, 160, 200
@@ -80,10 +81,8 @@ def actions(items: DataFrame, stub_min: int | Column = 50, max_chars: int | Colu
     return rows.withColumns(new).drop("cost")
 
 
-def rewritten(acted: DataFrame, at: str) -> DataFrame:
-    """Messages after pruning, with the columns of MESSAGES; ``at`` is the time written into what was replaced."""
-    from threadloom.schema import as_messages
-
+def replaced(acted: DataFrame, at: str) -> DataFrame:
+    """``acted`` with its messages' columns as pruning leaves them; ``at`` is the time written into what was replaced."""
     done = F.col("kind") != "keep"
     block = F.array(F.struct(F.lit("text").alias("type"), F.col("replacement").alias("text"), *(F.lit(None).cast("string").alias(c) for c in ("thinking", "id", "name", "arguments_json")))).cast(BLOCKS)
     details = F.to_json(F.struct(F.lit(ENGINE_ID).alias("engine"), F.col("kind").alias("kind"), F.col("source").alias("tool"), F.col("reason").alias("reason"), F.col("estimated_tokens").alias("originalTokens"), F.lit(at).alias("at")))
@@ -91,8 +90,18 @@ def rewritten(acted: DataFrame, at: str) -> DataFrame:
     rows = acted.withColumn("details_json", F.when(done, details).otherwise(F.col("details_json")))
     rows = rows.withColumn("output", F.when(done & run, F.col("replacement")).otherwise(F.col("output")))
     rows = rows.withColumn("content_text", F.when(done & ~run, F.lit(None).cast("string")).otherwise(F.col("content_text")))
-    rows = once(rows.withColumnRenamed("blocks", "before"), "blocks", F.when(done & ~run, block).otherwise(F.col("before"))).drop("before")
-    return as_messages(rows)
+    return once(rows.withColumnRenamed("blocks", "before"), "blocks", F.when(done & ~run, block).otherwise(F.col("before"))).drop("before")
+
+
+def rewritten(acted: DataFrame, at: str) -> DataFrame:
+    """Messages after pruning, with the columns of MESSAGES."""
+    return as_messages(replaced(acted, at))
+
+
+def effective(acted: DataFrame, at: str) -> DataFrame:
+    """``rewritten`` for the sessions that pruning changed; a host keeps its own messages for the others."""
+    changed = F.max(F.when(F.col("kind") != "keep", 1).otherwise(0)).over(Window.partitionBy("session_id"))
+    return rewritten(acted.withColumn("changed", changed).where("changed = 1"), at)
 
 
 def action_rows(acted: DataFrame) -> DataFrame:
@@ -114,8 +123,4 @@ def actions_by_reason(acted: DataFrame) -> DataFrame:
 
 def recomputed(acted: DataFrame, at: str, **analysis) -> DataFrame:
     """The analysis of the rewritten messages under the same meter: their tokens anew, classes and tags as before."""
-    from threadloom.operators.analysis import analyze
-
-    keep = ["session_id", "message_index", "class", "tags", "type", "pinned", "engine_stub", "source"]
-    new = rewritten(acted, at).withColumn("estimated_tokens", tk.message_tokens()).select("session_id", "message_index", "estimated_tokens")
-    return analyze(acted.select(*keep).join(new, ["session_id", "message_index"]), **analysis)
+    return analyze(replaced(acted, at).withColumn("estimated_tokens", tk.message_tokens()), **analysis)

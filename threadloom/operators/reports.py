@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import band_label, percent, short_count
-from threadloom.operators.analysis import largest_consumers
-from threadloom.operators.prune import action_rows, actions_by_reason
+from threadloom.operators.analysis import SUMS, class_sums, measured
 
 
-def context_reports(analysis: DataFrame, items: DataFrame, state: DataFrame) -> DataFrame:
-    """(session_id, report) of an analysis; ``state`` (session_id, pins, compactions, checkpoint_fresh, action, reason)."""
-    largest = largest_consumers(items).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "label", "tokens"))).alias("top"))
-    rows = analysis.join(largest, "session_id", "left").join(state, "session_id", "left")
+def context_reports(rows: DataFrame) -> DataFrame:
+    """(session_id, report) of ``analyze_with_consumers``; what stands in columns pins, compactions, checkpoint_fresh, action and reason is reported too."""
+    known = {"pins": F.lit(0), "compactions": F.lit(0), "checkpoint_fresh": F.lit(False), "action": F.lit("none"), "reason": F.lit("")}
+    rows = rows.withColumns({c: v for c, v in known.items() if c not in rows.columns})
     k, whole = short_count, lambda c: F.format_number(F.col(c), 0)
     lines = F.array_join(F.transform("top", lambda x: F.concat(x["rank"].cast("string"), F.lit(". "), x["label"], F.lit("  "), k(x["tokens"]))), "\n")
     action = F.coalesce("action", F.lit("none"))
@@ -32,16 +31,22 @@ def context_reports(analysis: DataFrame, items: DataFrame, state: DataFrame) ->
     return rows.select("session_id", report.alias("report"))
 
 
-def clean_reports(analysis: DataFrame, acted: DataFrame) -> DataFrame:
-    """(session_id, report) of what a pruning pass saved."""
-    rows = action_rows(acted)
-    sums = rows.groupBy("session_id").agg(F.sum(F.col("tokens_before") - F.col("tokens_after")).alias("saved"), F.count_if(F.col("kind") == "stub").alias("stubs"), F.count_if(F.col("kind") == "fold").alias("folds"))
-    why = actions_by_reason(acted).groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "reason", "n"))), lambda x: F.concat(F.lit("- "), x["n"].cast("string"), F.lit(" × "), x["reason"])), "\n").alias("why"))
-    joined = analysis.join(sums, "session_id", "left").join(why, "session_id", "left").fillna(0, ["saved", "stubs", "folds"])
+def clean_reports(acted: DataFrame, window: int = 200_000) -> DataFrame:
+    """(session_id, report) of what a pruning pass saved, from one pass over its rows."""
+    done = F.col("kind") != "keep"
+    by = acted.groupBy("session_id", F.when(done, F.col("reason")).alias("why")).agg(
+        *class_sums(), F.sum(F.when(done, F.col("estimated_tokens") - F.col("new_tokens")).otherwise(0)).alias("saved"),
+        F.count_if(F.col("kind") == "stub").alias("stubs"), F.count_if(F.col("kind") == "fold").alias("folds"), F.min("message_index").alias("first"),
+    )
+    line = F.when(F.col("why").isNotNull(), F.struct((-F.col("message_count")).alias("n"), "first", "why"))
+    sums = (*SUMS, "saved", "stubs", "folds")
+    per = by.groupBy("session_id").agg(*(F.sum(c).alias(c) for c in sums), F.array_sort(F.collect_list(line)).alias("reasons"))
+    rows = measured(per, None, window)
     total, saved = F.col("total_tokens"), F.greatest(F.col("saved"), F.lit(0))
+    why = F.array_join(F.transform("reasons", lambda x: F.concat(F.lit("- "), (-x["n"]).cast("string"), F.lit(" × "), x["why"])), "\n")
     report = F.concat_ws(
         "\n", F.concat(F.lit("Context clean\n\nBefore: "), short_count(total)), F.concat(F.lit("After:  "), short_count(total - saved)),
-        F.concat(F.lit("Saved:  "), short_count(saved), F.lit(" ("), percent(saved / total, 1), F.lit(" of context)\n")), F.lit("Pruned:"), F.coalesce("why", F.lit("- nothing to prune")),
+        F.concat(F.lit("Saved:  "), short_count(saved), F.lit(" ("), percent(saved / total, 1), F.lit(" of context)\n")), F.lit("Pruned:"), F.when(F.size("reasons") > 0, why).otherwise("- nothing to prune"),
         F.concat(F.lit("\n("), F.col("stubs").cast("string"), F.lit(" stubbed, "), F.col("folds").cast("string"), F.lit(" folded — originals remain in session history)")),
     )
-    return joined.select("session_id", report.alias("report"))
+    return rows.select("session_id", report.alias("report"))
