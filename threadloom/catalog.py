@@ -112,6 +112,15 @@ RULED = TRACE + r""", later AS (
 )"""
 
 
+ARGUMENTS = """CASE WHEN name = 'read' AND off IS NOT NULL THEN '{"path":"' || path || '","offset":' || off || ',"limit":60}' WHEN name IN ('read', 'edit') THEN '{"path":"' || path || '"}'
+        WHEN name = 'grep' THEN '{"pattern":"' || pattern || '","path":"src"}' ELSE '{"command":"' || command || '"}' END"""
+
+
+def _k(n: str) -> str:
+    """1.2K in SQL."""
+    return f"CASE WHEN {n} >= 1000 THEN printf('%.1f', ({n} + CASE WHEN {n} % 1000 = 250 THEN 1 ELSE 0 END) / 1000.0::DOUBLE) || 'K' ELSE CAST({n} AS VARCHAR) END"
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -162,7 +171,12 @@ def _(spark, sf_dir):
     return _chat(spark, sf_dir).select("session_id", "message_index", "role", tk.message_tokens().alias("tokens"))
 
 
-@_query("prj06_fingerprints")
+@_query(
+    "prj06_fingerprints",
+    f"""WITH {CHAT}, named AS (SELECT session_id, message_index, role || ':' || message_index || ':' || left(text, 200) AS s FROM chat), hashed AS (
+  SELECT session_id, message_index, length(s) AS n, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(length(s) || chr(10) || s || chr(10), ''), lambda c: unicode(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS h FROM named)
+SELECT session_id, message_index::INT AS message_index, n || ':' || format('{{:x}}', h) AS id FROM hashed""",
+)
 def _(spark, sf_dir):
     return _chat(spark, sf_dir).select("session_id", "message_index", tk.fingerprint(F.concat(F.col("role"), F.lit(":"), F.col("message_index").cast("string"), F.lit(":"), F.substring(tk.message_text(), 1, 200))).alias("id"))
 
@@ -278,18 +292,64 @@ def _(spark, sf_dir):
     return prune.actions_by_reason(_acted(spark, sf_dir).where("kind <> 'fold'"))
 
 
-@_query("rw01_prune_actions")
+ACTED = STUBBED + r""", folds AS (
+  SELECT *, string_split(text, chr(10)) AS lines, len(string_split(text, chr(10))) AS n FROM freed WHERE class = 'working' AND oversized AND tokens >= 50
+), folded AS (
+  SELECT *, CASE WHEN name = 'bash' AND n <= 18 OR name <> 'bash' AND n <= 63 THEN text
+    WHEN name = 'bash' THEN '[bash output folded by threadloom — full output remains in session history]' || chr(10) || 'command: ' || command || chr(10) || chr(10) || '-- head --' || chr(10) || array_to_string(lines[1:8], chr(10))
+      || chr(10) || chr(10) || '-- tail --' || chr(10) || array_to_string(lines[n - 5:n], chr(10)) || chr(10) || chr(10) || '(' || (n - 14) || ' lines folded)'
+    ELSE left(array_to_string(lines[1:40], chr(10)) || chr(10) || chr(10) || '[threadloom … ' || (n - 60) || ' lines folded …]' || chr(10) || chr(10) || array_to_string(lines[n - 19:n], chr(10)), 4400) END AS whole FROM folds
+), cut AS (
+  SELECT *, CASE WHEN name = 'bash' AND n > 18 AND length(whole) > 2200 THEN left(whole, 2200) || chr(10) || '…[truncated]' ELSE whole END AS fold FROM folded
+), acts AS (
+  SELECT session_id, message_index, 'stub' AS kind, tool, reason, tokens_before, tokens_after, stub AS replacement FROM acted
+  UNION ALL SELECT session_id, message_index, 'fold', name, reason, tokens, (3 * length(fold) + 11) // 12 + 24, fold FROM cut WHERE (3 * length(fold) + 11) // 12 + 24 < tokens
+)"""
+PRUNED = ACTED + rf""", results AS (
+  SELECT f.session_id, f.message_index, 'toolResult' AS role, f.tool_call_id, coalesce(a.replacement, f.text) AS text, f.class, f.oversized,
+    CASE WHEN a.kind IS NULL THEN f.tokens ELSE (3 * length(a.replacement) + 11) // 12 + 16 + least(256, (3 * length('{{"engine":"threadloom","kind":"' || a.kind || '","tool":"' || a.tool || '","reason":"' || a.reason || '","originalTokens":' || a.tokens_before || ',"at":"{AT}"}}') + 11) // 12) END AS tokens
+  FROM freed f LEFT JOIN acts a USING (session_id, message_index)
+), pruned AS (
+  SELECT * FROM results
+  UNION ALL SELECT k.session_id, k.message_index - 1, 'assistant', NULL, 'call:' || name || '(' || {ARGUMENTS} || ')', 'working', false, c.tokens FROM keyed k JOIN callers c ON k.session_id = c.session_id AND c.message_index = k.message_index - 1
+  UNION ALL SELECT DISTINCT session_id, 0, 'user', NULL, 'work through the list', 'critical', false, (3 * 21 + 11) // 12 + 16 FROM keyed
+)"""
+
+
+@_query("rw01_prune_actions", f"WITH {ACTED} SELECT session_id, message_index::INT AS message_index, kind, tool, reason, tokens_before::BIGINT AS tokens_before, tokens_after::BIGINT AS tokens_after FROM acts")
 def _(spark, sf_dir):
     return prune.action_rows(_acted(spark, sf_dir))
 
 
-@_query("rw01_pruned_messages")
+@_query("rw01_folds", f"WITH {ACTED} SELECT session_id, message_index::INT AS message_index, replacement AS fold FROM acts WHERE kind = 'fold'")
+def _(spark, sf_dir):
+    return _acted(spark, sf_dir).where("kind = 'fold'").select("session_id", "message_index", F.col("replacement").alias("fold"))
+
+
+@_query("rw01_pruned_messages", f"WITH {PRUNED} SELECT session_id, message_index::INT AS message_index, role, tool_call_id, text, tokens::BIGINT AS tokens FROM pruned")
 def _(spark, sf_dir):
     rows = prune.rewritten(_acted(spark, sf_dir), AT)
     return rows.select("session_id", "message_index", "role", "tool_call_id", tk.message_text().alias("text"), tk.message_tokens().alias("tokens"))
 
 
-@_query("agg07_recomputed")
+@_query("snk08_effective_messages", f"WITH {PRUNED} SELECT session_id, message_index::INT AS message_index, text FROM pruned SEMI JOIN acts USING (session_id)")
+def _(spark, sf_dir):
+    return prune.effective(_acted(spark, sf_dir), AT).select("session_id", "message_index", tk.message_text().alias("text"))
+
+
+@_query("agg08_action_summary", f"WITH {ACTED} SELECT session_id, count(*) AS n_actions, sum(tokens_before - tokens_after)::BIGINT AS removed_tokens, sum(tokens_after)::BIGINT AS preserved_tokens FROM acts GROUP BY session_id")
+def _(spark, sf_dir):
+    return prune.action_summary(_acted(spark, sf_dir))
+
+
+@_query(
+    "agg07_recomputed",
+    f"""WITH {PRUNED}, sums AS (
+  SELECT session_id, sum(tokens)::BIGINT AS raw_tokens, coalesce(sum(tokens) FILTER (class IN ('critical', 'working')), 0) AS kept,
+    coalesce(sum(CASE WHEN role <> 'toolResult' OR tokens < 50 THEN 0 WHEN class IN ('stale', 'disposable') THEN greatest(tokens - 80, 0) WHEN class = 'working' AND oversized THEN greatest(tokens - 260, 0) ELSE 0 END), 0)::BIGINT AS reclaimable_tokens
+  FROM pruned GROUP BY session_id)
+SELECT session_id, raw_tokens, raw_tokens + 4000 AS total_tokens, round(least(2.0, (raw_tokens + 4000) / 20480.0::DOUBLE), 6) AS pressure, round(kept / raw_tokens::DOUBLE, 6) AS quality, reclaimable_tokens FROM sums""",
+)
 def _(spark, sf_dir):
     return _rounded(prune.recomputed(_acted(spark, sf_dir), AT, window=CONTEXT_WINDOW)).select("session_id", "raw_tokens", "total_tokens", "pressure", "quality", "reclaimable_tokens")
 
@@ -312,7 +372,12 @@ def _(spark, sf_dir):
     return pins.missing_pins(_chat(spark, sf_dir), _pins(spark, sf_dir)).select("session_id", "id", "type")
 
 
-@_query("rw06_pins_reinjected")
+@_query(
+    "rw06_pins_reinjected",
+    f"""WITH {CHAT}, corpus AS (SELECT session_id, max(message_index) + 1 AS place, lower(coalesce(string_agg(text, chr(10) ORDER BY message_index) FILTER (role IN ('user', 'assistant')), '')) AS c FROM chat GROUP BY session_id),
+p(id, line, needle) AS (VALUES (1, '- [constraint]  The ', 'the'), (2, '- [file] pinned file: src/none.py', 'src/none.py'), (3, '- [note] que', 'que'))
+SELECT session_id, place::INT AS message_index, '[threadloom] Pinned context (must be respected across prune/compact/handoff):' || chr(10) || string_agg(line, chr(10) ORDER BY id) AS content_text FROM corpus, p WHERE NOT contains(c, needle) GROUP BY session_id, place""",
+)
 def _(spark, sf_dir):
     return pins.with_pins(_chat(spark, sf_dir), _pins(spark, sf_dir), 0).where("role = 'custom'").select("session_id", "message_index", "content_text")
 
@@ -407,11 +472,29 @@ def _(spark, sf_dir):
     return checkpoints.serialized(_chat(spark, sf_dir))
 
 
-@_query("cp01_serialized_tools")
+SECTIONS = TRACE + rf""", sections AS (
+  SELECT session_id, 0 AS message_index, 'User: work through the list' AS s FROM (SELECT DISTINCT session_id FROM keyed)
+  UNION ALL SELECT session_id, message_index - 1, 'Assistant: call:' || name || '(' || {ARGUMENTS} || ')' || chr(10) || 'Tool ' || name || ' ' || left({ARGUMENTS}, 200) FROM keyed
+  UNION ALL SELECT session_id, message_index, 'Result(' || name || CASE WHEN is_error THEN ' [ERROR]' ELSE '' END || '): ' || replace(CASE WHEN length(t) > 400 THEN left(t, 400) || ' …[truncated]' ELSE t END, chr(10), ' ') FROM (SELECT *, rtrim(text, chr(10) || ' ') AS t FROM keyed)
+), bodies AS (SELECT session_id, string_agg(s, chr(10) || chr(10) ORDER BY message_index) AS body FROM sections GROUP BY session_id)"""
+_HEAD = "User (Initial Goal): work through the list"
+
+
+def _cut(most: int) -> str:
+    """The body, or its end behind the goal, in SQL."""
+    return f"CASE WHEN length(body) <= {most} THEN body ELSE '{_HEAD}' || chr(10) || chr(10) || '[... earlier conversation truncated ...]' || chr(10) || chr(10) || right(body, {max(1000, most - len(_HEAD) - 4)}) END"
+
+
+@_query("cp01_serialized_tools", f"WITH {SECTIONS} SELECT session_id, {_cut(4000)} AS text FROM bodies")
 def _(spark, sf_dir):
     return checkpoints.serialized(_trace(spark, sf_dir), max_total=4000)
 
 
+@_query("cp01_serialized_whole", f"WITH {SECTIONS} SELECT session_id, {_cut(120_000)} AS text FROM bodies")
+def _(spark, sf_dir):
+    return checkpoints.serialized(_trace(spark, sf_dir))
+
+
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reply per chat session: raw, fenced, wrapped in prose or broken."""
     lists = '"requirements":[],"constraints":["keep it"],"decisions":[],"files":{"inspected":[],"modified":["a.py"],"created":[],"deleted":[]},"verification":{"passed":[],"failed":[],"pending":[]},"next_actions":["go on"]'
@@ -429,17 +512,53 @@ def _(spark, sf_dir):
     return checkpoints.validated(_replies(spark, sf_dir)).select("session_id", "ok", F.size("errors").alias("n_errors"))
 
 
-@_query("ho01_handoff_prompts")
+@_query(
+    "ho01_handoff_prompts",
+    r"""WITH c AS (SELECT DISTINCT conv_id, conv_id % 4 <> 3 AS good FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS session_id, array_to_string([
+  'You are continuing an existing coding task. Continue directly from the state below; do not ask the user to repeat it.', '',
+  '## Goal', CASE WHEN good THEN 'g' || conv_id ELSE '(no goal recorded — infer from the state below)' END, '',
+  '## Hard constraints', CASE WHEN good THEN '- keep it' || chr(10) ELSE '' END || '-  The ', '',
+  '## Current state', CASE WHEN good THEN array_to_string(['Phase: in_progress · Status: in_progress', '', '## Modified files', '- modified: a.py', '', '## Verification', '- (none recorded)'], chr(10)) ELSE '(no checkpoint available — inspect the repository to reconstruct state)' END, '',
+  '## Next action', CASE WHEN good THEN 'go on (remaining: none)' ELSE '(none recorded — propose the next step to the user)' END, '',
+  'Continue directly from this state.'], chr(10)) AS prompt FROM c""",
+)
 def _(spark, sf_dir):
     return checkpoints.handoff_prompts(checkpoints.validated(_replies(spark, sf_dir)).where("ok"), _pins(spark, sf_dir))
 
 
-@_query("cp06_compact_instructions")
+@_query(
+    "cp06_compact_instructions",
+    r"""SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, 'Keep the recovery state intact: goal, explicit user constraints, current implementation state, files touched, verification status, and next actions.' || chr(10)
+  || CASE WHEN conv_id % 4 <> 3 THEN 'Hard constraints: keep it;  The .' || chr(10) || 'Next action: go on.' ELSE 'Hard constraints:  The .' END AS instructions FROM conversations""",
+)
 def _(spark, sf_dir):
     return checkpoints.compact_instructions(checkpoints.validated(_replies(spark, sf_dir)).where("ok"), _pins(spark, sf_dir))
 
 
-@_query("rp01_context_reports")
+DECIDED = r"""judged AS (
+  SELECT *, least(2.0, total_tokens / 20480.0::DOUBLE) AS p, (critical_tokens + working_tokens) / raw_tokens::DOUBLE AS q FROM analysed
+), planned AS (
+  SELECT *, CASE WHEN p < 0.55 AND q > 0.6 THEN 'none' WHEN p >= 0.65 AND reclaimable_tokens >= 5000 THEN 'prune' WHEN p >= 0.8 THEN 'checkpoint' WHEN p >= 0.88 THEN 'compact' ELSE 'none' END AS action, floor(p * 100 + 0.5)::INT || '%' AS shown FROM judged
+)"""
+_PERCENT = "printf('%.1f', floor({x} * 1000 + 0.5) / 10) || '%'"
+
+
+@_query(
+    "rp01_context_reports",
+    f"""WITH {RULED}, {DECIDED}, labelled AS (
+  SELECT session_id, name || coalesce(':' || file, '') || CASE WHEN rule IN ('R05', 'R08') THEN ' (old)' ELSE '' END AS label, sum(tokens)::BIGINT AS n, min(message_index) AS first FROM classed GROUP BY ALL
+), top AS (
+  SELECT session_id, string_agg(r || '. ' || label || '  ' || {_k('n')}, chr(10) ORDER BY r) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, first) AS r FROM labelled) WHERE r <= 5 GROUP BY session_id)
+SELECT session_id, array_to_string(list_filter([
+  'Context Engine' || chr(10) || chr(10) || 'Window:', '20,480 usable' || chr(10), 'Estimated usage:', format('{{:,}}', total_tokens) || ' / 20,480  (' || {_PERCENT.format(x='p')} || ')',
+  'Band: ' || CASE WHEN p < 0.55 THEN 'green' WHEN p < 0.7 THEN 'yellow' WHEN p < 0.82 THEN 'orange' WHEN p < 0.9 THEN 'red' ELSE 'critical' END || '  ·  Quality: ' || {_PERCENT.format(x='q')} || chr(10), 'Classification:',
+  'critical     ' || {_k('critical_tokens')} || '   working    ' || {_k('working_tokens')}, 'stale        ' || {_k('stale_tokens')} || '   disposable ' || {_k('disposable_tokens')} || chr(10),
+  'Largest consumers:' || chr(10) || lines || chr(10), 'Pins: 0', 'Compactions: 0', 'Checkpoint: none/stale' || chr(10), 'Recommendation: ' || upper(action),
+  CASE WHEN reclaimable_tokens > 0 THEN 'Estimated reclaimable: ' || {_k('reclaimable_tokens')} || ' tokens' END,
+  CASE action WHEN 'prune' THEN 'Reason: pressure ' || shown || ' with ~' || reclaimable_tokens || ' reclaimable tokens' WHEN 'checkpoint' THEN 'Reason: pressure ' || shown || ' and no fresh checkpoint' WHEN 'compact' THEN 'Reason: pressure ' || shown || ' past compact threshold' END
+], lambda x: x IS NOT NULL), chr(10)) AS report FROM planned LEFT JOIN top USING (session_id)""",
+)
 def _(spark, sf_dir):
     rows = analysis.analyze_with_consumers(_classified(spark, sf_dir), window=CONTEXT_WINDOW)
     action, reason = policy.decided(F.lit(False))
@@ -447,6 +566,13 @@ def _(spark, sf_dir):
     return reports.context_reports(rows.withColumns({"action": action, "reason": reason}))
 
 
-@_query("rp02_clean_reports")
+@_query(
+    "rp02_clean_reports",
+    f"""WITH {ACTED}, why AS (SELECT session_id, string_agg('- ' || n || ' × ' || reason, chr(10) ORDER BY n DESC, first) AS lines FROM (SELECT session_id, reason, count(*) AS n, min(message_index) AS first FROM acts GROUP BY ALL) GROUP BY session_id
+), saves AS (SELECT session_id, sum(tokens_before - tokens_after)::BIGINT AS saved, count(*) FILTER (kind = 'stub') AS stubs, count(*) FILTER (kind = 'fold') AS folds FROM acts GROUP BY session_id
+), rows AS (SELECT session_id, total_tokens AS total, coalesce(saved, 0) AS saved, total_tokens - coalesce(saved, 0) AS rest, coalesce(stubs, 0) AS stubs, coalesce(folds, 0) AS folds, coalesce(lines, '- nothing to prune') AS lines FROM analysed LEFT JOIN saves USING (session_id) LEFT JOIN why USING (session_id))
+SELECT session_id, array_to_string(['Context clean' || chr(10) || chr(10) || 'Before: ' || {_k('total')}, 'After:  ' || {_k('rest')}, 'Saved:  ' || {_k('saved')} || ' (' || {_PERCENT.format(x='(saved / total::DOUBLE)')} || ' of context)' || chr(10), 'Pruned:', lines,
+  chr(10) || '(' || stubs || ' stubbed, ' || folds || ' folded — originals remain in session history)'], chr(10)) AS report FROM rows""",
+)
 def _(spark, sf_dir):
     return reports.clean_reports(_acted(spark, sf_dir), window=CONTEXT_WINDOW)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,9 +111,9 @@ def _object_errors(doc: Column, path: str, text: str, states: tuple[str, ...], r
     return F.when(F.coalesce(_kind(doc, path).startswith("ARRAY"), F.lit(False)), of_items).otherwise(missing)
 
 
-def checkpoint_errors(json: Column) -> Column:
+def checkpoint_errors(document: Column) -> Column:
     """array<string>: what is wrong with a checkpoint's JSON text; empty if it is valid."""
-    doc = F.try_parse_json(json)
+    doc = F.try_parse_json(document)
     version, created = F.try_variant_get(doc, "$.version", "variant"), F.try_variant_get(doc, "$.created_at", "variant")
     one = F.coalesce(F.schema_of_variant(version).isin("BIGINT", "DOUBLE") & (F.try_variant_get(doc, "$.version", "double") == 1), F.lit(False))
     dated = F.coalesce((F.schema_of_variant(created) == "STRING") & F.try_to_timestamp(F.try_variant_get(doc, "$.created_at", "string")).isNotNull(), F.lit(False))
@@ -148,16 +150,27 @@ def constraints(checkpoints: DataFrame, pins: DataFrame) -> DataFrame:
     return own.join(listed, "session_id", "full").select("session_id", F.array_distinct(F.concat(F.coalesce("own", none), F.coalesce("pinned", none))).alias("constraints"))
 
 
-def handoff_prompts(checkpoints: DataFrame, pins: DataFrame) -> DataFrame:
-    """(session_id, prompt): a document from which another session can go on."""
-    rows = once(constraints(checkpoints, pins).join(checkpoints.select("session_id", "json"), "session_id", "left"), "d", F.try_parse_json("json"))
+# The sentences and headings below are part of the prompts' format.
+def handoff_prompts(checkpoints: DataFrame, pins: DataFrame, inputs: DataFrame | None = None) -> DataFrame:
+    """(session_id, prompt): a document from which another session can go on.
+
+    ``inputs`` (session_id, goal, git_diff) may give a goal that goes before the
+    checkpoint's, and a summary of what is not committed.
+    """
+    rows = constraints(checkpoints, pins).join(checkpoints.select("session_id", "json"), "session_id", "left")
+    if inputs is None:
+        rows = rows.withColumns({c: F.lit(None).cast("string") for c in ("goal", "git_diff")})
+    else:
+        rows = rows.join(inputs.select("session_id", "goal", "git_diff"), "session_id", "left")
+    rows = once(rows, "d", F.try_parse_json("json"))
     text = lambda p: F.try_variant_get("d", f"$.{p}", "string")
     many = lambda p, t="array<string>": F.coalesce(F.try_variant_get("d", f"$.{p}", t), F.array().cast(t))
     bullets = lambda items: F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
     some = lambda items, before: F.when(F.size(items) > 0, F.concat(F.lit(before), bullets(items)))
     decisions = F.transform(many("decisions", "array<struct<decision:string,reason:string,status:string>>"), lambda x: F.concat(x["decision"], F.lit(" ("), F.coalesce(F.nullif(x["reason"], F.lit("")), F.lit("no reason recorded")), F.lit(") ["), F.coalesce(x["status"], F.lit("active")), F.lit("]")))
     issues = F.transform(many("issues", "array<struct<description:string,status:string>>"), lambda x: F.concat(F.lit("["), F.coalesce(x["status"], F.lit("open")), F.lit("] "), x["description"]))
-    files = F.concat(*(F.transform(many(f"files.{k}"), lambda f, k=k: F.concat(F.lit(f"{k}: "), f)) for k in ("modified", "created", "deleted")))
+    named = lambda k: F.transform(many(f"files.{k}"), lambda f: F.concat(F.lit(f"{k}: "), f))
+    files = F.concat(*map(named, ("modified", "created", "deleted")))
     checks = F.filter(F.array(*(F.when(F.size(many(f"verification.{k}")) > 0, F.concat(F.lit(f"{k}: "), F.array_join(many(f"verification.{k}"), ", "))) for k in ("passed", "failed", "pending"))), lambda x: x.isNotNull())
     following = many("next_actions")
     rest = F.array_join(F.slice(following, 2, F.greatest(F.size(following), F.lit(1))), "; ")
@@ -170,14 +183,16 @@ def handoff_prompts(checkpoints: DataFrame, pins: DataFrame) -> DataFrame:
     )
     prompt = F.concat_ws(
         "\n\n", F.lit("You are continuing an existing coding task. Continue directly from the state below; do not ask the user to repeat it."),
-        F.concat(F.lit("## Goal\n"), F.coalesce(text("task.goal"), F.lit("(no goal recorded — infer from the state below)"))), some(F.col("constraints"), "## Hard constraints\n"),
+        F.concat(F.lit("## Goal\n"), F.coalesce("goal", text("task.goal"), F.lit("(no goal recorded — infer from the state below)"))), some(F.col("constraints"), "## Hard constraints\n"),
         F.when(F.col("d").isNull(), F.lit("## Current state\n(no checkpoint available — inspect the repository to reconstruct state)")).otherwise(state),
+        F.concat(F.lit("## Current git diff (summary)\n"), F.nullif("git_diff", F.lit(""))),
         F.concat(F.lit("## Next action\n"), F.when(F.size(following) > 0, F.concat(F.get(following, F.lit(0)), F.lit(" (remaining: "), F.coalesce(F.nullif(rest, F.lit("")), F.lit("none")), F.lit(")"))).otherwise("(none recorded — propose the next step to the user)")),
         F.lit("Continue directly from this state."),
     )
     return rows.select("session_id", prompt.alias("prompt"))
 
 
+# The sentences of the instructions.
 def compact_instructions(checkpoints: DataFrame, pins: DataFrame, ineffective: Column | None = None) -> DataFrame:
     """(session_id, instructions) for a host's compaction."""
     rows = constraints(checkpoints, pins).join(checkpoints.select("session_id", F.try_variant_get(F.try_parse_json("json"), "$.next_actions[0]", "string").alias("next")), "session_id", "left")
@@ -188,3 +203,70 @@ def compact_instructions(checkpoints: DataFrame, pins: DataFrame, ineffective: C
         F.when(ineffective if ineffective is not None else F.lit(False), "Previous compaction did not effectively reduce context pressure; this summary should more aggressively discard tool output details."),
     )
     return rows.select("session_id", text.alias("instructions"))
+
+
+#: Fixed value: the schema that a reply must have, as the prompt shows it.
+SCHEMA = {
+    "version": 1,
+    "created_at": "<ISO-8601 timestamp>",
+    "task": {"goal": "string", "phase": "string", "status": "|".join(TASK_STATES)},
+    "requirements": ["string"],
+    "constraints": ["string"],
+    "decisions": [{"decision": "string", "reason": "string", "status": "|".join(DECISION_STATES)}],
+    "files": {"inspected": ["string"], "modified": ["string"], "created": ["string"], "deleted": ["string"]},
+    "verification": {"passed": ["string"], "failed": ["string"], "pending": ["string"]},
+    "issues": [{"description": "string", "status": "|".join(ISSUE_STATES)}],
+    "next_actions": ["string"],
+}
+#: Fixed value: what a model is told to make of a session.
+SYSTEM_PROMPT = f"""You are a recovery-checkpoint generator for a coding agent session.
+Produce a recovery checkpoint using exactly the JSON schema below.
+Do not summarize in conversational style. No prose outside the JSON.
+
+Preserve:
+- explicit user constraints (verbatim where possible)
+- unresolved issues
+- implementation decisions and their reasons
+- verification status (what passed, what failed, what is pending)
+- next executable actions
+
+Output ONLY a single JSON object matching this schema:
+{json.dumps(SCHEMA, indent=2)}
+
+Rules:
+- Every field must be present (use empty arrays when nothing applies).
+- task.goal must capture the user's current objective in one sentence.
+- constraints must include every hard user constraint (e.g. 'do not modify X').
+- next_actions must be concrete and executable, in order.
+- Do not invent facts that are not supported by the conversation."""
+
+
+def checkpoint_prompts(messages: DataFrame, pins: DataFrame | None = None) -> DataFrame:
+    """(session_id, system, prompt): what a model is asked for a session's checkpoint; a session without text has no prompt."""
+    rows = serialized(messages, pins)
+    if pins is not None:
+        shown = F.when(F.col("type") == "file", F.concat(F.lit("pinned file: "), F.col("content"))).otherwise(F.col("content"))
+        hard = pins.where("active").groupBy("session_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", shown.alias("shown")))), lambda p: p["shown"]), " | ").alias("hard"))
+        rows = rows.join(hard, "session_id", "left")
+    else:
+        rows = rows.withColumn("hard", F.lit(None).cast("string"))
+    asked = F.concat(
+        F.lit("Generate the recovery checkpoint for this coding session."), F.coalesce(F.concat(F.lit("\nHard pins (must appear in constraints): "), F.nullif("hard", F.lit(""))), F.lit("")),
+        F.lit("\n<conversation>\n"), F.col("text"), F.lit("\n</conversation>"),
+    )
+    return rows.select("session_id", F.lit(SYSTEM_PROMPT).alias("system"), F.when(tx.trim(F.col("text")) != "", asked).alias("prompt"))
+
+
+def generated(prompts: DataFrame, replies: DataFrame) -> DataFrame:
+    """(session_id, ok, errors, checkpoint): the replies (session_id, reply, source, tokens_before) to ``prompts``, checked.
+
+    A valid one comes out as its JSON with meta (session_id, tokens_before,
+    source) in it; a session without a prompt or a reply fails and says why.
+    """
+    rows = validated(prompts.select("session_id", "prompt").join(replies.select("session_id", "reply", "source", "tokens_before"), "session_id", "left"))
+    empty = F.col("prompt").isNull()
+    ok = ~empty & F.col("ok")
+    errors = F.when(empty, F.array(F.lit("empty conversation — nothing to checkpoint"))).otherwise(F.col("errors"))
+    meta = F.to_json(F.struct("session_id", "tokens_before", "source"))
+    body = F.regexp_replace(tx.trim(F.col("json")), r"\s*\}\z", "")
+    return rows.select("session_id", ok.alias("ok"), errors.alias("errors"), F.when(ok, F.concat(body, F.lit(',"meta":'), meta, F.lit("}"))).alias("checkpoint"))

@@ -143,7 +143,7 @@ def classify(messages: DataFrame, pins: DataFrame | None = None, oversized: int
     rows = rows.withColumn("rule", judged).withColumn("engine_stub", stub).withColumn("type", F.coalesce(F.try_element_at(kind, role), F.lit("custom")))
     by = F.when(F.col("rule.by"), F.col("superseded_by"))
     files = F.when(F.col("rule.files") & F.col("file").isNotNull(), F.array("file")).otherwise(none)
-    rows = rows.withColumns({"superseded_by": by, "class": F.col("rule.class"), "importance": F.col("rule.importance"), "tags": F.split("rule.tags", _TAG), "reason": F.col("rule.reason"), "related_files": files})
+    rows = rows.withColumns({"superseded_by": by, "class": F.col("rule.class"), "importance": tk.importance(F.col("rule.importance")), "tags": F.split("rule.tags", _TAG), "reason": F.col("rule.reason"), "related_files": files})
     rows = rows.drop("rule", "file", "outcome", "is_latest_user", "call_name", "call_arguments", "err", *(f"a_{n}" for n in keys.TEXTS + keys.NUMBERS))
     return pinned(rows, pins)
 

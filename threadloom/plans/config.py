@@ -5,6 +5,7 @@ from __future__ import annotations
 import copy
 import json
 import math
+import os
 import re
 from typing import Any
 
@@ -110,21 +111,31 @@ def loaded(spark: SparkSession, *paths: str) -> dict:
     return sanitized(raw)[0]
 
 
+#: Names a configuration file over all others.
+CONFIG_VARIABLE = "THREADLOOM_CONFIG"
+
+
+def layered(spark: SparkSession, user: str | None = None, project: str | None = None) -> dict:
+    """Defaults, then the user's file, the project's, and the one that the environment names."""
+    return loaded(spark, *(p for p in (user, project, os.environ.get(CONFIG_VARIABLE)) if p))
+
+
 def glob_pattern(pattern: str) -> str:
-    """A regular expression for a whole model name in which * stands for anything, in any case."""
-    return "(?i)^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$"
+    """A regular expression for a whole model name: * stands for anything, ? for one character; case counts."""
+    return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in pattern) + r"\Z"
 
 
 def specificity(pattern: str) -> tuple[int, int, int]:
     """Exact names first, then the longest literal beginning, then the longest pattern; a lone * last."""
-    if "*" not in pattern:
+    wild = re.search(r"[*?]", pattern)
+    if wild is None:
         return 3, len(pattern), len(pattern)
-    return (1 if pattern == "*" else 2), pattern.index("*"), len(pattern)
+    return (1 if pattern == "*" else 2), wild.start() if pattern != "*" else 0, len(pattern)
 
 
 def model_rules(config: dict) -> list[tuple[str, dict]]:
-    """Patterns and overrides, the least specific first."""
-    return sorted(config.get("models", {}).items(), key=lambda kv: specificity(kv[0]))
+    """Patterns and overrides, the least specific first; of equals the later one first, so that the earlier one wins."""
+    return sorted(reversed(list((config.get("models") or {}).items())), key=lambda kv: specificity(kv[0]))
 
 
 def thresholds_for(config: dict, model: str | None) -> dict:
@@ -151,7 +162,7 @@ def with_thresholds(rows: DataFrame, config: dict, model: str = "model") -> Data
     base = config["thresholds"]
     cols = {f"{k}_{e}": F.lit(float(base[k][e])) for k in _PAIRS for e in ("enter", "exit")} | {"handoff_enter": F.lit(float(base["handoff"]["enter"])), "reclaimable_min": F.lit(float(config["policy"]["reclaimableMin"]))}
     for pattern, regex, over in rules:
-        hit = F.coalesce((F.col(model) == pattern) | F.col(model).rlike(regex), F.lit(False))
+        hit = F.coalesce((F.col(model) == pattern) | F.col(model).rlike(regex.replace(r"\Z", r"\z")), F.lit(False))
         new: dict = {}
         for k in _PAIRS:
             if over.get(k) is not None:

@@ -7,6 +7,7 @@ single turn against known state is also a column expression (``decided``).
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from typing import Any
@@ -17,19 +18,36 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import percent
 from threadloom.plans.config import DEFAULTS, thresholds_for
+from threadloom.schema import TURNS, as_turns
 
 ACTIONS = ("prune", "checkpoint", "compact")
 HISTORY, MAX_BACKOFF_MS, ENTER_CAP = 20, 600_000, 0.99
+#: How long a manual clean waits for the next turn, and the least time between two hand-off suggestions.
+CLEAN_MS, HANDOFF_MS = 900_000, 600_000
 
 
 def initial_state() -> dict[str, Any]:
     return {
         "compactions": 0, "checkpoints": 0, "last_prune": 0, "last_checkpoint": 0, "last_compact": 0, "last_attempt": 0, "fail_streak": 0, "broken": False,
         "tokens_at_checkpoint": 0, "messages_at_checkpoint": 0, "compact_pressure": None, "ineffective_compacts": 0, "ineffective_prunes": 0,
-        "prune_delta": 0.0, "compact_delta": 0.0, "history": [], "turn": 0, "band": dict.fromkeys(ACTIONS, False), "low": dict.fromkeys(ACTIONS, 0), "last_handoff": 0,
+        "prune_delta": 0.0, "compact_delta": 0.0, "history": [], "turn": 0, "band": dict.fromkeys(ACTIONS, False), "low": dict.fromkeys(ACTIONS, 0), "last_handoff": 0, "armed_until": 0,
     }
 
 
+def stored_state(text: str | None) -> dict[str, Any]:
+    """A state as ``state_text`` wrote it, over the defaults; text that is no JSON object counts as absent."""
+    try:
+        given = json.loads(text) if text else {}
+    except ValueError:
+        given = {}
+    state = initial_state() | (given if isinstance(given, dict) else {})
+    return state | {"history": [tuple(x) for x in state["history"]]}
+
+
+def state_text(state: dict) -> str:
+    return json.dumps(state)
+
+
 def is_fresh(state: dict, config: dict, tokens: int, messages: int, now: int) -> bool:
     limits = config["checkpoint"]
     if state["last_checkpoint"] <= 0 or now - state["last_checkpoint"] >= limits["freshMs"]:
@@ -84,18 +102,25 @@ def _fired(state: dict, action: str, latch: bool = True) -> None:
         state["low"] = state["low"] | {action: 0}
 
 
-def step(state: dict, turn: dict, config: dict) -> tuple[dict, dict]:
+def step(state: dict, turn: dict, config: dict, limits: dict | None = None) -> tuple[dict, dict]:
     """State after one turn, and what it planned.
 
     ``turn`` has the columns of TURNS: pressure_after_prune is the pressure
-    under the same meter if this turn prunes (null: unchanged), checkpoint_ok
-    the outcome of a checkpoint attempted this turn (null: it succeeds),
-    compact_event says that the host has compacted since the turn before.
+    under the same meter if this turn prunes (null: unchanged), prune_actions
+    how many items that would replace (null: some; with none, nothing has been
+    pruned), checkpoint_ok the outcome of a checkpoint attempted this turn
+    (null: it succeeds), compact_event says that the host has compacted since
+    the turn before, clean_at_ms that a manual clean was armed then: it prunes
+    at the next turn within CLEAN_MS that has something to prune, once, and
+    latches nothing. ``limits``: the thresholds of the turn's model.
     """
     state = dict(state, band=dict(state["band"]), low=dict(state["low"]))
-    now, limits, p = turn["now_ms"], thresholds_for(config, turn.get("model")), turn["pressure"]
+    now, p = turn["now_ms"], turn["pressure"]
+    limits = limits or thresholds_for(config, turn.get("model"))
     if turn.get("compact_event"):
         state["compactions"] += 1
+    if turn.get("clean_at_ms") is not None:
+        state["armed_until"] = turn["clean_at_ms"] + CLEAN_MS
     if state["compact_pressure"] is not None:
         dropped = state["compact_pressure"] - p
         state["compact_pressure"] = None
@@ -119,11 +144,15 @@ def step(state: dict, turn: dict, config: dict) -> tuple[dict, dict]:
     prune = action == "prune" and config["auto"]["prune"] and not full["prune"] and now - state["last_prune"] >= config["cooldowns"]["pruneMs"]
     checkpoint = saves and config["auto"]["checkpoint"] and not fresh and not full["checkpoint"] and may_checkpoint(state, config, now)
     compact = action == "compact" and config["auto"]["compact"] and not full["compact"] and now - state["last_compact"] >= config["cooldowns"]["compactMs"]
-    after = p
+    after, manual = p, now < state["armed_until"]
+    some = turn.get("prune_actions") is None or turn["prune_actions"] > 0
+    prune, manual = (prune or manual) and some, manual and some
     if prune:
         after = p if turn.get("pressure_after_prune") is None else turn["pressure_after_prune"]
         state["last_prune"] = now
-        _fired(state, "prune")
+        _fired(state, "prune", latch=not manual)
+        if manual:
+            state["armed_until"] = 0
         if after >= limits["prune"]["enter"] - 0.05:
             state["ineffective_prunes"] += 1
             if state["ineffective_prunes"] >= 2 and config["policy"]["adaptiveThresholds"]:
@@ -143,37 +172,73 @@ def step(state: dict, turn: dict, config: dict) -> tuple[dict, dict]:
     if compact:
         state["last_compact"], state["compact_pressure"] = now, after
         _fired(state, "compact")
-    suggest = action == "handoff" and now - state["last_handoff"] >= 600_000
+    suggest = action == "handoff" and now - state["last_handoff"] > HANDOFF_MS
     if suggest:
         state["last_handoff"] = now
     return state, {
-        "turn": turn["turn"], "action": action, "reason": reason, "prune": prune, "checkpoint": checkpoint, "compact": compact, "handoff": suggest,
+        "turn": turn["turn"], "action": action, "reason": reason, "prune": prune, "manual": manual, "checkpoint": checkpoint, "compact": compact, "handoff": suggest,
         "throttled": ",".join(throttled), "checkpoint_fresh": fresh, "compactions": state["compactions"], "checkpoints": state["checkpoints"],
         "prune_delta": round(state["prune_delta"], 6), "compact_delta": round(state["compact_delta"], 6),
     }
 
 
-PLANS = "session_id string, turn int, action string, reason string, prune boolean, checkpoint boolean, compact boolean, handoff boolean, throttled string, checkpoint_fresh boolean, compactions int, checkpoints int, prune_delta double, compact_delta double"
+PLANS = "session_id string, turn int, action string, reason string, prune boolean, manual boolean, checkpoint boolean, compact boolean, handoff boolean, throttled string, checkpoint_fresh boolean, compactions int, checkpoints int, prune_delta double, compact_delta double"
+
+
+_WHOLE = frozenset(f.split(" ")[0] for f in TURNS.split(", ") if f.split(" ")[1] in ("int", "long"))
 
 
 def turn_dicts(pdf: pd.DataFrame) -> Iterator[dict]:
-    """Rows as dictionaries of Python values, missing ones None."""
+    """Rows as dictionaries of Python values, missing ones None; pandas makes whole numbers with missing ones among them fractions."""
     for row in pdf.astype(object).where(pdf.notna(), None).to_dict("records"):
-        yield {k: (v.item() if hasattr(v, "item") else v) for k, v in row.items()}
+        values = {k: (v.item() if hasattr(v, "item") else v) for k, v in row.items()}
+        yield {k: int(v) if k in _WHOLE and v is not None else v for k, v in values.items()}
 
 
-def fold_turns(turns: DataFrame, config: dict | None = None) -> DataFrame:
-    """TURNS -> PLANS: ``step`` over each session's turns in order. A session is a sequence by its nature; sessions run in parallel."""
+def _folded(turns: DataFrame, config: dict | None, states: DataFrame | None, ends: bool) -> DataFrame:
+    """``step`` over each session's turns in order, from batch to batch with nothing but the state; plans as they come, or the states at the end."""
     config = config or DEFAULTS
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = initial_state(), []
-        for turn in turn_dicts(pdf.sort_values("turn", kind="stable")):
-            state, plan = step(state, turn, config)
-            out.append({"session_id": turn["session_id"]} | plan)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PLANS.split(", ")])
-
-    return turns.groupBy("session_id").applyInPandas(fold, PLANS)
+    rows = as_turns(turns).withColumn("state", F.lit(None).cast("string"))
+    if states is not None:
+        rows = rows.unionByName(states.select("session_id", "state"), allowMissingColumns=True)
+    columns = ["session_id", "state"] if ends else [c.split()[0] for c in PLANS.split(", ")]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        limits: dict[Any, dict] = {}
+        session, state = None, None
+        for pdf in batches:
+            out = []
+            for turn in turn_dicts(pdf):
+                if state is None or turn["session_id"] != session:
+                    if ends and state is not None:
+                        out.append({"session_id": session, "state": state_text(state)})
+                    session, state = turn["session_id"], initial_state()
+                if turn["turn"] is None:
+                    state = stored_state(turn["state"])
+                    continue
+                model = turn["model"]
+                if model not in limits:
+                    limits[model] = thresholds_for(config, model)
+                state, plan = step(state, turn, config, limits[model])
+                if not ends:
+                    out.append({"session_id": session} | plan)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if ends and state is not None:
+            yield pd.DataFrame([{"session_id": session, "state": state_text(state)}], columns=columns)
+
+    placed = rows.repartition("session_id").sortWithinPartitions("session_id", F.col("turn").asc_nulls_first())
+    return placed.mapInPandas(fold, "session_id string, state string" if ends else PLANS)
+
+
+def fold_turns(turns: DataFrame, config: dict | None = None, states: DataFrame | None = None) -> DataFrame:
+    """TURNS -> PLANS: ``step`` over each session's turns in order, from its state in ``states`` (session_id, state) or the initial one. A session is a sequence by its nature; sessions run in parallel, and a task holds one state and one batch."""
+    return _folded(turns, config, states, False)
+
+
+def final_states(turns: DataFrame, config: dict | None = None, states: DataFrame | None = None) -> DataFrame:
+    """(session_id, state) after the turns, of every session in ``turns`` or ``states``: what the next ``fold_turns`` starts from."""
+    return _folded(turns, config, states, True)
 
 
 def decided(fresh: Column, config: dict | None = None) -> tuple[Column, Column]:

@@ -19,14 +19,24 @@ MESSAGES = (
 PINS = "session_id string, id string, type string, content string, created_at long, source_message_id string, expires string, active boolean"
 TURNS = (
     "session_id string, turn int, now_ms long, pressure double, quality double, total_tokens long, usable_tokens long, "
-    "reclaimable_tokens long, message_count int, pressure_after_prune double, compact_event boolean, checkpoint_ok boolean, model string"
+    "reclaimable_tokens long, message_count int, pressure_after_prune double, compact_event boolean, checkpoint_ok boolean, model string, "
+    "prune_actions int, clean_at_ms long"
 )
 
 
+def as_turns(df: DataFrame) -> DataFrame:
+    """``df`` with every column of TURNS in order; those it lacks are null, others go."""
+    return _shaped(df, TURNS)
+
+
 def as_messages(df: DataFrame) -> DataFrame:
     """``df`` with every column of MESSAGES in order; those it lacks are null, others go."""
+    return _shaped(df, MESSAGES)
+
+
+def _shaped(df: DataFrame, schema: str) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     have = set(df.columns)
-    fields = _parse_datatype_string(MESSAGES).fields
+    fields = _parse_datatype_string(schema).fields
     return df.select(*((F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in fields))

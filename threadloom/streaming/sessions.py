@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from threadloom.plans.config import DEFAULTS
-from threadloom.plans.policy import PLANS, initial_state, step, turn_dicts
+from threadloom.plans.policy import PLANS, state_text, step, stored_state, turn_dicts
 
 
 def plan_stream(turns: DataFrame, config: dict | None = None) -> DataFrame:
@@ -18,14 +17,13 @@ def plan_stream(turns: DataFrame, config: dict | None = None) -> DataFrame:
     config = config or DEFAULTS
 
     def each(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = json.loads(state.get[0]) if state.exists else initial_state()
-        now["history"] = [tuple(h) for h in now["history"]]
+        now = stored_state(state.get[0] if state.exists else None)
         rows = pd.concat(list(batches)).sort_values("turn", kind="stable")
         out = []
         for turn in turn_dicts(rows):
             now, plan = step(now, turn, config)
             out.append({"session_id": key[0]} | plan)
-        state.update((json.dumps(now),))
+        state.update((state_text(now),))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in PLANS.split(", ")])
 
     return turns.groupBy("session_id").applyInPandasWithState(each, PLANS, "state string", "append", GroupStateTimeout.NoTimeout)
