@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from threadloom.functions import keys
 from threadloom.functions import text as tx
 from threadloom.functions import tokens as tk
-from threadloom.operators import analysis, checkpoints, items, pins, prune, reports
+from threadloom.operators import analysis, checkpoints, commands, items, pins, prune, reports
 from threadloom.plans import config, policy
-from threadloom.sources import traces
+from threadloom.sources import logs, traces
 
 CONTEXT_WINDOW, CHAT_WINDOW = 32_768, 16_384
 AT = "2024-01-01T00:00:00.000Z"
@@ -576,3 +576,63 @@ SELECT session_id, array_to_string(['Context clean' || chr(10) || chr(10) || 'Be
 )
 def _(spark, sf_dir):
     return reports.clean_reports(_acted(spark, sf_dir), window=CONTEXT_WINDOW)
+
+
+@_query("snk05_prune_log", f"WITH {ACTED} SELECT session_id, kind AS action, 'toolResult:' || message_index AS item_id, tool, 'auto' AS mode, tokens_before::BIGINT AS original_tokens, tokens_after::BIGINT AS replacement_tokens, reason FROM acts")
+def _(spark, sf_dir):
+    return logs.prune_log(_acted(spark, sf_dir), AT).drop("time", "tags")
+
+
+@_query("snk05_prune_events", f"WITH {ACTED} SELECT a.session_id, 'prune' AS action, 'auto' AS mode, count(*) AS actions, any_value(total_tokens)::BIGINT AS tokens_before, (any_value(total_tokens) - sum(tokens_before - tokens_after))::BIGINT AS tokens_after, sum(tokens_before - tokens_after)::BIGINT AS saved FROM acts a JOIN analysed USING (session_id) GROUP BY a.session_id")
+def _(spark, sf_dir):
+    acted = _acted(spark, sf_dir)
+    totals = commands.cleaned(acted, analysis.analyze(acted, window=CONTEXT_WINDOW), 0).select("session_id", "tokens_before", "tokens_after")
+    return logs.prune_events(logs.prune_log(acted, AT), totals).drop("time")
+
+
+PIN_TYPE = """CASE WHEN regexp_matches(lower(t), '\\b(don''?t|do not|never|must not)\\b') THEN 'constraint' WHEN regexp_matches(lower(t), '\\b(should|must|require|requires)\\b') THEN 'requirement'
+  WHEN regexp_matches(lower(t), '\\b(npm|pnpm|yarn|pip|uv|cargo|git|docker|make|pytest|jest)\\b') AND length(t) < 120 THEN 'command' ELSE 'note' END"""
+
+
+@_query("cmd_pin_last", rf"WITH {CHAT}, last AS (SELECT session_id, regexp_replace(arg_max(text, message_index), '^\s+|\s+$', '', 'g') AS t FROM chat WHERE role = 'user' GROUP BY session_id) SELECT session_id, {PIN_TYPE} AS type, left(t, 500) AS content FROM last WHERE t <> ''")
+def _(spark, sf_dir):
+    return commands.pin_last(_chat(spark, sf_dir), 0).select("session_id", "type", "content")
+
+
+@_query("cmd_pins", "SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, '✓ p1 [constraint]  The ' || chr(10) || '✓ p2 [file] src/none.py' || chr(10) || '✓ p3 [note] que' AS text FROM conversations")
+def _(spark, sf_dir):
+    return commands.pin_lists(_pins(spark, sf_dir))
+
+
+@_query(
+    "cp04_checkpoint_prompts",
+    rf"""WITH {CHAT} , s AS (SELECT session_id, message_index, CASE role WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'Assistant: ' END || regexp_replace(text, '^\s+|\s+$', '', 'g') AS s FROM chat WHERE role IN ('user', 'assistant') AND regexp_replace(text, '^\s+|\s+$', '', 'g') <> ''),
+b AS (SELECT c.session_id, coalesce(string_agg(s, chr(10) || chr(10) ORDER BY s.message_index), '') AS text FROM (SELECT DISTINCT session_id FROM chat) c LEFT JOIN s USING (session_id) GROUP BY c.session_id)
+SELECT session_id, CASE WHEN text <> '' THEN 'Generate the recovery checkpoint for this coding session.' || chr(10) || 'Hard pins (must appear in constraints):  The  | pinned file: src/none.py | que' || chr(10) || '<conversation>' || chr(10) || text || chr(10) || '</conversation>' END AS prompt FROM b""",
+)
+def _(spark, sf_dir):
+    return checkpoints.checkpoint_prompts(_chat(spark, sf_dir), _pins(spark, sf_dir)).select("session_id", "prompt")
+
+
+@_query(
+    "cp05_generated_checkpoints",
+    """SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, conv_id % 4 <> 3 AS ok, CASE WHEN conv_id % 4 <> 3 THEN '{"version":1,"task":{"goal":"g' || conv_id || '"},"requirements":[],"constraints":["keep it"],"decisions":[],"files":{"inspected":[],"modified":["a.py"],"created":[],"deleted":[]},"verification":{"passed":[],"failed":[],"pending":[]},"next_actions":["go on"],"meta":{"session_id":"'
+  || conv_id || '","tokens_before":7,"source":"auto"}}' END AS checkpoint FROM conversations""",
+)
+def _(spark, sf_dir):
+    replies = _replies(spark, sf_dir).withColumns({"source": F.lit("auto"), "tokens_before": F.lit(7).cast("long")})
+    return checkpoints.generated(checkpoints.checkpoint_prompts(_chat(spark, sf_dir)), replies).select("session_id", "ok", "checkpoint")
+
+
+@_query(
+    "snk07_turn_metrics",
+    """WITH t AS (SELECT CAST(user_id AS VARCHAR) AS session_id, row_number() OVER w AS turn, event_id, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS compactions FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT session_id, 'metric' AS action, event_id AS context_tokens, compactions::INT AS compactions FROM t WHERE event_id % 3 <> 0""",
+)
+def _(spark, sf_dir):
+    from pyspark.sql import Window
+
+    events = _read(spark, sf_dir, "events")
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    usage = events.select(F.col("user_id").cast("string").alias("session_id"), turn.alias("turn"), F.lit(AT).alias("time"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("tokens"), F.lit(None).cast("double").alias("percent"))
+    return logs.turn_metrics(usage, policy.fold_turns(turn_series(events))).select("session_id", "action", "context_tokens", "compactions")
