@@ -32,10 +32,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group; of rows that repeat an id, the one whose text and then other columns have the smallest hash. Rows without an id are in no group and stay."""
     heads = similar_documents(docs).where("doc_id = component_id").select("doc_id").distinct()
-    order = [F.sha2(F.coalesce("text", F.lit("")), 256), F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns))]
-    ranked = docs.where("doc_id is not null").join(heads, "doc_id", "left_semi").withColumns({"__text": order[0], "__row": order[1]})
-    kept = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("__text", "__row"))).where("__rank = 1")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(F.to_json("row")))
+    kept = rows.where("doc_id is not null").join(heads, "doc_id", "left_semi").withColumn("rank", F.row_number().over(first)).where("rank = 1")
+    return kept.select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
