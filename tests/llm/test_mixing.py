@@ -54,3 +54,22 @@ def test_plans_hold_no_python(spark):
     _, docs = docs_of(spark)
     for df in (mixing.plan(docs), mixing.mix(docs)):
         assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_many_sources_over_many_ranges(spark, monkeypatch):
+    """Thousands of sources in several ranges, joined by a shuffle, get the targets that repeated resharing gives."""
+    rows = [(i, "w " * (1 + i * 7919 % 50), f"host{i % 3001}" if i % 4 else "host0") for i in range(9000)] + [(9001, "a b c", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want, broadcast = reshared(sizes), {r.doc_id: tuple(r) for r in mixing.plan(docs).collect()}
+    assert all(r[3] == pytest.approx(want[rows[i if i < 9000 else -1][2]]) for i, r in broadcast.items())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    monkeypatch.setattr("threadloom.llm._hot.HOT_KEYS", 10)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r.doc_id: tuple(r) for r in mixing.plan(docs).collect()} == broadcast
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)

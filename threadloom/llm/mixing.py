@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import written
+from threadloom.llm._hot import salted_join
+from threadloom.llm._store import dropped, written
 
 WEIGHTS = (5, 2, 1)
 #: The mix's words as a multiple of all words, and a source's as one of its own.
@@ -30,36 +31,52 @@ def _draw(seed: str) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
+def _in_order(rows: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """``rows``, written, with each of ``sums`` over all rows before in ``order``.
+
+    Ranges of the order are partitions; sums within one are a window, and what
+    lies before it comes from one row for each partition. So no task sees all rows.
+    """
+    placed = written(rows.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("part").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    parts = parts.select("part", *(F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_part") for k in sums))
+    found = placed.withColumns({k: F.coalesce(F.sum(c).over(inside), F.lit(0)) for k, c in sums.items()}).join(F.broadcast(parts), "part")
+    return found.withColumns({k: F.col(k) + F.col(f"{k}_part") for k in sums}).drop("part", *(f"{k}_part" for k in sums))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """(source, size) -> (source, source_size, target, rate).
+    """(source, size) -> (source, source_size, rows, target, rate), written.
 
     A target is least(cap * size, level * weight) with the one level at which
     all targets sum to share * all sizes: where the resharing of what stands
     above a cap ends. In order of cap / weight, the level that would hold if
-    exactly the sources before were capped is largest at the right place.
-    The windows run over one row per source, never over documents.
+    exactly the sources before were capped is largest at the right place. Only
+    the sum of all sizes, that of all weights and the level reach the driver.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    ranked = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod(F.row_number().over(ranked) - 1, F.lit(len(weights))) + 1).cast("int"))
-    top = sources.withColumn("rank", F.row_number().over(ranked)).withColumn("weight", weight).withColumn("top", F.lit(cap) * F.col("source_size"))
-    order = Window.orderBy(F.col("top") / F.col("weight"), "rank")
-    before = F.coalesce(F.sum("top").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("weight").over(order.rowsBetween(0, Window.unboundedFollowing))
-    everything = Window.partitionBy()
-    total = F.lit(share) * F.sum("source_size").over(everything)
-    levels = top.withColumn("total", total).withColumn("level", (F.col("total") - before) / rest)
-    target = F.least("top", F.max("level").over(everything) * F.col("weight"))
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    ranked = _in_order(sources, [F.col("source").asc_nulls_last()], {"rank": F.lit(1)}, "ranked")
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    top = ranked.withColumn("weight", weight).withColumn("top", F.lit(cap) * F.col("source_size")).withColumn("place", F.col("top") / F.col("weight"))
+    levels = written(_in_order(top, [F.col("place"), F.col("rank")], {"before": F.col("top"), "lighter": F.col("weight")}, "levels"), "levels")
+    words, heavy = levels.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = levels.agg(F.max((F.lit(share * (words or 0)) - F.col("before")) / (F.lit(heavy or 0.0) - F.col("lighter")))).first()[0]
+    target = F.least("top", F.lit(level or 0.0) * F.col("weight"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return levels.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
+    out = written(levels.withColumn("target", target).select("source", "source_size", "rows", "target", rate.alias("rate")), "targets")
+    dropped(levels)
+    return out
 
 
 def _with_rates(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Broadcasts the targets only if their count proves them small; else Spark shuffles, and splits hot sources as it joins."""
-    targets = targets.withColumnRenamed("source", "target_source")
+    """``rows`` (source, doc_id, ...) with their source's size, target and rate. The targets are broadcast only if their count proves them small; else both are shuffled, hot sources salted."""
     if targets.count() <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    return rows.join(targets, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
+        known = F.broadcast(targets.drop("rows").withColumnRenamed("source", "target_source"))
+        return rows.join(known, F.col("source").eqNullSafe(F.col("target_source"))).drop("target_source")
+    key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
+    known = targets.withColumn("key", key).drop("source")
+    return salted_join(rows.withColumn("key", key), known.drop("rows"), ["key"], known, "rows", ["doc_id"]).drop("key")
 
 
 def _copies(seed: str) -> Column:
@@ -80,13 +97,15 @@ def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     whatever their names, are ignored.
     """
     sizes = _sizes(docs)
-    rated = _with_rates(sizes, written(source_targets(sizes), "targets"))
+    rated = _with_rates(sizes, source_targets(sizes))
     return rated.withColumn("copies", _copies(seed)).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed documents: ``docs`` with all its columns, each row as often as ``plan`` takes it."""
-    targets = written(source_targets(_sizes(docs)), "targets")
+    sizes = _sizes(docs)
+    targets = source_targets(sizes)
+    dropped(sizes)
     rows = docs.select("doc_id", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rated = _with_rates(rows, targets).withColumn("copies", _copies(seed))
     return rated.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
