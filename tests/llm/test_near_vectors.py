@@ -40,12 +40,14 @@ def test_estimates_are_unbiased_and_bounds_hold():
     rng = np.random.default_rng(0)
     dim, n = 64, 400
     v = nv._unit(rng.standard_normal((n, dim)) + 0.6)
-    code, factor, small, step = nv.encoded(v)
-    above = nv.upper_bounds(code, factor, small, step, dim)
+    code, factors, small, step = nv.encoded(v)
+    above = nv.upper_bounds(code, factors, small, step, dim)
     off = ~np.eye(n, dtype=bool)
     assert (above >= v @ v.T)[off].all()
-    slack = (np.sqrt(1 - factor**2) * nv.EPSILON / np.sqrt(dim - 1) + 0 * step)[:, None] / factor[:, None] + np.sqrt(dim) * step[None, :] / 2 / factor[:, None]
-    assert abs((above - slack - v @ v.T)[off].mean()) < 0.01
+    spread = np.sqrt((1 / factors**2 - 1).sum(axis=1)) / nv.ROTATIONS * nv.EPSILON / np.sqrt(dim - 1)
+    rounding = (1 / factors).mean(axis=1)[:, None] * np.sqrt(dim) / 2 * step[None, :]
+    error = (above - spread[:, None] - rounding - v @ v.T)[off]
+    assert abs(error.mean()) < 0.003 and error.std() * nv.EPSILON < 1.5 * spread.mean() and spread.mean() < 0.25
 
 
 def test_ids_that_repeat(spark):

@@ -3,9 +3,10 @@
 A random rotation turns a unit vector into its signs (a point of the cube
 close to it) and the correction factor <signs / sqrt(D), vector>. For another
 vector, <signs / sqrt(D), rotated> / factor estimates the inner product without
-bias, and its error is at most EPSILON standard errors but for a chance of
-about 1e-9. The rotated vector takes a byte a component, rounded with a fixed
-dither; what that can change is added to the bound. Only pairs whose upper
+bias. A vector's code has the signs and factors of ROTATIONS rotations; the
+mean of their estimates is off by at most EPSILON standard errors but for a
+chance of about 1e-9. The other vector takes a byte a component, rounded with a
+fixed dither; what that can change is added to the bound. Only pairs whose upper
 confidence bound reaches the threshold are computed again, in double
 precision from the whole vectors, and only that decides.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from threadloom.llm._graph import components
 from threadloom.llm._store import dropped, lean, written
 
-THRESHOLD, MISS, EPSILON, BLOCK = 0.98, 1e-9, 6.0, 256
+THRESHOLD, MISS, EPSILON, BLOCK, ROTATIONS = 0.98, 1e-9, 6.0, 256, 8
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -60,22 +61,25 @@ def _dither(dim: int) -> np.ndarray:
 
 
 def encoded(unit: np.ndarray):
-    """Of unit vectors: signs (packed), correction factor, bytes of the rotated vector and what one of them stands for."""
+    """Of unit vectors: signs (packed), correction factors, bytes of the vector as first rotated, and what one of them stands for."""
     dim = unit.shape[1]
-    turned = unit @ rotation(dim, dim, 1).T
-    step = np.abs(turned).max(axis=1) / 126
-    small = np.floor(turned / step[:, None] + _dither(dim)).astype(np.int8)
-    return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(dim), small, step
+    turned = unit @ rotation(dim, dim * ROTATIONS, 1).T
+    factors = np.abs(turned).reshape(len(unit), ROTATIONS, dim).sum(axis=2) / math.sqrt(dim)
+    first = turned[:, :dim]
+    step = np.abs(first).max(axis=1) / 126
+    small = np.floor(first / step[:, None] + _dither(dim)).astype(np.int8)
+    return np.packbits(turned > 0, axis=1), factors, small, step
 
 
-def upper_bounds(code, factor, small, step, dim: int) -> np.ndarray:
+def upper_bounds(code, factors, small, step, dim: int) -> np.ndarray:
     """[i, j]: what the inner product of vectors i and j is at most, from the code of i and the bytes of j."""
-    signs = np.unpackbits(code, axis=1, count=dim) * 2.0 - 1.0
-    turned = (small + 0.5 - _dither(dim)) * step[:, None]
-    estimate = (signs @ turned.T) / (math.sqrt(dim) * factor[:, None])
-    spread = np.sqrt(np.maximum(1 - factor**2, 0)) * EPSILON / math.sqrt(max(dim - 1, 1))
-    rounding = math.sqrt(dim) * step / 2
-    return estimate + (spread[:, None] + rounding[None, :]) / factor[:, None] + 1e-12
+    turns = rotation(dim, dim * ROTATIONS, 1)
+    signs = (np.unpackbits(code, axis=1, count=dim * ROTATIONS) * 2.0 - 1.0).reshape(-1, ROTATIONS, dim) / factors[:, :, None]
+    near = ((small + 0.5 - _dither(dim)) * step[:, None]) @ turns[:dim]  # the vectors but for rounding
+    estimate = signs.reshape(len(code), -1) @ (near @ turns.T).T / (math.sqrt(dim) * ROTATIONS)
+    spread = np.sqrt((np.maximum(1 - factors**2, 0) / factors**2).sum(axis=1)) / ROTATIONS * EPSILON / math.sqrt(max(dim - 1, 1))
+    rounding = (1 / factors).mean(axis=1)[:, None] * (math.sqrt(dim) / 2 * step)[None, :]
+    return estimate + spread[:, None] + rounding + 1e-12
 
 
 def _coder(bits: int, tables: int):
@@ -83,7 +87,7 @@ def _coder(bits: int, tables: int):
         for batch in batches:
             vectors = [np.array(v, np.float32) for v in batch.column(2).to_pylist()]
             n = len(vectors)
-            code, factor, small, step, buckets = [b""] * n, [0.0] * n, [b""] * n, [0.0] * n, [None] * n
+            code, factors, small, step, buckets = [b""] * n, [b""] * n, [b""] * n, [0.0] * n, [None] * n
             sizes = np.array([len(v) for v in vectors], np.int32)
             for dim in np.unique(sizes).tolist():
                 rows = np.flatnonzero(sizes == dim)
@@ -92,10 +96,10 @@ def _coder(bits: int, tables: int):
                 signs = (unit @ rotation(dim, bits * tables, 2).T > 0).reshape(len(rows), tables, bits)
                 ids = (signs << np.arange(bits)).sum(axis=2).astype(np.int32)
                 for k, i in enumerate(rows):
-                    code[i], factor[i], small[i], step[i], buckets[i] = parts[0][k].tobytes(), float(parts[1][k]), parts[2][k].tobytes(), float(parts[3][k]), ids[k]
+                    code[i], factors[i], small[i], step[i], buckets[i] = parts[0][k].tobytes(), parts[1][k].tobytes(), parts[2][k].tobytes(), float(parts[3][k]), ids[k]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(code, pa.binary()), pa.array(factor, pa.float64()), pa.array(small, pa.binary()), pa.array(step, pa.float64()), pa.array(buckets, pa.list_(pa.int32()))],
-                names=["class", "label", "dim", "code", "factor", "small", "step", "buckets"],
+                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(code, pa.binary()), pa.array(factors, pa.binary()), pa.array(small, pa.binary()), pa.array(step, pa.float64()), pa.array(buckets, pa.list_(pa.int32()))],
+                names=["class", "label", "dim", "code", "factors", "small", "step", "buckets"],
             )
 
     return codes
@@ -117,9 +121,9 @@ def _open(rows: dict, threshold: float):
     left, right = _sides(half)
     if not len(left) or not len(right):
         return None
-    code, small = (np.stack([np.frombuffer(x, kind) for x in rows[k]]) for k, kind in (("code", np.uint8), ("small", np.int8)))
-    factor, step = np.array(rows["factor"]), np.array(rows["step"])
-    near = upper_bounds(code[left], factor[left], small[right], step[right], dim) >= threshold
+    code, small, factors = (np.stack([np.frombuffer(x, kind) for x in rows[k]]) for k, kind in (("code", np.uint8), ("small", np.int8), ("factors", np.float64)))
+    step = np.array(rows["step"])
+    near = upper_bounds(code[left], factors[left], small[right], step[right], dim) >= threshold
     if half[0] == 2:
         near = np.triu(near, 1)
     i, j = np.nonzero(near)
@@ -206,7 +210,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keyed = written(rows.where("valid").join(classes, ["label", "embedding"]).select("vec_id", "class", "node"), "keyed")
     bits = min(30, max(8, math.ceil(math.log2(max(classes.count(), 2)))))
     tables = tables_needed(bits, threshold)
-    codes = "class long, label long, dim int, code binary, factor double, small binary, step double, buckets array<int>"
+    codes = "class long, label long, dim int, code binary, factors binary, small binary, step double, buckets array<int>"
     coded = written(classes.select("class", "label", "embedding").mapInArrow(lean(_coder(bits, tables)), codes), "codes")
 
     keys = ["label", "dim", "table", "bucket"]
@@ -223,7 +227,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     int_, long_ = pa.int32(), pa.int64()
     open_ = worked(
-        spots.join(coded.select("class", "code", "factor", "small", "step"), "class"), (*_TILE, "half", "class", "code", "factor", "small", "step"), _open,
+        spots.join(coded.select("class", "code", "factors", "small", "step"), "class"), (*_TILE, "half", "class", "code", "factors", "small", "step"), _open,
         [*_TILE, "half", "class"], [long_, int_, int_, int_, int_, int_, int_, long_], "label long, dim int, table int, bucket int, i int, j int, half int, class long", "open",
     )
     whole = open_.join(classes.select("class", "node", "m", "embedding"), "class").join(coded.select("class", "buckets"), "class")
