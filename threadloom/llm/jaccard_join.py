@@ -18,8 +18,8 @@ Before whole texts meet, parity bitmaps do: bit i says whether an odd number
 of a set's elements hash to i. Each element in which two sets differ changes
 one bit, so two sets differ in at least as many elements as their bitmaps in
 bits, and linked sets differ in at most (n_a + n_b) / 9. A bitmap of SIGNATURE
-bits goes with the postings, one of at least as many bits as the set has
-elements (``sketch``) checks what passes it. The bounds lose nothing.
+bits goes with the postings; one of at least four bits for each element of the
+set (``sketch``) checks what passes it. The bounds lose nothing.
 
 Any fixed order of elements gives the right result. The document counts that
 put common passages last come from one row of counters of a fixed size
@@ -102,8 +102,8 @@ def _parity(found: np.ndarray, bits: int) -> np.ndarray:
 
 
 def sketch_bits(n: int) -> int:
-    """The power of two that is at least ``n``, and at least SIGNATURE."""
-    return max(SIGNATURE, 1 << (int(n) - 1).bit_length())
+    """The power of two that is at least four times ``n``, and at least SIGNATURE."""
+    return max(SIGNATURE, 1 << (4 * int(n) - 1).bit_length()) if n else SIGNATURE
 
 
 def _rows(counts):
@@ -120,7 +120,7 @@ def _rows(counts):
                     cid.append(mix(found + _U(size)).sum(dtype=np.uint64))
                     gid.append(mix(ranked * _U(2) + _U(1)).sum(dtype=np.uint64))
                     words.append(_parity(found, SIGNATURE).view(np.int64))
-                    sketch.append(_parity(found, sketch_bits(size)).tobytes() if size > SIGNATURE else None)
+                    sketch.append(_parity(found, sketch_bits(size)).tobytes())
                     prefix.append(ranked.tobytes())
                 words = np.array(words).reshape(len(n), -1)
                 yield pa.RecordBatch.from_arrays([ids.slice(start, stop - start), pa.array(n, pa.int64()), pa.array(_signed(cid)), pa.array(_signed(gid)), pa.array(prefix, pa.binary()), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(len(_WORDS))), pa.array(sketch, pa.binary())], names=["doc_id", "n", "cid", "gk", "prefix", *_WORDS, "sketch"])
@@ -192,32 +192,36 @@ def _alike(a: str, b: str):
 
 
 def _sketched(batches):
-    """From rows (a, b, n, differ, sketches of a and b): the pairs that also larger bitmaps leave open, with the bits in which those differ."""
+    """From rows (a, b, n of both, sketches of a and b): the pairs that their sketches leave open, with the bits in which those differ."""
     for batch in batches:
-        n, differ = batch.column(2).to_numpy(), batch.column(3).to_numpy().copy()
-        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
-            if x.is_valid and y.is_valid:
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                while len(x) != len(y):  # the longer one, folded, is that of half its bits
-                    longer = x if len(x) > len(y) else y
-                    folded = longer[: len(longer) // 2] ^ longer[len(longer) // 2 :]
-                    x, y = (folded, y) if longer is x else (x, folded)
-                differ[i] = np.bitwise_count(x ^ y).sum()
-        keep = pa.array(differ * 9 <= n)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ)], names=["a", "b", "differ"]).filter(keep)
-
-
-def _open(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """(a, b, differ) of the pairs (a, b) that their bitmaps leave open."""
-    both = pairs.join(bitmaps.alias("x"), F.col("a") == F.col("x.node")).join(bitmaps.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y"))
-    rows = both.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("n"), _differ("x", "y").cast("long").alias("differ"), F.col("x.sketch").alias("left"), F.col("y.sketch").alias("right"))
-    return rows.mapInArrow(lean(_sketched), "a long, b long, differ long")
-
-
-def _likeliest(pairs: DataFrame, bitmaps: DataFrame, most: int) -> DataFrame:
-    """Of the pairs (a, b) that may link, those of the fewest different bits for each b."""
+        n, differ = batch.column(2).to_numpy(), np.zeros(batch.num_rows, np.int64)
+        for i, (x, y) in enumerate(zip(batch.column(3), batch.column(4))):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            while len(x) != len(y):  # the longer one, folded, is that of half its bits
+                longer = x if len(x) > len(y) else y
+                folded = longer[: len(longer) // 2] ^ longer[len(longer) // 2 :]
+                x, y = (folded, y) if longer is x else (x, folded)
+            differ[i] = np.bitwise_count(x ^ y).sum()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(differ)], names=["a", "b", "differ"]).filter(pa.array(differ * 9 <= n))
+
+
+def _open(pairs: DataFrame, bitmaps: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(a, b, differ), written, of the pairs (a, b) that their bitmaps leave open: those of all sets first, then sketches of the sets that are left."""
+    alike = pairs.join(bitmaps.alias("x"), F.col("a") == F.col("x.node")).join(bitmaps.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y")).select("a", "b").distinct()
+    alike = written(alike, "alike")
+    some = _of(alike, sketches.select("node", "n", "sketch"), "node long, n long, sketch binary")
+    left, right = (some.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")) for side in "ab")
+    rows = alike.join(left, "a").join(right, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b")
+    # an id that repeats with other texts has more sketches
+    found = written(rows.mapInArrow(lean(_sketched), "a long, b long, differ long").groupBy("a", "b").agg(F.min("differ").alias("differ")), "open")
+    dropped(alike, some)
+    return found
+
+
+def _likeliest(found: DataFrame, most: int) -> DataFrame:
+    """Of the pairs that ``_open`` leaves, those of the fewest different bits for each b."""
     rank = F.row_number().over(Window.partitionBy("b").orderBy("differ", "a"))
-    return _open(pairs, bitmaps).withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b")
+    return found.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b")
 
 
 def _can_meet(n, pos, other_n, other_pos):
@@ -250,7 +254,7 @@ def _wanted(bits):
             ids = batch.column(0).fill_null(-1).to_numpy()
             keep = np.flatnonzero(np.unpackbits(bits.value, bitorder="little")[ids % _PRIME].astype(bool))
             if len(keep):
-                yield pa.RecordBatch.from_arrays(batch.take(pa.array(keep)).columns, names=["node", "text"])
+                yield batch.take(pa.array(keep))
 
     return wanted
 
@@ -279,23 +283,30 @@ def _id_bits(ids: DataFrame) -> np.ndarray:
     return bits
 
 
-def checked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` whose whole sets link, written. Only texts that some pair needs are shuffled, a group's head as often as its pairs fill tasks; texts are smaller than sets."""
-    spark = docs.sparkSession
+def _of(pairs: DataFrame, table: DataFrame, schema: str) -> DataFrame:
+    """``table`` (node, ...), written, without most of the rows that no pair (a, b) needs: a filter of fixed size looks at the ids where they stand."""
+    spark = pairs.sparkSession
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
-    slim = docs.where("doc_id is not null").select(F.col("doc_id").alias("node"), "text")
+    table = table.where("node is not null")
     if ids.count() <= FILTER_IDS:
-        wanted = slim.mapInArrow(lean(_wanted(spark.sparkContext.broadcast(_id_bits(ids)))), "node long, text string")
+        some = table.mapInArrow(lean(_wanted(spark.sparkContext.broadcast(_id_bits(ids)))), schema)
     else:
-        wanted = slim.join(ids, "node", "left_semi")
-    texts = written(wanted, "texts")
+        some = table.join(ids, "node", "left_semi")
+    some = written(some, "some")
+    dropped(ids)
+    return some
+
+
+def checked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` whose whole sets link, written. Only texts that some pair needs are shuffled, a group's head as often as its pairs fill tasks; texts are smaller than sets."""
+    texts = _of(pairs, docs.select(F.col("doc_id").alias("node"), "text"), "node long, text string")
     # each b has few pairs, an a may have those of a large group
     counts = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")), "counts")
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
     both = salted_join(right, texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).join(counts.select("a"), "a", "left_semi"), ["a"], counts, "pairs", ["b"])
     found = both.select("a", "b", "ta", "tb").mapInArrow(lean(_linked), "a long, b long").distinct()
     found = written(found, name)
-    dropped(texts, ids, counts)
+    dropped(texts, counts)
     return found
 
 
@@ -314,9 +325,10 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     prefixes = written(docs.mapInArrow(lean(_rows(counts)), "doc_id long, n long, cid long, gk long, prefix binary, " + ", ".join(f"{w} long" for w in _WORDS) + ", sketch binary"), "prefixes")
     rows = written(prefixes.select("doc_id", "n", "cid"), "rows")
     full = prefixes.where("doc_id is not null and n > 0")
-    classes = full.groupBy("n", "cid").agg(F.min("doc_id").alias("node"), *(F.min(w).alias(w) for w in ("gk", *_WORDS, "sketch")))
+    sketches = written(full.select(F.col("doc_id").alias("node"), "n", "sketch"), "sketches")
+    classes = full.groupBy("n", "cid").agg(F.min("doc_id").alias("node"), *(F.min(w).alias(w) for w in ("gk", *_WORDS)))
     groups = classes.groupBy("n", "gk").agg(F.min("node").alias("gid"))
-    members = written(classes.join(groups, ["n", "gk"]).select("n", "cid", "node", "gid", *_WORDS, "sketch"), "classes")
+    members = written(classes.join(groups, ["n", "gk"]).select("n", "cid", "node", "gid", *_WORDS), "classes")
 
     heads = full.select("doc_id", "n", "cid", "prefix").join(members.where("node = gid").select(F.col("node").alias("doc_id"), "n", "cid"), ["doc_id", "n", "cid"], "left_semi")
     postings = heads.select("doc_id", "n", "prefix").mapInArrow(_postings, "token long, gid long, n int, pos int")
@@ -324,7 +336,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     shared = written(postings.repartitionByRange("token", "gid").sortWithinPartitions("token", "gid").mapInArrow(_runs, _SHARED), "postings")
     dropped(prefixes)
 
-    bitmaps = members.select("node", "n", *_WORDS, "sketch")
+    bitmaps = members.select("node", "n", *_WORDS)
     # members of one group share its whole prefix, whether or not another group posts a token of it: they meet under a token of their own
     within = members.groupBy("gid", "n").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select(F.xxhash64("gid", "n").alias("token"), "gid", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
 
@@ -333,7 +345,9 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         return some.select(F.least("gid", f"{side}_gid").alias("a"), F.greatest("gid", f"{side}_gid").alias("b"))
 
     near = pairs("first").unionByName(pairs("prev")).unionByName(members.where("node <> gid").select(F.col("gid").alias("a"), F.col("node").alias("b"))).distinct()
-    near = written(_likeliest(near, bitmaps, FIRST), "near")
+    opened = _open(near, bitmaps, sketches)
+    near = written(_likeliest(opened, FIRST), "near")
+    dropped(opened)
     links = checked(near, docs, "links")
 
     def apart(links):
@@ -343,23 +357,24 @@ def similar_documents(docs: DataFrame) -> DataFrame:
         rows = shared.select("token", "gid", "n", "pos").unionByName(within).join(known, "gid")
         mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         left = rows.join(mixed, "token", "left_semi").select("token", "node", "component", "n", "pos")
-        out = written(left.join(bitmaps.drop("n", "sketch"), "node").select("token", "node", "component", "n", *_WORDS, "pos"), "apart")
+        out = written(left.join(bitmaps.drop("n"), "node").select("token", "node", "component", "n", *_WORDS, "pos"), "apart")
         dropped(joined)
         return out
 
     left = apart(links)
     by_hash = left.withColumn("order", F.xxhash64("node", "token")).repartitionByRange("token", "order").sortWithinPartitions("token", "order")
     nearer = by_hash.select("token", "node", "component", "n", *_WORDS).mapInArrow(_neighbours, "a long, b long").distinct()
-    nearer = written(_likeliest(nearer, bitmaps, NEXT).join(near, ["a", "b"], "left_anti"), "nearer")
-    dropped(left)
+    opened = _open(nearer, bitmaps, sketches)
+    nearer = written(_likeliest(opened, NEXT).join(near, ["a", "b"], "left_anti"), "nearer")
+    dropped(left, opened)
     more = checked(nearer, docs, "more-links")
 
     left = apart(links.unionByName(more))
     meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _can_meet("a.n", "a.pos", "b.n", "b.pos") & _alike("a", "b")
     rest = left.alias("a").join(left.alias("b"), meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
-    rest = written(_open(rest.join(near.unionByName(nearer), ["a", "b"], "left_anti"), bitmaps).select("a", "b"), "rest")
-    dropped(left, shared)
-    last = checked(rest, docs, "last-links")
+    rest = _open(rest.join(near.unionByName(nearer), ["a", "b"], "left_anti"), bitmaps, sketches)
+    dropped(left, shared, sketches)
+    last = checked(rest.select("a", "b"), docs, "last-links")
     # rows that repeat a doc_id with another text tie their classes together
     ties = rows.where("doc_id is not null and n > 0").join(members, ["n", "cid"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     ties = ties.join(members.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
