@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from threadloom.llm._graph import components
 from threadloom.llm._store import dropped, lean, written
 
-THRESHOLD, MISS, EPSILON, BLOCK, ROTATIONS = 0.98, 1e-9, 6.0, 256, 8
+THRESHOLD, MISS, EPSILON, BLOCK, ROTATIONS = 0.98, 1e-9, 6.0, 256, 4
+#: Tiles of at most so many vectors are worked on together, pair by pair.
+SMALL = 24
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -71,15 +73,19 @@ def encoded(unit: np.ndarray):
     return np.packbits(turned > 0, axis=1), factors, small, step
 
 
-def upper_bounds(code, factors, small, step, dim: int) -> np.ndarray:
-    """[i, j]: what the inner product of vectors i and j is at most, from the code of i and the bytes of j."""
+def _sides_of_estimate(code, factors, small, step, dim: int):
+    """Rows whose inner products are the estimates: of the code's side and of the other; then each side's part of the bound on its error."""
     turns = rotation(dim, dim * ROTATIONS, 1)
     signs = (np.unpackbits(code, axis=1, count=dim * ROTATIONS) * 2.0 - 1.0).reshape(-1, ROTATIONS, dim) / factors[:, :, None]
     near = ((small + 0.5 - _dither(dim)) * step[:, None]) @ turns[:dim]  # the vectors but for rounding
-    estimate = signs.reshape(len(code), -1) @ (near @ turns.T).T / (math.sqrt(dim) * ROTATIONS)
     spread = np.sqrt((np.maximum(1 - factors**2, 0) / factors**2).sum(axis=1)) / ROTATIONS * EPSILON / math.sqrt(max(dim - 1, 1))
-    rounding = (1 / factors).mean(axis=1)[:, None] * (math.sqrt(dim) / 2 * step)[None, :]
-    return estimate + spread[:, None] + rounding + 1e-12
+    return signs.reshape(len(code), -1) / (math.sqrt(dim) * ROTATIONS), near @ turns.T, spread + 1e-12, (1 / factors).mean(axis=1), math.sqrt(dim) / 2 * step
+
+
+def upper_bounds(code, factors, small, step, dim: int) -> np.ndarray:
+    """[i, j]: what the inner product of vectors i and j is at most, from the code of i and the bytes of j."""
+    signs, turned, spread, scale, rounding = _sides_of_estimate(code, factors, small, step, dim)
+    return signs @ turned.T + spread[:, None] + scale[:, None] * rounding[None, :]
 
 
 def _coder(bits: int, tables: int):
@@ -108,84 +114,123 @@ def _coder(bits: int, tables: int):
 _TILE = ("label", "dim", "table", "bucket", "i", "j")
 
 
-def _sides(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in a tile whose pairs it holds; a tile of one block with itself has half 2."""
-    if len(half) and half[0] == 2:
-        return np.arange(len(half)), np.arange(len(half))
-    return np.flatnonzero(half == 0), np.flatnonzero(half == 1)
-
-
-def _open(rows: dict, threshold: float):
-    """The rows of a tile that have a pair whose upper bound reaches the threshold."""
-    dim, half = int(rows["dim"][0]), np.array(rows["half"])
-    left, right = _sides(half)
-    if not len(left) or not len(right):
-        return None
-    code, small, factors = (np.stack([np.frombuffer(x, kind) for x in rows[k]]) for k, kind in (("code", np.uint8), ("small", np.int8), ("factors", np.float64)))
-    step = np.array(rows["step"])
-    near = upper_bounds(code[left], factors[left], small[right], step[right], dim) >= threshold
-    if half[0] == 2:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
-    some = np.unique(np.concatenate([left[i], right[j]]))
-    return [[rows[k][x] for x in some] for k in (*_TILE, "half", "class")] if len(some) else None
-
-
-def _linked(rows: dict, threshold: float):
-    """(class, links, root) of a tile's vectors that link in it, exactly; a pair counts in the first table that brings it together."""
-    half, m, node = (np.array(rows[k], np.int64) for k in ("half", "m", "node"))
-    left, right = _sides(half)
-    if not len(left) or not len(right):
-        return None
-    unit = _unit(np.array(rows["embedding"], np.float32))
-    near = unit[left] @ unit[right].T
-    i, j = np.nonzero(np.triu(near >= threshold - 1e-9, 1) if half[0] == 2 else near >= threshold - 1e-9)
-    i, j = left[i], right[j]
+def _pairs_in(tile: np.ndarray, half: np.ndarray, score) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of the pairs that tiles hold and ``score`` keeps. Rows of one tile are neighbours; in a tile of two blocks only pairs across count.
+
+    ``score(rows, i, j)``: for the rows of a stretch, whether its pairs (i, j) stay; i and j None: all of them, as a matrix.
+    """
+    size = np.bincount(tile)
+    start = np.cumsum(size) - size
+    out_i, out_j = [], []
+    small = np.flatnonzero(size[tile] <= SMALL)
+    for k in range(1, min(SMALL, len(small))):
+        same = tile[small[k:]] == tile[small[:-k]]
+        across = (half[small[k:]] == 2) | (half[small[k:]] != half[small[:-k]])
+        at = np.flatnonzero(same & across)
+        if not len(at):
+            if not same.any():
+                break
+            continue
+        i, j = small[at], small[at + k]
+        keep = score(None, i, j)
+        out_i.append(i[keep])
+        out_j.append(j[keep])
+    for t in np.flatnonzero(size > SMALL):
+        rows = np.arange(start[t], start[t] + size[t])
+        near = score(rows, None, None)
+        near = np.triu(near, 1) if half[rows[0]] == 2 else near & (half[rows] == 0)[:, None] & (half[rows] == 1)[None, :]
+        i, j = np.nonzero(near)
+        out_i.append(rows[i])
+        out_j.append(rows[j])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *out_i]), np.concatenate([none, *out_j])
+
+
+def _open(cols: dict, tile: np.ndarray, dim: int, threshold: float):
+    """The rows of tiles that have a pair whose upper bound reaches the threshold."""
+    code, small, factors = cols["code"], cols["small"].view(np.int8), cols["factors"].view(np.float64)
+    signs, turned, spread, scale, rounding = _sides_of_estimate(code, factors, small, cols["step"], dim)
+
+    def score(rows, i, j):
+        if rows is not None:
+            return signs[rows] @ turned[rows].T + spread[rows][:, None] + scale[rows][:, None] * rounding[rows][None, :] >= threshold
+        return np.einsum("ij,ij->i", signs[i], turned[j]) + spread[i] + scale[i] * rounding[j] >= threshold
+
+    some = np.unique(np.concatenate(_pairs_in(tile, cols["half"], score)))
+    return [cols[k][some] for k in (*_TILE, "half", "class")]
+
+
+def _linked(cols: dict, tile: np.ndarray, dim: int, threshold: float):
+    """(class, node, links, root) of vectors that link in their tile, exactly; a pair counts in the first table that brings it together."""
+    unit = _unit(cols["embedding"])
+
+    def score(rows, i, j):
+        return unit[rows] @ unit[rows].T >= threshold - 1e-9 if rows is not None else np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
+
+    i, j = _pairs_in(tile, cols["half"], score)
     exact = np.einsum("ij,ij->i", unit[i], unit[j]) >= threshold
     i, j = i[exact], j[exact]
-    table, buckets = int(rows["table"][0]), np.array(rows["buckets"], np.int32)
-    first = ~(buckets[i, :table] == buckets[j, :table]).any(axis=1)
+    buckets = cols["buckets"]
+    earlier = np.arange(buckets.shape[1])[None, :] < cols["table"][i][:, None]
+    first = ~((buckets[i] == buckets[j]) & earlier).any(axis=1)
     i, j = i[first], j[first]
-    if not len(i):
-        return None
+    node, m = cols["node"], cols["m"]
     links = np.bincount(i, m[j], len(node)) + np.bincount(j, m[i], len(node))
     root = node.copy()
-    while True:
+    while len(i):
         before = root.copy()
         np.minimum.at(root, i, before[j])
         np.minimum.at(root, j, before[i])
         if (root == before).all():
             break
     some = np.flatnonzero(links)
-    return [[rows["class"][x] for x in some], node[some].tolist(), links[some].astype(np.int64).tolist(), root[some].tolist()]
+    return [cols["class"][some], node[some], links[some].astype(np.int64), root[some]]
+
+
+def _arrays(batch: pa.RecordBatch, columns) -> dict:
+    """Columns of rows of one dimension as arrays: numbers by row, bytes and lists as rows of a matrix."""
+    out = {}
+    for k, c in zip(columns, batch.columns):
+        if pa.types.is_binary(c.type):
+            ends = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]
+            c = np.frombuffer(c.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(c), -1).copy()
+        elif pa.types.is_list(c.type):
+            c = c.flatten().to_numpy().reshape(len(c), -1)
+        else:
+            c = c.to_numpy()
+        out[k] = c
+    return out
 
 
 def _tiles(columns, names, types, work, threshold):
-    """``work`` on each tile of rows sorted by tile."""
+    """``work`` on the tiles of rows sorted by tile; a tile that may go on in the next batch waits for it."""
 
-    def tiles(batches):
-        held, last = None, None
-
-        def done():
-            found = work(held, threshold)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types)], names=names) if found else None
+    def done(cols):
+        keys = np.stack([cols[k].astype(np.int64) for k in _TILE])
+        tile = np.concatenate([[0], np.cumsum((keys[:, 1:] != keys[:, :-1]).any(axis=0))])
+        found = work(cols, tile, int(cols["dim"][0]), threshold)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types)], names=names)
 
+    def tiles(batches):
+        held = None
         for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in range(len(columns))]
-            keys = list(zip(*cols[: len(_TILE)]))
-            start = 0
-            for at in range(1, len(keys) + 1):
-                if at == len(keys) or keys[at] != keys[start]:
-                    if last == keys[start]:
-                        for k, c in zip(columns, cols):
-                            held[k] += c[start:at]
-                    else:
-                        if held is not None and (out := done()) is not None:
-                            yield out
-                        held, last = {k: c[start:at] for k, c in zip(columns, cols)}, keys[start]
-                    start = at
-        if held is not None and (out := done()) is not None:
-            yield out
+            dims = batch.column(1).to_numpy()
+            for part in np.split(np.arange(batch.num_rows), np.flatnonzero(dims[1:] != dims[:-1]) + 1):
+                if not len(part):
+                    continue
+                cols = _arrays(batch.slice(int(part[0]), len(part)), columns)
+                if held is not None and held["dim"][0] == cols["dim"][0]:
+                    cols = {k: np.concatenate([held[k], v]) for k, v in cols.items()}
+                elif held is not None:
+                    yield done(held)
+                keys = np.stack([cols[k].astype(np.int64) for k in _TILE])
+                last = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+                cut = int(last[-1]) + 1 if len(last) else 0
+                if cut:
+                    yield done({k: v[:cut] for k, v in cols.items()})
+                held = {k: v[cut:] for k, v in cols.items()}
+        if held is not None:
+            yield done(held)
 
     return tiles
 
