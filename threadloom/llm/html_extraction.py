@@ -461,7 +461,7 @@ def main_texts(pages: DataFrame) -> DataFrame:
     size = found.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     shared = None
     if size <= BROADCAST_BYTES:
-        shared = spark.sparkContext.broadcast({r.host: r.wrapper for r in found.toLocalIterator()})
+        shared = spark.sparkContext.broadcast({r.host: r.wrapper for r in found.collect()})
         dropped(found)
         rows = slim
     else:

@@ -207,12 +207,14 @@ def _sketched(batches):
 
 def _open(pairs: DataFrame, bitmaps: DataFrame, sketches: DataFrame) -> DataFrame:
     """(a, b, differ), written, of the pairs (a, b) that their bitmaps leave open: those of all sets first, then sketches of the sets that are left."""
-    alike = pairs.join(bitmaps.alias("x"), F.col("a") == F.col("x.node")).join(bitmaps.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y")).select("a", "b").distinct()
+    alike = pairs.join(bitmaps.alias("x"), F.col("a") == F.col("x.node")).join(bitmaps.alias("y"), F.col("b") == F.col("y.node")).where(_alike("x", "y")).select("a", "b")
     alike = written(alike, "alike")
+    if alike.isEmpty():
+        return alike.withColumn("differ", F.lit(0).cast("long"))
     some = _of(alike, sketches.select("node", "n", "sketch"), "node long, n long, sketch binary")
     left, right = (some.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}")) for side in "ab")
     rows = alike.join(left, "a").join(right, "b").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b")
-    # an id that repeats with other texts has more sketches
+    # an id that repeats with other texts has more rows and sketches
     found = written(rows.mapInArrow(lean(_sketched), "a long, b long, differ long").groupBy("a", "b").agg(F.min("differ").alias("differ")), "open")
     dropped(alike, some)
     return found
@@ -278,27 +280,26 @@ def _id_bits(ids: DataFrame) -> np.ndarray:
     """A bit for each id; FILTER_BITS of them whatever their number."""
     at = F.pmod("node", F.lit(_PRIME)) + 1  # these bitmaps count from one
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for part in ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toLocalIterator():
+    for part in ids.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
         bits[(part.k - 1) * 4096 : part.k * 4096] = np.frombuffer(part.bits, np.uint8)
     return bits
 
 
 def _of(pairs: DataFrame, table: DataFrame, schema: str) -> DataFrame:
-    """``table`` (node, ...), written, without most of the rows that no pair (a, b) needs: a filter of fixed size looks at the ids where they stand."""
-    spark = pairs.sparkSession
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ids")
+    """``table`` (node, ...), written, without most of the rows that no pair (a, b) of a written table needs: a filter of fixed size looks at the ids where they stand."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     table = table.where("node is not null")
-    if ids.count() <= FILTER_IDS:
-        some = table.mapInArrow(lean(_wanted(spark.sparkContext.broadcast(_id_bits(ids)))), schema)
+    if 2 * pairs.count() <= FILTER_IDS:
+        some = table.mapInArrow(lean(_wanted(pairs.sparkSession.sparkContext.broadcast(_id_bits(ids)))), schema)
     else:
-        some = table.join(ids, "node", "left_semi")
-    some = written(some, "some")
-    dropped(ids)
-    return some
+        some = table.join(ids.distinct(), "node", "left_semi")
+    return written(some, "some")
 
 
 def checked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) of ``pairs`` whose whole sets link, written. Only texts that some pair needs are shuffled, a group's head as often as its pairs fill tasks; texts are smaller than sets."""
+    if pairs.isEmpty():
+        return written(pairs.select("a", "b"), name)
     texts = _of(pairs, docs.select(F.col("doc_id").alias("node"), "text"), "node long, text string")
     # each b has few pairs, an a may have those of a large group
     counts = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("pairs")), "counts")
@@ -350,26 +351,35 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     dropped(opened)
     links = checked(near, docs, "links")
 
-    def apart(links):
-        """Postings of the tokens that what these links connect does not hold together, a row for each class."""
-        joined = components(links)
+    def apart(joined):
+        """Postings of the tokens that these components do not hold together, a row for each class."""
         known = members.join(joined, "node", "left").select("gid", "node", F.coalesce("component", "node").alias("component"))
         rows = shared.select("token", "gid", "n", "pos").unionByName(within).join(known, "gid")
         mixed = rows.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
         left = rows.join(mixed, "token", "left_semi").select("token", "node", "component", "n", "pos")
-        out = written(left.join(bitmaps.drop("n"), "node").select("token", "node", "component", "n", *_WORDS, "pos"), "apart")
+        return written(left.join(bitmaps.drop("n"), "node").select("token", "node", "component", "n", *_WORDS, "pos"), "apart")
+
+    def grown(joined, links):
+        """Components of what ``joined`` holds together and these links connect."""
+        if links.isEmpty():
+            return joined
+        out = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(links))
         dropped(joined)
         return out
 
-    left = apart(links)
+    joined = components(links)
+    left = apart(joined)
     by_hash = left.withColumn("order", F.xxhash64("node", "token")).repartitionByRange("token", "order").sortWithinPartitions("token", "order")
     nearer = by_hash.select("token", "node", "component", "n", *_WORDS).mapInArrow(_neighbours, "a long, b long").distinct()
     opened = _open(nearer, bitmaps, sketches)
     nearer = written(_likeliest(opened, NEXT).join(near, ["a", "b"], "left_anti"), "nearer")
-    dropped(left, opened)
+    dropped(opened)
     more = checked(nearer, docs, "more-links")
 
-    left = apart(links.unionByName(more))
+    if not more.isEmpty():
+        joined = grown(joined, more)
+        dropped(left)
+        left = apart(joined)
     meet = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _can_meet("a.n", "a.pos", "b.n", "b.pos") & _alike("a", "b")
     rest = left.alias("a").join(left.alias("b"), meet).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
     rest = _open(rest.join(near.unionByName(nearer), ["a", "b"], "left_anti"), bitmaps, sketches)
@@ -378,7 +388,7 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     # rows that repeat a doc_id with another text tie their classes together
     ties = rows.where("doc_id is not null and n > 0").join(members, ["n", "cid"]).where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     ties = ties.join(members.select(F.col("node").alias("a")).distinct(), "a", "left_semi")
-    final = components(links.unionByName(more).unionByName(last).unionByName(ties))
+    final = grown(joined, last.unionByName(ties))
     by_class = members.join(final, "node", "left").select("n", "cid", F.coalesce("component", "node").alias("component"))
     out = rows.join(by_class, ["n", "cid"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     out = written(out, "documents")
