@@ -22,8 +22,16 @@ LEAST_SHARE = 0.3
 SHARE_NGRAMS = 10
 
 
+def _small_batches(spark: SparkSession) -> None:
+    """Bytes of whole texts that go to a Python worker at once, for stages whose rows are made after they return. The pipeline sets this for its session, unless the session has."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == str(64 << 20):  # as Spark has it
+        spark.conf.set(key, str(8 << 20))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in some learned language; null texts and texts without letters go."""
+    _small_batches(spark)
     found = language_id.predict(docs, language_id.train(docs.where(language_id.fold() != 2)))
     strange = (F.col("score") < LEAST_SHARE) & (F.col("n_grams") >= SHARE_NGRAMS)
     return found.where((F.col("lang_pred") != language_id.UNDETERMINED) & ~strange).select("row.*")
@@ -40,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that hold no benchmark passage."""
+    _small_batches(spark)
     return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

@@ -8,8 +8,6 @@ table of fixed size; only pieces that are not there go through the library.
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -82,14 +80,13 @@ class Encoder:
     """The tokenizer of a file, and the ids of pieces seen so far."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        parts = json.loads(self.tokenizer.to_str())
-        pre = parts["pre_tokenizer"] or {}
+        pre = self.tokenizer.pre_tokenizer
         #: Whether texts may be cut as ``piece_starts`` does.
-        self.cuts = parts["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.cuts = self.tokenizer.normalizer is None and isinstance(pre, pre_tokenizers.ByteLevel) and pre.use_regex and not pre.add_prefix_space
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         size = 1 << PLACES_BITS

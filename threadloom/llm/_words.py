@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one pass of the kernel holds; longer texts go alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 SHINGLE = 5
 
 _U = np.uint64

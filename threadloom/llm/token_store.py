@@ -35,7 +35,7 @@ WIDTH = "<u2"
 #: Chunks hold 16 to 4096 ids, 16 + 2**CUT_BITS on average.
 MIN_IDS, MAX_IDS, CUT_BITS = 16, 4096, 9
 #: Bytes of text whose ids one pass holds; longer texts go alone.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
