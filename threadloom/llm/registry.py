@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import line_dedup, mixing
+from threadloom.llm import filter_audit, line_dedup, mixing
 from threadloom.llm.decontamination import contaminated
 from threadloom.llm.html_extraction import main_texts
 from threadloom.llm.jaccard_join import similar_documents
@@ -73,6 +73,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,10 +90,12 @@ QUERIES = {
         op8_line_dedup,
         op9_toxicity,
         op10_decontamination,
+        op11_filter_audit,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_source_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
