@@ -11,6 +11,7 @@ from threadloom.llm.html_extraction import main_texts
 from threadloom.llm.jaccard_join import similar_documents
 from threadloom.llm.language_id import identified
 from threadloom.llm.near_vectors import near_vectors
+from threadloom.llm.personal_data import personal_data
 from threadloom.llm.secrets_scan import secrets, written_out
 from threadloom.llm.token_store import stored_digests
 from threadloom.llm.toxicity import toxic_documents
@@ -77,6 +78,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -91,6 +96,7 @@ QUERIES = {
         op9_toxicity,
         op10_decontamination,
         op11_filter_audit,
+        op12_personal_data,
     )
 }
 
