@@ -32,8 +32,8 @@ FILTERS: Filters = {
 COPY = "E"
 #: Bytes of text in the chains of a task that reads documents; full chains are routed and begun anew.
 CHAIN_BYTES = 32 << 20
-#: Partitions that texts are routed to, for each partition they are read from.
-SPREAD = 4
+#: Bytes of text that a partition of routed texts holds, by the sum of all.
+ROUTED_BYTES = 16 << 20
 
 
 class Chains:
@@ -114,8 +114,9 @@ def judged(docs: DataFrame, filters: Filters = FILTERS, part: str = "lang", chai
     an id and text are no copies of each other. A row without an id is no copy
     and makes none. No rows: none. Other columns are ignored.
     """
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // ROUTED_BYTES))
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col(part).cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))).rdd
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), SPREAD * slim.getNumPartitions())
     met = slim.mapPartitions(_judged(filters, chain_bytes)).partitionBy(partitions, int).mapPartitions(_met(1 << len(filters)))
     return docs.sparkSession.createDataFrame(met, "doc_id long, part string, mask int", verifySchema=False)
 
