@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import filter_audit, line_dedup, mixing
+from threadloom.llm import filter_audit, line_dedup, mixing, phrase_mining
 from threadloom.llm.decontamination import contaminated
 from threadloom.llm.html_extraction import main_texts
 from threadloom.llm.jaccard_join import similar_documents
@@ -82,6 +82,10 @@ def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.top_collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +101,7 @@ QUERIES = {
         op10_decontamination,
         op11_filter_audit,
         op12_personal_data,
+        op13_phrase_mining,
     )
 }
 
@@ -104,4 +109,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_source_mixing": mixing.SQL,
     "op8_line_dedup": line_dedup.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op13_phrase_mining": phrase_mining.SQL,
 }
