@@ -114,3 +114,40 @@ def test_rows(spark, monkeypatch):
     monkeypatch.setattr(hx, "BROADCAST_BYTES", 0)
     assert sorted(map(str, hx.main_texts(df.repartition(5)).collect())) == sorted(map(str, got))
     assert hx.main_texts(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+KEPT_NAMES = ["side-effects", "search-methods", "notice-period", "related-work", "share-capital", "menu-planning", "comment-culture", "ad-hoc"]
+
+
+def article_page(rng, i):
+    """A page whose article holds sections with telling names, a list of links and a sentence that all pages share; and its text."""
+    title, lead = words(rng, 5), words(rng, 30)
+    parts = [f"<section {rng.choice(['class', 'id'])}='{name}'><h2>{name} {i}</h2><p>{words(rng, 20)}</p></section>" for name in KEPT_NAMES]
+    links = "".join(f"<li><a href=/r{k}>{words(rng, 3)}</a></li>" for k in range(6))
+    body = f"<h1>{title}</h1><p>{lead}</p>{''.join(parts)}<p>All figures are in euros.</p><ul>{links}</ul>"
+    html = f"<html><body><nav><a href=/>home</a></nav><div class='ad'><p>buy now</p></div><article>{body}</article><footer>&copy; all of us</footer></body></html>"
+    import re
+
+    text = [re.sub("<[^>]*>", "", x).strip() for x in re.split("(?=<(?:h1|h2|p|li|section|ul))", body)]
+    return html, "\n".join(x for x in text if x)
+
+
+@pytest.mark.parametrize("pages", [1, 2, 8, 30])
+def test_nothing_of_the_article_is_lost(pages):
+    rng = random.Random(pages)
+    made = [article_page(rng, i) for i in range(pages)]
+    whole = wrapper(*(p for p, _ in made))
+    for html, text in made:
+        assert hx.main_text(html, whole) == text
+
+
+def test_texts_do_not_depend_on_partitions(spark):
+    """Pages of several layouts of a few hosts, dealt out in several ways."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(120):
+        html = rng.choice([lambda: article_page(rng, i)[0], lambda: site(rng, 5, rng.choice(["classes", "plain", "flat", "table"]))[0], lambda: page([words(rng, 20)])])()
+        rows.append((i, f"http://h{i % 3}/", html, None, None, None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    texts = [{r.page_id: r.text for r in hx.main_texts(x).collect()} for x in (df.repartition(7), df.coalesce(1), df.orderBy("html").repartition(3))]
+    assert texts[0] == texts[1] == texts[2]

@@ -40,7 +40,7 @@ from threadloom.llm._store import dropped, lean, written
 BROADCAST_BYTES = 32 << 20
 #: Share of its parent's prose that an element needs to be gone into, and the likeness by which elements of one name are the same.
 DOMINANT, ALIKE = 0.7, 0.3
-#: A text that so many unlike pages of a host hold at the same place is a constant of the template; a group with so large a share of link text is a menu.
+#: A text that so many unlike pages of a host hold at the same place is a constant of the template; a group with so large a share of link text is one of links.
 TEMPLATE_PAGES, LINKED = 5, 0.8
 #: Elements deeper than this are read as parts of the one above.
 DEEPEST = 100
@@ -51,13 +51,20 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _OUTSIDE = frozenset("head nav header footer aside form button select dialog menu label input object".split()) | set(_RAW)
-_OUTSIDE_WORDS = re.compile(r"(?:^|[^a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|cookies?|consent|notice|newsletter|subscribe|popup|modal|share|sharing|social|related|recommend\w*|comments?|replies|reply|disqus|widget|login|search)(?:$|[^a-z])")
+#: Names that say what structure cannot tell from prose, as a whole word of a class or a whole id or role, never as a part of one.
+_OUTSIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored comments comment-list commentlist replies disqus navigation navbar sidebar breadcrumb breadcrumbs "
+    "cookie-banner cookie-notice cookie-consent newsletter newsletter-signup popup modal share-bar share-buttons social-share searchbox search-form login-form "
+    "search complementary contentinfo banner dialog alertdialog menubar".split()
+)
 
 
 #: Elements that hold others; prose itself stands in the other blocks.
 _HOLDERS = frozenset("html body div section article main center td table tbody tr ul ol dl fieldset".split())
 EMPTY: frozenset = frozenset()
 _FLOW = frozenset(("p", "li", "td", "th", "tr", "dd", "dt"))
+#: Blocks of prose: inside an article they stay even where all pages have the same.
+_PROSE = _FLOW | {"pre", "blockquote"}
 
 
 def _label(tag: str, attributes: str) -> str:
@@ -68,20 +75,24 @@ def _label(tag: str, attributes: str) -> str:
 
 
 @lru_cache(maxsize=65536)
-def _named_outside(label: str) -> bool:
+def _named_outside(attributes: str) -> bool:
     """Whether a class, id or role names what is no article."""
-    tag, _, name = label.partition(".")
-    return bool(name) and tag not in ("html", "body", "article", "main") and bool(_OUTSIDE_WORDS.search(name.replace("_", "-")))
+    for m in _ATTRIBUTE.finditer(attributes):
+        value = (m[2] or m[3] or m[4] or "").lower()
+        if any(x in _OUTSIDE_NAMES for x in (value.split() if m[1].lower() != "id" else [value.strip()])):
+            return True
+    return False
 
 
 class Node:
     """An element of a page or of a wrapper. ``common``: hashes of own texts that all its pages have; ``slot``: whether some have others."""
 
-    __slots__ = ("label", "pages", "repeated", "prose", "links", "slot", "common", "kids")
+    __slots__ = ("label", "pages", "repeated", "prose", "links", "slot", "common", "kids", "named")
 
     def __init__(self, label, pages=1, repeated=False, prose=0, links=0, slot=False, common=(), kids=None):
         self.label, self.pages, self.repeated, self.prose, self.links, self.slot, self.common = label, pages, repeated, prose, links, slot, frozenset(common)
         self.kids: list[Node] = [] if kids is None else kids
+        self.named = False
 
     @property
     def tag(self) -> str:
@@ -258,6 +269,7 @@ class Page:
                 node = None
                 if (tag in _BLOCK or tag in _OUTSIDE) and len(path) < DEEPEST:
                     node = Node(_label(tag, rest))
+                    node.named = bool(rest) and tag not in ("body", "article", "main", "header") and _named_outside(rest)
                     path[-1].kids.append(node)
                     path.append(node)
                     self.stream.append(("open", node, tag in _BLOCK))
@@ -320,17 +332,25 @@ def _article(page: Node, of: dict[int, Node], varies: bool) -> Node:
         page = best
 
 
-def _left_out(wrapper: Node | None, label: str, whole: bool) -> bool:
-    """Whether an element in the article is none of it: by HTML (the article's own header holds its title), as a group of links, or by its class."""
-    tag = label.partition(".")[0]
-    if tag in _OUTSIDE and (tag != "header" or whole):
-        return True
-    if _named_outside(label) and tag != "header":
-        return True
-    if wrapper is not None and tag in _HOLDERS and tag not in ("html", "body") and wrapper.kids:
-        prose, links = wrapper.total()
-        return links >= LINKED * (prose + links) and links > 0
-    return False
+def _left_out(node: Node, whole: bool) -> bool:
+    """Whether an element in the article is none of it: by HTML (the article's own header holds its title) or by its name."""
+    return node.tag in _OUTSIDE and (node.tag != "header" or whole) or node.named
+
+
+def _any_slot(node: Node) -> bool:
+    return node.slot or any(map(_any_slot, node.kids))
+
+
+def _menu(node: Node, wrapper: Node | None) -> tuple[bool, bool]:
+    """Whether a group of links goes where it begins the article, and where it ends it: if all pages of the host have the same."""
+    if wrapper is None or node.tag not in _HOLDERS or node.tag in ("html", "body") or not wrapper.kids:
+        return False, False
+    prose, links = wrapper.total()
+    if not links or links < LINKED * (prose + links):
+        return False, False
+    alone = wrapper.pages == 1
+    fixed = not alone and not _any_slot(wrapper)
+    return alone or fixed, fixed
 
 
 def main_text(page: str, wrapper: Node | None = None) -> str:
@@ -352,23 +372,36 @@ def main_text(page: str, wrapper: Node | None = None) -> str:
 
 
 def _read(read: Page, article: Node, of: dict[int, Node], constants: bool) -> str:
-    blocks, now = [], []
+    """Text of the article's blocks. What the template puts at its edges goes: groups of links and texts that all pages of the host have; between prose, all stays."""
+    blocks: list[tuple[str, bool, bool]] = []  # a text, and whether it goes at the beginning and at the end
+    now: list[str] = []
+    fixed: list[bool] = []
+    whole, texts = article.tag in ("html", "body"), read.texts
+    out: list[bool] = []  # of the open elements inside the article
+    menus: list[tuple[bool, bool]] = [(False, False)]
 
     def flush():
         text = " ".join(html.unescape("".join(now)).split())
         now.clear()
         if text:
-            blocks.append(text)
+            constant = all(fixed)
+            first, last = menus[-1]
+            blocks.append((text, constant or first, constant or last and whole))
+        fixed.clear()
+
+    def is_fixed(node: Node) -> bool:
+        w = of.get(id(node))
+        if not constants or w is None or w.pages < TEMPLATE_PAGES or not texts.get(id(node), EMPTY) & w.common:
+            return False
+        return whole or not (w.slot or node.tag in _PROSE)
 
-    whole, texts = article.tag in ("html", "body"), read.texts
-    out: list[bool] = []  # of the open elements inside the article
     within = article is read.root
     for kind, node, rest in read.stream:
         if kind == "text":
             if within and not (out and out[-1]):
-                w = of.get(id(node))
-                if not (constants and w is not None and w.pages >= TEMPLATE_PAGES and texts.get(id(node), EMPTY) & w.common):
-                    now.append(rest)
+                now.append(rest)
+                if rest.strip():
+                    fixed.append(is_fixed(node))
             continue
         if within and rest and not (out and out[-1]):
             flush()
@@ -376,11 +409,18 @@ def _read(read: Page, article: Node, of: dict[int, Node], constants: bool) -> st
             within = kind == "open"
         elif within and node is not None:
             if kind == "open":
-                out.append(bool(out and out[-1]) or _left_out(of.get(id(node)), node.label, whole))
+                out.append(bool(out and out[-1]) or _left_out(node, whole))
+                menus.append(tuple(a or b for a, b in zip(menus[-1], _menu(node, of.get(id(node))))))
             elif out:
                 out.pop()
+                menus.pop()
     flush()
-    return "\n".join(blocks)
+    start, end = 0, len(blocks)
+    while start < end and blocks[start][1]:
+        start += 1
+    while end > start and blocks[end - 1][2]:
+        end -= 1
+    return "\n".join(text for text, *_ in blocks[start:end])
 
 
 def _inferred(batches):
