@@ -73,3 +73,24 @@ def test_many_sources_over_many_ranges(spark, monkeypatch):
         assert {r.doc_id: tuple(r) for r in mixing.plan(docs).collect()} == broadcast
     finally:
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
+def test_rows_of_one_id_and_equal_rows(spark):
+    """One id on 1,000 rows, and 900 rows that are equal, each take what their source is given."""
+    rows = [(7, f"word {i}", "a", None, None, None) for i in range(1000)] + [(9, "x y z", "b", None, None, None)] * 900
+    rows += [(None, None, "c", None, None, None)] * 50 + [(i, "p q", "d", None, None, None) for i in range(10_000, 11_200)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = mixing.plan(docs).collect()
+    assert len(got) == len(rows)
+    by = {}
+    for r in got:
+        x = by.setdefault((r.source_size, r.target), [0])
+        x[0] += r.taken
+        assert 0 <= r.copies <= 2
+    for (size, target), (taken,) in by.items():
+        assert abs(taken - target) <= max(6, 0.06 * target)
+    equal = [r for r in got if r.doc_id == 9]
+    assert abs(sum(r.taken for r in equal) - equal[0].target) <= 3
+    mixed = mixing.mix(docs.repartition(3)).collect()
+    assert sum(r.doc_id == 9 for r in mixed) == sum(r.copies for r in equal)
+    assert sum(r.doc_id == 7 for r in mixed) == sum(r.copies for r in got if r.doc_id == 7)
