@@ -53,3 +53,21 @@ def test_copies_under_one_owner_are_copies(spark):
     found = {r.doc_id: r for r in ss.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
     assert all([s.kind for s in found[i].spans] == [0] and (found[i].n_owner_specific, found[i].n_copied) == (0, 1) for i in range(60))
     assert [s.kind for s in found[100].spans] == [3, 0] and found[100].n_owner_specific == 2
+
+
+def test_further_spans_are_linear_and_meet_no_base_span():
+    import random
+    import time
+
+    dice = random.Random(4)
+    token = lambda n: "".join(dice.choices("abcdefghijkLMNOPQRST0123456789+/", k=n))
+    for _ in range(200):
+        text = " ".join(dice.choice([token(24), f"token = {token(16)}", "AKIA" + "A1B2C3D4E5F6G7H8", "0123456789abcdef0123", f"{token(20)}=secret:{token(22)}", "word"]) for _ in range(dice.randint(0, 12)))
+        base = ss.base_spans(text)
+        free = [m for m in ss._TOKEN.finditer(text) if all(m.end() <= s or m.start() >= e for s, _, e, _ in base)]
+        wanted = [m[0] for m in free if any(c.isdigit() for c in m[0]) and m[0].lower() != m[0] != m[0].upper() and ss._entropy(m[0]) >= ss.MIN_ENTROPY]
+        assert [f[3] for f in ss.further_spans(text, base)] == wanted
+    text = " ".join(f"token = {token(16)} {token(24)}" for _ in range(100_000))
+    began = time.perf_counter()
+    ss.further_spans(text, ss.base_spans(text))
+    assert len(text) > 4_500_000 and time.perf_counter() - began < 20

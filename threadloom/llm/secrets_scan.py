@@ -51,14 +51,16 @@ def _entropy(value: str) -> float:
 
 
 def further_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Tokens outside ``taken`` of three character classes and high entropy."""
-    found = []
+    """Tokens outside ``taken`` of three character classes and high entropy. Tokens and spans both come by start and are walked once."""
+    found, i, reach = [], 0, 0
     for m in _TOKEN.finditer(text):
+        while i < len(taken) and taken[i][0] < m.end():
+            reach = max(reach, taken[i][2])
+            i += 1
         value = m[0]
-        if not any(c.isdigit() for c in value) or value.lower() == value or value.upper() == value or _entropy(value) < MIN_ENTROPY:
+        if reach > m.start() or not any(c.isdigit() for c in value) or value.lower() == value or value.upper() == value or _entropy(value) < MIN_ENTROPY:
             continue
-        if all(m.end() <= s or m.start() >= e for s, _, e, _ in taken):
-            found.append((m.start(), 3, m.end(), value))
+        found.append((m.start(), 3, m.end(), value))
     return found
 
 
