@@ -116,3 +116,12 @@ def test_filters_and_joins_of_ids_agree(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(jaccard_join, "FILTER_IDS", 0)
     assert sorted(map(tuple, jaccard_join.similar_documents(docs).collect())) == brute(rows)
+
+
+def test_words_on_which_polynomials_collide(spark):
+    """The Thue-Morse word of 1,024 letters and its complement are two words; cases of letters are one."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    word, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rows = [(1, word), (2, other), (3, word.upper()), (4, f"{word} x y z w"), (5, f"{other} x y z w")]
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 5}

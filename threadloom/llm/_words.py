@@ -2,11 +2,14 @@
 
 Words are maximal runs of bytes other than space and 0x09-0x0D, with A-Z
 lower-cased. A word's hash is a polynomial over a random byte alphabet modulo
-2**64, taken from prefix sums, so a batch needs no loop over words.
+2**64, taken from prefix sums, so a batch needs no loop over words. Such
+polynomials collide on some words of a thousand letters whatever the base and
+alphabet, so words over LONG_WORD bytes are hashed by blake2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +19,7 @@ import pyarrow.compute as pc
 #: Bytes of text that one pass of the kernel holds; longer texts go alone.
 SLICE_BYTES = 1 << 19
 SHINGLE = 5
+LONG_WORD = 64
 
 _U = np.uint64
 BASE = _U(0x9E3779B97F4A7C15)
@@ -91,6 +95,9 @@ class Words:
         np.cumsum(_ALPHABET[buf] * power("up", BASE, n), out=total[1:])
         self.start, self.end, self.total = start, end, total
         self.hash = self.between(start, end)
+        for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+            word = buf[start[i] : end[i]].tobytes().lower()  # of bytes: A-Z alone
+            self.hash[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         self.doc = np.searchsorted(at, start, "right") - 1
         self.count = np.bincount(self.doc, minlength=len(at) - 1)
         self.first = np.concatenate([[0], np.cumsum(self.count)])
