@@ -122,3 +122,21 @@ def test_short_items():
     items = dc.Items([(1, "q"), (2, "ab cd"), (3, "twelve bytes"), (4, "İx stands here")])
     got = {m[:3] for m in items.matches(pa.array(["abQ", "xab cdx", "twelve bites", "nothing", "so İX stands her", None]))}
     assert got == {(0, 0, 0), (1, 1, 0), (2, 2, 1), (4, 3, 1)}
+
+
+def test_many_items_are_prepared_in_tasks(spark):
+    """10,000 items of 100 to 1,000 bytes; what tasks make is what one place makes."""
+    import time
+
+    rng = np.random.default_rng(6)
+    chars = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz    ", np.uint8)
+    rows = [(i, bytes(rng.choice(chars, int(rng.integers(100, 1000)))).decode()) for i in range(10_000)]
+    bench = spark.createDataFrame(rows, "item_id long, text string").repartition(4)
+    began = time.perf_counter()
+    blocks = [b.value for b in dc._blocks(bench)]
+    assert time.perf_counter() - began < 60
+    assert sorted(i for b in blocks for i in b.ids) == list(range(10_000))
+    few = [rows[3], (70, None), (71, ""), rows[5]]
+    again = next(dc._blocks(spark.createDataFrame(few, "item_id long, text string"))).value
+    here = dc.Items([r for r in few if r[1]])
+    assert (again.ids, again.texts, again.sampled, again.each, again.own) == (here.ids, here.texts, here.sampled, here.each, here.own)

@@ -31,15 +31,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm._store import lean
+from threadloom.llm._store import dropped, lean, written
 from threadloom.llm._words import raw, slices
 
 #: Edits for each byte of an item, and bytes of a piece; short items that this gives too few pieces have pieces of SHORT_SEED bytes.
 RATE, SEED, SHORT_SEED = 0.1, 8, 5
 #: Share of the copies at the limit that meet their item in some table; walks, sizes of a table's sample to choose from, tables at most, copies measured.
 RECALL, WALKS, SAMPLED, MOST_TABLES, COPIES = 0.999, 4, (6, 4, 3, 2), 64, 48
-#: Longest item that is embedded: walks take 3 KB for each byte of it.
-LONGEST_WALK = 4096
+#: Longest item that is embedded: walks take 3 KB for each byte of it. Bytes of a class of lengths.
+LONGEST_WALK, CLASS = 4096, 32
 BLOCK_BYTES = 8 << 20
 #: Bytes of text searched at once, and windows embedded at once.
 SLICE, WINDOWS = 4 << 20, 512
@@ -147,11 +147,17 @@ def tables_for(item: bytes) -> tuple[int, int]:
 class Seeds:
     """Pieces of one size of some items, and where enough of an item's stand together."""
 
-    def __init__(self, size: int, items: list[tuple[int, bytes]]):
+    def __init__(self, size: int, data: np.ndarray, start: np.ndarray, length: np.ndarray, items: np.ndarray):
+        """``data`` holds the bytes of all items, one after the other; ``items`` are those cut into pieces of ``size``."""
+        pieces = length[items] // size
+        item = np.repeat(items, pieces)
+        offset = (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * size
+        seed = np.zeros(len(item), _U)
+        for k in range(size):
+            seed = (seed << _U(8)) | data[start[item] + offset + k]
+        order = np.lexsort((offset, item, seed))
         self.size = size
-        found = sorted((int.from_bytes(t[at : at + size], "big"), i, at) for i, t in items for at in range(0, len(t) - size + 1, size))
-        self.seed = np.array([x[0] for x in found], _U)
-        self.item, self.offset = (np.array([x[k] for x in found], np.int64) for k in (1, 2))
+        self.seed, self.item, self.offset = seed[order], item[order], offset[order]
         self.bits = np.zeros(1 << _BITS, bool)
         self.bits[(self.seed * _FACTOR) >> _U(64 - _BITS)] = True
 
@@ -181,42 +187,75 @@ class Seeds:
         return np.unique(np.stack([doc[near], item[near], diagonal[near]], axis=1), axis=0) if len(near) else none
 
 
+@lru_cache(maxsize=4096)
+def _positions(n: int, each: int, sampled: int) -> np.ndarray:
+    """[walk, table, sample] places of an embedding of ``n`` bytes that its tables read."""
+    return np.random.default_rng([7, n]).integers(0, 3 * n, (WALKS, each, sampled))
+
+
+def _measured(batches):
+    """Tables that items of a length need, from one of them: rows (class, text, ...) -> (class, sampled, each)."""
+    for batch in batches:
+        found = [tables_for(_lower(batch.column(1).slice(i, 1))[0].as_py().encode()) for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int32())], names=["class", "sampled", "each"])
+
+
+def _embedded_items(batches):
+    """Rows (item_id, text in lower case, sampled, each), items of about one length together -> with ``own``, the item's bytes where its tables read its embeddings."""
+    for batch in batches:
+        texts = [t.encode() for t in batch.column(1).to_pylist()]
+        sampled, each = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        own: list[bytes] = [b""] * len(texts)
+        some = [i for i, x in enumerate(sampled) if x]
+        for k in range(0, len(some), WINDOWS):
+            part = some[k : k + WINDOWS]
+            rows = np.zeros((len(part), max(len(texts[i]) for i in part)), np.uint8)
+            for row, i in zip(rows, part):
+                row[: len(texts[i])] = np.frombuffer(texts[i], np.uint8)
+            walked = embedded(rows)
+            for column, i in enumerate(part):
+                at = _positions(len(texts[i]), each[i], sampled[i])
+                own[i] = np.take_along_axis(walked[:, :, column], at.reshape(WALKS, -1), 1).tobytes()
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.binary())], names=["item_id", "text", "sampled", "each", "own"])
+
+
+def _has_class(n: int) -> bool:
+    return SEED < n <= LONGEST_WALK and edits_allowed(n) > 0
+
+
 class Items:
-    """Seeds and embeddings of one block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        lowered = _lower(pa.array([t for _, t in items], pa.string())).to_pylist()
-        both = [(i, t.encode()) for (i, _), t in zip(items, lowered) if t]
-        self.ids, self.texts = [i for i, _ in both], [t for _, t in both]
-        self.edits = np.array([edits_allowed(len(t)) for t in self.texts], np.int64)
-        sizes = [seed_bytes(len(t)) for t in self.texts]
-        self.needed = np.array([len(t) // s for t, s in zip(self.texts, sizes)], np.int64) - self.edits
-        self.seeds = [Seeds(s, [(i, t) for i, t in enumerate(self.texts) if sizes[i] == s]) for s in sorted(set(sizes))]
-        self.longest = max(map(len, self.texts), default=0)
-        #: By item: positions [walk, table, sample] of its tables and its own bytes there, or None.
-        self.tables: list[tuple | None] = []
-        measured: dict[int, tuple[int, int]] = {}
-        for t in self.texts:
-            n = len(t)
-            if not SEED < n <= LONGEST_WALK or not edits_allowed(n):
-                self.tables.append(None)
-                continue
-            if n not in measured:
-                measured[n] = tables_for(t)
-            sampled, each = measured[n]
-            if not sampled:
-                self.tables.append(None)
-                continue
-            at = np.random.default_rng([7, n]).integers(0, 3 * n, (WALKS, each, sampled))
-            walked = embedded(np.frombuffer(t, np.uint8)[None])[:, :, 0]
-            self.tables.append((at, np.take_along_axis(walked, at.reshape(WALKS, -1), 1).reshape(at.shape)))
+    """Seeds and embeddings of one block of benchmark items (id, text); ``rows`` are those of ``prepared``, else they are made here."""
+
+    def __init__(self, items: list[tuple[int, str]] = (), rows: pa.Table | None = None):
+        if rows is None:
+            rows = _prepared_here(items)
+        self.ids, self.texts = rows["item_id"].to_pylist(), [t.encode() for t in rows["text"].to_pylist()]
+        self.own, self.sampled, self.each = (rows[c].to_pylist() for c in ("own", "sampled", "each"))
+        self.size = np.array([len(t) for t in self.texts], np.int64)
+        self.edits = np.array([edits_allowed(n) for n in self.size.tolist()], np.int64)
+        piece = np.array([seed_bytes(n) for n in self.size.tolist()], np.int64)
+        self.needed = self.size // np.maximum(piece, 1) - self.edits
+        data, start = np.frombuffer(b"".join(self.texts), np.uint8), np.cumsum(self.size) - self.size
+        self.seeds = [Seeds(int(s), data, start, self.size, np.flatnonzero(piece == s)) for s in np.unique(piece)]
+        self.longest = int(self.size.max(initial=0))
+        self.walked = np.array(self.sampled, np.int64) > 0
+
+    @property
+    def tables(self) -> list[tuple | None]:
+        """By item: its tables, or None if its windows skip them."""
+        return [self.table(i) if self.walked[i] else None for i in range(len(self.ids))]
+
+    def table(self, item: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions [walk, table, sample] of an item's tables and its own bytes there."""
+        at = _positions(int(self.size[item]), self.each[item], self.sampled[item])
+        return at, np.frombuffer(self.own[item], np.uint8).reshape(at.shape)
 
     def meet(self, item: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Which windows (bytes, zeros behind the item's size) meet their item in some table."""
         walked = embedded(rows)
         met = np.zeros(len(rows), bool)
         for i in np.unique(item).tolist():
-            at, own = self.tables[i]
+            at, own = self.table(i)
             mine = np.flatnonzero(item == i)
             for walk in range(WALKS):
                 met[mine] |= (walked[walk][at[walk]][:, :, mine] == own[walk][:, :, None]).all(axis=1).any(axis=0)
@@ -227,8 +266,8 @@ class Items:
         found = [s.near(buf, at, self.edits, self.needed, self.longest) for s in self.seeds]
         found = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
         keep = np.ones(len(found), bool)
-        size = np.array([len(t) for t in self.texts], np.int64)[found[:, 1]]
-        gated = np.flatnonzero(np.array([x is not None for x in self.tables], bool)[found[:, 1]])
+        size = self.size[found[:, 1]]
+        gated = np.flatnonzero(self.walked[found[:, 1]])
         gated = gated[np.lexsort((found[gated, 1], size[gated]))]
         for k in range(0, len(gated), WINDOWS):
             some = gated[k : k + WINDOWS]
@@ -247,7 +286,7 @@ class Items:
             return []
         doc, item, start = found.T
         # windows of one text and item that overlap are read as one
-        size = np.array([len(t) for t in self.texts])[item]
+        size = self.size[item]
         new = np.ones(len(found), bool)
         new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (start[1:] - start[:-1] > size[1:])
         first = np.flatnonzero(new)
@@ -294,14 +333,60 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+_PREPARED = "item_id long, text string, sampled int, each int, own binary"
+
+
+def _prepared_here(items: list[tuple[int, str]]) -> pa.Table:
+    """What ``prepared`` gives, of a few items and without Spark."""
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in items], pa.int64()), pa.array([t for _, t in items], pa.string())], names=["item_id", "text"])
+    lowered = pa.Table.from_batches(_lowered([batch])).filter(pc.greater(pc.field("size"), 0))
+    first: dict[int, str] = {}
+    for text, n in zip(lowered["text"].to_pylist(), lowered["size"].to_pylist()):
+        if _has_class(n):
+            first.setdefault(-(-n // CLASS), text)
+    known = {k: tables_for(t.encode()) for k, t in first.items()}
+    found = [known[-(-n // CLASS)] if _has_class(n) else (0, 0) for n in lowered["size"].to_pylist()]
+    rows = lowered.select(["item_id", "text"]).append_column("sampled", pa.array([x for x, _ in found], pa.int32())).append_column("each", pa.array([x for _, x in found], pa.int32()))
+    return pa.Table.from_batches(_embedded_items(rows.combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], rows.schema)]))
+
+
+def prepared(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text, sampled, each, own), written: the items of ``benchmark`` that have text, in lower case, with what their tables need.
+
+    Tables are measured for each class of lengths, on the item of the smallest
+    hash, and items are embedded with others of about their length, all in
+    tasks. ``sampled`` is 0 for items that skip the tables.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
+    lowered = items.mapInArrow(_lowered, "item_id long, text string, size int")
+    klass = F.when((F.col("size") > SEED) & (F.col("size") <= LONGEST_WALK) & (F.floor(F.col("size") * RATE) > 0), F.ceil(F.col("size") / CLASS).cast("int"))
+    lowered = written(lowered.withColumn("class", klass), "items")
+    one = lowered.where("class is not null").groupBy("class").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    tables = one.repartition("class").mapInArrow(lean(_measured), "class int, sampled int, each int")
+    rows = lowered.join(F.broadcast(tables), "class", "left").select("item_id", "text", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("sampled", "each")), "size")
+    placed = rows.repartitionByRange("size").sortWithinPartitions("size").drop("size")
+    out = written(placed.mapInArrow(lean(_embedded_items), _PREPARED), "prepared")
+    dropped(lowered)
+    return out
+
+
+def _lowered(batches):
+    for batch in batches:
+        texts = _lower(batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), texts, pc.binary_length(texts).cast(pa.int32())], names=["item_id", "text", "size"])
+
+
 def _blocks(benchmark: DataFrame):
     """The items of ``benchmark``, broadcast in blocks of at most about BLOCK_BYTES of text; one block without any."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0")
+    items = prepared(benchmark)
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Items([(r.item_id, r.text) for r in mine]))
+    try:
+        for block in range(blocks):
+            mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").toArrow()
+            yield benchmark.sparkSession.sparkContext.broadcast(Items(rows=mine))
+    finally:
+        dropped(items)
 
 
 def _clean(shared, column: int):
