@@ -33,11 +33,52 @@ def with_calls(messages: DataFrame) -> DataFrame:
     return rows.select(*messages.columns, F.col("call.name").alias("call_name"), F.col("call.arguments").alias("call_arguments"))
 
 
+#: A node of a dyadic tree as one number: its level times this, and its place in the level.
+_LEVEL = 1 << 40
+
+
+def _first_overlaps(rows: DataFrame, part: Column) -> DataFrame:
+    """Adds hit: the first later row of the session, group_key and stretch whose range overlaps, both among rows of ``part``.
+
+    Of two ranges that overlap, the first line of one lies in the other. Lines
+    are numbered by the first lines of the stretch; a range is cut into few
+    dyadic nodes, a line lies in one node of each level, and a window over each
+    node finds the next line for a range and the next range for a line. n ranges
+    make O(n log n) rows, which only hold keys.
+    """
+    carried = [c for c in rows.columns if c not in ("session_id", "message_index", "group_key", "stretch", "range")]
+    sound = part & (F.col("range.first") <= F.col("range.last"))
+    ends = F.array(F.struct(F.lit(0).alias("end"), F.when(sound, F.col("range.first")).alias("line")), F.struct(F.lit(1).alias("end"), F.col("range.last").alias("line")))
+    rows = rows.withColumn("e", F.explode(F.when(sound, ends).otherwise(F.slice(ends, 1, 1))))
+    rows = rows.withColumns({c: F.when(F.col("e.end") == 0, F.col(c)) for c in carried})
+    lines = Window.partitionBy("session_id", "group_key", "stretch").orderBy("e.line")
+    first = F.when(F.col("e.end") == 0, F.col("e.line"))
+    rows = rows.withColumns({
+        "rank": F.count(first).over(lines.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        "ranks": F.count(first).over(lines.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
+    })
+    top = F.max(F.when(F.col("e.end") == 1, F.col("rank"))).over(Window.partitionBy("session_id", "message_index"))
+    rows = rows.withColumn("top", top).where("e.end = 0").withColumn("levels", F.floor(F.log2("ranks")).cast("int") + 1)
+    line = f"transform(sequence(0, levels), l -> l * {_LEVEL}L + shiftright(rank, l))"
+    low, high = "shiftright(rank + shiftleft(1L, l) - 1, l)", "shiftright(top + 1, l)"
+    span = f"filter(flatten(transform(sequence(0, levels), l -> array(if({low} < {high} and {low} % 2 = 1, l * {_LEVEL}L + {low}, null), if({low} < {high} and {high} % 2 = 1, l * {_LEVEL}L + {high} - 1, null)))), x -> x is not null)"
+    entries = lambda nodes, side, asks: f"transform({nodes}, x -> struct({side} as side, x as node, {asks} as asks))"
+    none = F.array(F.struct(F.lit(None).cast("int").alias("side"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("boolean").alias("asks")))
+    several = F.col("e.line").isNotNull() & (F.col("ranks") > 1)
+    made = F.expr(f"concat({entries(line, 0, 'false')}, {entries(span, 0, 'true')}, {entries(line, 1, 'true')}, {entries(span, 1, 'false')})")
+    rows = rows.withColumn("n", F.explode(F.when(several, F.concat(none, made)).otherwise(none)))
+    rows = rows.withColumns({c: F.when(F.col("n.node").isNull(), F.col(c)) for c in carried})
+    later = Window.partitionBy("session_id", "group_key", "stretch", "n.side", "n.node").orderBy(F.desc("message_index"), F.desc("n.asks")).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.when(F.col("n.asks"), F.last(F.when(~F.col("n.asks"), F.col("message_index")), ignorenulls=True).over(later))
+    hit = F.min("found").over(Window.partitionBy("session_id", "message_index"))
+    return rows.withColumn("found", found).withColumn("hit", hit).where("n.node is null").drop("e", "rank", "ranks", "top", "levels", "n", "found")
+
+
 def superseded(rows: DataFrame) -> DataFrame:
-    """Adds group_key and superseded_by: for reads the first later read of the path whose lines overlap, for others the last member of the group.
+    """Adds group_key, superseded_by (for reads the first later read of the path whose lines overlap, for others the last member of the group) and superseded_at (the first message that supersedes).
 
     A read of a whole file overlaps every other, so a part's overlap is looked
-    for up to the next of those only; that stretch is gathered once, not once a row.
+    for up to the next of those only.
     """
     key = F.when((F.col("role") == "toolResult") & F.col("call_name").isNotNull(), keys.group_key(F.col("call_name")))
     rows = keys.with_arguments(rows).withColumn("group_key", key)
@@ -48,12 +89,13 @@ def superseded(rows: DataFrame) -> DataFrame:
         "last": F.first("message_index").over(back),
         "next": F.lag("message_index").over(back),
         "stretch": F.sum(F.when(F.col("range.full"), 1).otherwise(0)).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        "whole": F.last(F.when(F.col("range.full"), F.col("message_index")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
     })
-    seen = F.collect_list(F.when(is_read, F.struct(F.col("message_index").alias("i"), F.col("range").alias("r")))).over(Window.partitionBy("session_id", "group_key", "stretch"))
-    mine, at = F.col("range"), F.col("message_index")
-    hits = F.filter("seen", lambda b: (b["i"] > at) & (b["r"]["full"] | (F.greatest(b["r"]["first"], mine["first"]) <= F.least(b["r"]["last"], mine["last"]))))
-    by = F.when(is_read & F.col("range.full"), F.col("next")).when(is_read, F.array_min(F.transform(hits, lambda b: b["i"]))).when(F.col("group_key").isNotNull() & (at < F.col("last")), F.col("last"))
-    return rows.withColumn("seen", seen).withColumn("superseded_by", by).drop("range", "last", "next", "stretch", "seen")
+    rows = _first_overlaps(rows, is_read & ~F.col("range.full"))
+    grouped = F.col("group_key").isNotNull()
+    by = F.when(is_read & F.col("range.full"), F.col("next")).when(is_read, F.least("hit", "whole")).when(grouped & (F.col("message_index") < F.col("last")), F.col("last"))
+    at = F.when(is_read, F.col("superseded_by")).when(grouped, F.col("next"))
+    return rows.withColumn("superseded_by", by).withColumn("superseded_at", at).drop("range", "last", "next", "stretch", "whole", "hit")
 
 
 def recency(rows: DataFrame, recent: int = tk.RECENT) -> DataFrame:
@@ -144,7 +186,7 @@ def classify(messages: DataFrame, pins: DataFrame | None = None, oversized: int
     by = F.when(F.col("rule.by"), F.col("superseded_by"))
     files = F.when(F.col("rule.files") & F.col("file").isNotNull(), F.array("file")).otherwise(none)
     rows = rows.withColumns({"superseded_by": by, "class": F.col("rule.class"), "importance": tk.importance(F.col("rule.importance")), "tags": F.split("rule.tags", _TAG), "reason": F.col("rule.reason"), "related_files": files})
-    rows = rows.drop("rule", "file", "outcome", "is_latest_user", "call_name", "call_arguments", "err", *(f"a_{n}" for n in keys.TEXTS + keys.NUMBERS))
+    rows = rows.drop("rule", "file", "outcome", "is_latest_user", "superseded_at", "call_name", "call_arguments", "err", *(f"a_{n}" for n in keys.TEXTS + keys.NUMBERS))
     return pinned(rows, pins)
 
 
