@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import keys
 from threadloom.functions import text as tx
 from threadloom.functions import tokens as tk
+from threadloom.operators.needles import holding
 from threadloom.schema import ENGINE_ID
 
 
@@ -187,23 +188,26 @@ def classify(messages: DataFrame, pins: DataFrame | None = None, oversized: int
     files = F.when(F.col("rule.files") & F.col("file").isNotNull(), F.array("file")).otherwise(none)
     rows = rows.withColumns({"superseded_by": by, "class": F.col("rule.class"), "importance": tk.importance(F.col("rule.importance")), "tags": F.split("rule.tags", _TAG), "reason": F.col("rule.reason"), "related_files": files})
     rows = rows.drop("rule", "file", "outcome", "is_latest_user", "superseded_at", "call_name", "call_arguments", "err", *(f"a_{n}" for n in keys.TEXTS + keys.NUMBERS))
-    return pinned(rows, pins)
+    return pinned(rows, pins, messages.select("session_id", "message_index", F.lower(tk.message_text()).alias("text")))
 
 
-def pinned(items: DataFrame, pins: DataFrame | None) -> DataFrame:
-    """Items that an active pin protects become critical. A session's pins are few; they are gathered per session and joined on it."""
+def pinned(items: DataFrame, pins: DataFrame | None, texts: DataFrame | None = None) -> DataFrame:
+    """Items that an active pin protects become critical.
+
+    Pinned files are gathered per session and joined on it; pinned texts are
+    looked for all at once in ``texts`` (session_id, message_index, text in
+    lower case), by default those of the items.
+    """
     if pins is None:
         return items.withColumn("pinned", F.lit(False))
     active = pins.where("active")
-    needle = F.lower(F.substring(tx.trim(F.col("content")), 1, 120))
-    each = active.groupBy("session_id").agg(
-        F.collect_set(F.when(F.col("type") == "file", keys.normalized_path(F.col("content")))).alias("pin_files"),
-        F.collect_set(F.when(F.col("type").isin("constraint", "requirement", "note", "command") & (needle != ""), needle)).alias("pin_texts"),
-    )
-    rows = items.join(each, "session_id", "left")
-    low = F.lower("item_text")
-    hit = F.arrays_overlap("related_files", "pin_files") | F.exists("pin_texts", lambda p: F.contains(low, p))
-    hit = ~F.col("engine_stub") & F.coalesce(hit, F.lit(False))
+    files = active.where("type = 'file'").groupBy("session_id").agg(F.collect_set(keys.normalized_path(F.col("content"))).alias("pin_files"))
+    needles = active.where(F.col("type").isin("constraint", "requirement", "note", "command")).select("session_id", F.lower(F.substring(tx.trim(F.col("content")), 1, 120)).alias("needle"))
+    if texts is None:
+        texts = items.select("session_id", "message_index", F.lower("item_text").alias("text"))
+    held = holding(texts, needles).withColumn("held", F.lit(True))
+    rows = items.join(files, "session_id", "left").join(held, ["session_id", "message_index"], "left")
+    hit = ~F.col("engine_stub") & (F.coalesce(F.arrays_overlap("related_files", "pin_files"), F.lit(False)) | F.coalesce("held", F.lit(False)))
     rows = rows.withColumn("pinned", hit).withColumn("class", F.when(hit, "critical").otherwise(F.col("class")))
     rows = rows.withColumn("importance", F.when(F.col("pinned"), 100).otherwise(F.col("importance")))
-    return rows.withColumn("tags", F.when(F.col("pinned"), F.array_append("tags", F.lit("pinned"))).otherwise(F.col("tags"))).drop("pin_files", "pin_texts")
+    return rows.withColumn("tags", F.when(F.col("pinned"), F.array_append("tags", F.lit("pinned"))).otherwise(F.col("tags"))).drop("pin_files", "held")

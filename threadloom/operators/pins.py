@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.functions import tokens as tk
+from threadloom.operators.needles import first_seen
 from threadloom.schema import ENGINE_ID, as_messages
 
 
@@ -23,22 +24,32 @@ def remove_pin(pins: DataFrame, session_id: str, pin_id: str) -> DataFrame:
     return pins.where(~((F.col("session_id") == session_id) & (F.col("id") == pin_id)))
 
 
-def corpus(messages: DataFrame) -> DataFrame:
-    """(session_id, corpus): lower-case text of users, assistants and earlier pin messages, in order, without what pruning wrote."""
+def corpus_texts(messages: DataFrame) -> DataFrame:
+    """(session_id, message_index, text): lower-case texts of users, assistants and earlier pin messages, without what pruning wrote."""
     engine, kind = F.get_json_object("details_json", "$.engine"), F.get_json_object("details_json", "$.kind")
     own = F.coalesce(engine == ENGINE_ID, F.lit(False))
     pin_message = own & F.coalesce(kind == "pins", F.lit(False))
-    rows = messages.where((~own | pin_message) & (F.col("role").isin("user", "assistant") | ((F.col("role") == "custom") & pin_message))).select("session_id", "message_index", tk.message_text().alias("t")).where("t <> ''")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "t"))), lambda x: x["t"]), "\n")
-    return rows.groupBy("session_id").agg(F.lower(joined).alias("corpus"))
+    rows = messages.where((~own | pin_message) & (F.col("role").isin("user", "assistant") | ((F.col("role") == "custom") & pin_message)))
+    return rows.select("session_id", "message_index", F.lower(tk.message_text()).alias("text")).where("text <> ''")
+
+
+def corpus(messages: DataFrame) -> DataFrame:
+    """(session_id, corpus): ``corpus_texts`` of a session as one, by line."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_index", "text"))), lambda x: x["text"]), "\n")
+    return corpus_texts(messages).groupBy("session_id").agg(joined.alias("corpus"))
+
+
+def needle() -> Column:
+    """What of a pin must be in its session's corpus; blank for pins that never are, if they are no files."""
+    return F.when(F.col("type") == "file", tx.trim(F.lower("content"))).otherwise(F.lower(tx.trim(F.substring("content", 1, 100))))
 
 
 def missing_pins(messages: DataFrame, pins: DataFrame) -> DataFrame:
-    """Active pins that their session's corpus does not hold; a blank pin always is missing unless it is a file."""
-    needle = F.when(F.col("type") == "file", tx.trim(F.lower("content"))).otherwise(F.lower(tx.trim(F.substring("content", 1, 100))))
-    rows = pins.where("active").withColumn("needle", needle).join(corpus(messages), "session_id", "left")
-    blank = (F.col("needle") == "") & (F.col("type") != "file")
-    return rows.where(blank | ~F.contains(F.coalesce("corpus", F.lit("")), F.col("needle"))).drop("needle", "corpus")
+    """Active pins that their session's corpus does not hold; a blank pin always is missing unless it is a file. All pins of a session are looked for at once."""
+    rows = pins.where("active").withColumn("needle", needle())
+    seen = first_seen(corpus_texts(messages), rows).select("session_id", "needle", F.lit(True).alias("seen"))
+    rows = rows.join(seen, ["session_id", "needle"], "left").select(*(F.col(c) for c in [*pins.columns, "needle", "seen"]))
+    return rows.where(F.col("seen").isNull() & ((F.col("needle") != "") | (F.col("type") != "file"))).drop("needle", "seen")
 
 
 def with_pins(messages: DataFrame, pins: DataFrame, now_ms: int) -> DataFrame:
