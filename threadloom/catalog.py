@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from threadloom.functions import keys
 from threadloom.functions import text as tx
 from threadloom.functions import tokens as tk
-from threadloom.operators import analysis, checkpoints, commands, items, pins, prune, reports
+from threadloom.operators import analysis, checkpoints, commands, items, pins, prune, reports, steps
 from threadloom.plans import config, policy
+from threadloom.schema import MESSAGES, as_messages
 from threadloom.sources import logs, traces
+from threadloom.streaming import steps as streamed
 
 CONTEXT_WINDOW, CHAT_WINDOW = 32_768, 16_384
 AT = "2024-01-01T00:00:00.000Z"
@@ -636,3 +638,81 @@ def _(spark, sf_dir):
     turn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     usage = events.select(F.col("user_id").cast("string").alias("session_id"), turn.alias("turn"), F.lit(AT).alias("time"), F.when(F.col("event_id") % 3 != 0, F.col("event_id")).alias("tokens"), F.lit(None).cast("double").alias("percent"))
     return logs.turn_metrics(usage, policy.fold_turns(turn_series(events))).select("session_id", "action", "context_tokens", "compactions")
+
+
+# ---- the pass at each model call ----
+_PLACED, _RULED, _CALLERS = (RULED.index(x) for x in (", placed AS (", ", ruled AS (", ", callers AS ("))
+CALL_STEPS = RULED[:_PLACED] + r""", changes_at AS (
+  SELECT keyed.*, tokens >= 1000 AS big, lead(message_index, 8) OVER (PARTITION BY session_id ORDER BY message_index) AS old_at,
+    CASE WHEN name = 'read' THEN by_read WHEN group_key IS NOT NULL THEN lead(message_index) OVER (PARTITION BY session_id, group_key ORDER BY message_index) END AS sup_at
+  FROM keyed LEFT JOIN later USING (session_id, message_index)
+), pieces AS (
+  SELECT *, unnest(list_sort(list_distinct(list_filter([message_index, sup_at, old_at], lambda x: x IS NOT NULL)))) AS since FROM changes_at
+), placed AS (
+  SELECT *, CASE WHEN sup_at <= since THEN sup_at END AS sup, old_at IS NULL OR since < old_at AS fresh, lead(since) OVER (PARTITION BY session_id, message_index ORDER BY since) AS until FROM pieces
+)""" + RULED[_RULED:_CALLERS] + r""", callers AS (
+  SELECT session_id, message_index - 1 AS message_index, 24 + (3 * length(name) + 11) // 12 + 6 + (3 * length(ARGUMENTS) + 11) // 12 AS tokens FROM keyed
+), everything AS (
+  SELECT session_id, since, until, tokens, CASE WHEN pinned THEN 'critical' ELSE class END AS class, CASE WHEN pinned THEN 0 ELSE reclaimable END AS reclaimable
+  FROM (SELECT *, path = 'src/f3.py' AND CAST(session_id AS BIGINT) % 2 = 0 AS pinned FROM freed)
+  UNION ALL SELECT session_id, message_index, NULL, tokens, 'working', 0 FROM callers
+  UNION ALL SELECT DISTINCT session_id, 0, NULL, (3 * 21 + 11) // 12 + 16, 'critical', 0 FROM keyed
+), asked AS (
+  SELECT session_id, (seq + 1)::INT AS turn, 2 * seq + 1 AS at, CAST(session_id AS BIGINT) % 2 = 0 AND coalesce(min(CASE WHEN path = 'src/f3.py' THEN seq END) OVER (PARTITION BY session_id) >= seq, TRUE) AS missing FROM keyed
+), summed AS (
+  SELECT a.session_id, turn, any_value(missing) AS missing, sum(tokens) AS raw_tokens, coalesce(sum(tokens) FILTER (class IN ('critical', 'working')), 0) AS good, sum(reclaimable) AS reclaimable_tokens, count(*) AS message_count
+  FROM asked a JOIN everything e ON e.session_id = a.session_id AND e.since < a.at AND (e.until IS NULL OR e.until >= a.at) GROUP BY a.session_id, turn
+)
+SELECT session_id, turn, raw_tokens::BIGINT AS raw_tokens, (raw_tokens + 4000)::BIGINT AS total_tokens, reclaimable_tokens::BIGINT AS reclaimable_tokens, message_count::INT AS message_count,
+  round(least(2.0, (raw_tokens + 4000) / 20480.0::DOUBLE), 6) AS pressure, round(good / raw_tokens::DOUBLE, 6) AS quality, missing::INT AS pins_missing FROM summed""".replace("ARGUMENTS", ARGUMENTS)
+CALL_COLUMNS = ("session_id", "turn", "raw_tokens", "total_tokens", "reclaimable_tokens", "message_count", "pressure", "quality", "pins_missing")
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model call before each tool call of a trace, 20 seconds apart."""
+    rows = traces.tool_events(_read(spark, sf_dir, "events"))
+    known = {"turn": F.col("seq") + 1, "message_index": 2 * F.col("seq") + 1, "now_ms": (F.col("seq") + 1) * 20_000, "context_window": F.lit(CONTEXT_WINDOW), "model": F.lit("any/model")}
+    return rows.select("session_id", *((known.get(c, F.lit(None)).cast(t)).alias(c) for c, t in (f.split(" ") for f in steps.CALLS.split(", ")[1:])))
+
+
+def _trace_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pinned file for every second session."""
+    users = _read(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 2 = 0")
+    return users.select(F.col("user_id").cast("string").alias("session_id"), F.lit("p1").alias("id"), F.lit("file").alias("type"), F.lit("src/f3.py").alias("content"), F.lit(1).cast("long").alias("created_at"), F.lit(True).alias("active"))
+
+
+@_query("str10_observed_calls", f"WITH {CALL_STEPS}")
+def _(spark, sf_dir):
+    return _rounded(steps.observed(_trace(spark, sf_dir), _calls(spark, sf_dir), _trace_pins(spark, sf_dir))).select(*CALL_COLUMNS)
+
+
+@_query("str10_context_steps")
+def _(spark, sf_dir):
+    return steps.context_steps(_trace(spark, sf_dir), _calls(spark, sf_dir), _trace_pins(spark, sf_dir))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, batches: int = 3) -> tuple[DataFrame, str]:
+    """The traces as a stream of ``batches`` micro-batches, by place in the session; sessions of every third user end. What it gave, and its checkpoint."""
+    root = logs.shared_folder(spark, "streamed")
+    rows = _trace(spark, sf_dir).unionByName(streamed.call_rows(_calls(spark, sf_dir)))
+    users = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where("user_id % 3 = 0")
+    ends = users.select(F.col("user_id").cast("string").alias("session_id"), (2 * F.col("n") + 1).cast("int").alias("message_index"), F.lit(streamed.END).alias("role"))
+    whole = rows.unionByName(as_messages(ends))
+    whole.withColumn("arrives", F.least(F.lit(batches - 1), F.floor(F.col("message_index") / 40)).cast("int")).write.partitionBy("arrives").parquet(f"{root}/all")
+    for k in range(batches):
+        spark.read.parquet(f"{root}/all").where(F.col("arrives") == k).drop("arrives").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(MESSAGES).parquet(f"{root}/in")
+        query = streamed.step_stream(stream, _trace_pins(spark, sf_dir)).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.parquet(f"{root}/out"), f"{root}/checkpoint"
+
+
+@_query("str10_streamed_steps", f"WITH {CALL_STEPS}")
+def _(spark, sf_dir):
+    return _rounded(_streamed(spark, sf_dir)[0]).select(*CALL_COLUMNS)
+
+
+@_query("src07_stream_states", "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS turns FROM events WHERE user_id % 3 <> 0 GROUP BY user_id")
+def _(spark, sf_dir):
+    states = streamed.stream_states(spark, _streamed(spark, sf_dir, 2)[1])
+    return states.select("session_id", F.get_json_object("state", "$.turn").cast("long").alias("turns"))

@@ -26,16 +26,27 @@ SUMS = ("raw_tokens", *(f"{c}_tokens" for c in CLASSES), "reclaimable_tokens", "
 
 def measured(per: DataFrame, usage: DataFrame | None = None, window: int = 200_000) -> DataFrame:
     """Sums per session with total_tokens, usable_tokens, pressure and quality."""
+    return metered(_with_usage(per, usage, window)).drop("tokens", "context_window", "max_tokens", "ratio")
+
+
+def _with_usage(per: DataFrame, usage: DataFrame | None, window: int) -> DataFrame:
     if usage is not None:
-        per = per.join(usage.select("session_id", "tokens", "context_window", "max_tokens", "ratio"), "session_id", "left")
-    else:
-        per = per.withColumns({"tokens": F.lit(None).cast("long"), "context_window": F.lit(window).cast("long"), "max_tokens": F.lit(None).cast("long"), "ratio": F.lit(1.0)})
-    estimate = F.greatest(F.lit(1), F.floor(F.col("raw_tokens") * F.coalesce("ratio", F.lit(1.0)) + 0.5).cast("long") + SYSTEM_RESERVE)
-    per = per.withColumn("total_tokens", F.when(F.col("tokens") > 0, F.col("tokens")).otherwise(estimate))
+        return per.join(usage.select("session_id", "tokens", "context_window", "max_tokens", "ratio"), "session_id", "left")
+    return per.withColumns({"tokens": F.lit(None).cast("long"), "context_window": F.lit(window).cast("long"), "max_tokens": F.lit(None).cast("long"), "ratio": F.lit(1.0)})
+
+
+def estimated_total(raw: Column) -> Column:
+    """Tokens of a context whose messages have ``raw`` by estimate, under the calibration in ``ratio``."""
+    return F.greatest(F.lit(1), F.floor(raw * F.coalesce("ratio", F.lit(1.0)) + 0.5).cast("long") + SYSTEM_RESERVE)
+
+
+def metered(per: DataFrame) -> DataFrame:
+    """Sums with tokens, context_window, max_tokens and ratio beside them: adds total_tokens, usable_tokens, pressure and quality."""
+    per = per.withColumn("total_tokens", F.when(F.col("tokens") > 0, F.col("tokens")).otherwise(estimated_total(F.col("raw_tokens"))))
     per = per.withColumn("usable_tokens", tk.usable_tokens(F.col("context_window"), F.col("max_tokens")))
     classed = sum((F.col(f"{c}_tokens") for c in CLASSES), F.lit(0))
     quality = F.coalesce((F.col("critical_tokens") + F.col("working_tokens")) / F.nullif(classed, F.lit(0)), F.lit(1.0))
-    return per.withColumn("pressure", clamp(F.col("total_tokens") / F.col("usable_tokens"), 0.0, 2.0)).withColumn("quality", clamp(quality, 0.0, 1.0)).drop("tokens", "context_window", "max_tokens", "ratio")
+    return per.withColumn("pressure", clamp(F.col("total_tokens") / F.col("usable_tokens"), 0.0, 2.0)).withColumn("quality", clamp(quality, 0.0, 1.0))
 
 
 def analyze(items: DataFrame, usage: DataFrame | None = None, window: int = 200_000, stub_min: int = 50) -> DataFrame:

@@ -154,12 +154,8 @@ def _toolish_rules(oversized: int) -> Column:
     return out.otherwise(_rule(pick(new, "working", "stale"), pick(new, 40, 20), [name, ov], pick(new, "recent tool result", "older tool result")))
 
 
-def classify(messages: DataFrame, pins: DataFrame | None = None, oversized: int = tk.OVERSIZED, recent: int = tk.RECENT, estimator: Column | None = None) -> DataFrame:
-    """``messages`` with type, source, estimated_tokens, class, importance, tags, related_files, superseded_by, pinned, reason, engine_stub, item_text and command_text.
-
-    ``estimator`` replaces the built-in token count where it is not null.
-    """
-    rows = recency(superseded(with_calls(messages)), recent)
+def with_facts(rows: DataFrame, estimator: Column | None = None) -> DataFrame:
+    """Adds what a message and its call say alone: estimated_tokens, item_text, source, command_text, category, outcome, err, file, engine_stub and type."""
     role, toolish = F.col("role"), F.col("role").isin("toolResult", "bashExecution")
     is_run = role == "bashExecution"
     source = F.when(is_run, "bash").when(toolish, F.coalesce("tool_name", "call_name", F.lit("unknown")))
@@ -170,24 +166,37 @@ def classify(messages: DataFrame, pins: DataFrame | None = None, oversized: int
     shown = F.when(is_run, F.coalesce("output", F.lit(""))).otherwise(F.col("item_text"))
     rows = rows.withColumn("outcome", F.when(F.col("category") == "test", tx.test_outcome(shown)))
     failed = F.when(is_run, F.coalesce("cancelled", F.lit(False)) | (F.coalesce("exit_code", F.lit(0)) != 0)).otherwise(F.coalesce("is_error", F.lit(False)))
-    none = F.array().cast("array<string>")
-    rows = rows.withColumn("err", failed).withColumn("file", keys.file_of())
+    kind = F.create_map(*(F.lit(x) for pair in (("user", "user"), ("assistant", "assistant"), ("toolResult", "tool-result"), ("bashExecution", "bash"), ("branchSummary", "summary"), ("compactionSummary", "summary")) for x in pair))
     stub = F.coalesce(F.get_json_object("details_json", "$.engine") == ENGINE_ID, F.lit(False))
+    return rows.withColumns({"err": failed, "file": keys.file_of(), "engine_stub": stub, "type": F.coalesce(F.try_element_at(kind, role), F.lit("custom"))})
+
+
+def judged(rows: DataFrame, oversized: int = tk.OVERSIZED) -> DataFrame:
+    """Rows of ``with_facts`` with superseded_by, is_recent and is_latest_user, by the first rule that holds: class, importance, tags, reason, related_files; superseded_by stays where the rule has used it."""
+    role, toolish = F.col("role"), F.col("role").isin("toolResult", "bashExecution")
     called = F.coalesce(F.exists("blocks", lambda b: b["type"] == "toolCall"), F.lit(False))
-    judged = (
-        F.when(stub, _rule("disposable", 5, ["engine-stub"], "already pruned by the engine"))
+    rule = (
+        F.when(F.col("engine_stub"), _rule("disposable", 5, ["engine-stub"], "already pruned by the engine"))
         .when(role == "user", _rule("critical", 100, ["user", F.when(F.col("is_latest_user"), "latest-user")], "user message"))
         .when(role == "assistant", _rule("working", 60, ["assistant", F.when(called, "tool-call").otherwise("reasoning")], "assistant message"))
         .when(role.isin("compactionSummary", "branchSummary"), _rule("critical", 80, ["summary"], "summary of earlier context"))
         .when(toolish, _toolish_rules(oversized))
         .otherwise(_rule("working", 50, [F.coalesce("custom_type", F.lit("custom")), "custom"], "custom message"))
     )
-    kind = F.create_map(*(F.lit(x) for pair in (("user", "user"), ("assistant", "assistant"), ("toolResult", "tool-result"), ("bashExecution", "bash"), ("branchSummary", "summary"), ("compactionSummary", "summary")) for x in pair))
-    rows = rows.withColumn("rule", judged).withColumn("engine_stub", stub).withColumn("type", F.coalesce(F.try_element_at(kind, role), F.lit("custom")))
+    rows = rows.withColumn("rule", rule)
     by = F.when(F.col("rule.by"), F.col("superseded_by"))
-    files = F.when(F.col("rule.files") & F.col("file").isNotNull(), F.array("file")).otherwise(none)
+    files = F.when(F.col("rule.files") & F.col("file").isNotNull(), F.array("file")).otherwise(F.array().cast("array<string>"))
     rows = rows.withColumns({"superseded_by": by, "class": F.col("rule.class"), "importance": tk.importance(F.col("rule.importance")), "tags": F.split("rule.tags", _TAG), "reason": F.col("rule.reason"), "related_files": files})
-    rows = rows.drop("rule", "file", "outcome", "is_latest_user", "superseded_at", "call_name", "call_arguments", "err", *(f"a_{n}" for n in keys.TEXTS + keys.NUMBERS))
+    return rows.drop("rule")
+
+
+def classify(messages: DataFrame, pins: DataFrame | None = None, oversized: int = tk.OVERSIZED, recent: int = tk.RECENT, estimator: Column | None = None) -> DataFrame:
+    """``messages`` with type, source, estimated_tokens, class, importance, tags, related_files, superseded_by, pinned, reason, engine_stub, item_text and command_text.
+
+    ``estimator`` replaces the built-in token count where it is not null.
+    """
+    rows = judged(with_facts(recency(superseded(with_calls(messages)), recent), estimator), oversized)
+    rows = rows.drop("file", "outcome", "is_latest_user", "superseded_at", "call_name", "call_arguments", "err", *(f"a_{n}" for n in keys.TEXTS + keys.NUMBERS))
     return pinned(rows, pins, messages.select("session_id", "message_index", F.lower(tk.message_text()).alias("text")))
 
 

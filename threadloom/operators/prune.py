@@ -81,13 +81,25 @@ def actions(items: DataFrame, stub_min: int | Column = 50, max_chars: int | Colu
     return rows.withColumns(new).drop("cost")
 
 
+def details(at: str) -> Column:
+    """What pruning writes beside a replacement."""
+    return F.to_json(F.struct(F.lit(ENGINE_ID).alias("engine"), F.col("kind").alias("kind"), F.col("source").alias("tool"), F.col("reason").alias("reason"), F.col("estimated_tokens").alias("originalTokens"), F.lit(at).alias("at")))
+
+
+def rewritten_tokens(at: str) -> Column:
+    """Tokens of a replaced message as pruning leaves it, over the columns of ``actions``; others keep theirs."""
+    text = tk.text_tokens(F.col("replacement"))
+    run = tk.text_tokens(F.col("command")) + text + tk.BASH_TOKENS
+    other = text + F.least(F.lit(tk.DETAILS_TOKENS).cast("long"), tk.text_tokens(details(at))) + tk.RESULT_TOKENS
+    return F.when(F.col("kind") == "keep", F.col("estimated_tokens")).when(F.col("role") == "bashExecution", run).otherwise(other)
+
+
 def replaced(acted: DataFrame, at: str) -> DataFrame:
     """``acted`` with its messages' columns as pruning leaves them; ``at`` is the time written into what was replaced."""
     done = F.col("kind") != "keep"
     block = F.array(F.struct(F.lit("text").alias("type"), F.col("replacement").alias("text"), *(F.lit(None).cast("string").alias(c) for c in ("thinking", "id", "name", "arguments_json")))).cast(BLOCKS)
-    details = F.to_json(F.struct(F.lit(ENGINE_ID).alias("engine"), F.col("kind").alias("kind"), F.col("source").alias("tool"), F.col("reason").alias("reason"), F.col("estimated_tokens").alias("originalTokens"), F.lit(at).alias("at")))
     run = F.col("role") == "bashExecution"
-    rows = acted.withColumn("details_json", F.when(done, details).otherwise(F.col("details_json")))
+    rows = acted.withColumn("details_json", F.when(done, details(at)).otherwise(F.col("details_json")))
     rows = rows.withColumn("output", F.when(done & run, F.col("replacement")).otherwise(F.col("output")))
     rows = rows.withColumn("content_text", F.when(done & ~run, F.lit(None).cast("string")).otherwise(F.col("content_text")))
     return once(rows.withColumnRenamed("blocks", "before"), "blocks", F.when(done & ~run, block).otherwise(F.col("before"))).drop("before")

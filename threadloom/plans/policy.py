@@ -112,7 +112,9 @@ def step(state: dict, turn: dict, config: dict, limits: dict | None = None) -> t
     (null: it succeeds), compact_event says that the host has compacted since
     the turn before, clean_at_ms that a manual clean was armed then: it prunes
     at the next turn within CLEAN_MS that has something to prune, once, and
-    latches nothing. ``limits``: the thresholds of the turn's model.
+    latches nothing; clean_actions and pressure_after_clean, if given, hold for
+    it. ``limits``: the thresholds of the turn's model. The plan's ``fast`` says
+    that nothing was to be done, so that the context goes on untouched.
     """
     state = dict(state, band=dict(state["band"]), low=dict(state["low"]))
     now, p = turn["now_ms"], turn["pressure"]
@@ -145,10 +147,13 @@ def step(state: dict, turn: dict, config: dict, limits: dict | None = None) -> t
     checkpoint = saves and config["auto"]["checkpoint"] and not fresh and not full["checkpoint"] and may_checkpoint(state, config, now)
     compact = action == "compact" and config["auto"]["compact"] and not full["compact"] and now - state["last_compact"] >= config["cooldowns"]["compactMs"]
     after, manual = p, now < state["armed_until"]
-    some = turn.get("prune_actions") is None or turn["prune_actions"] > 0
+    fast = not (prune or manual or checkpoint or compact or action == "handoff")
+    cleaned = manual and turn.get("clean_actions") is not None
+    actions, left = (turn["clean_actions"], turn["pressure_after_clean"]) if cleaned else (turn.get("prune_actions"), turn.get("pressure_after_prune"))
+    some = actions is None or actions > 0
     prune, manual = (prune or manual) and some, manual and some
     if prune:
-        after = p if turn.get("pressure_after_prune") is None else turn["pressure_after_prune"]
+        after = p if left is None else left
         state["last_prune"] = now
         _fired(state, "prune", latch=not manual)
         if manual:
@@ -178,11 +183,11 @@ def step(state: dict, turn: dict, config: dict, limits: dict | None = None) -> t
     return state, {
         "turn": turn["turn"], "action": action, "reason": reason, "prune": prune, "manual": manual, "checkpoint": checkpoint, "compact": compact, "handoff": suggest,
         "throttled": ",".join(throttled), "checkpoint_fresh": fresh, "compactions": state["compactions"], "checkpoints": state["checkpoints"],
-        "prune_delta": round(state["prune_delta"], 6), "compact_delta": round(state["compact_delta"], 6),
+        "prune_delta": round(state["prune_delta"], 6), "compact_delta": round(state["compact_delta"], 6), "fast": fast, "pressure_after": after,
     }
 
 
-PLANS = "session_id string, turn int, action string, reason string, prune boolean, manual boolean, checkpoint boolean, compact boolean, handoff boolean, throttled string, checkpoint_fresh boolean, compactions int, checkpoints int, prune_delta double, compact_delta double"
+PLANS = "session_id string, turn int, action string, reason string, prune boolean, manual boolean, checkpoint boolean, compact boolean, handoff boolean, throttled string, checkpoint_fresh boolean, compactions int, checkpoints int, prune_delta double, compact_delta double, fast boolean, pressure_after double"
 
 
 _WHOLE = frozenset(f.split(" ")[0] for f in TURNS.split(", ") if f.split(" ")[1] in ("int", "long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,6 +11,16 @@ from pyspark.sql import functions as F
 from threadloom.schema import MESSAGES, PINS, as_messages
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path below ``spark.checkpoint.dir``, which names a folder that all executors share; only a local session may leave it unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "/tmp/checkpoints"
+    return f"{root.rstrip('/')}/threadloom/{name}-{uuid.uuid4().hex}"
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """JSON lines, blank ones dropped. A broken line fails the read, or becomes a row of nulls if not ``strict``."""
     lines = spark.read.text(path).where(F.trim("value") != "")
