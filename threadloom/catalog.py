@@ -9,16 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import keys
 from threadloom.functions import text as tx
 from threadloom.functions import tokens as tk
 from threadloom.operators import analysis, checkpoints, commands, items, pins, prune, reports, steps
-from threadloom.plans import config, policy
+from threadloom.plans import config, policy, rules
 from threadloom.schema import MESSAGES, as_messages
-from threadloom.sources import logs, traces
+from threadloom.sources import logs, tables, traces
 from threadloom.streaming import steps as streamed
 
 CONTEXT_WINDOW, CHAT_WINDOW = 32_768, 16_384
@@ -616,14 +616,26 @@ def _(spark, sf_dir):
     return checkpoints.checkpoint_prompts(_chat(spark, sf_dir), _pins(spark, sf_dir)).select("session_id", "prompt")
 
 
+#: A reply with fields that no checkpoint has, a meta of its own, states left out, and texts with space around them.
+_LOOSE = (
+    '{"meta":{"by":"me"},"mood":"good","task":{"goal":" g', '\\n","extra":1},"requirements":[" r "],"constraints":["keep it"],"decisions":[{"decision":" use b ","why":"x"},{"decision":"c","reason":" r ","status":"abandoned"}],'
+    '"files":{"inspected":[],"modified":["a.py"],"created":[],"deleted":[],"moved":["z"]},"verification":{"passed":[],"failed":[],"pending":[" t "]},"issues":[{"description":"slow "}],"next_actions":["go on"]}'
+)
+
+
 @_query(
     "cp05_generated_checkpoints",
-    """SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, conv_id % 4 <> 3 AS ok, CASE WHEN conv_id % 4 <> 3 THEN '{"version":1,"task":{"goal":"g' || conv_id || '"},"requirements":[],"constraints":["keep it"],"decisions":[],"files":{"inspected":[],"modified":["a.py"],"created":[],"deleted":[]},"verification":{"passed":[],"failed":[],"pending":[]},"next_actions":["go on"],"meta":{"session_id":"'
+    """SELECT DISTINCT CAST(conv_id AS VARCHAR) AS session_id, conv_id % 4 <> 3 OR conv_id % 8 = 7 AS ok,
+  CASE WHEN conv_id % 8 = 7 THEN '{"version":1,"created_at":"2024-01-01T00:00:00.000Z","task":{"goal":"g' || conv_id || '","phase":"in_progress","status":"in_progress"},"requirements":[" r "],"constraints":["keep it"],"decisions":[{"decision":"use b","reason":"","status":"active"},{"decision":"c","reason":" r ","status":"abandoned"}],"files":{"inspected":[],"modified":["a.py"],"created":[],"deleted":[]},"verification":{"passed":[],"failed":[],"pending":[" t "]},"issues":[{"description":"slow","status":"open"}],"next_actions":["go on"],"meta":{"session_id":"'
+  || conv_id || '","tokens_before":7,"source":"auto"}}'
+  WHEN conv_id % 4 <> 3 THEN '{"version":1,"created_at":"2024-01-01T00:00:00.000Z","task":{"goal":"g' || conv_id || '","phase":"in_progress","status":"in_progress"},"requirements":[],"constraints":["keep it"],"decisions":[],"files":{"inspected":[],"modified":["a.py"],"created":[],"deleted":[]},"verification":{"passed":[],"failed":[],"pending":[]},"issues":[],"next_actions":["go on"],"meta":{"session_id":"'
   || conv_id || '","tokens_before":7,"source":"auto"}}' END AS checkpoint FROM conversations""",
 )
 def _(spark, sf_dir):
+    loose = F.concat(F.lit(_LOOSE[0]), "session_id", F.lit(_LOOSE[1]))
     replies = _replies(spark, sf_dir).withColumns({"source": F.lit("auto"), "tokens_before": F.lit(7).cast("long")})
-    return checkpoints.generated(checkpoints.checkpoint_prompts(_chat(spark, sf_dir)), replies).select("session_id", "ok", "checkpoint")
+    replies = replies.withColumn("reply", F.when(F.col("session_id").cast("long") % 8 == 7, loose).otherwise(F.col("reply")))
+    return checkpoints.generated(checkpoints.checkpoint_prompts(_chat(spark, sf_dir)), replies, AT).select("session_id", "ok", "checkpoint")
 
 
 @_query(
@@ -716,3 +728,56 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     states = streamed.stream_states(spark, _streamed(spark, sf_dir, 2)[1])
     return states.select("session_id", F.get_json_object("state", "$.turn").cast("long").alias("turns"))
+
+
+@_query(
+    "cat14_rule_table",
+    """WITH models AS (SELECT DISTINCT user_id, 'm' || user_id AS model FROM events), hits AS (
+  SELECT user_id, s_suppkey, 0.3 + (s_suppkey % 50) / 100.0 AS enter, row_number() OVER (PARTITION BY user_id ORDER BY length('m' || s_suppkey) DESC) AS r FROM models JOIN supplier ON starts_with(model, 'm' || s_suppkey)
+), best AS (SELECT user_id, max(enter) FILTER (r = 1) AS enter, max(s_suppkey) FILTER (r = 1) AS rule FROM hits GROUP BY user_id)
+SELECT CAST(models.user_id AS VARCHAR) AS session_id, round(coalesce(enter, 0.65)::DOUBLE, 4) AS prune_enter, round(CASE WHEN enter IS NULL THEN 0.55 WHEN rule % 2 = 0 THEN enter - 0.2 ELSE enter - 0.1 END::DOUBLE, 4) AS prune_exit, 0.88::DOUBLE AS compact_enter FROM models LEFT JOIN best USING (user_id)""",
+)
+def _(spark, sf_dir):
+    """A rule for every supplier's number as the beginning of a model's name; every second one has an exit of its own."""
+    key, enter = F.col("s_suppkey"), F.round(0.3 + (F.col("s_suppkey") % 50) / 100.0, 4)
+    known = {"pattern": F.concat(F.lit("m"), key, F.lit("*")), "position": key, "prune_enter": enter, "prune_exit": F.when(key % 2 == 0, enter - 0.2), "prune_given": F.lit(True)}
+    table = _read(spark, sf_dir, "supplier").select(*(known.get(c, F.lit(None)).cast(t).alias(c) for c, t in (f.split(" ") for f in rules.RULES.split(", "))))
+    users = _read(spark, sf_dir, "events").select("user_id").distinct().select(F.col("user_id").cast("string").alias("session_id"), F.concat(F.lit("m"), F.col("user_id").cast("string")).alias("model"))
+    rows = rules.with_rules(users, table, config.merged(config.DEFAULTS, {"models": {}}))
+    return rows.select("session_id", *(F.round(c, 4).alias(c) for c in ("prune_enter", "prune_exit", "compact_enter")))
+
+
+@_query("snk02_state_table", "SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(count(*) * (CASE WHEN user_id % 3 = 0 THEN 2 ELSE 1 END) AS VARCHAR) AS state FROM events GROUP BY user_id")
+def _(spark, sf_dir):
+    """States of all sessions, then newer ones of every third."""
+    path = logs.shared_folder(spark, "states")
+    per = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    state = lambda rows, times: rows.select(F.col("user_id").cast("string").alias("session_id"), (F.col("n") * times).cast("string").alias("state"))
+    tables.commit(state(per, 1), path)
+    tables.commit(state(per.where("user_id % 3 = 0"), 2), path)
+    return tables.current(spark, path)
+
+
+@_query("src09_whole_files", "SELECT event_type, count(*) AS n, count(*) FILTER (props IS NOT NULL) AS with_props FROM events WHERE event_type <> 'click' GROUP BY event_type")
+def _(spark, sf_dir):
+    """Events as JSON lines in files by type; one of the clicks' lines is broken, so the clicks' file gives nothing."""
+    path = logs.shared_folder(spark, "lines")
+    events = _read(spark, sf_dir, "events")
+    broken = (F.col("event_type") == "click") & (F.col("event_id") == F.min(F.when(F.col("event_type") == "click", F.col("event_id"))).over(Window.partitionBy("event_type")))
+    line = F.when(broken, '{"broken').otherwise(F.to_json(F.struct("event_id", "event_type", "props")))
+    events.select("event_type", line.alias("value")).withColumnRenamed("event_type", "kind").repartition("kind").write.partitionBy("kind").text(path)
+    rows, _quarantined = logs.whole_files(spark, path, "event_id long, event_type string, props string")
+    return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("props").alias("with_props"))
+
+
+@_query("prj04_guarded_estimator", f"WITH {CHAT} SELECT session_id, message_index::INT AS message_index, (CASE WHEN message_index % 3 = 1 THEN tokens ELSE length(text) + 5 END)::BIGINT AS tokens FROM chat")
+def _(spark, sf_dir):
+    """An estimator that raises on every third message, which alone falls back to the built-in count."""
+
+    def estimate(row: dict) -> int:
+        if row["message_index"] % 3 == 1:
+            raise ValueError("no estimate")
+        return len(row["content_text"]) + 5
+
+    rows = items.classify(_chat(spark, sf_dir), estimator=tk.guarded(estimate, "message_index", "content_text"))
+    return rows.select("session_id", "message_index", F.col("estimated_tokens").alias("tokens"))

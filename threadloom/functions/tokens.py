@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -72,6 +75,23 @@ def fingerprint(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit("0:empty")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), F.lower(F.hex(digest))))
 
 
+def guarded(estimate: Callable[[dict], int], *columns: str) -> Column:
+    """A row's tokens by ``estimate``, which gets the named columns as a dictionary; null for a row on which it raises or gives no number, so that ``classify`` falls back to its own count for that row alone. Batches go by Arrow."""
+
+    @F.pandas_udf("long")
+    def estimated(rows: pd.DataFrame) -> pd.Series:
+        out = []
+        for row in rows.to_dict("records"):
+            try:
+                value = estimate(row)
+                out.append(int(value) if value is not None and value == value else None)
+            except Exception:  # a faulty estimator must not stop the meter
+                out.append(None)
+        return pd.Series(out, dtype="Int64")
+
+    return estimated(F.struct(*columns))
+
+
 def reclaimable(least: int | Column) -> Column:
     """Tokens that pruning a classified item frees."""
     t, cls = F.col("estimated_tokens"), F.col("class")

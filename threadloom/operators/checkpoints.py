@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
@@ -40,12 +40,20 @@ def _section(max_tool: int) -> Column:
 
 
 def serialized(messages: DataFrame, pins: DataFrame | None = None, max_tool: int = MAX_TOOL, max_total: int = MAX_TOTAL) -> DataFrame:
-    """(session_id, text): the session by section; beyond ``max_total`` characters its goal, its active pins and as much of its end as fits. One pass over the messages."""
+    """(session_id, text): the session by section; beyond ``max_total`` characters its goal, its active pins and as much of its end as fits.
+
+    A section is gathered only if some of it is within ``max_total`` characters
+    of the session's end, by a running length from there.
+    """
     parts = once(once(messages, "said", tk.message_text()), "s", _section(max_tool))
     asked = F.when(F.col("role") == "user", F.nullif(tx.trim(F.col("said")), F.lit("")))
-    parts = parts.select("session_id", "message_index", "s", asked.alias("asked"))
+    behind = Window.partitionBy("session_id").orderBy(F.desc("message_index")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("session_id", "message_index", "s", asked.alias("asked"), F.coalesce(F.sum(F.length("s") + 2).over(behind), F.lit(0)).alias("behind"))
+    # what the end may take is never more than max_total, or 1000 if that is less
+    within = F.col("s").isNotNull() & (F.col("behind") < max(max_total, 1000))
     rows = parts.groupBy("session_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("s").isNotNull(), F.struct("message_index", "s")))), lambda x: x["s"]), "\n\n").alias("body"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(within, F.struct("message_index", "s")))), lambda x: x["s"]), "\n\n").alias("body"),
+        (F.sum(F.length("s") + 2) - 2).alias("whole"),
         F.substring(F.min_by("asked", F.when(F.col("asked").isNotNull(), F.col("message_index"))), 1, MAX_GOAL).alias("goal"),
     )
     goal = F.when(F.col("goal").isNotNull(), F.concat(F.lit("User (Initial Goal): "), F.col("goal")))
@@ -57,7 +65,7 @@ def serialized(messages: DataFrame, pins: DataFrame | None = None, max_tool: int
         head = F.concat_ws("\n\n", goal, F.col("pins"))
     tail = F.greatest(F.lit(1000), max_total - F.when(head != "", F.length(head) + 4).otherwise(0))
     short = F.concat(F.when(head != "", F.concat(head, F.lit("\n\n[... earlier conversation truncated ...]\n\n"))).otherwise(""), F.right(F.col("body"), tail))
-    return rows.select("session_id", F.when(F.length("body") <= max_total, F.col("body")).otherwise(short).alias("text"))
+    return rows.select("session_id", F.when(F.coalesce("whole", F.lit(0)) <= max_total, F.col("body")).otherwise(short).alias("text"))
 
 
 def extracted_json(reply: Column) -> Column:
@@ -111,12 +119,27 @@ def _object_errors(doc: Column, path: str, text: str, states: tuple[str, ...], r
     return F.when(F.coalesce(_kind(doc, path).startswith("ARRAY"), F.lit(False)), of_items).otherwise(missing)
 
 
+#: A time with a date: ISO-8601 (a date alone, or with a time and perhaps a zone), or as in mail headers (day name and zone may lack).
+ISO_DATE = r"^\s*([+-]\d{6}|\d{4})-\d{2}(-\d{2})?([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?\s*(Z|[+-]\d{2}:?\d{2})?)?\s*$"
+MAIL_DATE = r"(?i)^\s*((?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?(\d{1,2})\s+(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+(\d{4})(\s+\d{1,2}:\d{2}(:\d{2})?)?(\s*(gmt|utc|z|[+-]\d{4}))?\s*$"
+
+
+def is_date(text: Column) -> Column:
+    """Whether a text names a point in time: ISO_DATE or MAIL_DATE of a day and an hour that exist. A time of day alone does not."""
+    day = F.regexp_replace(F.trim(text), "[,]", ".")
+    iso = text.rlike(ISO_DATE) & F.try_to_timestamp(F.regexp_replace(F.regexp_replace(day, r"^(\d{4}-\d{2})$", "$1-01"), r"\s+(Z|[+-]\d{2}:?\d{2})$", "$1")).isNotNull()
+    part = lambda k: F.regexp_extract(text, MAIL_DATE, k)
+    hours = F.when(part(5) == "", F.lit(True)).otherwise(F.trim(part(5)).rlike(r"^([01]?\d|2[0-3]):[0-5]\d(:[0-5]\d)?$"))
+    real = F.coalesce(F.when(text.rlike(MAIL_DATE), F.try_to_date(F.concat_ws(" ", F.lpad(part(2), 2, "0"), F.initcap(part(3)), part(4)), "dd MMM yyyy").isNotNull() & hours), F.lit(False))
+    return F.coalesce(iso, F.lit(False)) | real
+
+
 def checkpoint_errors(document: Column) -> Column:
     """array<string>: what is wrong with a checkpoint's JSON text; empty if it is valid."""
     doc = F.try_parse_json(document)
     version, created = F.try_variant_get(doc, "$.version", "variant"), F.try_variant_get(doc, "$.created_at", "variant")
     one = F.coalesce(F.schema_of_variant(version).isin("BIGINT", "DOUBLE") & (F.try_variant_get(doc, "$.version", "double") == 1), F.lit(False))
-    dated = F.coalesce((F.schema_of_variant(created) == "STRING") & F.try_to_timestamp(F.try_variant_get(doc, "$.created_at", "string")).isNotNull(), F.lit(False))
+    dated = F.coalesce((F.schema_of_variant(created) == "STRING") & is_date(F.try_variant_get(doc, "$.created_at", "string")), F.lit(False))
     task = F.coalesce(_kind(doc, "task").startswith("OBJECT"), F.lit(False))
     goal = F.coalesce((_kind(doc, "task.goal") == "STRING") & (tx.trim(F.try_variant_get(doc, "$.task.goal", "string")) != ""), F.lit(False))
     phase = F.coalesce(_kind(doc, "task.phase"), F.lit("STRING")) == "STRING"
@@ -257,16 +280,36 @@ def checkpoint_prompts(messages: DataFrame, pins: DataFrame | None = None) -> Da
     return rows.select("session_id", F.lit(SYSTEM_PROMPT).alias("system"), F.when(tx.trim(F.col("text")) != "", asked).alias("prompt"))
 
 
-def generated(prompts: DataFrame, replies: DataFrame) -> DataFrame:
+def normalized(document: Column, created_at: Column) -> Column:
+    """A valid checkpoint's JSON text rebuilt: the known fields in order, goals, decisions and issues trimmed, states defaulted, absent lists empty, ``created_at`` where it has none; whatever else it holds goes."""
+    doc = F.try_parse_json(document)
+    text = lambda v, path: tx.trim(F.try_variant_get(v, path, "string"))
+    many = lambda path: F.coalesce(F.try_variant_get(doc, f"$.{path}", "array<string>"), F.array().cast("array<string>"))
+    decision = lambda v: F.struct(text(v, "$.decision").alias("decision"), F.coalesce(F.try_variant_get(v, "$.reason", "string"), F.lit("")).alias("reason"), F.coalesce(F.try_variant_get(v, "$.status", "string"), F.lit(DECISION_STATES[0])).alias("status"))
+    issue = lambda v: F.struct(text(v, "$.description").alias("description"), F.coalesce(F.try_variant_get(v, "$.status", "string"), F.lit(ISSUE_STATES[0])).alias("status"))
+    group = lambda name, parts: F.struct(*(many(f"{name}.{x}").alias(x) for x in parts)).alias(name)
+    typed = lambda rows, kind: rows.cast(f"array<struct<{kind}>>")
+    return F.to_json(F.struct(
+        F.lit(1).alias("version"), F.coalesce(F.try_variant_get(doc, "$.created_at", "string"), created_at).alias("created_at"),
+        F.struct(text(doc, "$.task.goal").alias("goal"), F.coalesce(F.nullif(text(doc, "$.task.phase"), F.lit("")), F.lit("in_progress")).alias("phase"), F.coalesce(F.try_variant_get(doc, "$.task.status", "string"), F.lit(TASK_STATES[0])).alias("status")).alias("task"),
+        many("requirements").alias("requirements"), many("constraints").alias("constraints"),
+        F.coalesce(F.transform(F.try_variant_get(doc, "$.decisions", "array<variant>"), decision), typed(F.array(), "decision:string,reason:string,status:string")).alias("decisions"),
+        group("files", ("inspected", "modified", "created", "deleted")), group("verification", ("passed", "failed", "pending")),
+        F.coalesce(F.transform(F.try_variant_get(doc, "$.issues", "array<variant>"), issue), typed(F.array(), "description:string,status:string")).alias("issues"), many("next_actions").alias("next_actions"),
+    ))
+
+
+def generated(prompts: DataFrame, replies: DataFrame, created_at: str = "1970-01-01T00:00:00.000Z") -> DataFrame:
     """(session_id, ok, errors, checkpoint): the replies (session_id, reply, source, tokens_before) to ``prompts``, checked.
 
-    A valid one comes out as its JSON with meta (session_id, tokens_before,
-    source) in it; a session without a prompt or a reply fails and says why.
+    A valid one comes out ``normalized`` with meta (session_id, tokens_before,
+    source) in the place of any of its own, ``created_at`` where it says none;
+    a session without a prompt or a reply fails and says why.
     """
     rows = validated(prompts.select("session_id", "prompt").join(replies.select("session_id", "reply", "source", "tokens_before"), "session_id", "left"))
     empty = F.col("prompt").isNull()
     ok = ~empty & F.col("ok")
     errors = F.when(empty, F.array(F.lit("empty conversation — nothing to checkpoint"))).otherwise(F.col("errors"))
     meta = F.to_json(F.struct("session_id", "tokens_before", "source"))
-    body = F.regexp_replace(tx.trim(F.col("json")), r"\s*\}\z", "")
-    return rows.select("session_id", ok.alias("ok"), errors.alias("errors"), F.when(ok, F.concat(body, F.lit(',"meta":'), meta, F.lit("}"))).alias("checkpoint"))
+    rows = once(rows, "body", F.when(ok, normalized(F.col("json"), F.lit(created_at))))
+    return rows.select("session_id", ok.alias("ok"), errors.alias("errors"), F.concat(F.expr("substring(body, 1, length(body) - 1)"), F.lit(',"meta":'), meta, F.lit("}")).alias("checkpoint"))

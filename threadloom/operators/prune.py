@@ -55,14 +55,19 @@ def _cut(folded: Column, limit: Column) -> Column:
     return F.when(F.length(folded) > limit, F.concat(F.substring(folded, F.lit(1), limit), F.lit("\n…[truncated]"))).otherwise(folded)
 
 
-def fold_text(text: Column, lines: Column, max_chars: Column) -> Column:
-    """The first and last lines of a long text, cut at twice ``max_chars``."""
+def folded_text(text: Column, lines: Column) -> Column:
+    """The first and last lines of a long text; a short one as it is."""
     n = F.size(lines)
     folded = F.concat(
         F.array_join(F.slice(lines, 1, TEXT_HEAD), "\n"), F.lit(f"\n\n[{ENGINE_ID} … "), (n - TEXT_HEAD - TEXT_TAIL).cast("string"),
         F.lit(" lines folded …]\n\n"), F.array_join(F.slice(lines, -TEXT_TAIL, TEXT_TAIL), "\n"),
     )
-    return F.when(n <= TEXT_HEAD + TEXT_TAIL + 3, text).otherwise(F.substring(folded, F.lit(1), max_chars * 2))
+    return F.when(n <= TEXT_HEAD + TEXT_TAIL + 3, text).otherwise(folded)
+
+
+def fold_text(text: Column, lines: Column, max_chars: Column) -> Column:
+    """``folded_text``, cut at twice ``max_chars``."""
+    return F.when(F.size(lines) <= TEXT_HEAD + TEXT_TAIL + 3, text).otherwise(F.substring(folded_text(text, lines), F.lit(1), max_chars * 2))
 
 
 def actions(items: DataFrame, stub_min: int | Column = 50, max_chars: int | Column = 2200) -> DataFrame:
@@ -86,12 +91,29 @@ def details(at: str) -> Column:
     return F.to_json(F.struct(F.lit(ENGINE_ID).alias("engine"), F.col("kind").alias("kind"), F.col("source").alias("tool"), F.col("reason").alias("reason"), F.col("estimated_tokens").alias("originalTokens"), F.lit(at).alias("at")))
 
 
-def rewritten_tokens(at: str) -> Column:
-    """Tokens of a replaced message as pruning leaves it, over the columns of ``actions``; others keep theirs."""
-    text = tk.text_tokens(F.col("replacement"))
-    run = tk.text_tokens(F.col("command")) + text + tk.BASH_TOKENS
-    other = text + F.least(F.lit(tk.DETAILS_TOKENS).cast("long"), tk.text_tokens(details(at))) + tk.RESULT_TOKENS
-    return F.when(F.col("kind") == "keep", F.col("estimated_tokens")).when(F.col("role") == "bashExecution", run).otherwise(other)
+def savings(items: DataFrame, limits: list[tuple[int, int]], at: str) -> DataFrame:
+    """``items`` with saved_k and acts_k for each (stub_min, max_chars): the tokens by which ``actions`` under it makes the message smaller, as it is written at ``at``, and whether it replaces it.
+
+    A stub is the same under all limits and a fold differs only in where it is
+    cut, so each is made once.
+    """
+    rows = items.withColumn("kind", plan(0))
+    rows = once(rows, "lines", F.when(F.col("kind") == "fold", F.split("item_text", "\n")))
+    run, n = F.col("source") == "bash", F.size("lines")
+    rows = once(rows, "folded", F.when(F.col("kind") == "fold", F.when(run, fold_output(F.col("command_text"), F.col("item_text"), F.col("lines"), 0)).otherwise(folded_text(F.col("item_text"), F.col("lines")))))
+    whole = F.when(run, n <= HEAD + TAIL + 4).otherwise(n <= TEXT_HEAD + TEXT_TAIL + 3)
+    stub = stub_text(F.col("source"), F.col("estimated_tokens"), F.col("reason"))
+    beside = F.when(F.col("role") == "bashExecution", tk.text_tokens(F.col("command")) + tk.BASH_TOKENS).otherwise(F.least(F.lit(tk.DETAILS_TOKENS).cast("long"), tk.text_tokens(details(at))) + tk.RESULT_TOKENS)
+    rows = once(rows, "made", F.when(F.col("kind") == "stub", F.struct(tk.text_tokens(stub).alias("stub"), beside.alias("beside"))).when(F.col("kind") == "fold", F.struct(F.lit(None).cast("long").alias("stub"), beside.alias("beside"))))
+    cut = lambda limit: F.when(whole, F.col("folded")).when(run, _cut(F.col("folded"), F.lit(limit))).otherwise(F.substring(F.col("folded"), 1, 2 * limit))
+    sizes = {c: f"fold_{c}" for _, c in limits}
+    for c, name in sizes.items():
+        rows = once(rows, name, F.when(F.col("kind") == "fold", tk.text_tokens(cut(c))))
+    for k, (stub_min, c) in enumerate(limits):
+        tokens = F.coalesce("made.stub", sizes[c])
+        worth = F.coalesce((F.col("kind") != "keep") & (F.col("estimated_tokens") >= stub_min) & (tokens + REPLACEMENT_COST < F.col("estimated_tokens")), F.lit(False))
+        rows = rows.withColumns({f"saved_{k}": F.when(worth, F.col("estimated_tokens") - tokens - F.col("made.beside")).otherwise(0), f"acts_{k}": worth.cast("long")})
+    return rows.drop("kind", "lines", "folded", "made", *sizes.values())
 
 
 def replaced(acted: DataFrame, at: str) -> DataFrame:

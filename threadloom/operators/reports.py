@@ -10,14 +10,14 @@ from threadloom.operators.analysis import SUMS, class_sums, measured
 
 
 def context_reports(rows: DataFrame) -> DataFrame:
-    """(session_id, report) of ``analyze_with_consumers``; what stands in columns pins, compactions, checkpoint_fresh, action and reason is reported too."""
-    known = {"pins": F.lit(0), "compactions": F.lit(0), "checkpoint_fresh": F.lit(False), "action": F.lit("none"), "reason": F.lit("")}
+    """(session_id, report) of ``analyze_with_consumers``; what stands in columns pins, compactions, checkpoint_fresh, action, reason, model (provider/id) and model_name is reported too."""
+    known = {"pins": F.lit(0), "compactions": F.lit(0), "checkpoint_fresh": F.lit(False), "action": F.lit("none"), "reason": F.lit(""), "model": F.lit(None).cast("string"), "model_name": F.lit(None).cast("string")}
     rows = rows.withColumns({c: v for c, v in known.items() if c not in rows.columns})
     k, whole = short_count, lambda c: F.format_number(F.col(c), 0)
     lines = F.array_join(F.transform("top", lambda x: F.concat(x["rank"].cast("string"), F.lit(". "), x["label"], F.lit("  "), k(x["tokens"]))), "\n")
     action = F.coalesce("action", F.lit("none"))
     report = F.concat_ws(
-        "\n", F.lit("Context Engine\n\nWindow:"), F.concat(whole("usable_tokens"), F.lit(" usable\n")), F.lit("Estimated usage:"),
+        "\n", F.lit("Context Engine\n"), F.concat(F.lit("Model:\n"), F.col("model"), F.coalesce(F.concat(F.lit(" ("), F.nullif("model_name", F.lit("")), F.lit(")")), F.lit("")), F.lit("\n")), F.lit("Window:"), F.concat(whole("usable_tokens"), F.lit(" usable\n")), F.lit("Estimated usage:"),
         F.concat(whole("total_tokens"), F.lit(" / "), whole("usable_tokens"), F.lit("  ("), percent(F.col("pressure"), 1), F.lit(")")),
         F.concat(F.lit("Band: "), band_label(F.col("pressure")), F.lit("  ·  Quality: "), percent(F.col("quality"), 1), F.lit("\n")), F.lit("Classification:"),
         F.concat(F.lit("critical     "), k(F.col("critical_tokens")), F.lit("   working    "), k(F.col("working_tokens"))),

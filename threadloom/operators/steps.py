@@ -39,9 +39,7 @@ def bands(config: dict) -> list[tuple[int, int]]:
 
 def counted(rows: DataFrame, config: dict, at: str = AT) -> DataFrame:
     """Classified rows with what each adds to the sums of its session: SUMS, and saved_k and acts_k by band."""
-    for k, (stub_min, max_chars) in enumerate(bands(config)):
-        acted = prune.actions(rows, stub_min, max_chars)
-        rows = acted.withColumns({f"saved_{k}": F.col("estimated_tokens") - prune.rewritten_tokens(at), f"acts_{k}": (F.col("kind") != "keep").cast("long")}).drop("kind", "replacement", "new_tokens")
+    rows = prune.savings(rows, bands(config), at)
     sums = {f"{c}_tokens": F.when(F.col("class") == c, F.col("estimated_tokens")).otherwise(0) for c in analysis.CLASSES}
     return rows.withColumns({"raw_tokens": F.col("estimated_tokens"), **sums, "reclaimable_tokens": tk.reclaimable(config["limits"]["stubMinTokens"]), "message_count": F.lit(1).cast("long")})
 

@@ -27,6 +27,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return lines.select(F.from_json("value", schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"}).alias("r")).select("r.*")
 
 
+def whole_files(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the JSON lines files at ``path`` that parse as a whole, and (file, bad_lines, lines) of those that do not, which give no row at all.
+
+    Blank lines do not count. A line is bad if it is no JSON. Only the names of files with a bad line meet the rows again.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value").where(F.trim("value") != "")
+    none = F.trim("value") == "null"
+    bad = F.try_parse_json("value").isNull() & ~none
+    quarantined = lines.groupBy("file").agg(F.count_if(bad).alias("bad_lines"), F.count(F.lit(1)).alias("lines")).where("bad_lines > 0")
+    good = lines.join(quarantined.select("file"), "file", "left_anti")
+    return good.where(~none).select(F.from_json("value", schema).alias("r")).select("r.*"), quarantined
+
+
 _BODY = ", ".join(f"{f.split(' ', 1)[0]}: {f.split(' ', 1)[1]}" for f in MESSAGES.split(", ") if f.split(" ")[0] not in ("session_id", "message_index"))
 #: A session log's line; an entry's type says what it holds.
 ENTRIES = f"session_id string, leaf_id string, entries array<struct<type: string, id: string, message: struct<{_BODY}>, summary: string, content_text: string, details_json: string, custom_type: string, ts_ms: long>>"
@@ -126,7 +139,7 @@ BUCKETS = 256
 
 
 def write_latest(df: DataFrame, path: str) -> None:
-    """State or pins, a row or more for each session: sessions of ``df`` replaced, others left. Only buckets of sessions in ``df`` are written anew."""
+    """State or pins, a row or more for each session, as plain Parquet: sessions of ``df`` replaced, others left. Only buckets of sessions in ``df`` are written anew. For one writer and no reader at a time; ``sources.tables`` has versions."""
     spark = df.sparkSession
     bucket = F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")
     new = df.withColumn("bucket", bucket)
@@ -138,7 +151,7 @@ def write_latest(df: DataFrame, path: str) -> None:
         touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
         rest = old.where(F.col("bucket").isin(touched)).join(df.select("session_id").distinct(), "session_id", "left_anti")
         # read before its files are replaced
-        staged = f"{path.rstrip('/')}-staged"
-        new.unionByName(rest, allowMissingColumns=True).write.mode("overwrite").parquet(staged)
+        staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+        new.unionByName(rest, allowMissingColumns=True).write.parquet(staged)
         new = spark.read.parquet(staged)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
