@@ -553,7 +553,7 @@ _PERCENT = "printf('%.1f', floor({x} * 1000 + 0.5) / 10) || '%'"
 ), top AS (
   SELECT session_id, string_agg(r || '. ' || label || '  ' || {_k('n')}, chr(10) ORDER BY r) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY n DESC, first) AS r FROM labelled) WHERE r <= 5 GROUP BY session_id)
 SELECT session_id, array_to_string(list_filter([
-  'Context Engine' || chr(10) || chr(10) || 'Window:', '20,480 usable' || chr(10), 'Estimated usage:', format('{{:,}}', total_tokens) || ' / 20,480  (' || {_PERCENT.format(x='p')} || ')',
+  'Context Engine' || chr(10), 'Model:' || chr(10) || 'any/model' || chr(10), 'Window:', '20,480 usable' || chr(10), 'Estimated usage:', format('{{:,}}', total_tokens) || ' / 20,480  (' || {_PERCENT.format(x='p')} || ')',
   'Band: ' || CASE WHEN p < 0.55 THEN 'green' WHEN p < 0.7 THEN 'yellow' WHEN p < 0.82 THEN 'orange' WHEN p < 0.9 THEN 'red' ELSE 'critical' END || '  ·  Quality: ' || {_PERCENT.format(x='q')} || chr(10), 'Classification:',
   'critical     ' || {_k('critical_tokens')} || '   working    ' || {_k('working_tokens')}, 'stale        ' || {_k('stale_tokens')} || '   disposable ' || {_k('disposable_tokens')} || chr(10),
   'Largest consumers:' || chr(10) || lines || chr(10), 'Pins: 0', 'Compactions: 0', 'Checkpoint: none/stale' || chr(10), 'Recommendation: ' || upper(action),
@@ -676,8 +676,12 @@ CALL_STEPS = RULED[:_PLACED] + r""", changes_at AS (
   FROM asked a JOIN everything e ON e.session_id = a.session_id AND e.since < a.at AND (e.until IS NULL OR e.until >= a.at) GROUP BY a.session_id, turn
 )
 SELECT session_id, turn, raw_tokens::BIGINT AS raw_tokens, (raw_tokens + 4000)::BIGINT AS total_tokens, reclaimable_tokens::BIGINT AS reclaimable_tokens, message_count::INT AS message_count,
-  round(least(2.0, (raw_tokens + 4000) / 20480.0::DOUBLE), 6) AS pressure, round(good / raw_tokens::DOUBLE, 6) AS quality, missing::INT AS pins_missing FROM summed""".replace("ARGUMENTS", ARGUMENTS)
-CALL_COLUMNS = ("session_id", "turn", "raw_tokens", "total_tokens", "reclaimable_tokens", "message_count", "pressure", "quality", "pins_missing")
+  floor(least(2.0, (raw_tokens + 4000) / 20480.0::DOUBLE) * 1000000)::BIGINT AS pressure_millionths, floor(good / raw_tokens::DOUBLE * 1000000)::BIGINT AS quality_millionths, missing::INT AS pins_missing FROM summed""".replace("ARGUMENTS", ARGUMENTS)
+
+
+def _seen_at_calls(rows: DataFrame) -> DataFrame:
+    whole = [F.floor(F.col(c) * 1_000_000).cast("long").alias(f"{c}_millionths") for c in ("pressure", "quality")]
+    return rows.select("session_id", "turn", "raw_tokens", "total_tokens", "reclaimable_tokens", "message_count", *whole, "pins_missing")
 
 
 def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -695,7 +699,7 @@ def _trace_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("str10_observed_calls", f"WITH {CALL_STEPS}")
 def _(spark, sf_dir):
-    return _rounded(steps.observed(_trace(spark, sf_dir), _calls(spark, sf_dir), _trace_pins(spark, sf_dir))).select(*CALL_COLUMNS)
+    return _seen_at_calls(steps.observed(_trace(spark, sf_dir), _calls(spark, sf_dir), _trace_pins(spark, sf_dir)))
 
 
 @_query("str10_context_steps")
@@ -721,7 +725,7 @@ def _streamed(spark: SparkSession, sf_dir: str, batches: int = 3) -> tuple[DataF
 
 @_query("str10_streamed_steps", f"WITH {CALL_STEPS}")
 def _(spark, sf_dir):
-    return _rounded(_streamed(spark, sf_dir)[0]).select(*CALL_COLUMNS)
+    return _seen_at_calls(_streamed(spark, sf_dir)[0])
 
 
 @_query("src07_stream_states", "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS turns FROM events WHERE user_id % 3 <> 0 GROUP BY user_id")
