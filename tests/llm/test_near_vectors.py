@@ -62,3 +62,15 @@ def test_ids_that_repeat(spark):
 
 def test_no_rows(spark):
     assert nv.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_one_vector_on_a_third_of_the_rows(spark):
+    """Copies of one vector spread over tasks and all link to each other."""
+    from threadloom.llm import near_vectors as nv
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in (np.ones(16) if i % 3 == 0 else rng.standard_normal(16))], i % 2) for i in range(1800)]
+    got = {r.vec_id: r for r in nv.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label long").repartition(6)).collect()}
+    assert len(got) == 1800
+    for i in range(0, 1800, 3):
+        assert (got[i].n_links, got[i].component_id, got[i].kept) == (299, i % 2 * 3, i == i % 2 * 3)

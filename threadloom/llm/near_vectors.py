@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm._graph import components
+from threadloom.llm._hot import salted_join
 from threadloom.llm._store import dropped, lean, written
 
 THRESHOLD, MISS, EPSILON, BLOCK, ROTATIONS = 0.98, 1e-9, 6.0, 256, 4
@@ -252,7 +253,8 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = rows.withColumn("valid", valid)
     grouped = rows.where("valid").groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("m"))
     classes = written(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")
-    keyed = written(rows.where("valid").join(classes, ["label", "embedding"]).select("vec_id", "class", "node"), "keyed")
+    # a vector that a third of all rows hold is dealt out in both joins of rows with their class
+    keyed = written(salted_join(rows.where("valid").select("vec_id", "label", "embedding"), classes, ["label", "embedding"], classes, "m", ["vec_id"]).select("vec_id", "class", "node"), "keyed")
     bits = min(30, max(8, math.ceil(math.log2(max(classes.count(), 2)))))
     tables = tables_needed(bits, threshold)
     codes = "class long, label long, dim int, code binary, factors binary, small binary, step double, buckets array<int>"
@@ -286,7 +288,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     joined = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(ties))
     links = found.groupBy("class").agg(F.sum("links").alias("links"))
     by_class = classes.join(links, "class", "left").join(joined, "node", "left").select("class", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    good = keyed.join(by_class, "class").select("vec_id", "n_links", "component_id")
+    good = salted_join(keyed, by_class, ["class"], classes, "m", ["vec_id"]).select("vec_id", "n_links", "component_id")
     bad = rows.where("not valid").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = written(good.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))), "vectors")
     dropped(classes, keyed, coded, open_, found, joined)
