@@ -587,9 +587,7 @@ def _(spark, sf_dir):
 
 @_query("snk05_prune_events", f"WITH {ACTED} SELECT a.session_id, 'prune' AS action, 'auto' AS mode, count(*) AS actions, any_value(total_tokens)::BIGINT AS tokens_before, (any_value(total_tokens) - sum(tokens_before - tokens_after))::BIGINT AS tokens_after, sum(tokens_before - tokens_after)::BIGINT AS saved FROM acts a JOIN analysed USING (session_id) GROUP BY a.session_id")
 def _(spark, sf_dir):
-    acted = _acted(spark, sf_dir)
-    totals = commands.cleaned(acted, analysis.analyze(acted, window=CONTEXT_WINDOW), 0).select("session_id", "tokens_before", "tokens_after")
-    return logs.prune_events(logs.prune_log(acted, AT), totals).drop("time")
+    return commands.pass_events(_acted(spark, sf_dir), AT, window=CONTEXT_WINDOW).drop("time")
 
 
 PIN_TYPE = """CASE WHEN regexp_matches(lower(t), '\\b(don''?t|do not|never|must not)\\b') THEN 'constraint' WHEN regexp_matches(lower(t), '\\b(should|must|require|requires)\\b') THEN 'requirement'

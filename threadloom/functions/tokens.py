@@ -68,11 +68,20 @@ def message_text() -> Column:
 
 
 def fingerprint(text: Column) -> Column:
-    """FNV-1a (32 bits, over code units of ASCII) of length, first and, beyond 800 characters, last 400 characters, as length:hex."""
+    """FNV-1a (32 bits, over UTF-16 units) of length, first and, beyond 800 units, last 400 units, as length:hex."""
+    step = lambda h, unit: (h.bitwiseXOR(unit) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))
+    written = lambda length, digest: F.concat(length.cast("string"), F.lit(":"), F.lower(F.hex(digest)))
+    start = F.lit(0x811C9DC5).cast("long")
     bounded = F.concat(F.length(text).cast("string"), F.lit("\n"), F.substring(text, 1, 400), F.lit("\n"), F.when(F.length(text) > 800, F.right(text, F.lit(400))).otherwise(F.lit("")))
-    step = lambda h, c: (h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619).cast("long")).bitwiseAND(F.lit(0xFFFFFFFF))
-    digest = F.aggregate(F.split(bounded, ""), F.lit(0x811C9DC5).cast("long"), step)
-    return F.when(F.length(text) == 0, F.lit("0:empty")).otherwise(F.concat(F.length(text).cast("string"), F.lit(":"), F.lower(F.hex(digest))))
+    plain = written(F.length(text), F.aggregate(F.split(bounded, ""), start, lambda h, c: step(h, F.ascii(c).cast("long"))))
+    # characters of two units: all is counted and cut in their hexadecimal digits, four a unit
+    units = F.hex(F.encode(text, "UTF-16BE"))
+    n = F.floor(F.length(units) / 4)
+    digits = lambda x: F.hex(F.encode(x, "UTF-16BE"))
+    cut = F.concat(digits(F.concat(n.cast("string"), F.lit("\n"))), F.substring(units, 1, 1600), digits(F.lit("\n")), F.when(n > 800, F.right(units, F.lit(1600))).otherwise(F.lit("")))
+    each = F.transform(F.sequence(F.lit(0), F.floor(F.length(cut) / 4).cast("int") - 1), lambda i: F.conv(F.substring(cut, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
+    wide = written(n, F.aggregate(each, start, step))
+    return F.when(F.length(text) == 0, F.lit("0:empty")).when(text.rlike(ASTRAL), wide).otherwise(plain)
 
 
 def guarded(estimate: Callable[[dict], int], *columns: str) -> Column:

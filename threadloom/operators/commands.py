@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.functions.text import short_count
-from threadloom.operators.analysis import last_user_text
+from threadloom.operators.analysis import class_sums, last_user_text, measured
 
 LAST_CHARS, SHOWN_CHARS, EVENT_CHARS, HISTORY_ROWS = 500, 100, 160, 12
 
@@ -60,3 +60,11 @@ def cleaned(acted: DataFrame, analysis: DataFrame, now_ms: int) -> DataFrame:
     sums = acted.where("kind <> 'keep'").groupBy("session_id").agg(F.sum(F.col("estimated_tokens") - F.col("new_tokens")).alias("removed"))
     rows = sums.join(analysis.select("session_id", "total_tokens"), "session_id")
     return rows.select("session_id", F.lit(now_ms).cast("long").alias("clean_at_ms"), F.col("total_tokens").alias("tokens_before"), F.greatest(F.lit(0), F.col("total_tokens") - F.col("removed")).alias("tokens_after"))
+
+
+def pass_events(acted: DataFrame, time: str, mode: str = "auto", window: int = 200_000) -> DataFrame:
+    """The one event of each session's pruning pass, as ``prune_events`` has it, from one aggregation of what the pass has done."""
+    removed = F.sum(F.when(F.col("kind") != "keep", F.col("estimated_tokens") - F.col("new_tokens")).otherwise(0)).alias("removed")
+    per = acted.groupBy("session_id").agg(*class_sums(), F.count_if(F.col("kind") != "keep").alias("actions"), removed)
+    rows = measured(per.where("actions > 0"), None, window).withColumn("tokens_after", F.greatest(F.lit(0), F.col("total_tokens") - F.col("removed")))
+    return rows.select("session_id", F.lit(time).alias("time"), F.lit("prune").alias("action"), F.lit(mode).alias("mode"), "actions", F.col("total_tokens").alias("tokens_before"), "tokens_after", (F.col("total_tokens") - F.col("tokens_after")).alias("saved"))
