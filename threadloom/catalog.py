@@ -783,3 +783,93 @@ def _(spark, sf_dir):
 
     rows = items.classify(_chat(spark, sf_dir), estimator=tk.guarded(estimate, "message_index", "content_text"))
     return rows.select("session_id", "message_index", F.col("estimated_tokens").alias("tokens"))
+
+
+# ---- logs, pins and commands over many sessions ----
+def _purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, event_id, created_at) of purchases, which stand for checkpoints."""
+    rows = _read(spark, sf_dir, "events").where("event_type = 'purchase'")
+    return rows.select(F.col("user_id").cast("string").alias("session_id"), "event_id", F.lpad(F.col("event_id").cast("string"), 12, "0").alias("created_at"))
+
+
+@_query("src06_compaction_counts", "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) FILTER (event_type = 'signup') AS compactions FROM events GROUP BY user_id")
+def _(spark, sf_dir):
+    entries = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.when(F.col("event_type") == "signup", "compaction").otherwise("message").alias("type"))
+    return logs.compaction_counts(entries)
+
+
+@_query("src08_latest_checkpoints", "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*)::INT AS checkpoint_no, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+def _(spark, sf_dir):
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy("event_id"))
+    return logs.latest_checkpoints(_purchases(spark, sf_dir).withColumn("checkpoint_no", number)).select("session_id", "checkpoint_no", "event_id")
+
+
+@_query(
+    "snk04_numbered_checkpoints",
+    """WITH p AS (SELECT * FROM events WHERE event_type = 'purchase'), have AS (SELECT user_id, count(*) AS last FROM p WHERE event_id % 2 = 0 GROUP BY user_id)
+SELECT CAST(p.user_id AS VARCHAR) AS session_id, event_id, (coalesce(last, 0) + row_number() OVER (PARTITION BY p.user_id ORDER BY event_id))::INT AS checkpoint_no FROM p LEFT JOIN have ON p.user_id = have.user_id WHERE event_id % 2 = 1""",
+)
+def _(spark, sf_dir):
+    rows = _purchases(spark, sf_dir)
+    have = rows.where("event_id % 2 = 0").withColumn("checkpoint_no", F.row_number().over(Window.partitionBy("session_id").orderBy("event_id")))
+    return logs.numbered(rows.where("event_id % 2 = 1"), have).select("session_id", "event_id", F.col("checkpoint_no").cast("int").alias("checkpoint_no"))
+
+
+@_query("src05_snapshot_or_log", f"WITH {CHAT} SELECT session_id, message_index::INT AS message_index, CASE WHEN CAST(session_id AS BIGINT) % 2 = 0 THEN 'cached' ELSE text END AS text FROM chat")
+def _(spark, sf_dir):
+    log = _chat(spark, sf_dir)
+    leaves = log.select("session_id", F.lit("now").alias("leaf_id")).distinct()
+    snapshot = log.withColumns({"content_text": F.lit("cached"), "leaf_id": F.when(F.col("session_id").cast("long") % 2 == 0, "now").otherwise("then")})
+    return logs.snapshot_or_log(snapshot, log, leaves).select("session_id", "message_index", F.col("content_text").alias("text"))
+
+
+@_query(
+    "pin01_added_pins",
+    """SELECT CAST(conv_id AS VARCHAR) AS session_id, p.type, p.content FROM (SELECT DISTINCT conv_id FROM conversations),
+  (VALUES ('constraint', ' The '), ('file', 'src/none.py'), ('note', 'que'), ('constraint', 'The'), ('note', 'new')) AS p(type, content)""",
+)
+def _(spark, sf_dir):
+    have = _pins(spark, sf_dir)
+    new = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(c).alias("content")) for t, c in (("constraint", "The "), ("file", "SRC/none.py"), ("note", " que"), ("note", "  "), ("note", "new "), ("note", "new"))))
+    fresh = have.select("session_id").distinct().select("session_id", F.inline(new)).withColumns({"id": F.lit("n"), "created_at": F.lit(9).cast("long"), "active": F.lit(True)})
+    return pins.add_pins(have, fresh).select("session_id", "type", "content")
+
+
+@_query("pin02_removed_pin", "SELECT CAST(conv_id AS VARCHAR) AS session_id, p.id FROM (SELECT DISTINCT conv_id FROM conversations), (VALUES ('p1'), ('p2'), ('p3')) AS p(id) WHERE NOT (conv_id = 1 AND p.id = 'p2')")
+def _(spark, sf_dir):
+    return pins.remove_pin(_pins(spark, sf_dir), "1", "p2").select("session_id", "id")
+
+
+@_query(
+    "cmd_pin_texts",
+    rf"""WITH {CHAT}, texts AS (SELECT session_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM chat WHERE role = 'user'), typed AS (SELECT session_id, {PIN_TYPE} AS type, t AS content FROM texts WHERE t <> '')
+SELECT session_id, type, content, 'pin-' || substr(sha256(session_id || chr(1) || type || chr(1) || content), 1, 8) AS id FROM typed""",
+)
+def _(spark, sf_dir):
+    texts = _chat(spark, sf_dir).where("role = 'user'").select("session_id", F.col("content_text").alias("text"))
+    return commands.pin_texts(texts, 0).select("session_id", "type", "content", "id")
+
+
+@_query("cmd_pin_files", """WITH p AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS session_id, 'src/f' || (coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), 0) % 7) || '.py' AS content FROM events WHERE event_type = 'signup')
+SELECT session_id, content, 'pin-' || substr(sha256(session_id || chr(1) || 'file' || chr(1) || content), 1, 8) AS id FROM p""")
+def _(spark, sf_dir):
+    edits = traces.tool_events(_read(spark, sf_dir, "events")).where("name = 'edit'")
+    paths = edits.select("session_id", F.concat(F.get_json_object("arguments_json", "$.path"), F.lit(" ")).alias("path")).distinct()
+    return commands.pin_files(paths, 0).select("session_id", "content", "id")
+
+
+@_query("cmd_clean", f"WITH {ACTED} SELECT session_id, 5::BIGINT AS clean_at_ms, any_value(total_tokens)::BIGINT AS tokens_before, greatest(0, any_value(total_tokens) - sum(tokens_before - tokens_after))::BIGINT AS tokens_after FROM acts JOIN analysed USING (session_id) GROUP BY session_id")
+def _(spark, sf_dir):
+    acted = _acted(spark, sf_dir)
+    return commands.cleaned(acted, analysis.analyze(acted, window=CONTEXT_WINDOW), 5)
+
+
+@_query(
+    "flt07_history",
+    """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, lpad(CAST(event_id AS VARCHAR), 12, '0') AS time, CASE event_type WHEN 'purchase' THEN 'stub' WHEN 'error' THEN 'metric' ELSE event_type END AS action FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id, action = 'stub' ORDER BY time DESC) AS r FROM e WHERE action <> 'metric') SELECT session_id, time, action FROM r WHERE r <= 3""",
+)
+def _(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "purchase", "stub").when(F.col("event_type") == "error", "metric").otherwise(F.col("event_type"))
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("time"), kind.alias("action"))
+    return logs.history(rows.where("action = 'stub'"), rows.where("action <> 'stub'"), 3).select("session_id", "time", "action")
