@@ -20,6 +20,7 @@ from threadloom.plans import config, policy, rules
 from threadloom.schema import MESSAGES, as_messages
 from threadloom.sources import logs, tables, traces
 from threadloom.streaming import steps as streamed
+from threadloom.streaming.sessions import append_audit
 
 CONTEXT_WINDOW, CHAT_WINDOW = 32_768, 16_384
 AT = "2024-01-01T00:00:00.000Z"
@@ -873,3 +874,33 @@ def _(spark, sf_dir):
     kind = F.when(F.col("event_type") == "purchase", "stub").when(F.col("event_type") == "error", "metric").otherwise(F.col("event_type"))
     rows = _read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session_id"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("time"), kind.alias("action"))
     return logs.history(rows.where("action = 'stub'"), rows.where("action <> 'stub'"), 3).select("session_id", "time", "action")
+
+
+@_query("win03_latest_user", f"WITH {CHAT} SELECT session_id, max(message_index)::INT AS message_index FROM chat WHERE role = 'user' GROUP BY session_id")
+def _(spark, sf_dir):
+    return items.classify(_chat(spark, sf_dir)).where(F.array_contains("tags", "latest-user")).select("session_id", "message_index")
+
+
+@_query("jn03_pinned_files", f"WITH {TRACE} SELECT session_id, message_index::INT AS message_index, 'critical' AS class FROM keyed WHERE path = 'src/f3.py' AND CAST(session_id AS BIGINT) % 2 = 0")
+def _(spark, sf_dir):
+    return items.classify(_trace(spark, sf_dir), _trace_pins(spark, sf_dir)).where("pinned").select("session_id", "message_index", "class")
+
+
+@_query("str15_final_states", "SELECT CAST(user_id AS VARCHAR) AS session_id, count(*) AS turns, count(*) FILTER (event_type = 'signup') AS compactions FROM events GROUP BY user_id")
+def _(spark, sf_dir):
+    """States after half of the turns go on through the others."""
+    turns = turn_series(_read(spark, sf_dir, "events"))
+    ends = policy.final_states(turns.where("turn > 20"), states=policy.final_states(turns.where("turn <= 20")))
+    return ends.select("session_id", *(F.get_json_object("state", f"$.{c}").cast("long").alias(n) for c, n in (("turn", "turns"), ("compactions", "compactions"))))
+
+
+@_query("snk01_audit_rows", f"WITH {CHAT} SELECT session_id, message_index::BIGINT AS message_index, CAST(tokens AS BIGINT) AS tokens FROM chat")
+def _(spark, sf_dir):
+    """Chats that arrive in two parts, their messages metered and appended once each."""
+    root = logs.shared_folder(spark, "audit")
+    chats = _chat(spark, sf_dir)
+    for part in (0, 1):
+        chats.where(F.col("message_index") % 2 == part).write.mode("append").json(f"{root}/in")
+        metered = logs.message_stream(spark, f"{root}/in").select("session_id", "message_index", tk.message_tokens().alias("tokens"))
+        append_audit(metered, f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return spark.read.schema("session_id string, message_index long, tokens long").json(f"{root}/out")
