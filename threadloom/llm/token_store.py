@@ -36,6 +36,8 @@ WIDTH = "<u2"
 MIN_IDS, MAX_IDS, CUT_BITS = 16, 4096, 9
 #: Bytes of text whose ids one pass holds; longer texts go alone.
 SLICE = 1 << 20
+#: Keys of chunks that a task remembers, so as not to send them again; it then begins anew, and what it sends twice is kept once later.
+SEEN = 1 << 18
 
 _GEAR = np.random.default_rng(7).integers(0, 1 << 63, 1 << 16, dtype=np.uint64)
 
@@ -142,6 +144,8 @@ def _chunker(path: str, end_id: int, added_tokens: bool):
                         lengths.append(at - last)
                         last = at
                         if key not in seen:
+                            if len(seen) >= SEEN:
+                                seen.clear()
                             seen.add(key)
                             rows.append(("chunk", key, key, lengths[-1], part, None, None, None))
                     root = merkle(keys)
@@ -154,14 +158,14 @@ def _chunker(path: str, end_id: int, added_tokens: bool):
 
 
 def _once(batches):
-    """Chunks that other tasks made too are kept once; equal keys meet in one task."""
-    seen: set[bytes] = set()
+    """Chunks that other tasks made too are kept once: rows come sorted by place, which is a chunk's key, so one key is all that is remembered."""
+    last = None
     for batch in batches:
         keep = []
-        for kind, key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            keep.append(kind != "chunk" or key not in seen)
+        for kind, place in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            keep.append(kind != "chunk" or place != last)
             if kind == "chunk":
-                seen.add(key)
+                last = place
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
@@ -190,7 +194,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.mapInArrow(_chunker(tokenizer, end_id, added_tokens), _STORE)
-    saved(rows.repartition("place").mapInArrow(_once, _STORE).drop("place"), f"{path}/store", compression="zstd", partitionBy="kind")
+    saved(rows.repartition("place").sortWithinPartitions("place").mapInArrow(_once, _STORE).drop("place"), f"{path}/store", compression="zstd", partitionBy="kind")
     stored = _stored(spark, path).where("kind = 'recipe'").select("doc_id", "n", "keys", "sizes", F.col("key").alias("root"))
     placed = stored.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root").select(F.spark_partition_id().alias("part"), "doc_id", "n", "keys", "sizes", "root")
     saved(placed.mapInArrow(_placed, "part int, doc_id long, local_start long, n_tokens long, keys array<binary>, sizes array<int>, root binary"), f"{path}/recipes")
