@@ -1,6 +1,7 @@
 """The five stages and the whole, against plain Python over small documents."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -76,11 +77,15 @@ def mixed(rows):
     for r in rows:
         sizes[r[3]] = sizes.get(r[3], 0) + size(r[1])
     targets = reshared(sizes)
-    out = []
+    out, before = [], {}
     for r in rows:
         rate = targets[r[3]] / sizes[r[3]] if sizes[r[3]] else 0.0
-        draw = int(hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}".encode()).hexdigest()[:8], 16) / 2**32
-        out += [r] * (int(rate) + (draw < rate - int(rate)))
+        digest = hashlib.md5((r[1] or "").encode()).hexdigest()
+        draw = int(hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}:{digest}".encode()).hexdigest()[:8], 16) / 2**32
+        # rows equal in id, source and text share a draw: what the first n + 1 take less what the first n do
+        same = r[0], r[3], digest
+        n = before[same] = before.get(same, -1) + 1
+        out += [r] * (math.ceil((n + 1) * rate - draw) - math.ceil(n * rate - draw))
     return out
 
 
