@@ -135,19 +135,3 @@ def test_damage_is_found(spark, tmp_path):
     damaged("manifest", lambda r: r.withColumn("root", F.encode(F.lit("x"), "utf-8")))
     damaged("store/kind=chunk", lambda r: r.withColumn("payload", F.reverse(F.col("payload").cast("string")).cast("binary")))
     damaged("store/kind=chunk", lambda r: r.limit(3))
-
-
-def test_a_chunk_is_stored_once_however_few_keys_a_task_remembers(monkeypatch):
-    from threadloom.llm.registry import default_tokenizer
-
-    text = " ".join(f"word{i}" for i in range(3000))
-    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array([text + " end" * (i % 2) for i in range(6)])], names=["doc_id", "text"])
-    sent = {}
-    for most in (1 << 18, 1):
-        monkeypatch.setattr(ts, "SEEN", most)
-        rows = pa.Table.from_batches(list(ts._chunker(default_tokenizer(), 2, True)([batch]))).sort_by("place")
-        sent[most] = rows.num_rows
-        kept = pa.Table.from_batches(list(ts._once(rows.to_batches(max_chunksize=7))))
-        keys = [k for kind, k in zip(kept["kind"].to_pylist(), kept["key"].to_pylist()) if kind == "chunk"]
-        assert len(keys) == len(set(keys)) > 3 and kept["kind"].to_pylist().count("recipe") == 6
-    assert sent[1] > sent[1 << 18]
