@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import time
 
@@ -125,6 +126,53 @@ def test_the_stream_is_the_batch(spark, made, tmp_path):
     assert steps.context_steps(messages, later, given, CONFIG, streamed.stream_states(spark, checkpoint)).count() == 8
 
 
+class Store:
+    """A map state that counts what is asked of it."""
+
+    def __init__(self):
+        self.held, self.asked = {}, 0
+
+    def getValue(self, key):
+        self.asked += 1
+        return self.held.get(key)
+
+    def updateValue(self, key, value):
+        self.asked += 1
+        self.held[key] = value
+
+
+def test_pages_keep_every_entry_and_stay_small():
+    store, extent, plain, dice = Store(), [1, 0], {}, random.Random(5)
+    for batch in range(60):
+        pages = streamed._Spread(store, extent)
+        for _ in range(dice.choice([1, 90, 400])):
+            key = f"k{dice.randint(0, 9000)}é"
+            assert pages.get(key) == plain.get(key)
+            plain[key] = [batch, dice.random()]
+            pages.put(key, plain[key])
+        pages.write()
+        assert extent[1] == len(plain)
+    last = streamed._Spread(store, extent)
+    assert all(last.get(k) == v for k, v in plain.items()) and last.get("none") is None
+    sizes = [len(json.loads(v[0])) for v in store.held.values()]
+    assert sum(sizes) == len(plain) and max(sizes) < 4 * streamed.PAGE and extent[0] >= len(plain) / streamed.PAGE
+
+
+def test_a_batch_asks_the_store_by_pages():
+    store, extent = Store(), [1, 0]
+    pages = streamed._Spread(store, extent)
+    for i in range(50):
+        pages.put(f"c{i}", i)
+        assert pages.get(f"c{i}") == i
+    pages.write()
+    assert store.asked == 2
+    pages = streamed._Pages(Store(), lambda at: int(at) // streamed.PAGE)
+    for i in range(640):
+        pages.put(str(i), i)
+    pages.write()
+    assert pages.state.asked == 20
+
+
 def test_idle_sessions_are_released(spark, made, tmp_path):
     messages, calls, given = made
     source, checkpoint = f"{tmp_path}/in", f"{tmp_path}/cp"

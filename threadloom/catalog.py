@@ -714,10 +714,11 @@ def _streamed(spark: SparkSession, sf_dir: str, batches: int = 3) -> tuple[DataF
     ends = users.select(F.col("user_id").cast("string").alias("session_id"), (2 * F.col("n") + 1).cast("int").alias("message_index"), F.lit(streamed.END).alias("role"))
     whole = rows.unionByName(as_messages(ends))
     whole.withColumn("arrives", F.least(F.lit(batches - 1), F.floor(F.col("message_index") / 40)).cast("int")).write.partitionBy("arrives").parquet(f"{root}/all")
+    found = None  # the plan is built once its folder exists
     for k in range(batches):
         spark.read.parquet(f"{root}/all").where(F.col("arrives") == k).drop("arrives").write.mode("append").parquet(f"{root}/in")
-        stream = spark.readStream.schema(MESSAGES).parquet(f"{root}/in")
-        query = streamed.step_stream(stream, _trace_pins(spark, sf_dir)).writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        found = found or streamed.step_stream(spark.readStream.schema(MESSAGES).parquet(f"{root}/in"), _trace_pins(spark, sf_dir))
+        query = found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     return spark.read.parquet(f"{root}/out"), f"{root}/checkpoint"
 

@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +30,8 @@ from threadloom.plans.policy import state_text, step, stored_state
 from threadloom.schema import MESSAGES, as_messages
 
 CALL, END = "modelCall", "sessionEnd"
+#: Entries of a page of state, about.
+PAGE = 64
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -74,22 +78,84 @@ class _Lasting(StatefulProcessor):
         pass
 
 
+def page_of(key: str, pages: int) -> int:
+    """The page of a key among ``pages``; one page more moves keys of one page only, ``pages - top // 2`` in the terms here, to the new one."""
+    top = 1 << (pages - 1).bit_length()
+    at = zlib.crc32(key.encode()) % top
+    return at if at < pages else at % (top // 2)
+
+
+class _Pages:
+    """A session's map state (page int -> entries as JSON) for one batch: a page is read when an entry of it is asked for and written once at the end, as each access is a message between Python and the state store."""
+
+    def __init__(self, state, page: Callable[[str], int]):
+        self.state, self.page, self.held, self.changed = state, page, {}, set()
+
+    def at(self, page: int) -> dict:
+        if page not in self.held:
+            found = self.state.getValue((page,))
+            self.held[page] = json.loads(found[0]) if found else {}
+        return self.held[page]
+
+    def get(self, key: str):
+        return self.at(self.page(key)).get(key)
+
+    def put(self, key: str, value) -> bool:
+        """Whether the key is a new one."""
+        page = self.page(key)
+        entries = self.at(page)
+        new = key not in entries
+        entries[key] = value
+        self.changed.add(page)
+        return new
+
+    def write(self) -> None:
+        for page in sorted(self.changed):
+            self.state.updateValue((page,), (json.dumps(self.held[page]),))
+
+
+class _Spread(_Pages):
+    """Pages by a hash of the key, one more for each PAGE keys; ``extent`` is [pages, keys]."""
+
+    def __init__(self, state, extent: list[int]):
+        super().__init__(state, lambda key: page_of(key, extent[0]))
+        self.extent = extent
+
+    def put(self, key: str, value) -> bool:
+        new = super().put(key, value)
+        self.extent[1] += new
+        while self.extent[1] > PAGE * self.extent[0]:
+            pages = self.extent[0]
+            old = pages - (1 << (pages.bit_length() - 1))
+            entries = self.at(old)
+            self.extent[0] += 1
+            self.held[pages] = {k: v for k, v in entries.items() if self.page(k) == pages}
+            self.held[old] = {k: v for k, v in entries.items() if self.page(k) == old}
+            self.changed |= {old, pages}
+        return new
+
+
 class _Calls(_Lasting):
     """Gives a result the call that came before it under its id; of calls that share one, the last."""
 
     def begin(self, handle) -> None:
-        self.calls = handle.getMapState("calls", "id string", "name string, arguments string")
+        self.extent = handle.getValueState("extent", "pages int, keys int")
+        self.calls = handle.getMapState("calls", "page int", "entries string")
 
     def clear(self) -> None:
+        self.extent.clear()
         self.calls.clear()
 
     def take(self, key, rows) -> Iterator[pd.DataFrame]:
+        calls = _Spread(self.calls, list(self.extent.get() or (1, 0)))
         names, arguments = [], []
         for made, answers in zip(rows["made"], rows["answers"]):
             for call_id, name, text in json.loads(made or "[]"):
-                self.calls.updateValue((call_id,), (name, text))
-            found = self.calls.getValue((answers,)) if answers and self.calls.containsKey((answers,)) else (None, None)
-            names.append(found[0]), arguments.append(found[1])
+                calls.put(call_id, (name, text))
+            found = calls.get(answers) if answers else None
+            names.append(found and found[0]), arguments.append(found and found[1])
+        calls.write()
+        self.extent.update(tuple(calls.extent))
         yield pd.DataFrame({"session_id": key[0], "message_index": rows["message_index"], "role": rows["role"], "call_name": names, "call_arguments": arguments, "row": rows["row"]})
 
 
@@ -98,7 +164,7 @@ def _overlap(a, b) -> bool:
 
 
 class _Steps(_Lasting):
-    """Sums, policy and pins of a session; ``messages`` keeps each result's values by case, ``groups`` what a later message of a key supersedes."""
+    """Sums, policy and pins of a session; ``messages`` keeps each result's values by case, ``groups`` what a later message of a key supersedes, both in pages."""
 
     def __init__(self, config: dict, idle_ms: int | None):
         super().__init__(idle_ms)
@@ -109,28 +175,30 @@ class _Steps(_Lasting):
     def begin(self, handle) -> None:
         self.policy = handle.getValueState("policy", "state string")
         self.sums = handle.getValueState("sums", "state string")
-        self.messages = handle.getMapState("messages", "message_index int", "state string")
-        self.groups = handle.getMapState("groups", "group_key string", "state string")
+        self.messages = handle.getMapState("messages", "page int", "entries string")
+        self.groups = handle.getMapState("groups", "page int", "entries string")
 
     def clear(self) -> None:
         for x in (self.policy, self.sums, self.messages, self.groups):
             x.clear()
 
     def take(self, key, rows) -> Iterator[pd.DataFrame]:
-        state = stored_state(self.policy.get()[0] if self.policy.exists() else None)
-        held = json.loads(self.sums.get()[0]) if self.sums.exists() else {"sums": [0] * len(self.names), "recent": [], "ratios": [], "corpus": "", "found": []}
-        touched: dict[int, dict] = {}
+        policy, sums = self.policy.get(), self.sums.get()
+        state = stored_state(policy[0] if policy else None)
+        held = json.loads(sums[0]) if sums else {"sums": [0] * len(self.names), "recent": [], "ratios": [], "corpus": "", "found": [], "groups": [1, 0]}
+        messages, groups = _Pages(self.messages, lambda at: int(at) // PAGE), _Spread(self.groups, held["groups"])
         out = []
-        for (at, _), part in rows.groupby(["message_index", rows["role"] == CALL], sort=False):  # a call may share its place with the message that follows it
-            first = part.iloc[0]
-            if first["role"] == CALL:
+        for (at, called), part in groupby(rows.to_dict("records"), lambda r: (r["message_index"], r["role"] == CALL)):  # a call may share its place with the message that follows it
+            part = list(part)
+            first = part[0]
+            if called:
                 turn = self.turn(held, key[0], int(at), json.loads(first["facts"]), json.loads(first["needles"] or "[]"))
                 state, plan = step(state, turn, self.config, thresholds_for(self.config, turn["model"]))
                 out.append(planned(turn, plan))
             elif first["role"] != END:
-                self.arrive(held, touched, int(at), part, json.loads(first["needles"] or "[]"))
-        for at, item in touched.items():
-            self.messages.updateValue((at,), (json.dumps(item),))
+                self.arrive(held, messages, groups, int(at), part)
+        messages.write()
+        groups.write()
         self.policy.update((state_text(state),))
         self.sums.update((json.dumps(held),))
         yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in STEPS.split(", ")])
@@ -138,42 +206,41 @@ class _Steps(_Lasting):
     def add(self, held: dict, values: list[int], sign: int) -> None:
         held["sums"] = [a + sign * b for a, b in zip(held["sums"], values)]
 
-    def turned(self, held: dict, touched: dict, at: int, **case: bool) -> None:
+    def turned(self, held: dict, messages: _Pages, at: int, **case: bool) -> None:
         """A message from one case to another."""
-        item = touched.get(at) or json.loads(self.messages.getValue((at,))[0])
+        item = messages.get(str(at))
         self.add(held, item["values"][item["case"]], -1)
         sup, new = case.get("sup", item["case"][0] == "1"), case.get("new", item["case"][1] == "1")
         item["case"] = f"{sup:d}{new:d}"
         self.add(held, item["values"][item["case"]], 1)
-        touched[at] = item
+        messages.put(str(at), item)
 
-    def arrive(self, held: dict, touched: dict, at: int, part: pd.DataFrame, needles: list[str]) -> None:
-        first = part.iloc[0]
-        values = {case: json.loads(v) for case, v in zip(part["case"], part["values"])}
+    def arrive(self, held: dict, messages: _Pages, groups: _Spread, at: int, part: list[dict]) -> None:
+        first = part[0]
+        values = {r["case"]: json.loads(r["values"]) for r in part}
         if first["corpus"]:
             held["corpus"] = held["corpus"] + "\n" + first["corpus"] if held["corpus"] else first["corpus"]
+        self.add(held, values["01"], 1)
         if not first["toolish"]:
-            self.add(held, values["01"], 1)
             return
-        touched[at] = {"values": values, "case": "01"}
-        self.add(held, values["01"], 1)
+        messages.put(str(at), {"values": values, "case": "01"})
         group = first["group_key"]
         if group:
-            known = json.loads(self.groups.getValue((group,))[0]) if self.groups.containsKey((group,)) else []
+            known = groups.get(group) or []
             if first["is_read"]:
                 mine = [bool(first["full"]), first["first_line"], first["last_line"]]
                 for old, *span in known:
                     if _overlap(span, mine):
-                        self.turned(held, touched, old, sup=True)
+                        self.turned(held, messages, old, sup=True)
                 known = [x for x in known if not _overlap(x[1:], mine)] + [[at, *mine]]
             else:
                 for (old,) in known:
-                    self.turned(held, touched, old, sup=True)
+                    self.turned(held, messages, old, sup=True)
                 known = [[at]]
-            self.groups.updateValue((group,), (json.dumps(known),))
+            groups.put(group, known)
         held["recent"].append(at)
         if len(held["recent"]) > self.recent:
-            self.turned(held, touched, held["recent"].pop(0), new=False)
+            self.turned(held, messages, held["recent"].pop(0), new=False)
 
     def turn(self, held: dict, session: str, at: int, facts: dict, needles: list[str]) -> dict:
         """What ``observed`` gives for a call, from the sums."""
