@@ -81,7 +81,7 @@ def short_count(n: Column) -> Column:
 
 
 def percent(x: Column, digits: int = 0) -> Column:
-    """Rounded half up."""
+    """Rounded half up; scaled by one factor, as x * 100 * 10 is rounded twice and loses ties."""
     if digits:
-        return F.concat(F.format_string(f"%.{digits}f", F.floor(x * 100 * 10**digits + 0.5) / 10**digits), F.lit("%"))
+        return F.concat(F.format_string(f"%.{digits}f", F.floor(x * 10 ** (digits + 2) + 0.5) / 10**digits), F.lit("%"))
     return F.concat(F.floor(x * 100 + 0.5).cast("long").cast("string"), F.lit("%"))
