@@ -12,16 +12,19 @@ from pyspark.sql import functions as F
 from threadloom.functions import keys
 from threadloom.functions import text as tx
 from threadloom.functions import tokens as tk
+from threadloom.functions.rows import shares
 from threadloom.operators.needles import holding
 from threadloom.schema import ENGINE_ID
 
 
-def with_calls(messages: DataFrame) -> DataFrame:
+def with_calls(messages: DataFrame, parts: int | None = None) -> DataFrame:
     """``messages`` with call_name and call_arguments of the call each result answers; of calls that share an id, the last.
 
     A message stands beside a small row for each call it makes; calls and
-    answers of one id meet in a window, on the one shuffle by session.
+    answers of one id meet in a window, on the one shuffle by session, into
+    ``parts`` partitions, by default as many as the messages' ``shares``.
     """
+    parts = parts or shares(messages)
     own = F.when((F.col("role") == "toolResult") & (F.coalesce("tool_call_id", F.lit("")) != ""), F.col("tool_call_id"))
     made = F.filter(F.when(F.col("role") == "assistant", F.col("blocks")), lambda b: (b["type"] == "toolCall") & (F.coalesce(b["id"], F.lit("")) != ""))
     call = lambda b, i: F.struct(b["id"].alias("id"), F.coalesce(b["name"], F.lit("")).alias("name"), F.coalesce(b["arguments_json"], F.lit("{}")).alias("arguments"), i.alias("pos"))
@@ -30,7 +33,7 @@ def with_calls(messages: DataFrame) -> DataFrame:
     is_call = F.col("c.pos").isNotNull()
     rows = rows.withColumns({c: F.when(~is_call, F.col(c)) for c in messages.columns if c not in ("session_id", "message_index")})
     last = F.max_by(F.when(is_call, F.struct("c.name", "c.arguments")), F.when(is_call, F.struct("message_index", "c.pos"))).over(Window.partitionBy("session_id", "c.id"))
-    rows = rows.repartition("session_id").withColumn("call", F.when(F.col("c.id").isNotNull(), last)).where(~is_call)
+    rows = rows.repartition(parts, "session_id").withColumn("call", F.when(F.col("c.id").isNotNull(), last)).where(~is_call)
     return rows.select(*messages.columns, F.col("call.name").alias("call_name"), F.col("call.arguments").alias("call_arguments"))
 
 
@@ -195,17 +198,18 @@ def classify(messages: DataFrame, pins: DataFrame | None = None, oversized: int
 
     ``estimator`` replaces the built-in token count where it is not null.
     """
-    rows = judged(with_facts(recency(superseded(with_calls(messages)), recent), estimator), oversized)
+    parts = shares(messages)
+    rows = judged(with_facts(recency(superseded(with_calls(messages, parts)), recent), estimator), oversized)
     rows = rows.drop("file", "outcome", "is_latest_user", "superseded_at", "call_name", "call_arguments", "err", *(f"a_{n}" for n in keys.TEXTS + keys.NUMBERS))
-    return pinned(rows, pins, messages.select("session_id", "message_index", F.lower(tk.message_text()).alias("text")))
+    return pinned(rows, pins, messages.select("session_id", "message_index", F.lower(tk.message_text()).alias("text")), parts)
 
 
-def pinned(items: DataFrame, pins: DataFrame | None, texts: DataFrame | None = None) -> DataFrame:
+def pinned(items: DataFrame, pins: DataFrame | None, texts: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """Items that an active pin protects become critical.
 
     Pinned files are gathered per session and joined on it; pinned texts are
     looked for all at once in ``texts`` (session_id, message_index, text in
-    lower case), by default those of the items.
+    lower case), by default those of the items, in ``parts`` partitions.
     """
     if pins is None:
         return items.withColumn("pinned", F.lit(False))
@@ -214,7 +218,7 @@ def pinned(items: DataFrame, pins: DataFrame | None, texts: DataFrame | None = N
     needles = active.where(F.col("type").isin("constraint", "requirement", "note", "command")).select("session_id", F.lower(F.substring(tx.trim(F.col("content")), 1, 120)).alias("needle"))
     if texts is None:
         texts = items.select("session_id", "message_index", F.lower("item_text").alias("text"))
-    held = holding(texts, needles).withColumn("held", F.lit(True))
+    held = holding(texts, needles, parts).withColumn("held", F.lit(True))
     rows = items.join(files, "session_id", "left").join(held, ["session_id", "message_index"], "left")
     hit = ~F.col("engine_stub") & (F.coalesce(F.arrays_overlap("related_files", "pin_files"), F.lit(False)) | F.coalesce("held", F.lit(False)))
     rows = rows.withColumn("pinned", hit).withColumn("class", F.when(hit, "critical").otherwise(F.col("class")))

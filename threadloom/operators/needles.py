@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.functions.rows import dealt
+
 
 class _Session:
     """Needles of one session, and where they have been seen."""
@@ -59,18 +61,18 @@ def _scan(joined: bool):
     return rows
 
 
-def _found(texts: DataFrame, needles: DataFrame, joined: bool) -> DataFrame:
+def _found(texts: DataFrame, needles: DataFrame, joined: bool, parts: int | None) -> DataFrame:
     rows = texts.select("session_id", F.col("message_index").cast("int").alias("message_index"), "text")
     asked = needles.select("session_id", F.lit(None).cast("int").alias("message_index"), F.col("needle").alias("text")).where("text <> ''").distinct()
-    placed = asked.unionByName(rows).repartition("session_id").sortWithinPartitions("session_id", F.col("message_index").asc_nulls_first())
+    placed = dealt(asked.unionByName(rows), parts).sortWithinPartitions("session_id", F.col("message_index").asc_nulls_first())
     return placed.mapInArrow(_scan(joined), "session_id string, message_index int, needle string")
 
 
-def holding(texts: DataFrame, needles: DataFrame) -> DataFrame:
+def holding(texts: DataFrame, needles: DataFrame, parts: int | None = None) -> DataFrame:
     """(session_id, message_index) of the ``texts`` (session_id, message_index, text) that contain some of their session's ``needles`` (session_id, needle). Case counts; empty needles are in none."""
-    return _found(texts, needles, False).select("session_id", "message_index")
+    return _found(texts, needles, False, parts).select("session_id", "message_index")
 
 
-def first_seen(texts: DataFrame, needles: DataFrame) -> DataFrame:
+def first_seen(texts: DataFrame, needles: DataFrame, parts: int | None = None) -> DataFrame:
     """(session_id, needle, message_index): the first text, in order and joined by line ends, up to which each of a session's needles has been seen."""
-    return _found(texts, needles, True)
+    return _found(texts, needles, True, parts)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import tokens as tk
+from threadloom.functions.rows import shares
 from threadloom.operators import analysis, items, pins as pin, prune
 from threadloom.operators.analysis import SUMS
 from threadloom.operators.needles import first_seen
@@ -48,11 +49,12 @@ def sum_names(config: dict) -> list[str]:
     return [*SUMS, *(f"{x}_{k}" for k in range(len(bands(config))) for x in ("saved", "acts"))]
 
 
-def pieces(messages: DataFrame, pins: DataFrame | None = None, config: dict | None = None) -> DataFrame:
+def pieces(messages: DataFrame, pins: DataFrame | None = None, config: dict | None = None, parts: int | None = None) -> DataFrame:
     """Classified messages, a row for each stretch of calls that see one as it is: those after message ``since`` up to message ``until`` (null: all later)."""
     config = config or DEFAULTS
     toolish = F.col("role").isin("toolResult", "bashExecution")
-    rows = items.with_facts(items.superseded(items.with_calls(messages)))
+    parts = parts or shares(messages)
+    rows = items.with_facts(items.superseded(items.with_calls(messages, parts)))
     later = Window.partitionBy("session_id", F.when(toolish, 1).otherwise(0)).orderBy("message_index")
     rows = rows.withColumn("old_at", F.when(toolish, F.lead("message_index", config["limits"]["recentWindow"]).over(later)))
     starts = F.array_sort(F.array_distinct(F.filter(F.array("message_index", F.when(toolish, F.col("superseded_at")), "old_at"), lambda x: x.isNotNull())))
@@ -64,7 +66,7 @@ def pieces(messages: DataFrame, pins: DataFrame | None = None, config: dict | No
         "is_latest_user": F.lit(False),
     })
     texts = messages.select("session_id", "message_index", F.lower(tk.message_text()).alias("text"))
-    return items.pinned(items.judged(rows, config["limits"]["oversizedTokens"]), pins, texts)
+    return items.pinned(items.judged(rows, config["limits"]["oversizedTokens"]), pins, texts, parts)
 
 
 def _chosen(pressure: Column, config: dict, name: str) -> Column:
@@ -76,11 +78,12 @@ def _chosen(pressure: Column, config: dict, name: str) -> Column:
     return out.otherwise(F.col(f"{name}_{len(levels)}"))
 
 
-def observed(messages: DataFrame, calls: DataFrame, pins: DataFrame | None = None, config: dict | None = None) -> DataFrame:
+def observed(messages: DataFrame, calls: DataFrame, pins: DataFrame | None = None, config: dict | None = None, parts: int | None = None) -> DataFrame:
     """CALLS with OBSERVED: the state of the context at each call, and what pruning it would do."""
     config = config or DEFAULTS
+    parts = parts or shares(messages)
     names = sum_names(config)
-    each = counted(pieces(messages, pins, config), config).select("session_id", "since", "until", *names)
+    each = counted(pieces(messages, pins, config, parts), config).select("session_id", "since", "until", *names)
     change = F.array(F.struct(F.col("since").alias("at"), F.lit(1).alias("sign")), F.struct(F.col("until").alias("at"), F.lit(-1).alias("sign")))
     changes = each.select("session_id", *names, F.inline(change)).where("at is not null").select("session_id", "at", *((F.col(c) * F.col("sign")).cast("long").alias(c) for c in names))
     asked = calls.select("session_id", F.col("message_index").alias("at"), F.struct(*(f.split(" ")[0] for f in CALLS.split(", "))).alias("call"))
@@ -90,11 +93,11 @@ def observed(messages: DataFrame, calls: DataFrame, pins: DataFrame | None = Non
     else:
         active = pins.where("active").withColumn("needle", pin.needle()).select("session_id", "needle", "type")
         lost = active.where("needle <> '' or type <> 'file'").select("session_id", F.lit(-1).alias("at"), F.lit(1).cast("long").alias("pins"))
-        seen = first_seen(pin.corpus_texts(messages), active)
+        seen = first_seen(pin.corpus_texts(messages), active, parts)
         found = active.join(seen, ["session_id", "needle"]).select("session_id", F.col("message_index").alias("at"), F.lit(-1).cast("long").alias("pins"))
         rows = rows.unionByName(lost, allowMissingColumns=True).unionByName(found, allowMissingColumns=True)
     before = Window.partitionBy("session_id").orderBy("at", F.col("call").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in [*names, "pins"]}).where("call is not null")
+    rows = rows.repartition(parts, "session_id").withColumns({c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in [*names, "pins"]}).where("call is not null")
     rows = rows.select("call.*", *names, F.col("pins").alias("pins_missing"))
     rows = analysis.calibration(rows.withColumns({"reported": F.col("tokens"), "estimated": F.col("raw_tokens")}), 20).drop("reported", "estimated")
     rows = analysis.metered(rows)
@@ -118,7 +121,8 @@ def context_steps(messages: DataFrame, calls: DataFrame, pins: DataFrame | None
     calls has no rows.
     """
     config = config or DEFAULTS
-    rows = observed(messages, calls, pins, config).withColumn("state", F.lit(None).cast("string"))
+    parts = shares(messages)
+    rows = observed(messages, calls, pins, config, parts).withColumn("state", F.lit(None).cast("string"))
     if states is not None:
         rows = rows.unionByName(states.select("session_id", "state"), allowMissingColumns=True)
     columns = [f.split(" ")[0] for f in STEPS.split(", ")]
@@ -141,7 +145,7 @@ def context_steps(messages: DataFrame, calls: DataFrame, pins: DataFrame | None
             if out:
                 yield pd.DataFrame(out, columns=columns)
 
-    placed = rows.repartition("session_id").sortWithinPartitions("session_id", F.col("turn").asc_nulls_first())
+    placed = rows.repartition(parts, "session_id").sortWithinPartitions("session_id", F.col("turn").asc_nulls_first())
     return placed.mapInPandas(fold, STEPS)
 
 
