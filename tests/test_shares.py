@@ -6,6 +6,7 @@ from tests.scenes import call, frame, result, user
 from threadloom.functions import rows
 from threadloom.operators import items, steps
 from threadloom.plans.config import DEFAULTS
+from threadloom.sources import traces
 
 
 def _sessions(n, lines):
@@ -34,3 +35,13 @@ def test_larger_tables_make_more_tasks_and_the_same_rows(spark, monkeypatch):
     for df, want in zip(found(), plain):
         assert f", {parts}), REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(str, df.collect())) == want
+
+
+def test_events_are_dealt_by_their_number(spark, monkeypatch):
+    events = spark.range(400).selectExpr("id event_id", "timestamp'2024-01-01' ts", "id % 40 user_id", "'view' event_type", "1.0D value", "'{\"k\": 1}' props")
+    few = traces.tool_messages(events)
+    want = sorted(map(str, few.collect()))
+    monkeypatch.setattr(traces, "SHARE_EVENTS", 30)
+    many = traces.tool_messages(events)
+    assert ", 14), REPARTITION_BY_NUM" in many._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, many.collect())) == want

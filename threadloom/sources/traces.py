@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from threadloom.schema import BLOCKS, as_messages
 
+#: Events that go to one task.
+SHARE_EVENTS = 50_000
+
 
 def chat_messages(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) as messages: one session per conversation, in order of turn."""
@@ -23,7 +26,9 @@ def chat_messages(conversations: DataFrame) -> DataFrame:
 
 
 def tool_events(events: DataFrame) -> DataFrame:
-    """(event_id, ts, user_id, event_type, value, props) with the tool call and result that each stands for."""
+    """(event_id, ts, user_id, event_type, value, props) with the tool call and result that each stands for, dealt by user into as many tasks as there are SHARE_EVENTS."""
+    parts = max(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-events.count() // SHARE_EVENTS))
+    events = events.repartition(parts, "user_id")
     k = F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.lit(0))
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     path = F.concat(F.lit("src/f"), (k % 7).cast("string"), F.lit(".py"))
