@@ -173,6 +173,80 @@ def test_a_batch_asks_the_store_by_pages():
     assert pages.state.asked == 20
 
 
+class Handle:
+    """A session's states, and how often they were asked."""
+
+    def __init__(self):
+        self.states, self.values = {}, 0
+
+    def getMapState(self, name, *schema):
+        return self.states.setdefault(name, Store())
+
+    def getValueState(self, name, *schema):
+        return Value(self, name)
+
+    def asked(self):
+        return self.values + sum(s.asked for s in self.states.values() if isinstance(s, Store))
+
+
+class Value:
+    def __init__(self, handle, name):
+        self.handle, self.name = handle, name
+
+    def get(self):
+        self.handle.values += 1
+        return self.handle.states.get(self.name)
+
+    def update(self, value):
+        self.handle.values += 1
+        self.handle.states[self.name] = value
+
+
+def taken(processor, handle, rows):
+    """What a micro-batch of one session gives, packed."""
+    processor.init(handle)
+    return list(processor.handleInputRows(("s",), iter(rows), None))
+
+
+def test_a_batch_of_a_session_asks_its_state_twice_and_gives_one_row():
+    handle, n, place = Handle(), 50, lambda i: i * streamed.PARTS + streamed.COMES
+    rows = [("s", place(2 * i), json.dumps([[f"c{i}", "read", "{}"]]), "{}") for i in range(n)] + [("s", place(2 * i + 1), json.dumps(f"c{i}"), "{}") for i in range(n)]
+    (out,) = taken(streamed._Calls(None), handle, rows)
+    found = json.loads(out.rows)
+    assert [r["place"] for r in found] == [place(i) for i in range(2 * n)] and [r.get("call_name") for r in found] == [None, "read"] * n
+    assert handle.asked() == 2
+
+
+@pytest.mark.parametrize("keys", [5, 300])
+def test_sums_follow_every_case_with_few_values_kept(keys):
+    """Against all messages' values by case; what is kept does not grow with the messages."""
+    dice, handle, names = random.Random(keys), Handle(), steps.sum_names(CONFIG)
+    all_values, sup, spans, order, recent = {}, {}, {}, [], CONFIG["limits"]["recentWindow"]
+    for batch in range(20):
+        rows, before = [], handle.asked()
+        for at in range(batch * 30, batch * 30 + 30):
+            values = [[dice.randint(0, 9) for _ in names] for _ in range(4)]
+            if dice.random() < 0.3:
+                values[3] = values[2]
+            group = dice.choice([None, *(f"g{k}" for k in range(keys))])
+            read, full, low = group is not None and int(group[1:]) % 2 == 0, dice.random() < 0.2, float(dice.randint(0, 50))
+            span = (full, low, dice.choice([low + 10, float("inf")]))
+            for old in order:
+                if group and spans[old][0] == group and not sup[old] and (not read or streamed._overlap(spans[old][1], span)):
+                    sup[old] = True
+            all_values[at], sup[at], spans[at] = values, False, (group, span)
+            order.append(at)
+            comes = {"values": values[0], "toolish": True, "is_read": read} | ({"group_key": group} if group else {}) | ({"full": full, "first": str(span[1]), "last": "Infinity" if span[2] == float("inf") else str(span[2])} if read else {})
+            rows += [("s", at * streamed.PARTS + streamed.COMES + k, json.dumps(values[k] if k else comes)) for k in (3, 1, 2, 0)]
+        assert taken(streamed._Steps(CONFIG, None), handle, rows) == []
+        new = set(order[-recent:])
+        want = [sum(x) for x in zip(*(all_values[at][sup[at] + 2 * (at not in new)] for at in order))]
+        held = json.loads(handle.states["policy"][1])
+        assert held["sums"] == want and len(held["recent"]) == recent
+        if keys == 5:
+            assert handle.asked() - before == 2 and len(held["first"]) <= keys
+
+
 def test_idle_sessions_are_released(spark, made, tmp_path):
     messages, calls, given = made
     source, checkpoint = f"{tmp_path}/in", f"{tmp_path}/cp"

@@ -102,9 +102,12 @@ def savings(items: DataFrame, limits: list[tuple[int, int]], at: str) -> DataFra
     run, n = F.col("source") == "bash", F.size("lines")
     rows = once(rows, "folded", F.when(F.col("kind") == "fold", F.when(run, fold_output(F.col("command_text"), F.col("item_text"), F.col("lines"), 0)).otherwise(folded_text(F.col("item_text"), F.col("lines")))))
     whole = F.when(run, n <= HEAD + TAIL + 4).otherwise(n <= TEXT_HEAD + TEXT_TAIL + 3)
-    stub = stub_text(F.col("source"), F.col("estimated_tokens"), F.col("reason"))
-    beside = F.when(F.col("role") == "bashExecution", tk.text_tokens(F.col("command")) + tk.BASH_TOKENS).otherwise(F.least(F.lit(tk.DETAILS_TOKENS).cast("long"), tk.text_tokens(details(at))) + tk.RESULT_TOKENS)
-    rows = once(rows, "made", F.when(F.col("kind") == "stub", F.struct(tk.text_tokens(stub).alias("stub"), beside.alias("beside"))).when(F.col("kind") == "fold", F.struct(F.lit(None).cast("long").alias("stub"), beside.alias("beside"))))
+    # a dash weighs what any character does that is not wide: without it, texts are ASCII and no pattern looks through them
+    level = lambda text: F.replace(text, F.lit("—"), F.lit("-"))
+    rows = once(rows, "stub", F.when(F.col("kind") == "stub", level(stub_text(F.col("source"), F.col("estimated_tokens"), F.col("reason")))))
+    rows = once(rows, "details", F.when((F.col("kind") != "keep") & (F.col("role") != "bashExecution"), level(details(at))))
+    beside = F.when(F.col("role") == "bashExecution", tk.text_tokens(F.col("command")) + tk.BASH_TOKENS).otherwise(F.least(F.lit(tk.DETAILS_TOKENS).cast("long"), tk.text_tokens(F.col("details"))) + tk.RESULT_TOKENS)
+    rows = once(rows, "made", F.when(F.col("kind") == "stub", F.struct(tk.text_tokens(F.col("stub")).alias("stub"), beside.alias("beside"))).when(F.col("kind") == "fold", F.struct(F.lit(None).cast("long").alias("stub"), beside.alias("beside"))))
     cut = lambda limit: F.when(whole, F.col("folded")).when(run, _cut(F.col("folded"), F.lit(limit))).otherwise(F.substring(F.col("folded"), 1, 2 * limit))
     sizes = {c: f"fold_{c}" for _, c in limits}
     for c, name in sizes.items():
@@ -113,7 +116,7 @@ def savings(items: DataFrame, limits: list[tuple[int, int]], at: str) -> DataFra
         tokens = F.coalesce("made.stub", sizes[c])
         worth = F.coalesce((F.col("kind") != "keep") & (F.col("estimated_tokens") >= stub_min) & (tokens + REPLACEMENT_COST < F.col("estimated_tokens")), F.lit(False))
         rows = rows.withColumns({f"saved_{k}": F.when(worth, F.col("estimated_tokens") - tokens - F.col("made.beside")).otherwise(0), f"acts_{k}": worth.cast("long")})
-    return rows.drop("kind", "lines", "folded", "made", *sizes.values())
+    return rows.drop("kind", "lines", "folded", "stub", "details", "made", *sizes.values())
 
 
 def replaced(acted: DataFrame, at: str) -> DataFrame:

@@ -2,10 +2,16 @@
 
 Two stateful operators stand one behind the other. The first remembers a
 session's calls and gives results the call they answer. The second holds the
-sums of ``steps.counted``: a message's values for each case (superseded or not,
-recent or not) are computed before it as columns, and the state only turns a
-message from one case to another when a later one supersedes it or pushes it out of
-the recent ones. A model call is a row of role CALL, a session's end one of role END.
+sums of ``steps.counted``: a message's values
+for each case (superseded or not, recent or not) are computed before it as columns,
+and the state only turns a message from one case to another when a later one
+supersedes it or pushes it out of the recent ones. It keeps values of those messages
+alone that may still turn. A model call is a row of role CALL, a session's end one of role END.
+
+What crosses between Spark and Python costs by the cell, and what comes back by
+the column of each session: rows go in as a place and a JSON text, and what a
+session gives in a micro-batch comes out as JSON arrays. Each state access is a message to
+the state store, so a session and micro-batch make few.
 """
 
 from __future__ import annotations
@@ -15,13 +21,15 @@ import math
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import groupby
+from operator import itemgetter
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from threadloom.functions import keys
+from threadloom.functions import tokens as tk
 from threadloom.operators import items, pins as pin
 from threadloom.operators.analysis import CLASSES, SYSTEM_RESERVE
 from threadloom.operators.steps import CALLS, OBSERVED, STEPS, bands, counted, planned, sum_names
@@ -32,6 +40,12 @@ from threadloom.schema import MESSAGES, as_messages
 CALL, END = "modelCall", "sessionEnd"
 #: Entries of a page of state, about.
 PAGE = 64
+#: What a row is at its message index: a model call, a message as it comes (not superseded, recent), its other cases, a session's end. A row's place is its index times PARTS and this.
+CALLED, COMES, SUPERSEDED, OLD, BOTH, ENDS, PARTS = 0, 1, 2, 3, 4, 5, 8
+#: Characters of rows that go out as one, about.
+CHUNK = 1 << 20
+#: What of a message goes through the first operator, beside its tokens.
+CARRIED = ("role", "tool_name", "is_error", "details_json", "command", "output", "exit_code", "cancelled", "custom_type", "content_text", "known_tokens")
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -52,11 +66,18 @@ class _Lasting(StatefulProcessor):
         self.timer = handle.getValueState("timer", "at long") if self.idle_ms else None
         self.begin(handle)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(rows)).sort_values(["message_index", "part"], kind="stable")
-        ended = (whole["role"] == END).any()
-        yield from self.take(key, whole)
-        if ended:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        whole = sorted(map(tuple, rows), key=itemgetter(1))
+        out, size = [], 0
+        for text in self.take(key[0], whole):
+            out.append(text)
+            size += len(text)
+            if size >= CHUNK:
+                yield Row(session_id=key[0], rows=f"[{','.join(out)}]")
+                out, size = [], 0
+        if out:
+            yield Row(session_id=key[0], rows=f"[{','.join(out)}]")
+        if any(row[1] % PARTS == ENDS for row in whole):
             self.end()
         elif self.idle_ms:
             if self.timer.exists():
@@ -65,7 +86,7 @@ class _Lasting(StatefulProcessor):
             self.handle.registerTimer(at)
             self.timer.update((at,))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.end()
         return iter(())
 
@@ -88,8 +109,11 @@ def page_of(key: str, pages: int) -> int:
 class _Pages:
     """A session's map state (page int -> entries as JSON) for one batch: a page is read when an entry of it is asked for and written once at the end, as each access is a message between Python and the state store."""
 
-    def __init__(self, state, page: Callable[[str], int]):
+    def __init__(self, state, page: Callable[[str], int], first: dict | None = None):
         self.state, self.page, self.held, self.changed = state, page, {}, set()
+        self.own = () if first is None else (0,)  # pages that the caller keeps
+        if first is not None:
+            self.held[0] = first
 
     def at(self, page: int) -> dict:
         if page not in self.held:
@@ -110,15 +134,15 @@ class _Pages:
         return new
 
     def write(self) -> None:
-        for page in sorted(self.changed):
+        for page in sorted(self.changed.difference(self.own)):
             self.state.updateValue((page,), (json.dumps(self.held[page]),))
 
 
 class _Spread(_Pages):
-    """Pages by a hash of the key, one more for each PAGE keys; ``extent`` is [pages, keys]."""
+    """Pages by a hash of the key, one more for each PAGE keys; ``extent`` is [pages, keys]. ``first``, if given, is the first page, which its caller keeps beside the extent: most sessions have no other."""
 
-    def __init__(self, state, extent: list[int]):
-        super().__init__(state, lambda key: page_of(key, extent[0]))
+    def __init__(self, state, extent: list[int], first: dict | None = None):
+        super().__init__(state, lambda key: page_of(key, extent[0]), first)
         self.extent = extent
 
     def put(self, key: str, value) -> bool:
@@ -135,112 +159,132 @@ class _Spread(_Pages):
         return new
 
 
+#: What both operators give: rows as JSON arrays.
+PACKED = "session_id string, rows string"
+
+
+def _unpacked(packed: DataFrame, fields: str) -> DataFrame:
+    """The rows of PACKED, of which ``fields`` is the type."""
+    options = {"mode": "FAILFAST", "maxStringLen": str(2**31 - 1)}
+    return packed.select("session_id", F.inline(F.from_json("rows", f"array<struct<{fields}>>", options)))
+
+
+def _place(part: Column | int) -> Column:
+    return F.col("message_index").cast("long") * PARTS + part
+
+
 class _Calls(_Lasting):
     """Gives a result the call that came before it under its id; of calls that share one, the last."""
 
     def begin(self, handle) -> None:
-        self.extent = handle.getValueState("extent", "pages int, keys int")
+        self.extent = handle.getValueState("extent", "pages int, keys int, entries string")
         self.calls = handle.getMapState("calls", "page int", "entries string")
 
     def clear(self) -> None:
         self.extent.clear()
         self.calls.clear()
 
-    def take(self, key, rows) -> Iterator[pd.DataFrame]:
-        calls = _Spread(self.calls, list(self.extent.get() or (1, 0)))
-        names, arguments = [], []
-        for made, answers in zip(rows["made"], rows["answers"]):
-            for call_id, name, text in json.loads(made or "[]"):
+    def take(self, session, rows) -> Iterator[str]:
+        pages, known, first = self.extent.get() or (1, 0, "{}")
+        calls = _Spread(self.calls, [pages, known], json.loads(first))
+        for _, place, link, message in rows:
+            link = json.loads(link) if link else None
+            call = calls.get(link) if isinstance(link, str) else None
+            for call_id, name, text in link if isinstance(link, list) else ():
                 calls.put(call_id, (name, text))
-            found = calls.get(answers) if answers else None
-            names.append(found and found[0]), arguments.append(found and found[1])
-        calls.write()
-        self.extent.update(tuple(calls.extent))
-        yield pd.DataFrame({"session_id": key[0], "message_index": rows["message_index"], "role": rows["role"], "call_name": names, "call_arguments": arguments, "row": rows["row"]})
+            answers = f',"call_name":{json.dumps(call[0])},"call_arguments":{json.dumps(call[1])}' if call else ""
+            yield f'{{"place":{place}{answers},"message":{message}}}'
+        if calls.changed:
+            calls.write()
+            self.extent.update((*calls.extent, json.dumps(calls.held[0])))
 
 
 def _overlap(a, b) -> bool:
     return a[0] or b[0] or max(a[1], b[1]) <= min(a[2], b[2])
 
 
+def _change(a: list[int], b: list[int]) -> list[int] | None:
+    """From values ``a`` to ``b``; None if they are equal."""
+    return None if a == b else [y - x for x, y in zip(a, b)]
+
+
 class _Steps(_Lasting):
-    """Sums, policy and pins of a session; ``messages`` keeps each result's values by case, ``groups`` what a later message of a key supersedes, both in pages."""
+    """Sums, policy and pins of a session. ``recent`` holds the recent results' changes of their values, ``groups``, in pages, what a later message of a key supersedes and its change when it is no longer recent."""
 
     def __init__(self, config: dict, idle_ms: int | None):
         super().__init__(idle_ms)
         self.config, self.names = config, sum_names(config)
         self.recent, self.levels = config["limits"]["recentWindow"], sorted((b["pressureGte"] for b in config["prune"]["bands"]), reverse=True)
         self.bands = len(bands(config))
+        self.limits = {}
 
     def begin(self, handle) -> None:
-        self.policy = handle.getValueState("policy", "state string")
-        self.sums = handle.getValueState("sums", "state string")
-        self.messages = handle.getMapState("messages", "page int", "entries string")
+        self.policy = handle.getValueState("policy", "state string, sums string")
         self.groups = handle.getMapState("groups", "page int", "entries string")
 
     def clear(self) -> None:
-        for x in (self.policy, self.sums, self.messages, self.groups):
-            x.clear()
-
-    def take(self, key, rows) -> Iterator[pd.DataFrame]:
-        policy, sums = self.policy.get(), self.sums.get()
-        state = stored_state(policy[0] if policy else None)
-        held = json.loads(sums[0]) if sums else {"sums": [0] * len(self.names), "recent": [], "ratios": [], "corpus": "", "found": [], "groups": [1, 0]}
-        messages, groups = _Pages(self.messages, lambda at: int(at) // PAGE), _Spread(self.groups, held["groups"])
-        out = []
-        for (at, called), part in groupby(rows.to_dict("records"), lambda r: (r["message_index"], r["role"] == CALL)):  # a call may share its place with the message that follows it
-            part = list(part)
-            first = part[0]
-            if called:
-                turn = self.turn(held, key[0], int(at), json.loads(first["facts"]), json.loads(first["needles"] or "[]"))
-                state, plan = step(state, turn, self.config, thresholds_for(self.config, turn["model"]))
-                out.append(planned(turn, plan))
-            elif first["role"] != END:
-                self.arrive(held, messages, groups, int(at), part)
-        messages.write()
+        self.policy.clear()
+        self.groups.clear()
+
+    def take(self, session, rows) -> Iterator[str]:
+        text, sums = self.policy.get() or (None, None)
+        state = stored_state(text)
+        held = json.loads(sums) if sums else {"sums": [0] * len(self.names), "recent": [], "ratios": [], "corpus": "", "groups": [1, 0], "first": {}}
+        groups = _Spread(self.groups, held["groups"], held["first"])
+        for at, part in groupby(rows, lambda r: r[1] // PARTS):
+            cases = {place % PARTS: data for _, place, data in part}
+            if CALLED in cases:  # a call may share its index with the message that follows it
+                asked = json.loads(cases[CALLED])
+                turn = self.turn(held, session, at, json.loads(asked["facts"]), json.loads(asked.get("needles") or "[]"))
+                if turn["model"] not in self.limits:
+                    self.limits[turn["model"]] = thresholds_for(self.config, turn["model"])
+                state, plan = step(state, turn, self.config, self.limits[turn["model"]])
+                row = planned(turn, plan)
+                del row["session_id"]
+                yield json.dumps(row)
+            if COMES in cases:
+                self.arrive(held, groups, at, cases)
         groups.write()
-        self.policy.update((state_text(state),))
-        self.sums.update((json.dumps(held),))
-        yield pd.DataFrame(out, columns=[f.split(" ")[0] for f in STEPS.split(", ")])
-
-    def add(self, held: dict, values: list[int], sign: int) -> None:
-        held["sums"] = [a + sign * b for a, b in zip(held["sums"], values)]
-
-    def turned(self, held: dict, messages: _Pages, at: int, **case: bool) -> None:
-        """A message from one case to another."""
-        item = messages.get(str(at))
-        self.add(held, item["values"][item["case"]], -1)
-        sup, new = case.get("sup", item["case"][0] == "1"), case.get("new", item["case"][1] == "1")
-        item["case"] = f"{sup:d}{new:d}"
-        self.add(held, item["values"][item["case"]], 1)
-        messages.put(str(at), item)
-
-    def arrive(self, held: dict, messages: _Pages, groups: _Spread, at: int, part: list[dict]) -> None:
-        first = part[0]
-        values = {r["case"]: json.loads(r["values"]) for r in part}
-        if first["corpus"]:
-            held["corpus"] = held["corpus"] + "\n" + first["corpus"] if held["corpus"] else first["corpus"]
-        self.add(held, values["01"], 1)
-        if not first["toolish"]:
+        held["first"] = groups.held[0]
+        self.policy.update((state_text(state), json.dumps(held)))
+
+    def add(self, held: dict, change: list[int] | None) -> None:
+        if change:
+            held["sums"] = [a + b for a, b in zip(held["sums"], change)]
+
+    def supersede(self, held: dict, at: int, when_old: list[int] | None) -> None:
+        """A message of a group is superseded; ``when_old`` is the change if it is not recent."""
+        for item in held["recent"]:
+            if item["at"] == at:
+                self.add(held, item["superseded"])
+                item["old"] = item["superseded_old"]
+                return
+        self.add(held, when_old)
+
+    def arrive(self, held: dict[str, Any], groups: _Spread, at: int, cases: dict[int, str]) -> None:
+        first = json.loads(cases[COMES])
+        corpus, comes = first.get("corpus"), first["values"]
+        if corpus:
+            held["corpus"] = held["corpus"] + "\n" + corpus if held["corpus"] else corpus
+        self.add(held, comes)
+        if not first.get("toolish"):
             return
-        messages.put(str(at), {"values": values, "case": "01"})
-        group = first["group_key"]
+        superseded, old, both = (json.loads(cases[c]) for c in (SUPERSEDED, OLD, BOTH))
+        group, when_old = first.get("group_key"), _change(old, both)
         if group:
             known = groups.get(group) or []
             if first["is_read"]:
-                mine = [bool(first["full"]), first["first_line"], first["last_line"]]
-                for old, *span in known:
-                    if _overlap(span, mine):
-                        self.turned(held, messages, old, sup=True)
-                known = [x for x in known if not _overlap(x[1:], mine)] + [[at, *mine]]
+                mine = [first["full"], float(first["first"]), float(first["last"])]
+                gone = [x for x in known if _overlap(x[2:], mine)]
+                known = [x for x in known if not _overlap(x[2:], mine)] + [[at, when_old, *mine]]
             else:
-                for (old,) in known:
-                    self.turned(held, messages, old, sup=True)
-                known = [[at]]
+                gone, known = known, [[at, when_old]]
+            for x in gone:
+                self.supersede(held, x[0], x[1])
             groups.put(group, known)
-        held["recent"].append(at)
+        held["recent"].append({"at": at, "old": _change(comes, old), "superseded": _change(comes, superseded), "superseded_old": _change(superseded, both)})
         if len(held["recent"]) > self.recent:
-            self.turned(held, messages, held["recent"].pop(0), new=False)
+            self.add(held, held["recent"].pop(0)["old"])
 
     def turn(self, held: dict, session: str, at: int, facts: dict, needles: list[str]) -> dict:
         """What ``observed`` gives for a call, from the sums."""
@@ -277,56 +321,64 @@ def step_stream(messages: DataFrame, pins: DataFrame | None = None, config: dict
     config = config or DEFAULTS
     prepare(messages.sparkSession)
     mode = "processingTime" if idle_ms else "none"
-    made = F.to_json(F.transform(F.filter(F.when(F.col("role") == "assistant", F.col("blocks")), lambda b: (b["type"] == "toolCall") & (F.coalesce(b["id"], F.lit("")) != "")), lambda b: F.array(b["id"], F.coalesce(b["name"], F.lit("")), F.coalesce(b["arguments_json"], F.lit("{}")))))
-    answers = F.when(F.col("role") == "toolResult", F.col("tool_call_id"))
-    slim = messages.select("session_id", "message_index", "role", F.lit(0).alias("part"), made.alias("made"), answers.alias("answers"), F.to_json(F.struct(*(f.split(" ")[0] for f in MESSAGES.split(", ")))).alias("row"))
-    called = slim.groupBy("session_id").transformWithStateInPandas(_Calls(idle_ms), "session_id string, message_index int, role string, call_name string, call_arguments string, row string", "append", mode)
-    fields = ", ".join(f"{f.split(' ', 1)[0]} {f.split(' ', 1)[1]}" for f in MESSAGES.split(", "))
-    rows = called.select(F.from_json("row", fields).alias("r"), "call_name", "call_arguments").select("r.*", "call_name", "call_arguments")
-    placed = _cases(rows, pins, config)
-    return placed.groupBy("session_id").transformWithStateInPandas(_Steps(config, idle_ms), STEPS, "append", mode)
+    role = F.col("role")
+    made = F.to_json(F.transform(F.filter(F.when(role == "assistant", F.col("blocks")), lambda b: (b["type"] == "toolCall") & (F.coalesce(b["id"], F.lit("")) != "")), lambda b: F.array(b["id"], F.coalesce(b["name"], F.lit("")), F.coalesce(b["arguments_json"], F.lit("{}")))))
+    answers = F.when((role == "toolResult") & (F.col("tool_call_id") != ""), F.to_json(F.array("tool_call_id")))
+    link = F.coalesce(F.nullif(made, F.lit("[]")), F.substring(answers, F.lit(2), F.length(answers) - 2))  # a list of calls, or the id that is answered
+    known = messages.withColumns({"known_tokens": tk.message_tokens(), "content_text": tk.message_text()})
+    part = F.when(role == CALL, CALLED).when(role == END, ENDS).otherwise(COMES)
+    slim = known.select("session_id", _place(part).alias("place"), link.alias("link"), F.to_json(F.struct(*CARRIED)).alias("message"))
+    called = slim.groupBy("session_id").transformWithState(_Calls(idle_ms), PACKED, "append", mode)
+    types = dict(f.split(" ", 1) for f in MESSAGES.split(", ")) | {"known_tokens": "long"}
+    rows = _unpacked(called, f"place:bigint,call_name:string,call_arguments:string,message:struct<{','.join(f'{c}:{types[c]}' for c in CARRIED)}>")
+    rows = rows.select("session_id", F.floor(F.col("place") / PARTS).cast("int").alias("message_index"), "call_name", "call_arguments", "message.*")
+    rows = rows.withColumns({c: F.lit(None).cast(types[c]) for c in types if c not in rows.columns})
+    stepped = _cases(rows, pins, config).groupBy("session_id").transformWithState(_Steps(config, idle_ms), PACKED, "append", mode)
+    fields = [f.split(" ") for f in STEPS.split(", ")]
+    return _unpacked(stepped, ",".join(f"{c}:{t}" for c, t in fields if c != "session_id")).select(*(c for c, _ in fields))
 
 
 def _cases(rows: DataFrame, pins: DataFrame | None, config: dict) -> DataFrame:
-    """Each message once for each case it may come to, with what it adds to the sums then."""
-    toolish = F.col("role").isin("toolResult", "bashExecution")
-    key = F.when((F.col("role") == "toolResult") & F.col("call_name").isNotNull(), keys.group_key(F.col("call_name")))
+    """Each message once for each case it may come to, with what it adds to the sums then; the first, as it comes, with the rest that the state needs."""
+    role, toolish = F.col("role"), F.col("role").isin("toolResult", "bashExecution")
+    key = F.when((role == "toolResult") & F.col("call_name").isNotNull(), keys.group_key(F.col("call_name")))
     rows = keys.with_arguments(rows).withColumn("group_key", key)
     is_read = F.col("group_key").isNotNull() & (F.col("call_name") == "read")
-    rows = rows.withColumn("range", F.when(is_read, keys.read_range())).withColumn("is_read", is_read)
-    case = lambda sup, new: F.struct(F.lit(sup).alias("sup"), F.lit(new).alias("new"))
-    rows = rows.withColumn("case", F.explode(F.when(toolish, F.array(case(False, True), case(True, True), case(False, False), case(True, False))).otherwise(F.array(case(False, True)))))
-    rows = items.with_facts(rows).withColumns({"superseded_by": F.when(F.col("case.sup"), F.col("message_index")), "is_recent": F.coalesce(F.col("case.new") & toolish, F.lit(False)), "is_latest_user": F.lit(False)})
+    rows = rows.withColumn("range", F.when(is_read, keys.read_range())).withColumn("is_read", F.coalesce(is_read, F.lit(False)))
+    rows = items.with_facts(rows, F.col("known_tokens"))  # of a row, not of each case
+    rows = _with_pins(rows, pins)
+    case = lambda part, sup, new: F.struct(F.lit(part).alias("part"), F.lit(sup).alias("sup"), F.lit(new).alias("new"))
+    alone = F.when(role == CALL, CALLED).when(role == END, ENDS).otherwise(COMES)
+    rows = rows.withColumn("case", F.explode(F.when(toolish, F.array(case(COMES, False, True), case(SUPERSEDED, True, True), case(OLD, False, False), case(BOTH, True, False))).otherwise(F.array(F.struct(alone.alias("part"), F.lit(False).alias("sup"), F.lit(True).alias("new"))))))
+    rows = rows.withColumns({"superseded_by": F.when(F.col("case.sup"), F.col("message_index")), "is_recent": F.coalesce(F.col("case.new") & toolish, F.lit(False)), "is_latest_user": F.lit(False)})
     rows = items.judged(rows, config["limits"]["oversizedTokens"])
-    if pins is None:
-        rows = rows.withColumns({"pinned": F.lit(False), "needles": F.lit(None).cast("string")})
-    else:
-        rows = _pinned(rows, pins)
-    rows = counted(rows, config)
-    low = F.lower("item_text")
+    in_file = F.coalesce(F.arrays_overlap("related_files", "pin_files"), F.lit(False))
+    rows = rows.withColumn("pinned", ~F.col("engine_stub") & (in_file | F.col("pin_held")))
+    rows = counted(rows.withColumn("class", F.when(F.col("pinned"), "critical").otherwise(F.col("class"))), config)
     engine, kind = F.get_json_object("details_json", "$.engine"), F.get_json_object("details_json", "$.kind")
     own = F.coalesce(engine == items.ENGINE_ID, F.lit(False))
-    corpus = F.when((~own | F.coalesce(kind == "pins", F.lit(False))) & (F.col("role").isin("user", "assistant") | ((F.col("role") == "custom") & own)), low)
-    values = F.to_json(F.array(*(F.col(c).cast("long") for c in sum_names(config))))
-    return rows.select(
-        "session_id", "message_index", "role", F.when(F.col("role") == CALL, -1).when(F.col("case.sup"), 1).otherwise(0).alias("part"), toolish.alias("toolish"), "group_key", "is_read", F.col("range.full").alias("full"), F.col("range.first").alias("first_line"), F.col("range.last").alias("last_line"),
-        F.concat(F.col("case.sup").cast("int").cast("string"), F.col("case.new").cast("int").cast("string")).alias("case"), values.alias("values"), corpus.alias("corpus"), "needles", F.when(F.col("role") == CALL, F.col("details_json")).alias("facts"),
-    )
+    corpus = F.when((~own | F.coalesce(kind == "pins", F.lit(False))) & (role.isin("user", "assistant") | ((role == "custom") & own)), F.lower("item_text"))
+    values = F.array(*(F.col(c).cast("long") for c in sum_names(config)))
+    span = (F.col("range")[c].cast("string").alias(c) for c in ("first", "last"))  # JSON has no infinite numbers
+    comes = F.to_json(F.struct(values.alias("values"), toolish.alias("toolish"), "group_key", "is_read", F.col("range.full").alias("full"), *span, corpus.alias("corpus")))
+    asked = F.to_json(F.struct(F.col("details_json").alias("facts"), "needles"))
+    part = F.col("case.part")
+    return rows.select("session_id", _place(part).alias("place"), F.when(part == CALLED, asked).when(part == COMES, comes).when(part != ENDS, F.to_json(values)).alias("data"))
 
 
-def _pinned(rows: DataFrame, pins: DataFrame) -> DataFrame:
-    """Classes under the pins of each session, which a stream meets as a table: ``needles`` are those of its pins that its texts must hold."""
+def _with_pins(rows: DataFrame, pins: DataFrame | None) -> DataFrame:
+    """Rows with pin_files, pin_held (a pinned text is in the message) and needles (what of its pins a session's texts must hold) from the session's pins, which a stream meets as a table."""
     from threadloom.functions import text as tx
 
+    if pins is None:
+        return rows.withColumns({"pin_files": F.lit(None).cast("array<string>"), "pin_held": F.lit(False), "needles": F.lit(None).cast("string")})
     active = pins.where("active")
     held = F.when(F.col("type").isin("constraint", "requirement", "note", "command"), F.nullif(F.lower(F.substring(tx.trim(F.col("content")), 1, 120)), F.lit("")))
     asked = F.when((pin.needle() != "") | (F.col("type") != "file"), pin.needle())
     each = active.groupBy("session_id").agg(F.collect_set(F.when(F.col("type") == "file", keys.normalized_path(F.col("content")))).alias("pin_files"), F.collect_set(held).alias("pin_texts"), F.to_json(F.collect_list(asked)).alias("needles"))
-    rows = rows.join(each, "session_id", "left")
     low = F.lower("item_text")
-    hit = F.coalesce(F.arrays_overlap("related_files", "pin_files"), F.lit(False)) | F.coalesce(F.exists("pin_texts", lambda p: F.contains(low, p)), F.lit(False))
-    rows = rows.withColumn("pinned", ~F.col("engine_stub") & hit)
-    return rows.withColumn("class", F.when(F.col("pinned"), "critical").otherwise(F.col("class"))).drop("pin_files", "pin_texts")
+    hit = F.when(F.size("pin_texts") > 0, F.exists("pin_texts", lambda p: F.contains(low, p)))
+    return rows.join(each, "session_id", "left").withColumn("pin_held", F.coalesce(hit, F.lit(False))).drop("pin_texts")
 
 
 def prepare(spark: SparkSession) -> None:
