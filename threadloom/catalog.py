@@ -716,10 +716,10 @@ def _streamed(spark: SparkSession, sf_dir: str, batches: int = 3) -> tuple[DataF
     whole.withColumn("arrives", F.least(F.lit(batches - 1), F.floor(F.col("message_index") / 40)).cast("int")).write.partitionBy("arrives").parquet(f"{root}/all")
     found = None  # the plan is built once its folder exists
     for k in range(batches):
-        spark.read.parquet(f"{root}/all").where(F.col("arrives") == k).drop("arrives").write.mode("append").parquet(f"{root}/in")
-        found = found or streamed.step_stream(spark.readStream.schema(MESSAGES).parquet(f"{root}/in"), _trace_pins(spark, sf_dir))
-        query = found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-        query.awaitTermination()
+        tables.moved(spark, f"{root}/all/arrives={k}", f"{root}/in/{k}")
+        found = found or streamed.step_stream(spark.readStream.schema(MESSAGES).option("recursiveFileLookup", "true").parquet(f"{root}/in"), _trace_pins(spark, sf_dir))
+        writer = found.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
+        streamed.started(writer, spark).awaitTermination()
     return spark.read.parquet(f"{root}/out"), f"{root}/checkpoint"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def held(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, where ``once`` would carry every row through one more step for the sake of a few."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def shares(messages: DataFrame) -> int:
     """Partitions for MESSAGES dealt by session, from one pass over the lengths of their texts: a task's memory then does not grow with the table.
 

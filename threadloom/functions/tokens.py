@@ -19,11 +19,11 @@ OVERSIZED, RECENT = 1000, 8
 
 def text_tokens(text: Column) -> Column:
     """ceil(other / 4 + cjk / 1.5) over UTF-16 units, exactly, in integers. Text without multi-byte characters needs no pattern."""
-    length = F.length(text).cast("long")
+    length, octets = F.length(text).cast("long"), F.octet_length(text).cast("long")
     bmp, astral = F.regexp_count(text, F.lit(CJK)), F.regexp_count(text, F.lit(ASTRAL))
     wide = (3 * (length - bmp) + 8 * (bmp + astral) + 11) / 12
-    plain = (3 * length + 11) / 12
-    return F.coalesce(F.floor(F.when(F.octet_length(text) == length, plain).otherwise(wide)), F.lit(0)).cast("long")
+    plain = (3 * octets + 11) / 12
+    return F.coalesce(F.floor(F.when(octets == length, plain).otherwise(wide)), F.lit(0)).cast("long")
 
 
 def block_tokens(block: Column) -> Column:
@@ -101,11 +101,11 @@ def guarded(estimate: Callable[[dict], int], *columns: str) -> Column:
     return estimated(F.struct(*columns))
 
 
-def reclaimable(least: int | Column) -> Column:
-    """Tokens that pruning a classified item frees."""
-    t, cls = F.col("estimated_tokens"), F.col("class")
-    kept = F.col("engine_stub") | F.col("pinned") | (cls == "critical") | ~F.col("type").isin("tool-result", "bash") | (t < least)
-    freed = F.when(cls.isin("stale", "disposable"), t - STUB_COST).when((cls == "working") & F.array_contains("tags", "oversized"), t - FOLD_COST).otherwise(0)
+def reclaimable(least: int | Column, of: Callable[[str], Column] = F.col) -> Column:
+    """Tokens that pruning a classified item frees; ``of`` gives its columns."""
+    t, cls = of("estimated_tokens"), of("class")
+    kept = of("engine_stub") | of("pinned") | (cls == "critical") | ~of("type").isin("tool-result", "bash") | (t < least)
+    freed = F.when(cls.isin("stale", "disposable"), t - STUB_COST).when((cls == "working") & F.array_contains(of("tags"), "oversized"), t - FOLD_COST).otherwise(0)
     return F.when(kept, 0).otherwise(F.greatest(freed, F.lit(0))).cast("long")
 
 

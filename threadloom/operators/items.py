@@ -120,10 +120,10 @@ def _rule(cls: str | Column, score: int | Column, tags: list, reason: str | Colu
     return F.struct(lit(cls).alias("class"), lit(score).cast("int").alias("importance"), F.concat_ws(_TAG, *map(lit, tags)).alias("tags"), lit(reason).alias("reason"), F.lit(files).alias("files"), F.lit(by).alias("by"))
 
 
-def _toolish_rules(oversized: int) -> Column:
+def _toolish_rules(oversized: int, sup: Column, new: Column) -> Column:
     """The rules of results and runs, the first that holds; reasons are part of the audit's output (fixed values)."""
     name, cat, outcome = F.col("source"), F.col("category"), F.col("outcome")
-    big, err, sup, new = F.col("estimated_tokens") >= oversized, F.col("err"), F.col("superseded_by").isNotNull(), F.col("is_recent")
+    big, err = F.col("estimated_tokens") >= oversized, F.col("err")
     ov = F.when(big, "oversized")
     pick = lambda cond, a, b: F.when(cond, F.lit(a)).otherwise(F.lit(b))
     bash, noisy = name == "bash", cat.isin("install", "fetch", "build")
@@ -174,22 +174,30 @@ def with_facts(rows: DataFrame, estimator: Column | None = None) -> DataFrame:
     return rows.withColumns({"err": failed, "file": keys.file_of(), "engine_stub": stub, "type": F.coalesce(F.try_element_at(kind, role), F.lit("custom"))})
 
 
-def judged(rows: DataFrame, oversized: int = tk.OVERSIZED) -> DataFrame:
-    """Rows of ``with_facts`` with superseded_by, is_recent and is_latest_user, by the first rule that holds: class, importance, tags, reason, related_files; superseded_by stays where the rule has used it."""
+def rule_of(oversized: int, sup: Column, new: Column, latest: Column) -> Column:
+    """The first rule that holds for a row of ``with_facts`` if it is superseded (``sup``), among the recent results (``new``) or the latest user message: class, importance, tags in one text, reason, and whether its file and what supersedes it count."""
     role, toolish = F.col("role"), F.col("role").isin("toolResult", "bashExecution")
     called = F.coalesce(F.exists("blocks", lambda b: b["type"] == "toolCall"), F.lit(False))
-    rule = (
+    return (
         F.when(F.col("engine_stub"), _rule("disposable", 5, ["engine-stub"], "already pruned by the engine"))
-        .when(role == "user", _rule("critical", 100, ["user", F.when(F.col("is_latest_user"), "latest-user")], "user message"))
+        .when(role == "user", _rule("critical", 100, ["user", F.when(latest, "latest-user")], "user message"))
         .when(role == "assistant", _rule("working", 60, ["assistant", F.when(called, "tool-call").otherwise("reasoning")], "assistant message"))
         .when(role.isin("compactionSummary", "branchSummary"), _rule("critical", 80, ["summary"], "summary of earlier context"))
-        .when(toolish, _toolish_rules(oversized))
+        .when(toolish, _toolish_rules(oversized, sup, new))
         .otherwise(_rule("working", 50, [F.coalesce("custom_type", F.lit("custom")), "custom"], "custom message"))
     )
-    rows = rows.withColumn("rule", rule)
+
+
+def tags_of(rule: Column) -> Column:
+    return F.split(rule["tags"], _TAG)
+
+
+def judged(rows: DataFrame, oversized: int = tk.OVERSIZED) -> DataFrame:
+    """Rows of ``with_facts`` with superseded_by, is_recent and is_latest_user, by the first rule that holds: class, importance, tags, reason, related_files; superseded_by stays where the rule has used it."""
+    rows = rows.withColumn("rule", rule_of(oversized, F.col("superseded_by").isNotNull(), F.col("is_recent"), F.col("is_latest_user")))
     by = F.when(F.col("rule.by"), F.col("superseded_by"))
     files = F.when(F.col("rule.files") & F.col("file").isNotNull(), F.array("file")).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumns({"superseded_by": by, "class": F.col("rule.class"), "importance": tk.importance(F.col("rule.importance")), "tags": F.split("rule.tags", _TAG), "reason": F.col("rule.reason"), "related_files": files})
+    rows = rows.withColumns({"superseded_by": by, "class": F.col("rule.class"), "importance": tk.importance(F.col("rule.importance")), "tags": tags_of(F.col("rule")), "reason": F.col("rule.reason"), "related_files": files})
     return rows.drop("rule")
 
 

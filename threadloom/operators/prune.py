@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as tx
 from threadloom.functions import tokens as tk
-from threadloom.functions.rows import once
+from threadloom.functions.rows import held, once
 from threadloom.operators.analysis import analyze
 from threadloom.schema import BLOCKS, ENGINE_ID, as_messages
 
@@ -17,11 +19,11 @@ TEXT_HEAD, TEXT_TAIL = 40, 20
 REPLACEMENT_COST = 24
 
 
-def plan(stub_min: int | Column) -> Column:
-    """keep, stub or fold for a classified item."""
-    cls, tags = F.col("class"), F.col("tags")
-    keep = F.col("engine_stub") | F.col("pinned") | (cls == "critical") | ~F.col("type").isin("tool-result", "bash") | (F.col("estimated_tokens") < stub_min)
-    fold = (cls == "working") & F.array_contains(tags, "oversized") & (F.array_contains(tags, "active-failure") | F.col("source").isin("bash", "read", "grep", "find"))
+def plan(stub_min: int | Column, of: Callable[[str], Column] = F.col) -> Column:
+    """keep, stub or fold for a classified item, whose columns ``of`` gives."""
+    cls, tags = of("class"), of("tags")
+    keep = of("engine_stub") | of("pinned") | (cls == "critical") | ~of("type").isin("tool-result", "bash") | (of("estimated_tokens") < stub_min)
+    fold = (cls == "working") & F.array_contains(tags, "oversized") & (F.array_contains(tags, "active-failure") | of("source").isin("bash", "read", "grep", "find"))
     return F.when(keep, "keep").when(cls.isin("stale", "disposable"), "stub").when(fold, "fold").otherwise("keep")
 
 
@@ -86,9 +88,40 @@ def actions(items: DataFrame, stub_min: int | Column = 50, max_chars: int | Colu
     return rows.withColumns(new).drop("cost")
 
 
-def details(at: str) -> Column:
+def details(at: str, of: Callable[[str], Column] = F.col) -> Column:
     """What pruning writes beside a replacement."""
-    return F.to_json(F.struct(F.lit(ENGINE_ID).alias("engine"), F.col("kind").alias("kind"), F.col("source").alias("tool"), F.col("reason").alias("reason"), F.col("estimated_tokens").alias("originalTokens"), F.lit(at).alias("at")))
+    return F.to_json(F.struct(F.lit(ENGINE_ID).alias("engine"), of("kind").alias("kind"), of("source").alias("tool"), of("reason").alias("reason"), of("estimated_tokens").alias("originalTokens"), F.lit(at).alias("at")))
+
+
+def level(text: Column) -> Column:
+    """A dash weighs what any character does that is not wide: without it, texts are ASCII and no pattern looks through them."""
+    return F.replace(text, F.lit("—"), F.lit("-"))
+
+
+def beside(written: Column) -> Column:
+    """Tokens of a replaced message beside its replacement, ``written`` being its details."""
+    return F.when(F.col("role") == "bashExecution", tk.text_tokens(F.col("command")) + tk.BASH_TOKENS).otherwise(F.least(F.lit(tk.DETAILS_TOKENS).cast("long"), tk.text_tokens(written)) + tk.RESULT_TOKENS)
+
+
+def fold_sizes(rows: DataFrame, may: Column, limits: list[tuple[int, int]]) -> DataFrame:
+    """``rows`` with folds: the tokens of its fold as fold_c for each max_chars c of ``limits``, where it ``may`` be folded. A fold under several differs only in where it is cut, so it is made once."""
+    run = F.col("source") == "bash"
+
+    def sizes(lines, folded):
+        n = F.size(lines)
+        whole = F.when(run, n <= HEAD + TAIL + 4).otherwise(n <= TEXT_HEAD + TEXT_TAIL + 3)
+        cut = lambda limit: F.when(whole, folded).when(run, _cut(folded, F.lit(limit))).otherwise(F.substring(folded, 1, 2 * limit))
+        return F.struct(*(held(cut(c), tk.text_tokens).alias(f"fold_{c}") for c in dict.fromkeys(c for _, c in limits)))
+
+    folded = lambda lines: F.when(run, fold_output(F.col("command_text"), F.col("item_text"), lines, 0)).otherwise(folded_text(F.col("item_text"), lines))
+    found = held(F.split("item_text", "\n"), lambda lines: held(folded(lines), lambda text: sizes(lines, text)))
+    return once(rows, "folds", F.when(may, found))
+
+
+def gain(stub_min: int, tokens: Column, besides: Column, of: Callable[[str], Column] = F.col) -> tuple[Column, Column]:
+    """What a replacement of so many tokens saves, and whether it is made."""
+    worth = F.coalesce((of("kind") != "keep") & (of("estimated_tokens") >= stub_min) & (tokens + REPLACEMENT_COST < of("estimated_tokens")), F.lit(False))
+    return F.when(worth, of("estimated_tokens") - tokens - besides).otherwise(0), worth.cast("long")
 
 
 def savings(items: DataFrame, limits: list[tuple[int, int]], at: str) -> DataFrame:
@@ -97,26 +130,14 @@ def savings(items: DataFrame, limits: list[tuple[int, int]], at: str) -> DataFra
     A stub is the same under all limits and a fold differs only in where it is
     cut, so each is made once.
     """
-    rows = items.withColumn("kind", plan(0))
-    rows = once(rows, "lines", F.when(F.col("kind") == "fold", F.split("item_text", "\n")))
-    run, n = F.col("source") == "bash", F.size("lines")
-    rows = once(rows, "folded", F.when(F.col("kind") == "fold", F.when(run, fold_output(F.col("command_text"), F.col("item_text"), F.col("lines"), 0)).otherwise(folded_text(F.col("item_text"), F.col("lines")))))
-    whole = F.when(run, n <= HEAD + TAIL + 4).otherwise(n <= TEXT_HEAD + TEXT_TAIL + 3)
-    # a dash weighs what any character does that is not wide: without it, texts are ASCII and no pattern looks through them
-    level = lambda text: F.replace(text, F.lit("—"), F.lit("-"))
+    rows = fold_sizes(items.withColumn("kind", plan(0)), F.col("kind") == "fold", limits)
     rows = once(rows, "stub", F.when(F.col("kind") == "stub", level(stub_text(F.col("source"), F.col("estimated_tokens"), F.col("reason")))))
     rows = once(rows, "details", F.when((F.col("kind") != "keep") & (F.col("role") != "bashExecution"), level(details(at))))
-    beside = F.when(F.col("role") == "bashExecution", tk.text_tokens(F.col("command")) + tk.BASH_TOKENS).otherwise(F.least(F.lit(tk.DETAILS_TOKENS).cast("long"), tk.text_tokens(F.col("details"))) + tk.RESULT_TOKENS)
-    rows = once(rows, "made", F.when(F.col("kind") == "stub", F.struct(tk.text_tokens(F.col("stub")).alias("stub"), beside.alias("beside"))).when(F.col("kind") == "fold", F.struct(F.lit(None).cast("long").alias("stub"), beside.alias("beside"))))
-    cut = lambda limit: F.when(whole, F.col("folded")).when(run, _cut(F.col("folded"), F.lit(limit))).otherwise(F.substring(F.col("folded"), 1, 2 * limit))
-    sizes = {c: f"fold_{c}" for _, c in limits}
-    for c, name in sizes.items():
-        rows = once(rows, name, F.when(F.col("kind") == "fold", tk.text_tokens(cut(c))))
+    rows = once(rows, "made", F.when(F.col("kind") == "stub", F.struct(tk.text_tokens(F.col("stub")).alias("stub"), beside(F.col("details")).alias("beside"))).when(F.col("kind") == "fold", F.struct(F.lit(None).cast("long").alias("stub"), beside(F.col("details")).alias("beside"))))
     for k, (stub_min, c) in enumerate(limits):
-        tokens = F.coalesce("made.stub", sizes[c])
-        worth = F.coalesce((F.col("kind") != "keep") & (F.col("estimated_tokens") >= stub_min) & (tokens + REPLACEMENT_COST < F.col("estimated_tokens")), F.lit(False))
-        rows = rows.withColumns({f"saved_{k}": F.when(worth, F.col("estimated_tokens") - tokens - F.col("made.beside")).otherwise(0), f"acts_{k}": worth.cast("long")})
-    return rows.drop("kind", "lines", "folded", "stub", "details", "made", *sizes.values())
+        saved, acts = gain(stub_min, F.coalesce("made.stub", f"folds.fold_{c}"), F.col("made.beside"))
+        rows = rows.withColumns({f"saved_{k}": saved, f"acts_{k}": acts})
+    return rows.drop("kind", "stub", "details", "made", "folds")
 
 
 def replaced(acted: DataFrame, at: str) -> DataFrame:

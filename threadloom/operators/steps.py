@@ -28,6 +28,7 @@ CALLS = "session_id string, turn int, message_index int, now_ms long, tokens lon
 #: What ``context_steps`` gives beside a plan.
 OBSERVED = "pressure double, quality double, raw_tokens long, total_tokens long, usable_tokens long, reclaimable_tokens long, message_count int, prune_actions int, pressure_after_prune double, clean_actions int, pressure_after_clean double, pins_missing int"
 STEPS = f"{PLANS}, reinject boolean, {OBSERVED}"
+_SEEN = tuple(f.split(" ")[0] for f in OBSERVED.split(", "))
 #: Written into what is replaced; any time of this form has as many characters.
 AT = "2024-01-01T00:00:00.000Z"
 
@@ -110,7 +111,7 @@ def observed(messages: DataFrame, calls: DataFrame, pins: DataFrame | None = Non
 
 def planned(turn: dict[str, Any], plan: dict[str, Any]) -> dict[str, Any]:
     """A row of STEPS."""
-    return {"session_id": turn["session_id"], **{k: turn[k] for k in (f.split(" ")[0] for f in OBSERVED.split(", "))}, **plan, "reinject": not plan["fast"] and turn["pins_missing"] > 0}
+    return {"session_id": turn["session_id"], **{k: turn[k] for k in _SEEN}, **plan, "reinject": not plan["fast"] and turn["pins_missing"] > 0}
 
 
 def context_steps(messages: DataFrame, calls: DataFrame, pins: DataFrame | None = None, config: dict | None = None, states: DataFrame | None = None) -> DataFrame:

@@ -66,6 +66,14 @@ class _Files:
             return False
 
 
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """A folder, if there is one, under another name, at once and whole."""
+    files = _Files(spark, target)
+    if files.fs.exists(files.path(source)):
+        files.fs.mkdirs(files.path(target).getParent())
+        files.take(source, target)
+
+
 def _version(files: _Files, path: str) -> tuple[int, dict[str, str]]:
     """The newest version's number, and the folder of each bucket; 0 if there is none."""
     numbers = [int(n[2:-5]) for n in files.names(f"{path}/manifests") if n.startswith("v-") and n.endswith(".json")]
